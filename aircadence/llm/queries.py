@@ -8,20 +8,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aircadence.llm.decontam import contamination
 from aircadence.llm.near_dedup import near_duplicates
+from aircadence.llm.quality import quality_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_OP1_SQL = f"""
+WITH iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest(CASE WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' ')) END) AS w
+  FROM iw WHERE len(ws) > 0
+), dw AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents
+), pos AS (
+  SELECT doc_id, ws, k.k, unnest(range(1, len(ws) - k.k + 2)) AS p FROM dw CROSS JOIN (SELECT DISTINCT k FROM win) k WHERE len(ws) >= k.k
+), hit AS (
+  SELECT pos.doc_id, pos.p, pos.k, win.item_id FROM pos JOIN win ON win.k = pos.k AND win.w = array_to_string(pos.ws[pos.p:pos.p + pos.k - 1], ' ')
+), words AS (
+  SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM hit) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(d.ws), 0) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+  sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 _OP4_SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents
@@ -43,6 +78,13 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-QUERIES = {"op4_near_dedup": op4_near_dedup}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op4_near_dedup": op4_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 
-SQL = {"op4_near_dedup": _OP4_SQL}
+SQL = {
+    "op1_decontamination": _OP1_SQL,
+    "op4_near_dedup": _OP4_SQL,
+}
