@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aircadence.llm.decontam import contamination
+from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
 from aircadence.llm.quality import quality_verdicts
+from aircadence.llm.url_filter import HOST_RULES, PATTERNS, judge_urls, pattern_regex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_plan(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
@@ -78,13 +88,55 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+_OP5_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in HOST_RULES)
+_OP5_HIT = " OR ".join(f"regexp_matches(u, '{pattern_regex(p)}')" for p in PATTERNS)
+
+_OP5_SQL = f"""
+WITH p AS (
+  SELECT page_id, {_LOWER.replace("text", "coalesce(url, '')")} AS u,
+    {_LOWER.replace("text", "regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(verdict, h, pre) AS (VALUES {_OP5_RULES}
+), fit AS (
+  SELECT p.page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS verdict
+  FROM p JOIN rules ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, pre) GROUP BY p.page_id
+)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN {_OP5_HIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id)
+"""
+
+_OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS n, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END) AS w FROM d GROUP BY source
+), k AS (
+  SELECT *, 2 * n AS cap, 2 * n / w AS full_at, (sum(n) OVER () * 1.5e0 - coalesce(sum(2 * n) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS lvl
+  FROM s WINDOW before AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, n, least(cap, (SELECT arg_min(lvl, (full_at, source)) FROM k WHERE lvl <= full_at) * w) AS target FROM k
+), r AS (
+  SELECT d.*, t.n, t.target, coalesce(t.target / nullif(t.n, 0), 0) AS rate,
+    ('0x' || substr(md5('mix:0:' || coalesce('=' || d.source, '-')), 1, 12))::BIGINT / 281474976710656e0 AS u,
+    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 16 + (CASE WHEN length(bin(size)) >= 4 THEN size >> (length(bin(size)) - 4) ELSE size << (4 - length(bin(size))) END),
+      ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4))::BIGINT % 64, size, CAST(doc_id AS VARCHAR)) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST((floor(u + pos * rate) - floor(u + (pos - 1) * rate)) * size AS BIGINT) AS taken FROM r
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
     "op1_decontamination": _OP1_SQL,
     "op4_near_dedup": _OP4_SQL,
+    "op5_url_filter": _OP5_SQL,
+    "op7_mixing": _OP7_SQL,
 }
