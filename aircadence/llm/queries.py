@@ -6,12 +6,15 @@ that are compared from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from aircadence.llm.decontam import contamination
 from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
 from aircadence.llm.quality import quality_verdicts
+from aircadence.llm.token_counts import corpus_token_counts
+from aircadence.llm.token_files import token_digest
 from aircadence.llm.url_filter import HOST_RULES, PATTERNS, judge_urls, pattern_regex
 
 
@@ -31,10 +34,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_plan(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
@@ -130,7 +141,9 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
