@@ -70,7 +70,7 @@ def _choices(ids: np.ndarray) -> np.ndarray:
             span += step
         if span != count:
             break
-        best[: len(widest)][widest <= width] = selector
+        np.copyto(best[: len(widest)], selector, where=widest <= width)
     return best
 
 
@@ -85,10 +85,13 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice = _choices(ids)
     counts = np.array([c for c, _ in SELECTORS] + [0, 1])
     # A choice may not cross its block's end: near the end, take a smaller one that fits.
-    room = np.repeat(stops, stops - begins) - np.arange(n)
+    tail = (stops[:, None] - np.arange(1, SELECTORS[0][0])).ravel()
+    tail = tail[tail >= np.repeat(begins, SELECTORS[0][0] - 1)]
+    room, held = stops[tail // BLOCK_IDS] - tail, choice[tail]
     for selector, (count, _) in enumerate(SELECTORS[:-1]):
-        choice[(choice == selector) & (room < count)] = selector + 1
-    choice[(choice == len(SELECTORS) - 1) & (ids >> np.uint64(60) > 0)] = ESCAPE
+        held[(held == selector) & (room < count)] = selector + 1
+    held[(held == len(SELECTORS) - 1) & (ids[tail] >> np.uint64(60) > 0)] = ESCAPE
+    choice[tail] = held
     # Follow the choices of all blocks in step to find where words begin.
     taken = counts[choice]
     is_word = np.zeros(n, dtype=bool)

@@ -14,10 +14,37 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 700_000
 
-#: The pre-tokenizer's split, on printable ASCII that is lower-cased.
-_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and Latin-1 without the no-break space: such a piece needs no
+#: normal form, and its lower case is that of its characters one by one.
+_LATIN = re.compile("[!-~\u00a1-\u00ff]*")
+#: The pre-tokenizer's split of a lower-cased piece of these characters.
+_LATIN_SPLIT = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d"
+    "|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+"
+    "|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+    "|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
+)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies use for each byte: itself where
+    it is printable, else the next free one from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_PROBES = ("It's", "a1b22", "x--y", "we'll,", "No.1!", "'tis", "_a_", "\u00c9t\u00e9,", "Stra\u00dfe\u00bd\u00bfx\u00b5", "\u00ab\u00e0\u00bb\u00d7\u00ba\u00ad")
+
+
+def _split_latin(piece: str) -> list[str]:
+    parts = _LATIN_SPLIT.findall(piece.lower())
+    if piece.isascii():
+        return parts
+    return [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in parts]
 
 
 class PieceEncoder(dict):
@@ -30,8 +57,8 @@ class PieceEncoder(dict):
         super().__init__({"": b""})
         self._tokenizer = Tokenizer.from_file(path)
         self._parts: dict[str, bytes] = {}
-        # Only a tokenizer with this kind of split takes the short way for ASCII.
-        self._plain = all(self._split(x) == _ASCII_SPLIT.findall(x.lower()) for x in ("It's", "a1b22", "x--y", "we'll,", "No.1!", "'tis", "_a_"))
+        # Only a tokenizer with this kind of split takes the short way.
+        self._short = all(self._split(x) == _split_latin(x) for x in _PROBES)
 
     def _split(self, piece: str) -> list[str]:
         normal = self._tokenizer.normalizer.normalize_str(piece)
@@ -40,22 +67,19 @@ class PieceEncoder(dict):
     def _part(self, part: str) -> bytes:
         known = self._parts.get(part)
         if known is None:
-            if len(self._parts) > CACHE_PIECES:
-                self._parts.clear()
-            ids = [t.id for t in self._tokenizer.model.tokenize(part)]
-            known = self._parts[part] = np.array(ids, dtype="<u4").tobytes()
+            known = np.array([t.id for t in self._tokenizer.model.tokenize(part)], dtype="<u4").tobytes()
+            if len(self._parts) < CACHE_PIECES:
+                self._parts[part] = known
         return known
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-            self[""] = b""
         if "<" in piece:  # may hold a special token's text, which the whole encoder knows
             ids = np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
-            short = self._plain and piece.isascii() and piece.isprintable()
-            ids = b"".join(map(self._part, _ASCII_SPLIT.findall(piece.lower()) if short else self._split(piece)))
-        self[piece] = ids
+            short = self._short and _LATIN.fullmatch(piece)
+            ids = b"".join(map(self._part, _split_latin(piece) if short else self._split(piece)))
+        if len(self) < CACHE_PIECES:  # frequent pieces come early, so a full cache stays as it is
+            self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
