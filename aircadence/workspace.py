@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +49,11 @@ class Workspace:
             for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
                 where = jvm.org.apache.hadoop.fs.Path(name)
                 where.getFileSystem(conf).delete(where, True)
+
+
+def broadcast_if_small(table: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """Mark a staged table of a few narrow columns for broadcast if it is small.
+
+    Larger tables are left to a shuffled join.
+    """
+    return F.broadcast(table) if table.count() <= most_rows else table
