@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
-from aircadence.workspace import Workspace
+from aircadence.workspace import Workspace, broadcast_if_small
 
 BINS, ROWS, BANDS = 256, 6, 42
 SLOTS = ROWS * BANDS
@@ -199,8 +199,8 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
     """Staged pairs ``(a, b)`` that reach the similarity on full sets."""
     pairs = work.stage(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    known = work.stage(texts.join(wanted, "id", "left_semi"), f"{name}-texts")
+    wanted = work.stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    known = work.stage(texts.join(broadcast_if_small(wanted), "id", "left_semi"), f"{name}-texts")
     joined = pairs.join(known.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     links = work.stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), f"{name}-links")
     work.drop(known)
@@ -220,25 +220,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands", "flips")).alias("m")).select("digest", "m.*")
     classes = work.stage(classes, "classes")
-    banded = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    stars = banded.join(shared, "bucket").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    members = work.stage(banded.join(shared, "bucket"), "members")
+    stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(texts, stars, percent, work, "star")
     comps = work.stage(components(links, work), "comps")
 
     # Buckets that hold members of several components.
-    member = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = member.select("id", "comp", F.posexplode("bands").alias("band", "bucket"))
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
-    held = work.stage(placed.join(mixed, "bucket").join(classes.select("id", "n_shingles", "bands", "flips"), "id"), "mixed")
+    placed = members.select("bucket", "id", "n").join(broadcast_if_small(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
+    crossed = work.stage(placed.join(mixed, "bucket"), "crossed")
+    wanted = work.stage(crossed.select("id").distinct(), "crossed-ids")
+    details = classes.select("id", "n_shingles", "bands", "flips").join(broadcast_if_small(wanted), "id", "left_semi")
+    held = work.stage(crossed.join(details, "id"), "mixed")
     blocks, depth = [held.where(F.col("n") <= max_block)], 0
     large = held.where(F.col("n") > max_block)
     while depth < 3 and large.head(1):
         # A similar pair shares many bands, so it meets again in the finer buckets.
-        finer = large.select("id", "comp", "band", "n_shingles", "bands", "flips", "bucket", F.posexplode("bands").alias("next", "key"))
-        finer = finer.where("next <> band").withColumn("bucket", F.xxhash64("bucket", "next", "key"))
+        finer = large.select("id", "comp", "n_shingles", "bands", "flips", "bucket", F.explode("bands").alias("key"))
+        finer = finer.where("key <> bucket").withColumn("bucket", F.xxhash64("bucket", "key"))
         sizes = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
-        finer = work.stage(finer.drop("next", "key").join(sizes, "bucket"), "finer")
+        finer = work.stage(finer.drop("key").join(sizes, "bucket"), "finer")
         blocks.append(finer.where(F.col("n") <= max_block))
         large = finer.where(F.col("n") > max_block)
         depth += 1
