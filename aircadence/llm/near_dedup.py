@@ -273,3 +273,20 @@ def _dealt(large: DataFrame, max_block: int) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     rows = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    Of each component the least id stays, in one row; rows with a null id stay.
+    """
+    labels = near_duplicates(docs, id_col, text_col, percent)
+    kept = labels.where("kept").where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    work = Workspace(docs.sparkSession, "near-dedup")
+    kept = broadcast_if_small(work.stage(kept, "kept"))
+    stay = docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")
+    # Only rows that repeat an id are shuffled to drop the others.
+    again = work.stage(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "again")
+    again = broadcast_if_small(again)
+    same = docs[id_col] == again["__again"]
+    return stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates([id_col])).union(docs.where(F.col(id_col).isNull()))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
-from aircadence.workspace import Workspace
+from aircadence.workspace import Workspace, broadcast_if_small
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Further statistics that only the forest sees.
@@ -250,5 +250,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Rows with a null id go; of rows that repeat an id all stay if one is kept.
     """
+    work = Workspace(docs.sparkSession, "quality")
     kept = quality_verdicts(docs, labels, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept")).distinct()
+    kept = broadcast_if_small(work.stage(kept, "kept"))
     return docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")

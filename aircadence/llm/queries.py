@@ -7,9 +7,12 @@ that are compared from the operator's output.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.llm.decontam import contamination
+from aircadence.llm.html_extract import extract_main_text
+from aircadence.llm.license_scan import TEMPLATES, license_scan, template_words
+from aircadence.llm.lm_score import cross_entropy_difference
 from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
 from aircadence.llm.quality import quality_verdicts
@@ -26,6 +29,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, hundreds, tens, then the file;
+    every tenth document is its directory's licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 100"), F.expr("doc_id div 50"))
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs.withColumn("path", F.concat_ws("/", folder, name)), "doc_id", "path", "text")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +58,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_plan(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -137,19 +157,76 @@ WITH d AS (
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST((floor(u + pos * rate) - floor(u + (pos - 1) * rate)) * size AS BIGINT) AS taken FROM r
 """
 
+_OP3_WORDS = ", ".join(f"('{n}', '{w}', {template_words(t).count(w)})" for n, t in TEMPLATES for w in sorted(set(template_words(t))))
+
+_OP3_SQL = f"""
+WITH tpl(license, word, tf) AS (VALUES {_OP3_WORDS}
+), f AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 50 AS VARCHAR)) AS folder,
+    CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS name
+  FROM documents
+), df AS (
+  SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM f) GROUP BY word
+), idf AS (
+  SELECT t.word, ln(((SELECT count(*) FROM documents) + 1e0) / (coalesce(df.n, 0) + 1e0)) + 1 AS idf FROM (SELECT DISTINCT word FROM tpl) t LEFT JOIN df USING (word)
+), tv AS (
+  SELECT license, word, tf * idf AS w, sum((tf * idf) ** 2) OVER (PARTITION BY license) AS square, sum(tf * idf) OVER (PARTITION BY license) AS total FROM tpl JOIN idf USING (word)
+), ln AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM f
+), lw AS (
+  SELECT line, word, count(*) * any_value(idf) AS v FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT line FROM ln)) JOIN idf USING (word) GROUP BY line, word
+), ls AS (SELECT line, sum(v * v) AS square FROM lw GROUP BY line
+), m AS (
+  SELECT line, license, round(sum(v * w) / sqrt(any_value(ls.square) * any_value(tv.square)), 6) AS cosine, sum(w) AS has, any_value(total) AS total
+  FROM lw JOIN tv USING (word) JOIN ls USING (line) GROUP BY line, license
+), own AS (
+  SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM ln JOIN m USING (line) WHERE cosine >= 0.8 AND has * 2 >= total GROUP BY doc_id
+), given AS (
+  SELECT folder, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM f JOIN own USING (doc_id) WHERE name = 'LICENSE' GROUP BY folder
+), near AS (
+  SELECT f.doc_id, arg_max(given.license, length(given.folder)) AS license, arg_max(given.cosine, length(given.folder)) AS cosine
+  FROM f JOIN given ON f.folder = given.folder OR starts_with(f.folder, given.folder || '/') GROUP BY f.doc_id
+)
+SELECT f.doc_id, f.folder || '/' || f.name AS path, coalesce(own.license, near.license) AS license, coalesce(own.cosine, near.cosine) AS cosine,
+  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+_OP8_SQL = f"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents)
+), top AS (
+  SELECT word, 1 + row_number() OVER (ORDER BY n DESC, word) AS num FROM (SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 2000)
+), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), s AS (
+  SELECT w.doc_id, coalesce(num, 1) AS b, coalesce(lag(coalesce(num, 1)) OVER (PARTITION BY w.doc_id ORDER BY p), 0) AS a, good.doc_id IS NOT NULL AS good
+  FROM w LEFT JOIN top USING (word) LEFT JOIN good ON good.doc_id = w.doc_id
+), c AS (SELECT a, b, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY a, b
+), v AS (SELECT count(*) + 2 AS size FROM top
+), t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(m) OVER (PARTITION BY a) AS ma, sum(n) OVER (PARTITION BY b) AS nb, sum(m) OVER (PARTITION BY b) AS mb, sum(n) OVER () AS nn, sum(m) OVER () AS mm FROM c
+), d AS (
+  SELECT a, b, ln((n + 50e0 * (nb + 1) / (nn + size)) / (na + 50e0)) - ln((m + 50e0 * (mb + 1) / (mm + size)) / (ma + 50e0)) AS diff FROM t, v
+), r AS (SELECT doc_id, count(*) AS n_words, round(avg(diff), 6) AS score FROM s JOIN d USING (a, b) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, score FROM documents LEFT JOIN r USING (doc_id)
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
     "op1_decontamination": _OP1_SQL,
+    "op3_license_scan": _OP3_SQL,
     "op4_near_dedup": _OP4_SQL,
     "op5_url_filter": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
+    "op8_lm_scoring": _OP8_SQL,
 }
