@@ -96,7 +96,8 @@ def count_tokens(files: DataFrame, folder: str, end_id: int = 49407, width: int
     block_bytes -= block_bytes % width
     blocks = files.where(F.col("bytes") > 0).select("file", F.col("bytes").alias("whole"), F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(block_bytes))).alias("offset"))
     blocks = blocks.select("file", "offset", F.least(F.lit(block_bytes), F.col("whole") - F.col("offset")).alias("size"))
-    found = blocks.repartition("file", "offset").mapInArrow(_scan(folder, end_id, width), "file string, offset bigint, ends array<bigint>")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks.repartition(parts, "file", "offset").mapInArrow(_scan(folder, end_id, width), "file string, offset bigint, ends array<bigint>")
     before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
         "file", "ends",

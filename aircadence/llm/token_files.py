@@ -279,7 +279,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     system.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_last(), "text").sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
+    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
     files = ordered.mapInArrow(_write(folder, tokenizer, end_id, shard_ids), "part bigint, seq bigint, file string, ids bigint, docs array<bigint>")
     where = f"{folder.rstrip('/')}/files"
     files.write.parquet(where)
@@ -291,7 +291,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     # One row for each file: the window is over a list that is smaller than the files by many orders.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", "part", "seq", "ids").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("file", "start")
-    placed = files.select("file", "docs").join(starts, "file").repartition("file")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.select("file", "docs").join(starts, "file").repartition(parts, "file")
     return placed.select("file", "start", "docs").mapInArrow(_read(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
