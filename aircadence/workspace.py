@@ -9,8 +9,10 @@ recomputation of all before it.
 from __future__ import annotations
 
 import os
+import urllib.parse
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -23,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{os.path.dirname(base) if base.endswith('spark-warehouse') else base}/spark-warehouse-stage"
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a file or folder, given as URI or plain path."""
+    parsed = urllib.parse.urlparse(uri)
+    if parsed.scheme in ("", "file"):
+        return fs.LocalFileSystem(), urllib.parse.unquote(parsed.path) if parsed.scheme else uri
+    return fs.FileSystem.from_uri(uri)
+
+
 class Workspace:
     """A new folder of staged tables for one run of one operator."""
 
