@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aircadence.llm.token_files import file_system
 from aircadence.llm.tokens import encoder
-from aircadence.workspace import Workspace
+from aircadence.workspace import Workspace, file_system
 
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 256 << 20

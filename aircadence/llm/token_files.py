@@ -22,19 +22,17 @@ Files go to the session's shared folder through ``pyarrow.fs``.
 from __future__ import annotations
 
 import struct
-import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aircadence.llm.tokens import encoder
-from aircadence.workspace import Workspace
+from aircadence.workspace import Workspace, file_system
 
 BLOCK_IDS = 4096
 #: (ids in a word, bits of each) by selector, fixed by the format.
@@ -149,14 +147,6 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder URI or a plain path."""
-    scheme = urllib.parse.urlparse(uri).scheme
-    if scheme in ("", "file"):
-        return fs.LocalFileSystem(), urllib.parse.urlparse(uri).path if scheme else uri
-    return fs.FileSystem.from_uri(uri)
-
-
 class _ShardWriter:
     """Collects documents and writes full blocks as they fill."""
 
