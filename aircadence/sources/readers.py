@@ -65,7 +65,7 @@ def read_field_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_field_csv(frames: DataFrame, path: str, fields: Sequence[str]) -> None:
-    frames.select(*fields).write.csv(path, header=True, quoteAll=True, mode="overwrite")
+    frames.select(*fields).write.csv(path, header=True, quoteAll=True, escape="\"", mode="overwrite")
 
 
 _LEAVES = ("frame.time_epoch", "frame.len", "radiotap.dbm_antsignal", "radiotap.datarate", "radiotap.channel.freq", "wlan.fc.type", "wlan.fc.type_subtype", "wlan.fc.tods", "wlan.fc.fromds", "wlan.sa", "wlan.da", "wlan.bssid")
