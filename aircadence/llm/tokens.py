@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 250_000
 
 #: Printable ASCII and Latin-1 without the no-break space: such a piece needs no
 #: normal form, and its lower case is that of its characters one by one.
