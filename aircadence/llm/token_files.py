@@ -62,12 +62,12 @@ def _choices(ids: np.ndarray) -> np.ndarray:
     span, widest = 1, bits
     for selector in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[selector]
-        while span < count and span < n:
+        if count > n:
+            break
+        while span < count:
             step = min(span, count - span)
             widest = np.maximum(widest[: n - span - step + 1], widest[step: step + n - span - step + 1])
             span += step
-        if span != count:
-            break
         np.copyto(best[: len(widest)], selector, where=widest <= width)
     return best
 
