@@ -204,7 +204,7 @@ WITH w AS (
 ), v AS (SELECT count(*) + 2 AS size FROM top
 ), t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(m) OVER (PARTITION BY a) AS ma, sum(n) OVER (PARTITION BY b) AS nb, sum(m) OVER (PARTITION BY b) AS mb, sum(n) OVER () AS nn, sum(m) OVER () AS mm FROM c
 ), d AS (
-  SELECT a, b, ln((n + 50e0 * (nb + 1) / (nn + size)) / (na + 50e0)) - ln((m + 50e0 * (mb + 1) / (mm + size)) / (ma + 50e0)) AS diff FROM t, v
+  SELECT a, b, ln((n * mm / nn + 50e0 * (nb * mm / nn + 1) / (mm + size)) / (na * mm / nn + 50e0)) - ln((m + 50e0 * (mb + 1) / (mm + size)) / (ma + 50e0)) AS diff FROM t, v
 ), r AS (SELECT doc_id, count(*) AS n_words, round(avg(diff), 6) AS score FROM s JOIN d USING (a, b) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, score FROM documents LEFT JOIN r USING (doc_id)
 """
