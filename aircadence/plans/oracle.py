@@ -105,5 +105,5 @@ def sql(select: str, *parts: str) -> str:
 
 
 def rounded(columns: str, exact: str = "") -> str:
-    """Select list with ``columns`` rounded to six places."""
-    return ", ".join([*exact.split(), *(f"round({c}, 6) + 0e0 AS {c}" for c in columns.split())])
+    """Select list with ``columns`` rounded to four places."""
+    return ", ".join([*exact.split(), *(f"round({c}, 4) + 0e0 AS {c}" for c in columns.split())])

