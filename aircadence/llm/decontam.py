@@ -150,8 +150,12 @@ def _runs(marks: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     yield from zip(starts[long].tolist(), stops[long].tolist(), strict=True)
 
 
-def _match(shared: Broadcast, text_at: int):
-    """Add what one automaton finds to the last column, ``__hits``."""
+def _match(shared: Broadcast, text_at: int, cut: tuple[int, float] | None = None):
+    """Add what one automaton finds to the last column, ``__hits``.
+
+    With ``cut`` the hits are applied at once and the column goes, so that the
+    texts pass through one Python worker only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -195,15 +199,36 @@ def _match(shared: Broadcast, text_at: int):
                         "spans": [{"first": s, "last": e - 1, "start": int(words.starts[a + s]) - begin, "stop": int(words.ends[a + e - 1]) - begin} for s, e in spans],
                         "items": sorted(items),
                     })
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _HITS_ARROW)], names=batch.schema.names)
+            if cut is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _HITS_ARROW)], names=batch.schema.names)
+            else:
+                yield _without_hits(batch, text_at, out, *cut)
 
     return run
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+def _without_hits(batch: pa.RecordBatch, text_at: int, hits: list[dict], max_words: int, max_share: float) -> pa.RecordBatch:
+    texts, keep = batch.column(text_at).to_pylist(), []
+    for i, row in enumerate(hits):
+        total = sum(s["last"] - s["first"] + 1 for s in row["spans"])
+        keep.append(total <= max_share * row["n_words"])
+        long = [s for s in row["spans"] if s["last"] - s["first"] + 1 > max_words]
+        if long and keep[-1]:
+            raw, pieces, at = texts[i].encode(), [], 0
+            for s in long:
+                pieces.append(raw[at: s["start"]])
+                at = s["stop"]
+            texts[i] = b"\n".join([*pieces, raw[at:]]).decode()
+    columns = batch.columns[:-1]
+    columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, cut: tuple[int, float] | None = None) -> DataFrame:
     """``docs`` with a column ``__hits``: word count, hit spans and items.
 
-    Spans are maximal runs of hit words, with byte offsets in the text.
+    Spans are maximal runs of hit words, with byte offsets in the text.  With
+    ``cut`` (see :func:`decontaminate`) ``docs`` without its hits instead.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
@@ -213,7 +238,8 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
         shared = spark.sparkContext.broadcast(Automaton([(r.id, r.text) for r in rows], window))
-        out = out.mapInArrow(_match(shared, docs.columns.index(text_col)), out.schema)
+        last = cut if part == parts - 1 else None
+        out = out.mapInArrow(_match(shared, docs.columns.index(text_col), last), docs.schema if last else out.schema)
     return out
 
 
@@ -224,34 +250,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return hits.select(id_col, F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("__hits.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _cut(text_at: int, max_words: int, max_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = [], []
-            for text, hits in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                spans = hits["spans"]
-                total = sum(s["last"] - s["first"] + 1 for s in spans)
-                keep.append(total <= max_share * hits["n_words"])
-                long = [s for s in spans if s["last"] - s["first"] + 1 > max_words]
-                if long and keep[-1]:
-                    raw, pieces, at = text.encode(), [], 0
-                    for s in long:
-                        pieces.append(raw[at: s["start"]])
-                        at = s["stop"]
-                    text = b"\n".join([*pieces, raw[at:]]).decode()
-                texts.append(text)
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW_WORDS, max_words: int = 0, max_share: float = 0.1) -> DataFrame:
     """``docs`` without benchmark passages, all other columns as they were.
 
     Hit spans of more than ``max_words`` words are cut from the text, leaving
     a line break; rows with more than ``max_share`` of their words hit go.
     """
-    hits = find_hits(docs, items, text_col, window=window)
-    return hits.mapInArrow(_cut(docs.columns.index(text_col), max_words, max_share), docs.schema)
+    return find_hits(docs, items, text_col, window=window, cut=(max_words, max_share))
