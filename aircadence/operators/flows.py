@@ -35,24 +35,38 @@ def sessionise(features: DataFrame, timeout_sec: float = 5.0, burst_ms: float =
     bucket = [*PAIR, "__bucket"]
     local = Window.partitionBy(*bucket).orderBy("timestamp", "frame_no")
     running = local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = features.withColumn("__bucket", F.floor(F.col("timestamp") / bucket_sec))
-    carried = rows.groupBy(*bucket).agg(F.max("timestamp").alias("__last"), F.count("*").alias("__n"), F.count("rssi").alias("__r"))
-    carried = carried.select(
-        *bucket, F.max("__last").over(_earlier("__bucket")).alias("__prev"),
-        F.coalesce(F.sum("__n").over(_earlier("__bucket")), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__r").over(_earlier("__bucket")), F.lit(0)).alias("__r0"),
+    c = F.col
+
+    def opens_flow(gap: Column) -> Column:
+        return gap > timeout_sec
+
+    def opens_burst(gap: Column) -> Column:
+        return opens_flow(gap) | (gap * 1000 > burst_ms)
+
+    rows = features.withColumn("__bucket", F.floor(c("timestamp") / bucket_sec))
+    rows = rows.withColumn("__gap", c("timestamp") - F.lag("timestamp").over(local)).withColumn("__at", F.row_number().over(local) - 1).withColumn("__rs", F.count("rssi").over(running))
+    # Starts inside a bucket, by place in the bucket; its first frame is judged below.
+    rows = rows.withColumn("__flow", F.when(opens_flow(c("__gap")), c("__at"))).withColumn("__burst", F.when(opens_burst(c("__gap")), c("__at")))
+
+    # One row for each bucket, on the partitioning that the windows have.
+    ends = rows.groupBy(*bucket).agg(F.min("timestamp").alias("__t0"), F.max("timestamp").alias("__t1"), F.count("*").alias("__n"), F.count("rssi").alias("__r"), F.max("__flow").alias("__f"), F.max("__burst").alias("__b"))
+    earlier = _earlier("__bucket")
+    ends = ends.select(
+        *bucket, "__f", "__b", (c("__t0") - F.max("__t1").over(earlier)).alias("__gap0"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__r").over(earlier), F.lit(0)).alias("__r0"),
+    )
+    first_opens = {k: c("__gap0").isNull() | f(c("__gap0")) for k, f in (("f", opens_flow), ("b", opens_burst))}
+    ends = ends.select(
+        *bucket, "__gap0", "__n0", "__r0",
+        # The start that holds before the bucket's own ones: its first frame's, or the last one of earlier buckets.
+        *(F.when(first_opens[k], c("__n0")).otherwise(F.max(F.coalesce(c("__n0") + c(f"__{k}"), F.when(first_opens[k], c("__n0")))).over(earlier)).alias(f"__{k}0") for k in ("f", "b")),
+        first_opens["f"].alias("__new"),
     )
-    rows = rows.select("*", F.lag("timestamp").over(local).alias("__lag"), (F.row_number().over(local) - 1).alias("__at"), F.count("rssi").over(running).alias("__rs")).join(carried, bucket)
-    gap = F.col("timestamp") - F.coalesce("__lag", "__prev")
-    rows = rows.withColumn("__gap", gap).withColumn("pos", F.col("__at") + F.col("__n0")).withColumn("rssi_pos", F.when(F.col("rssi").isNotNull(), F.col("__rs") + F.col("__r0") - 1))
-    opens_flow = F.col("__gap").isNull() | (F.col("__gap") > timeout_sec)
-    opens_burst = opens_flow | (F.col("__gap") * 1000 > burst_ms)
-    rows = rows.withColumn("__flow", F.when(opens_flow, F.col("pos"))).withColumn("__burst", F.when(opens_burst, F.col("pos")))
-    starts = rows.groupBy(*bucket).agg(F.max("__flow").alias("__f"), F.max("__burst").alias("__b"))
-    starts = starts.select(*bucket, F.max("__f").over(_earlier("__bucket")).alias("__f0"), F.max("__b").over(_earlier("__bucket")).alias("__b0"))
-    rows = rows.withColumn("__fl", F.max("__flow").over(running)).withColumn("__bl", F.max("__burst").over(running)).join(starts, bucket)
+    rows = rows.withColumn("__fl", F.max("__flow").over(running)).withColumn("__bl", F.max("__burst").over(running)).join(ends, bucket)
+    gap = F.when(c("__at") == 0, F.when(~c("__new"), c("__gap0"))).when(c("__flow").isNull(), c("__gap"))
     return rows.select(
-        *features.columns, F.when(F.col("__flow").isNull(), F.col("__gap")).alias("iat"), "pos", "rssi_pos",
-        F.coalesce("__fl", "__f0").alias("flow_id"), F.coalesce("__bl", "__b0").alias("burst_id"),
+        *features.columns, gap.alias("iat"), (c("__at") + c("__n0")).alias("pos"), F.when(c("rssi").isNotNull(), c("__rs") + c("__r0") - 1).alias("rssi_pos"),
+        F.coalesce(c("__n0") + c("__fl"), c("__f0")).alias("flow_id"), F.coalesce(c("__n0") + c("__bl"), c("__b0")).alias("burst_id"),
     )
 
 
