@@ -7,6 +7,10 @@ comparison and reports the positions; a prefix scan over the blocks of a file
 (last end before the block, ends before the block) then closes documents that
 blocks cut and numbers them.
 
+No text may give the end id.  It is therefore the greatest number of the id
+width, and the writer refuses an end id that the tokenizer has, special tokens
+included.
+
 Defined cases: an empty document counts 0 tokens (the end id is not counted);
 ids after a file's last end id form one document that is not closed; an empty
 file or list of files gives no rows.
@@ -27,11 +31,15 @@ from aircadence.workspace import Workspace, file_system
 
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
+END_ID = 65535
 
 
 def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        pieces = encoder(tokenizer)
+        if not pieces.last_id < end_id < 1 << 8 * width:
+            raise ValueError(f"end id {end_id} of {width} bytes: the tokenizer has ids up to {pieces.last_id}")
+        encode = pieces.encode
         system, path = file_system(folder)
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         part, attempt, sink, size, docs, count = TaskContext.get().partitionId(), uuid.uuid4().hex, None, 0, [], 0
@@ -56,12 +64,11 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int):
     return run
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407, width: int = 2) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Write every text to flat files where it lies, without a shuffle.
 
-    Returns the staged list of files ``(file, bytes, docs)``.  The encoder
-    gives ids of the tokenizer's special tokens to their strings in a text;
-    with such an ``end_id`` those strings end a document too.
+    Returns the staged list of files ``(file, bytes, docs)``.  Vocabularies of
+    65535 ids and more need ``width`` 4 and an ``end_id`` above their last id.
     """
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
@@ -86,7 +93,7 @@ def _scan(folder: str, end_id: int, width: int):
     return run
 
 
-def count_tokens(files: DataFrame, folder: str, end_id: int = 49407, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(files: DataFrame, folder: str, end_id: int = END_ID, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents of flat files: ``(file, ordinal, start, n_tokens, closed)``.
 
     ``files`` needs the columns ``file`` and ``bytes``; ``start`` is the
@@ -112,14 +119,14 @@ def count_tokens(files: DataFrame, folder: str, end_id: int = 49407, width: int
     return closed.unionByName(tails)
 
 
-def corpus_token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407) -> DataFrame:
+def corpus_token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Write all texts as flat files, scan them, and name the documents.
 
     Returns ``(id_col, n_tokens)``, a row for each row of ``docs``.
     """
     work = Workspace(docs.sparkSession, "token-counts")
     folder = work.path("flat")
-    files = write_flat(docs, folder, tokenizer, id_col, text_col, end_id)
-    counts = work.stage(count_tokens(files, folder, end_id), "counts")
+    files = write_flat(docs, folder, tokenizer, id_col, text_col, end_id, width)
+    counts = work.stage(count_tokens(files, folder, end_id, width), "counts")
     names = files.select("file", F.posexplode("docs").alias("ordinal", "id"))
     return names.join(counts.select("file", "ordinal", "n_tokens"), ["file", "ordinal"], "left").select(F.col("id").alias(id_col), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

@@ -56,6 +56,8 @@ class PieceEncoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__({"": b""})
         self._tokenizer = Tokenizer.from_file(path)
+        #: The greatest id that any text can give, special tokens included.
+        self.last_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         self._parts: dict[str, bytes] = {}
         # Only a tokenizer with this kind of split takes the short way.
         self._short = all(self._split(x) == _split_latin(x) for x in _PROBES)

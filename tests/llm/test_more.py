@@ -73,6 +73,18 @@ def test_token_counts(spark):
     assert corpus_token_counts(docs(spark, *texts).limit(0), VOCABULARY).count() == 0
 
 
+def test_special_strings_end_no_document(spark):
+    """The end-of-text string inside a text shifts no count of its file."""
+    whole = Tokenizer.from_file(VOCABULARY)
+    texts = ["a b", "x<|endoftext|>y z", "<|endoftext|>", *TEXTS, "last one here"]
+    want = [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for how in ({}, {"end_id": 2**32 - 1, "width": 4}):
+        got = corpus_token_counts(docs(spark, *texts).coalesce(1), VOCABULARY, **how).collect()
+        assert [n for _, n in sorted(tuple(r) for r in got)] == want
+    with pytest.raises(Exception, match="end id 49407"):
+        corpus_token_counts(docs(spark, *texts), VOCABULARY, end_id=49407)
+
+
 @pytest.mark.parametrize("block", [2, 6, 1 << 20])
 def test_blocks_are_stitched(spark, tmp_path, block):
     ids = np.array([5, 9, 9, 1, 2, 3, 9, 4, 4], dtype="<u2")
