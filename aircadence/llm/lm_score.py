@@ -12,7 +12,12 @@ A document's score is its mean per-word loss under the target model minus
 that under the background model, in nats; lower is more like the target.
 
 Bigrams over a vocabulary of V words number at most (V + 2)^2 whatever the
-input, so the tables that every task needs have a fixed bound.
+input, so the tables that every task needs have a fixed bound; all words beyond
+the V are scored alike.  With ``vocabulary=None`` every word counts and nothing
+has a bound: words and bigrams are distributed tables of 64-bit hashes that grow
+with the corpus.  Words and bigrams with more than a fixed share of all
+occurrences, of which there are few whatever the input, are broadcast; the
+others are joined, and no key of these joins is large.
 
 Defined cases: a null or wordless text has no words and a null score; labels
 of unknown or null ids are ignored; without target documents the target model
@@ -26,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
 from aircadence.workspace import Workspace, broadcast_if_small
 
 
+#: Broadcast are words and bigrams with at least one in so many occurrences.
+HOT_WORDS, HOT_BIGRAMS = 100_000, 500_000
+
+
 def _word_hash(words: list[str]) -> np.ndarray:
     array = pa.array(words, pa.string())
     return np.concatenate([tk.hashes(data, tk.scan(data, bounds, tk.NON_SPACE)) for _, _, data, bounds in tk.chunks(array)]) if words else np.zeros(0, np.uint64)
@@ -129,18 +138,129 @@ def _score(words: Broadcast, model: Broadcast):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int = 2000, k: float = 50.0) -> DataFrame:
-    """Per row of ``docs``: ``(id_col, n_words, score)``, scores to 6 places."""
+def _pairs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bigram codes and word hashes of a chunk, and the documents' word bounds.
+
+    A code is the hash before, turned by one bit, XOR the word's hash; a text's
+    start counts as hash 0.
+    """
+    words = tk.scan(data, bounds, tk.NON_SPACE)
+    second = tk.hashes(data, words)
+    first = np.zeros_like(second)
+    first[1:] = second[:-1]
+    heads = words.first[:-1]
+    first[heads[heads < words.first[1:]]] = 0
+    return (((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second).view(np.int64), second.view(np.int64), words.first
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of all words and their counts, summed within each batch."""
+    for batch in batches:
+        good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        every, second, target = [], [], []
+        for first, stop, data, bounds in tk.chunks(batch.column(0)):
+            codes, words, at = _pairs(data, bounds)
+            every.append(codes)
+            second.append(words)
+            target.append(codes[np.repeat(good[first:stop], np.diff(at))])
+        if not every:
+            continue
+        codes, where, n = np.unique(np.concatenate(every), return_index=True, return_counts=True)
+        some, m = np.unique(np.concatenate(target), return_counts=True)
+        both = np.zeros(len(codes), dtype=np.int64)
+        both[np.searchsorted(codes, some)] = m
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.concatenate(second)[where]), pa.array(n.astype(np.int64)), pa.array(both)], ["code", "w", "n", "m"])
+
+
+def _score_hot(hot: Broadcast):
+    """Of each row the sum over its broadcast bigrams, and its other bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, difference = hot.value
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for first, stop, data, bounds in tk.chunks(batch.column(1)):
+                codes, _, at = _pairs(data, bounds)
+                place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                found = known[place] == codes
+                sums = np.r_[0.0, np.cumsum(np.where(found, difference[place], 0.0))]
+                ahead = np.r_[0, np.cumsum(~found)]
+                rest = pa.ListArray.from_arrays(pa.array(ahead[at].astype(np.int32)), pa.array(codes[~found]))
+                keys = np.arange(row, row + stop - first, dtype=np.int64)
+                row += stop - first
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(first, stop - first), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[at[1:]] - sums[at[:-1]]), rest], ["key", "id", "n_words", "part", "rest"])
+
+    return run
+
+
+def _with_counts(bigrams: DataFrame, words: DataFrame, side: str, least: float, names: tuple[str, str]) -> DataFrame:
+    """Add a word's counts to each bigram that has it on the given side.
+
+    A frequent word's bigrams take the counts from a broadcast; in the join
+    with the other words they stand under their own codes, so no key is large.
+    """
+    n, m = ("n", "m") if side == "w" else ("after_n", "after_m")
+    counts = words.where(F.col(n) > 0).select("word", F.struct(F.col(n).alias("n"), F.col(m).alias("m")).alias("c"))
+    hot = counts.where(F.col("c.n") >= least).select(F.col("word").alias(side), F.col("c").alias("hot"))
+    cold = counts.where(F.col("c.n") < least).select(F.col("word").alias("at"), F.col("c").alias("cold"))
+    marked = bigrams.join(F.broadcast(hot), side, "left").withColumn("at", F.when(F.col("hot").isNull(), F.col(side)).otherwise(F.col("code")))
+    c = F.coalesce("hot", "cold")
+    return marked.join(cold, "at", "left").select(*bigrams.columns, c["n"].alias(names[0]), c["m"].alias(names[1]))
+
+
+def _score_all_words(rows: DataFrame, marked: DataFrame, work: Workspace, k: float) -> DataFrame:
+    """Scores under models of every word, all tables distributed."""
+    spark = rows.sparkSession
+    bigrams = work.stage(marked.mapInArrow(_count_pairs, "code bigint, w bigint, n bigint, m bigint").groupBy("code", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "bigrams")
+    turned = F.col("code").bitwiseXOR(F.col("w"))
+    bigrams = bigrams.withColumn("v", F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63)))
+    none = F.lit(0).cast("bigint")
+    seconds = bigrams.select(F.col("w").alias("word"), "n", "m", none.alias("after_n"), none.alias("after_m"))
+    firsts = bigrams.select(F.col("v").alias("word"), none.alias("n"), none.alias("m"), F.col("n").alias("after_n"), F.col("m").alias("after_m"))
+    words = work.stage(seconds.union(firsts).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "m", "after_n", "after_m"))), "words")
+    whole = words.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if(F.col("n") > 0).alias("words")).first()
+    total, target, size = whole.n or 0, whole.m or 0, whole.words + 2
+
+    def differences(part: DataFrame) -> DataFrame:
+        part = _with_counts(part, words, "w", total / HOT_WORDS, ("word_n", "word_m"))
+        part = _with_counts(part, words, "v", total / HOT_WORDS, ("after_n", "after_m"))
+        scale = target / max(1, total)
+
+        def log_p(c: str, factor: float):
+            count, word, after = (F.col(x) * F.lit(factor) for x in (c, f"word_{c}", f"after_{c}"))
+            return F.log((count + k * (word + 1) / (target + size)) / (after + k))
+
+        return part.select("code", (log_p("n", scale) - log_p("m", 1.0)).alias("difference"))
+
+    least = total / HOT_BIGRAMS
+    table = differences(bigrams.where(F.col("n") >= least)).toArrow()
+    code, difference = (table.column(c).to_numpy() for c in ("code", "difference"))
+    order = np.argsort(code)
+    hot = spark.sparkContext.broadcast((code[order], difference[order]) if len(code) else (np.zeros(1, np.int64), np.zeros(1)))
+    scored = work.stage(rows.mapInArrow(_score_hot(hot), "key bigint, id bigint, n_words bigint, part double, rest array<bigint>"), "scored")
+    rest = scored.select("key", F.explode("rest").alias("code")).join(differences(bigrams.where(F.col("n") < least)), "code")
+    rest = rest.groupBy("key").agg(F.sum("difference").alias("others"))
+    score = (F.col("part") + F.coalesce("others", F.lit(0.0))) / F.col("n_words")
+    return scored.drop("rest").join(rest, "key", "left").select("id", "n_words", F.when(F.col("n_words") > 0, score).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = 2000, k: float = 50.0) -> DataFrame:
+    """Per row of ``docs``: ``(id_col, n_words, score)``, scores to 6 places.
+
+    ``vocabulary=None`` takes every word of the corpus.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    good = work.stage(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)), "good")
+    marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    if vocabulary is None:
+        return _score_all_words(rows, marked, work, k).select(F.col("id").alias(id_col), "n_words", F.round("score", 6).alias("score"))
     counts = rows.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
     words = spark.sparkContext.broadcast(Vocabulary(top))
     size = len(top) + 2
 
-    good = work.stage(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)), "good")
-    marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     bigrams = marked.mapInArrow(_count_bigrams(words), "code bigint, n bigint, n_target bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
     table = bigrams.toArrow()
     code, n, m = (table.column(c).to_numpy() for c in ("code", "n", "n_target"))

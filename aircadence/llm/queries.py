@@ -62,6 +62,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), vocabulary=None)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -218,6 +222,7 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
     "op8_lm_scoring": op8_lm_scoring,
+    "op8_lm_scoring_all_words": op8_lm_scoring_all_words,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -229,4 +234,5 @@ SQL = {
     "op5_url_filter": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
     "op8_lm_scoring": _OP8_SQL,
+    "op8_lm_scoring_all_words": _OP8_SQL.replace(" LIMIT 2000", ""),
 }

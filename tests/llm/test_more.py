@@ -188,6 +188,25 @@ def test_scores_favour_the_target(spark):
     assert cross_entropy_difference(docs(spark, *texts).limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("share", [500_000, 60])
+def test_rare_words_count(spark, monkeypatch, share):
+    """Texts that differ in rare words alone differ in score; odd rows stay."""
+    from aircadence.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "HOT_WORDS", share)
+    monkeypatch.setattr(lm_score, "HOT_BIGRAMS", share)
+    common = [" ".join(f"c{(i * j) % 2500}" for j in range(1, 120)) for i in range(60)] + [" ".join(f"c{i}" for i in range(2500))] * 3
+    texts = common + ["rare1 rare2 rare3", "odd1 odd2 odd3", "rare1 rare2 rare3", "odd1 odd2 odd3", None, " "]
+    n = len(common)
+    labels = spark.createDataFrame([(n, 1), (None, 1), (n + 1, 0), (3, 1), (3, 1)], "doc_id long, quality int")
+    t = docs(spark, *texts, None, "odd1", ids=[*range(len(texts)), 2, None])
+    got = {(r.doc_id, r.n_words): r.score for r in cross_entropy_difference(t, labels, vocabulary=None).collect()}
+    assert len(got) == len(texts) + 2 and got[n + 4, 0] is None and got[n + 5, 0] is None and got[2, 0] is None
+    assert got[n + 2, 3] == got[n, 3] < got[n + 1, 3] == got[n + 3, 3]
+    assert got[None, 1] is not None
+    assert cross_entropy_difference(t.limit(0), labels, vocabulary=None).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     """run() is its stages in turn, and each stage's decisions take effect."""
