@@ -3,6 +3,9 @@
 A small tokenizer splits a page into tags and text; a stack of open elements
 follows them.  A block is the text between two boundaries of block-level
 elements, with white space made single spaces; ``<br>`` counts as white space.
+Text inside ``HIDDEN`` elements is no text of the page; one that is not closed
+ends with the element around it, and a drawing ends at a tag that HTML does not
+allow in it.
 """
 
 from __future__ import annotations
@@ -17,14 +20,21 @@ BLOCK = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
+HIDDEN = frozenset("noscript template svg object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes an open one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+#: Opening tags that end a drawing, and its elements that may hold HTML.
+_LEAVES_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+) | {"article", "aside", "footer", "header", "main", "nav", "section"}
+_HOLDS_HTML = frozenset("foreignobject desc title".split())
 _LISTS = frozenset("ul ol dl table select body div article".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|object|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|iframe)(?P<open>(?=[\s/>])[^>]*>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<shut>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<shut2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -55,7 +65,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[_Open] = []
     out: list[Block] = []
     pieces: list[str] = []
-    linked = at = links = 0
+    linked = at = links = hidden = 0
 
     def flush() -> None:
         nonlocal linked
@@ -67,21 +77,31 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def close_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         links -= sum(o.tag == "a" for o in stack[k:])
+        hidden -= sum(o.tag in HIDDEN for o in stack[k:])
         del stack[k:]
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not hidden:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
                 linked += len(raw)
 
-    for m in _TOKEN.finditer(page):
+    def drawing() -> int:
+        """Place of the open drawing that a tag stands in (none: -1)."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in HIDDEN or stack[k].tag in _HOLDS_HTML:
+                return k if stack[k].tag == "svg" else -1
+        return -1
+
+    while m := _TOKEN.search(page, at):
         text(page[at: m.start()])
         at = m.end()
+        if m["raw"] and hidden and m["open"].endswith("/>") and drawing() >= 0:
+            at = m.end("open")
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
@@ -89,11 +109,20 @@ def blocks(page: str | None) -> list[Block]:
         if m["shut"] or m["shut2"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == name:
-                    if any(o.tag in BLOCK for o in stack[k:]):
+                    inside = hidden > sum(o.tag in HIDDEN for o in stack[k:])
+                    if not inside and name not in HIDDEN and any(o.tag in BLOCK for o in stack[k:]):
                         flush()
                     close_to(k)
                     break
             continue
+        if hidden and name in _LEAVES_SVG and (k := drawing()) >= 0:
+            close_to(k)
+        if hidden:
+            if name not in VOID and not (m["rest"] or "").endswith("/"):
+                stack.append(_Open(name))
+                links += name == "a"
+                hidden += name in HIDDEN
+            continue
         if name == "br":
             pieces.append(" ")
             continue
@@ -112,6 +141,7 @@ def blocks(page: str | None) -> list[Block]:
             names = frozenset(w for groups in found for w in _WORD.findall("".join(groups).lower())) if found else frozenset()
             stack.append(_Open(name, names))
             links += name == "a"
+            hidden += name in HIDDEN
     text(page[at:])
     flush()
     return out

@@ -138,6 +138,28 @@ def test_pages(spark):
     assert [b.text for b in blocks("<ul><li>a<li>b<ul><li>c</ul></ul>d")] == ["a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <svg class=i/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg/>two</p><svg><path/></svg><p>three</p>", ["one two", "three"]),
+        ("<svg-icon></svg-icon><p>two</p>", ["two"]),
+        ("<object-fit>a</object-fit> b <template-card>c</template-card><script-x>d</script-x>", ["a b cd"]),
+        ("<p>a <svg viewBox='0 0 1 1'><title>t</title><g><text>x</text></g></svg> b</p>", ["a b"]),
+        ("<p>a <svg><foreignObject><p>x</p></foreignObject></svg> b</p>", ["a b"]),
+        ("<p>a <svg><style/><path></svg> b</p>", ["a b"]),
+        ("<p>a <svg><path> lost</p><p>b</p>", ["a", "b"]),
+        ("<p>a</p><svg><path><p>b</p>c", ["a", "b", "c"]),
+        ("<div><object data=x>lost</div><p>b</p>", ["b"]),
+        ("<p>a <object><object>x</object><p>y</p>z</object> b</p>", ["a b"]),
+        ("a<template><div><p>x</p></div></template>b<noscript><p>y</p></noscript>c", ["abc"]),
+        ("a<script>if (a < b) '<p>'</script><style>p > b</style>b<textarea><p></textarea>c", ["abc"]),
+    ],
+)
+def test_hidden_elements_hide_no_more(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pages_of_the_tables(spark):
     """All text of the article element, and nothing else."""
