@@ -229,6 +229,19 @@ def test_rare_words_count(spark, monkeypatch, share):
     assert cross_entropy_difference(t.limit(0), labels, vocabulary=None).count() == 0
 
 
+def test_pipeline_drops_copies_at_080(spark):
+    """A pair at 0.82 is one document of the pipeline, one at 0.78 is two; op4 keeps its 0.85."""
+    import corpus_pipeline as p
+    from aircadence.llm.near_dedup import near_duplicates
+
+    text = lambda name, a, b: " ".join(f"{name}{i}" for i in range(a, b))
+    # Of 104 words, 100 shingles: moved by k, a copy shares 100 - k of 100 + k.
+    t = docs(spark, text("x", 0, 104), text("x", 10, 114), text("y", 0, 104), text("y", 12, 116))
+    stay = dict(p.STAGES)["near_dedup"](spark, t, "")
+    assert stay.columns == t.columns and sorted(r.doc_id for r in stay.collect()) == [0, 2, 3]
+    assert near_duplicates(t).where("kept").count() == 4
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     """run() is its stages in turn, and each stage's decisions take effect."""
