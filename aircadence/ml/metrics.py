@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aircadence.workspace import Workspace
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -56,15 +58,31 @@ def binary_detection(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", 2 * c("tp") / F.greatest(2 * c("tp") + c("fp") + c("fn"), one))
 
 
-def score_steps(rows: DataFrame) -> DataFrame:
-    """For each distinct score, from the highest: true and false positives so far.
+def _steps(rows: DataFrame) -> DataFrame:
+    """Each distinct score's own positives and negatives, the sums down to it and the totals.
 
-    One row for each distinct score goes into the running sums, summed before.
+    Scores are dealt to tasks by range.  Running sums stay inside a range; only
+    one row for each range goes through a single task.
     """
-    steps = rows.groupBy("score").agg(F.count_if(F.col("y_true") == 1).alias("__p"), F.count_if(F.col("y_true") != 1).alias("__q"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return steps.select("score", F.sum("__p").over(down).alias("tp"), F.sum("__q").over(down).alias("fp"), F.sum("__p").over(every).alias("positives"), F.sum("__q").over(every).alias("negatives"))
+    spark = rows.sparkSession
+    steps = rows.groupBy("score").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("q"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = Workspace(spark, "score-steps").stage(steps.repartitionByRange(parts, F.desc("score")).withColumn("part", F.spark_partition_id()), "steps")
+    before, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ranges = steps.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    none = F.lit(0)
+    ranges = ranges.select(
+        "part", F.coalesce(F.sum("p").over(before), none).alias("p0"), F.coalesce(F.sum("q").over(before), none).alias("q0"),
+        F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"),
+    )
+    down = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = steps.select("part", "score", "p", "q", F.sum("p").over(down).alias("p1"), F.sum("q").over(down).alias("q1"))
+    return summed.join(F.broadcast(ranges), "part").select("score", "p", "q", (F.col("p0") + F.col("p1")).alias("tp"), (F.col("q0") + F.col("q1")).alias("fp"), "positives", "negatives")
+
+
+def score_steps(rows: DataFrame) -> DataFrame:
+    """For each distinct score: true and false positives from the highest down to it."""
+    return _steps(rows).drop("p", "q")
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
@@ -77,10 +95,8 @@ def pr_curve(rows: DataFrame) -> DataFrame:
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Area under the curve by trapezes (null with one class only)."""
-    s = score_steps(rows)
-    w = Window.orderBy(F.desc("score"))
-    s = s.withColumn("dx", F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))).withColumn("y2", F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0)))
-    return s.agg(F.try_divide(F.sum(F.col("dx") * F.col("y2")) / 2.0, (F.max("positives") * F.max("negatives")).cast("double")).alias("auc"))
+    s = _steps(rows).withColumn("y2", 2 * F.col("tp") - F.col("p"))
+    return s.agg(F.try_divide(F.sum(F.col("q") * F.col("y2")) / 2.0, (F.max("positives") * F.max("negatives")).cast("double")).alias("auc"))
 
 
 def weighted_vote(probabilities: Sequence[str], weights: Sequence[float]) -> Column:

@@ -86,3 +86,26 @@ def test_metrics_edges(spark):
     none = one.limit(0)
     assert metrics.binary_detection(none).first().detection_rate == 0.0
     assert metrics.confusion_matrix(none, [0, 1]).count() == 4
+
+
+def test_score_steps_are_spread(spark):
+    """Distinct scores are summed in several tasks, with the results of one loop."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    data = [(rng.random(), int(rng.random() < 0.3)) for _ in range(400)]
+    data += data[:40]
+    rows = spark.createDataFrame(data, "score double, y_true int")
+    want = sorted((s, sum(y for x, y in data if x >= s), sum(1 - y for x, y in data if x >= s)) for s in {x for x, _ in data})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = metrics.score_steps(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.score, r.tp, r.fp) for r in got) == want
+    assert len({r.task for r in got}) > 1
+    pos, neg = [s for s, y in data if y], [s for s, y in data if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(metrics.roc_auc(rows).first()[0] - auc) < 1e-12
