@@ -12,6 +12,7 @@ about 40 bytes for each byte of text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Longer words are hashed by their bytes: among long words a polynomial modulo 2**64 has known collisions.
+LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -129,7 +132,12 @@ def hashes(data: np.ndarray, words: Words, lower: bool = True) -> np.ndarray:
     letters += np.uint64(1)
     letters *= powers[: len(data)]
     np.cumsum(letters, out=sums[1:])
-    return mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts])
+    out = mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts])
+    for k in np.flatnonzero(words.ends - words.starts > LONG_WORD).tolist():
+        raw = data[words.starts[k]: words.ends[k]]
+        digest = hashlib.blake2b((LOWER[raw] if lower else raw).tobytes(), digest_size=8).digest()
+        out[k] = np.frombuffer(digest, np.uint64)[0]
+    return out
 
 
 def shingles(word_hashes: np.ndarray, width: int) -> np.ndarray:
