@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aircadence.llm.dom import Block, blocks
+from aircadence.llm.dom import NOTED, Block, blocks
 
 #: Words in classes and ids that tell of main text and of everything else.
 MAIN_WORDS = frozenset("article body content entry main page post prose story text".split())
@@ -34,7 +34,8 @@ OTHER_WORDS = frozenset(
     "promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags "
     "toolbar topbar widget".split()
 )
-_SEMANTIC = frozenset("article main nav aside header footer form figure head title".split())
+_WANTED = MAIN_WORDS | OTHER_WORDS
+_SEMANTIC = NOTED - {"li"}
 
 
 def _size(n: int) -> str:
@@ -47,22 +48,21 @@ def features(sequence: Sequence[Block]) -> list[list[str]]:
     n = len(sequence)
     for k, b in enumerate(sequence):
         words = b.text.split()
-        own = b.tags[-1] if b.tags else ""
-        f = ["bias", f"own={own}", f"words={_size(len(words))}", f"place={5 * k // n}"]
-        f += [f"in={t}" for t in set(b.tags) & _SEMANTIC] or ["in=none"]
-        f += [f"name={w}" for w in b.names if w in MAIN_WORDS or w in OTHER_WORDS]
+        f = ["bias", f"own={b.own}", f"words={_size(len(words))}", f"place={5 * k // n}"]
+        f += [f"in={t}" for t in sorted(b.within & _SEMANTIC)] or ["in=none"]
+        f += [f"name={w}" for w in sorted(b.names)]
         if b.names & OTHER_WORDS:
             f.append("other-name")
         if b.names & MAIN_WORDS:
             f.append("main-name")
         f.append(f"links={min(4, 4 * b.linked // max(1, len(b.text)))}")
-        if "li" in b.tags:
+        if "li" in b.within:
             f.append("list")
         if b.text[-1] in ".!?\"'":
             f.append("ends")
         if b.text[0] in "©":
             f.append("mark")
-        f.append("in-article" if "article" in b.tags or "main" in b.tags else "no-article")
+        f.append("in-article" if "article" in b.within or "main" in b.within else "no-article")
         out.append(f)
     return out
 
@@ -211,7 +211,7 @@ class _PageMaker:
         top = [self.other(k) for k in ("notice", "header", "menu", "ad", "form") if r.random() < 0.5]
         low = [self.other(k) for k in ("ad", "sidebar", "comments", "form", "notice", "footer") if r.random() < 0.45]
         page = f"<!DOCTYPE html><html><head><title>{self.words(2, 12)}</title></head><body>{''.join(top)}{self.article()}{''.join(low)}</body></html>"
-        found = blocks(page)
+        found = blocks(page, _WANTED)
         labels = [int(b.text.startswith("\u0001")) for b in found]
         for b in found:
             b.text = b.text.lstrip("\u0001").strip() or "."
@@ -231,7 +231,7 @@ def default_field(pages: int = 600, seed: int = 11) -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, _WANTED)
     return "\n\n".join(b.text for b, y in zip(found, field.decode(features(found)), strict=True) if y)
 
 
