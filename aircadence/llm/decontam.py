@@ -9,19 +9,21 @@ Words outside the items' vocabulary reset the automaton, so whole batches are
 first mapped to vocabulary numbers by vectorised search and only runs of known
 words that are long enough are streamed.
 
-The automaton is sent to the executors in parts of at most ``MAX_ITEM_CHARS``
-characters of items (or one item); more items mean more passes, not a larger
-broadcast.
+The automaton is sent to the executors as flat arrays, in parts of at most
+``MAX_ITEM_CHARS`` characters of items (or one item); more items mean more
+passes, not a larger broadcast.  A part of that size takes about 16 MB in
+each Python worker, and 350 MB in the driver while it is built.
 
 Defined cases: null texts and items have no words; an item with a null id
 counts for hits but is not listed; repeated items are listed once; rows that
 repeat an id are judged one by one; empty tables give empty results or no
-hits.  Columns of ``docs`` keep their names; names of added columns start with
-two underscores.
+hits.  Columns of ``docs`` keep their names, whatever they are.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from aircadence.llm import textkernel as tk
 
 WINDOW_WORDS = 10
-MAX_ITEM_CHARS = 4_000_000
+MAX_ITEM_CHARS = 2_000_000
 
 _HITS = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint,start:bigint,stop:bigint>>,items:array<string>>"
 _HITS_ARROW = pa.struct([
@@ -56,13 +58,93 @@ class Automaton:
         self.vocabulary = np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.uint64)
         sequences = [np.searchsorted(self.vocabulary, h).tolist() for h in per_item]
         self.shortest = min((min(len(s), window) for s in sequences if s), default=window)
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        builder = _Builder()
         for s in sequences:
-            last = 0
+            builder.add(s)
+        self._flatten(builder, [i for i, _ in items], sequences)
+
+    def _flatten(self, built: _Builder, ids: list[str | None], sequences: list[list[int]]) -> None:
+        """Keep the states as arrays; an edge is a number of its state and letter."""
+        n, letters = len(built.length), max(1, len(self.vocabulary))
+        edges = np.array([(v * letters + letter, to) for v, out in enumerate(built.next) for letter, to in out.items()], dtype=np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        self._letters = letters
+        self._edges, self._targets = array("q", edges[:, 0].tobytes()), array("i", edges[:, 1].astype(np.int32).tobytes())
+        self._link, self._length = array("i", built.link), array("i", built.length)
+        by_length = sorted(range(n), key=built.length.__getitem__)
+        # The ancestor of a state whose strings include its suffix of ``window`` words.
+        window_state = [-1] * n
+        for v in by_length:
+            if built.length[v] >= self.window:
+                up = built.link[v]
+                window_state[v] = window_state[up] if up >= 0 and built.length[up] >= self.window else v
+        found: dict[int, set] = {}
+        whole: dict[int, list[tuple[int, str | None]]] = {}
+        for item, s in zip(ids, sequences, strict=True):
+            state, last = 0, -1
             for letter in s:
-                last = self._extend(last, letter)
-        self._mark_items([i for i, _ in items], sequences)
+                state = built.next[state][letter]
+                at = window_state[state]
+                if at >= 0 and at != last:
+                    found.setdefault(at, set()).add(item)
+                    last = at
+            if 0 < len(s) < self.window:
+                whole.setdefault(state, []).append((len(s), item))
+        # Most windows belong to one item, so equal sets of items are kept once.
+        sets: dict[frozenset, int] = {}
+        in_state = {v: sets.setdefault(frozenset(found[v]), len(sets)) for v in found}
+        self._sets = list(sets)
+        #: For each state the set of items with the window that ends there (-1: none).
+        self._window_set = array("i", [in_state.get(v, -1) for v in window_state])
+        #: Short items that end in a state, and the nearest such state up the links.
+        self._whole = whole
+        up_to = [-1] * n
+        for v in by_length:
+            up = built.link[v]
+            up_to[v] = v if v in whole else (up_to[up] if up >= 0 else -1)
+        self._whole_up = array("i", up_to)
+
+    def _step(self, state: int, letter: int) -> int:
+        """The state that a letter leads to (none: -1)."""
+        key = state * self._letters + letter
+        at = bisect_left(self._edges, key)
+        return self._targets[at] if at < len(self._edges) and self._edges[at] == key else -1
+
+    def stream(self, letters: list[int], offset: int, covered: np.ndarray, found: set) -> None:
+        """Mark hit words of one run of known words in ``covered``."""
+        step, link, length, window, whole_up = self._step, self._link, self._length, self.window, self._whole_up
+        state = matched = 0
+        for i, letter in enumerate(letters, offset + 1):
+            to = step(state, letter)
+            while to < 0 and state:
+                state = link[state]
+                matched = length[state]
+                to = step(state, letter)
+            state = max(to, 0)
+            matched = matched + 1 if state else 0
+            if matched >= window:
+                covered[i - window: i] = True
+                found.update(self._sets[self._window_set[state]])
+            up = whole_up[state]
+            while up > 0:
+                for size, item in self._whole[up]:
+                    if size <= matched:
+                        covered[i - size: i] = True
+                        found.add(item)
+                up = whole_up[link[up]]
+
+
+class _Builder:
+    """The automaton while it grows."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def add(self, letters: list[int]) -> None:
+        last = 0
+        for letter in letters:
+            last = self._extend(last, letter)
 
     def _state(self, length: int, link: int, out: dict[int, int]) -> int:
         self.length.append(length)
@@ -93,54 +175,6 @@ class Automaton:
             self.link[new] = self._split(p, self.next[p][letter], letter)
         return new
 
-    def _mark_items(self, ids: list[str | None], sequences: list[list[int]]) -> None:
-        n = len(self.length)
-        #: The ancestor of a state whose strings include its suffix of ``window`` words.
-        self.window_state = [-1] * n
-        for v in sorted(range(n), key=self.length.__getitem__):
-            if self.length[v] >= self.window:
-                up = self.link[v]
-                self.window_state[v] = self.window_state[up] if up >= 0 and self.length[up] >= self.window else v
-        self.items: dict[int, set] = {}
-        whole: dict[int, list[tuple[int, str | None]]] = {}
-        for item, s in zip(ids, sequences, strict=True):
-            state, seen = 0, set()
-            for letter in s:
-                state = self.next[state][letter]
-                at = self.window_state[state]
-                if at >= 0 and at not in seen:
-                    seen.add(at)
-                    self.items.setdefault(at, set()).add(item)
-            if 0 < len(s) < self.window:
-                whole.setdefault(state, []).append((len(s), item))
-        #: Short items that end in a state, and the nearest such state up the links.
-        self.whole = whole
-        self.whole_up = [-1] * n
-        for v in sorted(range(n), key=self.length.__getitem__):
-            up = self.link[v]
-            self.whole_up[v] = v if v in whole else (self.whole_up[up] if up >= 0 else -1)
-
-    def stream(self, letters: list[int], offset: int, covered: np.ndarray, found: set) -> None:
-        """Mark hit words of one run of known words in ``covered``."""
-        nexts, link, length, window = self.next, self.link, self.length, self.window
-        state = matched = 0
-        for i, letter in enumerate(letters, offset + 1):
-            while state and letter not in nexts[state]:
-                state = link[state]
-                matched = length[state]
-            state = nexts[state].get(letter, 0)
-            matched = matched + 1 if state else 0
-            if matched >= window:
-                covered[i - window: i] = True
-                found.update(self.items[self.window_state[state]])
-            up = self.whole_up[state]
-            while up > 0:
-                for size, item in self.whole[up]:
-                    if size <= matched:
-                        covered[i - size: i] = True
-                        found.add(item)
-                up = self.whole_up[link[up]]
-
 
 def _runs(marks: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of true values of at least the given length."""
@@ -151,7 +185,7 @@ def _runs(marks: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
 
 
 def _match(shared: Broadcast, text_at: int, cut: tuple[int, float] | None = None):
-    """Add what one automaton finds to the last column, ``__hits``.
+    """Add what one automaton finds to the last column, the hits.
 
     With ``cut`` the hits are applied at once and the column goes, so that the
     texts pass through one Python worker only.
@@ -225,8 +259,9 @@ def _without_hits(batch: pa.RecordBatch, text_at: int, hits: list[dict], max_wor
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, cut: tuple[int, float] | None = None) -> DataFrame:
-    """``docs`` with a column ``__hits``: word count, hit spans and items.
+    """``docs`` with a last column of hits: word count, hit spans and items.
 
+    The column is named ``__hits``, with more underscores if ``docs`` has that.
     Spans are maximal runs of hit words, with byte offsets in the text.  With
     ``cut`` (see :func:`decontaminate`) ``docs`` without its hits instead.
     """
@@ -234,7 +269,10 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // MAX_ITEM_CHARS))
-    out = docs.withColumn("__hits", F.lit(None).cast(_HITS))
+    name = "__hits"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    out = docs.select("*", F.lit(None).cast(_HITS).alias(name))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
         shared = spark.sparkContext.broadcast(Automaton([(r.id, r.text) for r in rows], window))
@@ -245,9 +283,9 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
     """Per row: ``(id_col, n_words, n_hit, n_items, items_sha256, contaminated)``."""
-    hits = find_hits(docs.select(id_col, text_col), items, text_col, window=window)
+    hits = find_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, "text", window=window)
     n_hit = F.aggregate("__hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return hits.select(id_col, F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("__hits.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return hits.select(F.col("id").alias(id_col), F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("__hits.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW_WORDS, max_words: int = 0, max_share: float = 0.1) -> DataFrame:
