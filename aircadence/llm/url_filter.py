@@ -40,6 +40,9 @@ PATTERNS: tuple[str, ...] = (
     "-casino.", "-pills.", "||adserver.", "/adserver/", "/affiliate/*/click", "||tracker.*/pixel^",
 )
 
+#: Rules up to this number are broadcast (some tens of MB at most), more are joined.
+MOST_BROADCAST = 200_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,10 +72,12 @@ def pattern_hits(urls: DataFrame, patterns: Sequence[str]) -> DataFrame:
     spark = urls.sparkSession
     exploded = urls.select("url", F.explode(_tokens("url")).alias("token"))
     wanted = sorted({t for p in patterns for t in pattern_tokens(p)})
-    rules = spark.createDataFrame([(i, p, pattern_regex(p), t) for i, p in enumerate(patterns) for t in pattern_tokens(p)], "rule int, pattern string, regex string, token string")
-    counts = exploded.join(spark.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi").groupBy("token").count()
+    rules_list = [(i, pattern_regex(p), t) for i, p in enumerate(patterns) for t in pattern_tokens(p)]
+    rules = spark.createDataFrame(rules_list, "rule int, regex string, token string")
+    few = F.broadcast if len(rules_list) <= MOST_BROADCAST else lambda table: table
+    counts = exploded.join(few(spark.createDataFrame([(t,) for t in wanted], "token string")), "token", "left_semi").groupBy("token").count()
     index = rules.join(counts, "token", "left").groupBy("rule", "regex").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    fetched = exploded.join(index, "token").where(F.expr("rlike(translate(url, '%s', '%s'), regex)" % (_UPPER, _LOWER))).select("url")
+    fetched = exploded.join(few(index), "token").where(F.expr("rlike(translate(url, '%s', '%s'), regex)" % (_UPPER, _LOWER))).select("url")
     for p in patterns:
         if not pattern_tokens(p):
             fetched = fetched.union(urls.where(F.translate("url", _UPPER, _LOWER).rlike(pattern_regex(p))).select("url"))
@@ -84,6 +89,7 @@ def host_rule_hits(urls: DataFrame, rules: Sequence[HostRule]) -> DataFrame:
     table = urls.sparkSession.createDataFrame([(v, h, p) for v, h, p in rules], "rule_verdict string, rule_host string, rule_path string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    table = F.broadcast(table) if len(rules) <= MOST_BROADCAST else table
     fits = urls.select("url", "path", F.explode(suffixes).alias("rule_host")).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     best = fits.groupBy("url").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
