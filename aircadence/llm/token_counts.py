@@ -31,10 +31,12 @@ from aircadence.workspace import Workspace, file_system
 
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
+#: Most documents of a file, which bounds its list of ids.
+FILE_DOCS = 1 << 19
 END_ID = 65535
 
 
-def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int):
+def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int, most_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer)
         if not pieces.last_id < end_id < 1 << 8 * width:
@@ -53,7 +55,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int):
                 sink.write(raw)
                 size += len(raw)
                 docs.append(doc)
-                if size >= limit:
+                if size >= limit or len(docs) >= most_docs:
                     sink.close()
                     sink = None
                     yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "docs": [docs]}, schema)
@@ -64,7 +66,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, limit: int):
     return run
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write every text to flat files where it lies, without a shuffle.
 
     Returns the staged list of files ``(file, bytes, docs)``.  Vocabularies of
@@ -73,7 +75,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    files = rows.mapInArrow(_write(folder, tokenizer, end_id, width, FILE_BYTES), "file string, bytes bigint, docs array<bigint>")
+    files = rows.mapInArrow(_write(folder, tokenizer, end_id, width, FILE_BYTES, file_docs), "file string, bytes bigint, docs array<bigint>")
     where = f"{folder.rstrip('/')}/files"
     files.write.parquet(where)
     return docs.sparkSession.read.schema(files.schema).parquet(where)

@@ -35,6 +35,8 @@ from aircadence.llm.tokens import encoder
 from aircadence.workspace import Workspace, file_system
 
 BLOCK_IDS = 4096
+#: Most documents of a shard, which bounds the lists of ids and lengths however short they are.
+SHARD_DOCS = 1 << 19
 #: (ids in a word, bits of each) by selector, fixed by the format.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -187,7 +189,7 @@ class _ShardWriter:
         self._sink.close()
 
 
-def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int):
+def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int, shard_docs: int):
     """Encode the sorted documents of a partition into shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int):
                     writer = _ShardWriter(name, system.open_output_stream(name))
                 writer.add(np.append(encode(text.as_py()), np.uint32(end_id)))
                 docs.append(doc)
-                if writer.ids >= shard_ids:
+                if writer.ids >= shard_ids or len(docs) >= shard_docs:
                     yield report()
                     writer, docs, count = None, [], count + 1
         if writer is not None:
@@ -258,7 +260,7 @@ def _read(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 24) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 24, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Write ``docs`` in ascending id order; returns the staged list of files.
 
     The list has a row for each shard, ``(part, seq, file, ids, docs)``; order
@@ -270,7 +272,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
-    files = ordered.mapInArrow(_write(folder, tokenizer, end_id, shard_ids), "part bigint, seq bigint, file string, ids bigint, docs array<bigint>")
+    files = ordered.mapInArrow(_write(folder, tokenizer, end_id, shard_ids, shard_docs), "part bigint, seq bigint, file string, ids bigint, docs array<bigint>")
     where = f"{folder.rstrip('/')}/files"
     files.write.parquet(where)
     return spark.read.schema(files.schema).parquet(where)
@@ -282,7 +284,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", "part", "seq", "ids").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("file", "start")
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.select("file", "docs").join(starts, "file").repartition(parts, "file")
+    # Dealt by turns: a hash of the file would be taken for the join's own exchange, which may become one task.
+    placed = files.select("file", "docs").join(F.broadcast(starts), "file").repartition(parts)
     return placed.select("file", "start", "docs").mapInArrow(_read(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
