@@ -12,7 +12,8 @@ Defined cases: a null text has no words and fails the base rules, as an empty
 one does; labels that are null, or whose id no document has, are ignored, and
 an id with several labels counts as good if one says so; without labelled good
 rows nothing is rejected beyond the base rules; rows that repeat an id are
-judged one by one; an empty table gives an empty result.
+judged one by one, and so are rows with a null id, of which none is labelled;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
-from aircadence.workspace import Workspace, broadcast_if_small
+from aircadence.workspace import Workspace
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Further statistics that only the forest sees.
@@ -71,34 +72,38 @@ def _dup_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def measure(texts: pa.Array) -> list[pa.Array]:
+    """The statistics of whole texts, in the order of ``BASE`` and ``EXTRA``."""
+    columns: dict[str, list] = {c: [] for c in BASE + EXTRA}
+    for first, stop, data, bounds in tk.chunks(texts):
+        words = tk.scan(data, bounds, tk.NON_SPACE)
+        hashes = tk.hashes(data, words, lower=False)
+        inside = np.zeros(len(data), dtype=bool) if not len(data) else tk.NON_SPACE[data]
+        columns["n_words"].append(np.diff(words.first))
+        columns["word_chars"].append(_per_doc(inside & ((data & 0xC0) != 0x80), bounds))
+        for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_digits", _DIGIT), ("n_bars", _BAR), ("n_ends", _END)):
+            columns[name].append(_per_doc(table[data], bounds))
+        columns["n_lines"].append(_per_doc(data == 10, bounds) + 1)
+        three = np.zeros(0, np.uint64)
+        if len(hashes) > 2:
+            step = tk.constants(3, 29)
+            three = tk.mix(hashes[:-2] * step[0] + hashes[1:-1] * step[1] + hashes[2:] * step[2])
+        raw = data.tobytes()
+        repeat, dup, distinct = [], [], []
+        for i in range(stop - first):
+            a, b = words.first[i], words.first[i + 1]
+            repeat.append(_repeat_words(three[a: max(a, b - 2)]))
+            dup.append(_dup_lines(raw[bounds[i]: bounds[i + 1]]))
+            distinct.append(len(np.unique(hashes[a:b])))
+        columns["n_repeat_words"].append(np.array(repeat))
+        columns["n_dup_lines"].append(np.array(dup))
+        columns["n_distinct"].append(np.array(distinct))
+    return [pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in columns.values()]
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: dict[str, list] = {c: [] for c in BASE + EXTRA}
-        for first, stop, data, bounds in tk.chunks(batch.column(1)):
-            words = tk.scan(data, bounds, tk.NON_SPACE)
-            hashes = tk.hashes(data, words, lower=False)
-            inside = np.zeros(len(data), dtype=bool) if not len(data) else tk.NON_SPACE[data]
-            columns["n_words"].append(np.diff(words.first))
-            columns["word_chars"].append(_per_doc(inside & ((data & 0xC0) != 0x80), bounds))
-            for name, table in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_digits", _DIGIT), ("n_bars", _BAR), ("n_ends", _END)):
-                columns[name].append(_per_doc(table[data], bounds))
-            columns["n_lines"].append(_per_doc(data == 10, bounds) + 1)
-            three = np.zeros(0, np.uint64)
-            if len(hashes) > 2:
-                step = tk.constants(3, 29)
-                three = tk.mix(hashes[:-2] * step[0] + hashes[1:-1] * step[1] + hashes[2:] * step[2])
-            raw = data.tobytes()
-            repeat, dup, distinct = [], [], []
-            for i in range(stop - first):
-                a, b = words.first[i], words.first[i + 1]
-                repeat.append(_repeat_words(three[a: max(a, b - 2)]))
-                dup.append(_dup_lines(raw[bounds[i]: bounds[i + 1]]))
-                distinct.append(len(np.unique(hashes[a:b])))
-            columns["n_repeat_words"].append(np.array(repeat))
-            columns["n_dup_lines"].append(np.array(dup))
-            columns["n_distinct"].append(np.array(distinct))
-        arrays = [pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in columns.values()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *columns])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *measure(batch.column(1))], ["id", *BASE, *EXTRA])
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,16 +196,32 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / self.norm) if self.trees else np.zeros(len(rows))
 
 
+def _judge(forest: Forest, table: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Base failures, and anomaly scores to six places."""
+    base = pc.or_(pc.less(table.column("n_words"), 50), pc.greater(pc.multiply(table.column("n_repeat_words"), 100), pc.multiply(table.column("n_words"), 50)))
+    return base, np.round(forest.score(features(table)), 6)
+
+
 def _scored(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.round(forest.score(features(batch)), 6)
-            base = pc.or_(pc.less(batch.column("n_words"), 50), pc.greater(pc.multiply(batch.column("n_repeat_words"), 100), pc.multiply(batch.column("n_words"), 50)))
+            base, score = _judge(forest, batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *BASE)), base, pa.array(score)], ["id", *BASE, "base_failed", "score"])
 
     return run
 
 
+def _good_rows(forest: Forest, threshold: float, text_at: int):
+    """Keep the rows whose own text is good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, score = _judge(forest, pa.RecordBatch.from_arrays(measure(batch.column(text_at)), [*BASE, *EXTRA]))
+            yield batch.filter(pc.and_(pc.invert(base), pa.array(score <= threshold)))
+
+    return run
+
+
 def calibrate(histogram: list[tuple[int, int, int]], caution: float) -> int:
     """The highest step at which bad rows kept and good rows lost cost least.
 
@@ -219,17 +240,11 @@ def calibrate(histogram: list[tuple[int, int, int]], caution: float) -> int:
     return best
 
 
-def quality_verdicts(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+def _fit(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality",
     caution: float = 5.0, trees: int = 100, sample: int = 1024, fit_rows: int = 20_000, seed: int = 7,
-) -> DataFrame:
-    """Judge every row of ``docs``.
-
-    Returns ``(id_col, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score, kept)``.  ``labels`` holds ``id_col``
-    and ``label_col`` (1: good, 0: bad).  ``fit_rows`` bounds the labelled
-    rows that the trees see; the threshold uses every labelled row.
-    """
+) -> tuple[Forest, float, DataFrame]:
+    """The forest, its threshold, and all rows of ``docs`` with their scores."""
     work = Workspace(docs.sparkSession, "quality")
     stats = work.stage(statistics(docs, id_col, text_col), "statistics")
     marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("good")).where("id is not null and good is not null").groupBy("id").agg((F.max("good") == 1).alias("good"))
@@ -241,16 +256,27 @@ def quality_verdicts(
     scored = work.stage(stats.mapInArrow(_scored(forest), "id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, score double"), "scored")
     # The histogram has at most 1001 rows, whatever the input.
     steps = scored.where("not base_failed").join(marks, "id").groupBy(F.ceil(F.col("score") * 1000).alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
-    threshold = calibrate([tuple(r) for r in steps], caution) / 1000 if forest.trees else 1.0
+    return forest, calibrate([tuple(r) for r in steps], caution) / 1000 if forest.trees else 1.0, scored
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Judge every row of ``docs``.
+
+    Returns ``(id_col, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, score, kept)``.  ``labels`` holds ``id_col``
+    and ``label_col`` (1: good, 0: bad).  Options are ``label_col``,
+    ``caution``, ``trees``, ``sample``, ``seed`` and ``fit_rows``, which bounds
+    the labelled rows that the trees see; the threshold uses every labelled row.
+    """
+    _, threshold, scored = _fit(docs, labels, id_col, text_col, **options)
     return scored.select(F.col("id").alias(id_col), *BASE, "base_failed", "score", (~F.col("base_failed") & (F.col("score") <= threshold)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, all columns as they were.
+    """The rows of ``docs`` that are kept, all columns as they were.
 
-    Rows with a null id go; of rows that repeat an id all stay if one is kept.
+    A row is judged by its own text where it lies, so texts are not shuffled,
+    and null or repeated ids change nothing.
     """
-    work = Workspace(docs.sparkSession, "quality")
-    kept = quality_verdicts(docs, labels, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    kept = broadcast_if_small(work.stage(kept, "kept"))
-    return docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")
+    forest, threshold, _ = _fit(docs, labels, id_col, text_col, **options)
+    return docs.mapInArrow(_good_rows(forest, threshold, docs.columns.index(text_col)), docs.schema)
