@@ -15,16 +15,23 @@
    completed: pairs across components that may still be similar are confirmed
    too.  The test for "may" loses nothing: each document has a bit array in
    which every shingle flips one bit, so two arrays never differ in more bits
-   than the sets differ in shingles.  Buckets of more than ``max_block``
-   members are first cut by a further band, as often as needed, so that no
-   task holds a large group.
+   than the sets differ in shingles.
+6. Members of such buckets with more than ``max_block`` members, families of
+   texts that share much but not enough, meet under their rarest shingles
+   instead: if two sets are similar, the first few shingles of each, the rarest
+   first, have one in common, and those of one shingle more have two.  Blocks
+   of one rare shingle that are still too large are cut by a second one, and
+   what is then left is dealt into pairs of bounded blocks.  No step loses a
+   pair of the members, whatever bands it shares, and no task holds a large
+   group.
 
 A pair at similarity 0.85 shares none of the 42 bands with probability 2e-9.
 
 Defined cases: a null or wordless text has an empty set, links with nothing
 and is its own component; a row with a null id links with nothing, its
-component is null and it is kept; rows that repeat an id are one node; an
-empty table gives an empty result; other columns are ignored.
+component is null and it is kept; rows that repeat an id with other words are
+nodes of their own, which that id names; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
@@ -43,6 +51,8 @@ BINS, ROWS, BANDS = 256, 6, 42
 SLOTS = ROWS * BANDS
 PARITY_BITS = 2048
 SHINGLE_WORDS = 5
+#: Frequent shingles whose counts order them; all others count as rare.
+ORDERED = 1 << 18
 
 _donor_order = np.argsort(np.random.default_rng(20240117).random((BINS, BINS)), axis=1).astype(np.uint16)
 _row_factors = tk.constants(ROWS, 5)
@@ -91,7 +101,7 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, bands, flips = [], [], [], []
-        for ordered in _sets(batch.column(1)):
+        for ordered in _sets(batch.column(2)):
             sizes.append(len(ordered))
             if len(ordered) == 0:
                 digests.append(None)
@@ -103,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(band_keys(sig).view(np.int64))
             flips.append(parity(ordered))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(flips, pa.binary())],
-            ["id", "n_shingles", "digest", "bands", "flips"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(flips, pa.binary())],
+            ["doc", "text_hash", "n_shingles", "digest", "bands", "flips"],
         )
 
 
@@ -196,97 +206,207 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that a batch has more than once, with their counts in it."""
+    for batch in batches:
+        sets = list(_sets(batch.column(1)))
+        values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+
+
+def _rarest(percent: int, order: Broadcast):
+    """The shingles of each set by which similar sets meet, the rarest first.
+
+    Sets of n shingles that reach the similarity share at least k = n * percent
+    / 100 of them, rounded up, so they share one of the first n - k + 1 in any
+    common order, and two of the first n - k + 2.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = order.value
+        for batch in batches:
+            shingles, places, firsts, ids = [], [], [], []
+            for node, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1)), strict=True):
+                n = len(own)
+                if not n:
+                    continue
+                w = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    w = np.where(known[at] == own, weight[at], 0)
+                first = n - -(-n * percent // 100) + 1
+                take = np.lexsort((own, w))[: first + 1]
+                shingles.append(own[take].view(np.int64))
+                places.append(np.arange(len(take)))
+                firsts.append(np.arange(len(take)) < first)
+                ids.append(np.full(len(take), node))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, shingles, places, firsts)], ["id", "shingle", "place", "first"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, max_block: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets with several components, of bounded and of larger size."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
+    mixed = work.stage(rows.join(sizes, "bucket"), name)
+    return mixed.where(F.col("n") <= max_block).drop("n"), mixed.where(F.col("n") > max_block)
+
+
+def _rare_blocks(texts: DataFrame, placed: DataFrame, percent: int, max_block: int, work: Workspace) -> list[DataFrame]:
+    """Blocks ``(bucket, id, ...)`` in which all similar pairs of ``texts`` meet.
+
+    ``texts`` has ``(id, text)`` and ``placed`` ``(id, comp)``.
+    """
+    # A fixed number of shingles at most, whatever the input; the order need not be exact, only common.
+    top = texts.mapInArrow(_frequent, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
+    shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    by = np.argsort(shingle)
+    order = texts.sparkSession.sparkContext.broadcast((shingle[by], n[by]))
+    rare = work.stage(texts.mapInArrow(_rarest(percent, order), "id bigint, shingle bigint, place bigint, first boolean").join(placed, "id"), "rare")
+    blocks, large = _blocks(rare.where("first").select("id", "comp", "shingle", "place", F.col("shingle").alias("bucket")), max_block, work, "rare-blocks")
+    out = [blocks.select("bucket", "id", "comp")]
+    if large.head(1):
+        later = rare.select("id", F.col("shingle").alias("second"), F.col("place").alias("after"))
+        finer = large.drop("n").join(later, "id").where("after > place").select("id", "comp", F.xxhash64("shingle", "second").alias("bucket"))
+        blocks, large = _blocks(finer, max_block, work, "rarer-blocks")
+        out.append(blocks)
+        if large.head(1):
+            out.append(_dealt(large, max_block).select("bucket", "id", "comp"))
+    return out
+
+
+def _dealt(large: DataFrame, max_block: int) -> DataFrame:
+    """Buckets that no second shingle could cut, as pairs of bounded blocks.
+
+    Members are dealt into blocks by a hash of their id, and every two blocks
+    of a bucket make a new bucket, so that each pair of members still meets.
+    """
+    parts = F.ceil(F.col("n") / (max_block // 2))
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    rows = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+
+
+def _with_texts(ids: DataFrame, classes: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Staged ``(id, text)`` of the given nodes."""
+    wanted = work.stage(classes.select("id", "doc", "text_hash").join(broadcast_if_small(work.stage(ids.distinct(), f"{name}-ids")), "id", "left_semi"), f"{name}-rows")
+    return work.stage(texts.join(broadcast_if_small(wanted), ["doc", "text_hash"]).select("id", "text"), f"{name}-texts")
+
+
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
     """Staged pairs ``(a, b)`` that reach the similarity on full sets."""
     pairs = work.stage(pairs, f"{name}-pairs")
-    wanted = work.stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
-    known = work.stage(texts.join(broadcast_if_small(wanted), "id", "left_semi"), f"{name}-texts")
+    known = _with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, texts, work, name)
     joined = pairs.join(known.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     links = work.stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), f"{name}-links")
-    work.drop(known)
+    work.drop(known, pairs)
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 4096) -> DataFrame:
-    """Label every row with its near-duplicate component.
+def _classes(signed: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
+    """Classes of equal sets as nodes, and whether some id names several.
 
-    Returns ``(id_col, n_shingles, component_id, kept)``, one row for each row
-    of ``docs``.  ``percent`` is the least similarity in per cent; ids are
-    integers.
+    ``id`` is the node: the class's least document id, or a hash of its digest
+    if another class has the same one.
     """
-    work = Workspace(docs.sparkSession, "near-dedup")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = work.stage(texts.mapInArrow(_sign, "id bigint, n_shingles bigint, digest binary, bands array<bigint>, flips binary"), "signed")
+    rows = signed.where("digest is not null and doc is not null")
+    classes = rows.groupBy("digest").agg(F.min(F.struct("doc", "text_hash", "n_shingles", "bands", "flips")).alias("m")).select("digest", "m.*")
+    key = F.xxhash64("digest")
+    several = rows.groupBy("doc").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most").select("doc", "least")
+    several = work.stage(several, "several")
+    if not several.head(1):
+        return work.stage(classes.withColumn("id", F.col("doc")), "classes"), False
+    other = F.col("least").isNotNull() & (key != F.col("least"))
+    classes = classes.join(broadcast_if_small(several), "doc", "left").withColumn("id", F.when(other, F.xxhash64("digest", F.lit(1))).otherwise(F.col("doc")))
+    return work.stage(classes.drop("least"), "classes"), True
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
 
-    classes = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands", "flips")).alias("m")).select("digest", "m.*")
-    classes = work.stage(classes, "classes")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_block: int, work: Workspace) -> DataFrame:
+    """Each row's ``(doc, text_hash, n_shingles, node_comp, component_id)``.
+
+    ``node_comp`` tells components apart, ``component_id`` is the least
+    document id in them; rows without a set or an id have no ``node_comp``.
+    """
+    texts = _rows(docs, id_col, text_col)
+    signed = work.stage(texts.mapInArrow(_sign, "doc bigint, text_hash bigint, n_shingles bigint, digest binary, bands array<bigint>, flips binary"), "signed")
+    classes, several = _classes(signed, work)
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = work.stage(banded.join(shared, "bucket"), "members")
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(texts, stars, percent, work, "star")
+    links = _verified(texts, classes, stars, percent, work, "star")
     comps = work.stage(components(links, work), "comps")
 
     # Buckets that hold members of several components.
     placed = members.select("bucket", "id", "n").join(broadcast_if_small(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
     crossed = work.stage(placed.join(mixed, "bucket"), "crossed")
-    wanted = work.stage(crossed.select("id").distinct(), "crossed-ids")
-    details = classes.select("id", "n_shingles", "bands", "flips").join(broadcast_if_small(wanted), "id", "left_semi")
-    held = work.stage(crossed.join(details, "id"), "mixed")
-    blocks, depth = [held.where(F.col("n") <= max_block)], 0
-    large = held.where(F.col("n") > max_block)
-    while depth < 3 and large.head(1):
-        # A similar pair shares many bands, so it meets again in the finer buckets.
-        finer = large.select("id", "comp", "n_shingles", "bands", "flips", "bucket", F.explode("bands").alias("key"))
-        finer = finer.where("key <> bucket").withColumn("bucket", F.xxhash64("bucket", "key"))
-        sizes = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
-        finer = work.stage(finer.drop("key").join(sizes, "bucket"), "finer")
-        blocks.append(finer.where(F.col("n") <= max_block))
-        large = finer.where(F.col("n") > max_block)
-        depth += 1
-    blocks.append(_dealt(large, max_block))
+    work.drop(members)
+    blocks = [crossed.where(F.col("n") <= max_block).select("bucket", "id", "comp")]
+    large = work.stage(crossed.where(F.col("n") > max_block).select("id", "comp").distinct(), "large")
+    if large.head(1):
+        held = _with_texts(large.select("id"), classes, texts, work, "large")
+        blocks += _rare_blocks(held, broadcast_if_small(large), percent, max_block, work)
+    details = classes.select("id", "n_shingles", "flips")
     pairs = None
     for block in blocks:
-        rows = block.select("bucket", "id", "comp", "n_shingles", "flips").repartition("bucket").sortWithinPartitions("bucket", "id")
-        found = rows.mapInArrow(_across(percent), "a bigint, b bigint")
+        wanted = work.stage(block.select("id").distinct(), "block-ids")
+        rows = block.join(details.join(broadcast_if_small(wanted), "id", "left_semi"), "id").select("bucket", "id", "comp", "n_shingles", "flips")
+        found = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_across(percent), "a bigint, b bigint")
         pairs = found if pairs is None else pairs.union(found)
-    late = _verified(texts, pairs.distinct(), percent, work, "late")
+    late = _verified(texts, classes, pairs.distinct(), percent, work, "late")
+    work.drop(crossed)
     comps = work.stage(components(links.union(late), work), "comps")
 
-    label = classes.select("digest", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("id", "n_shingles", "digest").join(label, "digest", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("comp", "id"), F.lit(True)).alias("kept"),
-    )
+    nodes = classes.select("digest", "doc", "id").join(comps, "id", "left").select("digest", "doc", F.coalesce("comp", "id").alias("node_comp"))
+    if several:
+        least = nodes.groupBy("node_comp").agg(F.min("doc").alias("component_id"))
+        nodes = nodes.join(least, "node_comp").select("digest", "node_comp", "component_id")
+    else:
+        nodes = nodes.select("digest", "node_comp", F.col("node_comp").alias("component_id"))
+    out = signed.select("doc", "text_hash", "n_shingles", "digest").join(nodes, "digest", "left")
+    named = F.col("doc").isNotNull()
+    return out.select("doc", "text_hash", "n_shingles", F.when(named, F.col("node_comp")).alias("node_comp"), F.when(named, F.coalesce("component_id", "doc")).alias("component_id"))
 
 
-def _dealt(large: DataFrame, max_block: int) -> DataFrame:
-    """Buckets that no further band could cut, as pairs of bounded blocks.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 1024) -> DataFrame:
+    """Label every row with its near-duplicate component.
 
-    Members are dealt into blocks by a hash of their id, and every two blocks
-    of a bucket make a new bucket, so that each pair of members still meets.
+    Returns ``(id_col, n_shingles, component_id, kept)``, one row for each row
+    of ``docs``.  ``percent`` is the least similarity in per cent; ids are
+    integers.
     """
-    parts = F.ceil(F.col("n") / (max_block // 2))
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    rows = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    out = _labelled(docs, id_col, text_col, percent, max_block, Workspace(docs.sparkSession, "near-dedup"))
+    return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 1024) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.
 
-    Of each component the least id stays, in one row; rows with a null id stay.
+    Of each component one row stays, that of the least id (then the least text
+    hash); so do rows without words or with a null id.  A row is known by its
+    id and text, not by its id alone.
     """
-    labels = near_duplicates(docs, id_col, text_col, percent)
-    kept = labels.where("kept").where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
     work = Workspace(docs.sparkSession, "near-dedup")
-    kept = broadcast_if_small(work.stage(kept, "kept"))
-    stay = docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi")
-    # Only rows that repeat an id are shuffled to drop the others.
-    again = work.stage(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "again")
-    again = broadcast_if_small(again)
-    same = docs[id_col] == again["__again"]
-    return stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates([id_col])).union(docs.where(F.col(id_col).isNull()))
+    rows = _labelled(docs, id_col, text_col, percent, max_block, work).where("node_comp is not null")
+    counted = rows.groupBy("node_comp", "doc", "text_hash").count()
+    kept = work.stage(counted.groupBy("node_comp").agg(F.min(F.struct("doc", "text_hash", "count")).alias("m")).select("m.*"), "kept")
+    again = work.stage(kept.where("count > 1").select("doc", "text_hash"), "again")
+
+    def among(table: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        same = (table[id_col].cast("bigint") == rows["doc"]) & (F.xxhash64(table[text_col]) == rows["text_hash"])
+        return table.join(broadcast_if_small(rows), same, how)
+
+    has_words = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    single = docs.where(F.col(id_col).isNull() | ~F.coalesce(has_words, F.lit(False)))
+    stay = among(docs.where(has_words), kept, "left_semi")
+    if not again.head(1):
+        return stay.union(single)
+    # Only rows that repeat another are shuffled to drop the others.
+    return among(stay, again, "left_anti").union(among(stay, again, "left_semi").dropDuplicates([id_col, text_col])).union(single)
