@@ -265,3 +265,60 @@ def test_pipeline(spark):
         before = after
     assert 0 < sizes[1] <= sizes[0] < docs_.count()
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, before.collect()))
+
+
+def test_deep_pages_take_linear_memory():
+    """50,000 nested elements with text in each, unclosed ones and stray end tags."""
+    import tracemalloc
+
+    peak = []
+    for n in (5_000, 50_000):
+        page = "<div class='a'>x<b>" * n + "</p>y" * n + "<li/>z" * n
+        tracemalloc.start()
+        found = blocks(page)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) >= n
+    assert peak[1] < 15 * peak[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=3), max_size=7), st.lists(st.floats(-3, 3), min_size=8, max_size=8))
+def test_viterbi_equals_enumeration(rows, weights):
+    """The decoded labels have the greatest score of all label sequences."""
+    import itertools
+
+    from aircadence.llm.html_extract import Field
+
+    field = Field()
+    field.weights = dict(zip("abcd", weights))
+    field.steps = [weights[4:6], weights[6:8]]
+
+    def score(labels):
+        own = sum(sum(field.weights[x] for x in f) for f, y in zip(rows, labels) if y)
+        return own + sum(field.steps[a][b] for a, b in zip(labels, labels[1:]))
+
+    best = max(map(score, itertools.product((0, 1), repeat=len(rows))))
+    assert score(field.decode(rows)) == pytest.approx(best, abs=1e-9)
+
+
+def test_many_short_documents(spark):
+    """Shards and flat files close at a number of documents too."""
+    from aircadence.llm.token_counts import write_flat
+
+    t = docs(spark, *[None, "", "a b"] * 20).coalesce(1)
+    folder = Workspace(spark, "test").path("shards")
+    files = tf.write_tokens(t, folder, VOCABULARY, shard_docs=7)
+    assert files.count() >= 9 and [r.n_tokens for r in tf.read_tokens(files, folder).orderBy("id").collect()] == [1, 1, 3] * 20
+    files = write_flat(t, Workspace(spark, "test").path("flat"), VOCABULARY, file_docs=7)
+    assert [len(r.docs) for r in files.orderBy("file").collect()] == [7] * 8 + [4]
+
+
+def test_many_url_rules(spark, monkeypatch):
+    """Rules beyond the broadcast bound give the same verdicts; extra columns do no harm."""
+    from aircadence.llm import url_filter
+
+    t = spark.createDataFrame([(1, "http://cheap-pills.net/", "a"), (2, "http://x.org/", "b"), (None, "http://x.org/", "c"), (2, "http://x.org/", "b")], "page_id long, url string, host string")
+    want = sorted(map(str, judge_urls(t).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", 0)
+    assert sorted(map(str, judge_urls(t).collect())) == want and len(want) == 4

@@ -200,3 +200,93 @@ def test_calibration_and_paths():
     forest = Forest.grow(rows, np.full(3, -10.0), np.full(3, 10.0), 50, 256, 1)
     far, near = forest.score(np.array([[9.0, 9.0, 9.0], [0.0, 0.0, 0.0]]))
     assert far > near + 0.2
+
+
+def test_long_words_do_not_collide():
+    """Words that collide under every polynomial hash modulo 2**64 differ here."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for n in (64, 65, 1024, 2048):
+        data = pa.array([f"{one[:n]} {two[:n]} {one[:n]}"])
+        (_, _, raw, bounds), = tk.chunks(data)
+        a, b, c = tk.hashes(raw, tk.scan(raw, bounds, tk.NON_SPACE)).tolist()
+        assert a == c != b
+
+
+def _family(n, seed=1):
+    """Texts of one template that are not similar enough, and two late pairs that are."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(200)]
+    texts = [" ".join(template + [word() for _ in range(60)]) for _ in range(n)]
+    texts.append(texts[n // 2] + " more words here")
+    texts.append(texts[n - 1] + " other words there")
+    return texts
+
+
+def test_large_buckets_stay_linear(spark, monkeypatch):
+    """A family of boilerplate gives a bounded number of rows for each text, and loses no link."""
+    from aircadence.workspace import Workspace
+
+    made, stage = Counter(), Workspace.stage
+
+    def counting(self, df, name):
+        out = stage(self, df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "stage", counting)
+    texts = _family(240)
+    want, _ = _components(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, *texts), max_block=32).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 240
+    assert made["large"] > 200 and made["rare"] < 60 * len(texts) and made["rare-blocks"] + made["rarer-blocks"] < 2 * len(texts)
+
+
+@pytest.mark.parametrize("block", [2, 6])
+def test_every_cut_of_large_buckets_is_whole(spark, monkeypatch, block):
+    """All texts of few sentences: blocks of one and of two rare shingles stay too large."""
+    rng = random.Random(9)
+    sentences = [" ".join(rng.choice("abcdefgh") + str(k) for k in range(i, i + 12)) for i in range(0, 240, 12)]
+    texts = []
+    for _ in range(90):
+        some = rng.sample(range(20), 17)
+        texts.append(" ".join(sentences[k] for k in sorted(some)))
+    want, _ = _components(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, *texts), percent=85, max_block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A row is no copy of another because it has the same id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    t = docs(spark, a, b, a + " x", b, b, None, None, "", c, ids=[1, 1, 5, 7, 1, 1, 1, 2, None]).withColumnRenamed("lang", "text_hash").withColumnRenamed("source", "node_comp")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(t).collect())
+    assert got == [(-1, 56, None, True), (1, 0, 1, True), (1, 0, 1, True), (1, 56, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 0, 2, True), (5, 57, 1, False), (7, 56, 1, False)]
+    stay = keep_representatives(t)
+    assert stay.columns == t.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in stay.collect()) == sorted([(1, a), (1, b), (1, ""), (1, ""), (2, ""), (-1, c)])
+
+
+def test_quality_is_of_the_row(spark):
+    """Repeated and null ids: each row is judged by its own text."""
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(150))
+    texts = [prose() for _ in range(120)] + ["two words", prose(), "x " * 200]
+    t = docs(spark, *texts, ids=[*range(120), 3, None, None]).withColumnRenamed("lang", "score").withColumnRenamed("source", "kept")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    kept = keep_good(t, labels)
+    assert kept.columns == t.columns and kept.schema == t.schema
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert (3, "two words") not in got and (None, texts[121]) in got and (None, texts[122]) not in got and sum(got.values()) >= 117
+
+
+def test_decontaminate_clashing_names(spark):
+    passage = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    t = docs(spark, "clean words here", passage, "clean words here", passage + " " + "w " * 300, ids=[1, 1, None, None]).withColumnRenamed("lang", "__hits").withColumnRenamed("source", "__HITS_")
+    out = decontaminate(t, bench)
+    assert out.columns == t.columns and [(r.doc_id, r["__hits"]) for r in out.collect()] == [(1, "en"), (None, "en"), (None, "en")]
+    assert contamination(t, bench).count() == 4
