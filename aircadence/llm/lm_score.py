@@ -1,269 +1,257 @@
-"""Cross-entropy difference of a target and a background bigram model.
+"""Cross-entropy difference of matched target and background n-gram models.
 
-Both models share one vocabulary: the ``vocabulary`` most frequent words of
-the whole corpus (ties by word), a sign for all other words and one for the
-start of a text.  The background model counts all documents, the target model
-those labelled good; background counts are scaled to the target's total, so
-that the models are matched in size.  Probabilities are interpolated:
+A text is its words, lower-cased, and one boundary sign before the first and
+after the last.  Both models share one vocabulary, every word of the corpus and
+the sign, V of them.  The background model counts all documents, the target
+model those labelled good; background counts are scaled to the target's total,
+so that the models are matched in size.  A sign's loss is the mean of its
+losses under a unigram and a bigram model,
 
-    p(w | v) = (c(v, w) + k p(w)) / (c(v) + k),   p(w) = (c(w) + 1) / (n + V)
+    p(w) = (c(w) + 1) / (n + V),   p(w | v) = (c(v, w) + a) / (c(v) + a V),
 
-A document's score is its mean per-word loss under the target model minus
+and a document's score is its mean loss per sign under the target model minus
 that under the background model, in nats; lower is more like the target.
 
-Bigrams over a vocabulary of V words number at most (V + 2)^2 whatever the
-input, so the tables that every task needs have a fixed bound; all words beyond
-the V are scored alike.  With ``vocabulary=None`` every word counts and nothing
-has a bound: words and bigrams are distributed tables of 64-bit hashes that grow
-with the corpus.  Words and bigrams with more than a fixed share of all
-occurrences, of which there are few whatever the input, are broadcast; the
-others are joined, and no key of these joins is large.
+Everything grows with the corpus: no word and no bigram is left out.  A loss
+difference is a sum of terms of single n-grams, so each n-gram is sent once,
+as a 64-bit key, to the bucket that counts it, and the bucket sends back sums
+for documents, not n-grams:
+
+1. words are counted exactly; of words and bigrams with more than a fixed share
+   of all signs, of which there are few whatever the input, all counts are
+   broadcast, so no key of the exchange is hot;
+2. each task turns its texts into keys, adds up what it knows from the
+   broadcast, and sends the other keys of about ``GROUP_SIGNS`` signs at a time
+   as one row for each bucket;
+3. a bucket counts its keys and sums the terms of each document in a row;
+4. the sums of a group of documents meet, and its documents are named.
+
+A row of step 2 is known by task and number, so a task that is run again must
+see the same texts in the same order, as Spark's own readers give them.
 
 Defined cases: a null or wordless text has no words and a null score; labels
-of unknown or null ids are ignored; without target documents the target model
-is uniform; rows that repeat an id are judged one by one; an empty table gives
-an empty result.
+of unknown or null ids are ignored; without target documents all scores are 0;
+rows that repeat an id are judged one by one; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
 from aircadence.workspace import Workspace, broadcast_if_small
 
+#: Broadcast are n-grams with at least one in so many signs.
+HOT = 100_000
+GROUP_SIGNS = 1 << 20
+_SIGN = np.uint64(0x5DEECE66D0000002)
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
+_ONE = np.uint64(1)
 
-#: Broadcast are words and bigrams with at least one in so many occurrences.
-HOT_WORDS, HOT_BIGRAMS = 100_000, 500_000
 
+def _ngrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a chunk's words and bigrams, and the documents' bounds in both.
 
-def _word_hash(words: list[str]) -> np.ndarray:
-    array = pa.array(words, pa.string())
-    return np.concatenate([tk.hashes(data, tk.scan(data, bounds, tk.NON_SPACE)) for _, _, data, bounds in tk.chunks(array)]) if words else np.zeros(0, np.uint64)
+    Keys of words are even, those of bigrams odd.  A document of n words has
+    n + 1 of each, one without words has none.
+    """
+    words = tk.scan(data, bounds, tk.NON_SPACE)
+    hashes = tk.hashes(data, words)
+    filled = words.first[1:] > words.first[:-1]
+    second = np.insert(hashes, words.first[1:][filled], _SIGN)
+    first = np.r_[_SIGN, second[:-1]] if len(second) else second
+    return second & ~_ONE, tk.mix(first * _PAIR + second) | _ONE, words.first + np.r_[0, np.cumsum(filled)]
 
 
-class Vocabulary:
-    """Numbers of words: 0 for a text's start, 1 for other words, then by rank."""
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(first, stop, words, pairs, bounds)`` of some documents at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    begin = signs = 0
 
-    def __init__(self, words: list[str]):
-        hashes = _word_hash(words)
-        order = np.argsort(hashes)
-        self._hashes, self._numbers = hashes[order], (np.arange(len(words)) + 2)[order]
-        self.size = len(words) + 2
+    def joined(stop: int):
+        ahead = np.cumsum([0, *(len(w) for w, _, _ in held)])
+        bounds = np.concatenate([[0], *(at[1:] + k for (_, _, at), k in zip(held, ahead, strict=False))])
+        return begin, stop, np.concatenate([w for w, _, _ in held]), np.concatenate([p for _, p, _ in held]), bounds.astype(np.int64)
 
-    def bigrams(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram codes of a chunk's words and the documents' word bounds."""
-        words = tk.scan(data, bounds, tk.NON_SPACE)
-        hashes = tk.hashes(data, words)
-        number = np.ones(len(hashes), dtype=np.int64)
-        if len(self._hashes):
-            at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
-            number = np.where(self._hashes[at] == hashes, self._numbers[at], 1)
-        before = np.r_[0, number[:-1]] if len(number) else number
-        heads = words.first[:-1]
-        before[heads[heads < words.first[1:]]] = 0
-        return before * self.size + number, words.first
+    for _, stop, data, bounds in tk.chunks(texts):
+        held.append(_ngrams(data, bounds))
+        signs += len(held[-1][0])
+        if signs >= GROUP_SIGNS:
+            yield joined(stop)
+            held, begin, signs = [], stop, 0
+    if held:
+        yield joined(stop)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, summed within each chunk."""
-    for batch in batches:
-        for _, _, data, bounds in tk.chunks(batch.column(0)):
-            words = tk.scan(data, bounds, tk.NON_SPACE)
-            _, first, counts = np.unique(tk.hashes(data, words), return_index=True, return_counts=True)
-            raw = tk.LOWER[data].tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(counts.astype(np.int64))], ["word", "n"])
+def _counted(keys: np.ndarray, good: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with all and target counts, of at least some occurrences."""
+    values, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+    m = np.bincount(back, weights=good, minlength=len(values)).astype(np.int64)
+    often = n >= least
+    return values[often], n[often].astype(np.int64), m[often]
 
 
-def _count_bigrams(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        for batch in batches:
-            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            every, target = [], []
-            for first, stop, data, bounds in tk.chunks(batch.column(0)):
-                codes, at = vocabulary.bigrams(data, bounds)
-                every.append(codes)
-                target.append(codes[np.repeat(good[first:stop], np.diff(at))])
-            if not every:
-                continue
-            codes, n = np.unique(np.concatenate(every), return_counts=True)
-            some, m = np.unique(np.concatenate(target), return_counts=True)
-            both = np.zeros(len(codes), dtype=np.int64)
-            both[np.searchsorted(codes, some)] = m
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64)), pa.array(both)], ["code", "n", "n_target"])
-
-    return run
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-class Model:
-    """Loss difference of each bigram that the corpus has, by its code."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All words, and bigrams that are frequent in their group, with counts."""
+    for batch in batches:
+        flags = _flags(batch)
+        for first, stop, words, pairs, at in _groups(batch.column(0)):
+            good = np.repeat(flags[first:stop], np.diff(at))
+            for keys, least in ((words, 1), (pairs, max(2, len(pairs) // (HOT // 4)))):
+                columns = _counted(keys, good, least)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["key", "n", "m"])
 
-    def __init__(self, codes: np.ndarray, counts: tuple[np.ndarray, np.ndarray], size: int, k: float):
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        first, second = self.codes // size, self.codes % size
-        losses = []
-        total = float(counts[0].sum())
-        for c in counts:
-            c = c[order] * (total / max(1, c.sum()))
-            after = np.bincount(first, weights=c, minlength=size)
-            word = np.bincount(second, weights=c, minlength=size)
-            p = (word + 1) / (total + size)
-            losses.append(-np.log((c + k * p[second]) / (after[first] + k)))
-        self.difference = losses[0] - losses[1]
 
+def _count_known(shared: Broadcast):
+    """Exact counts of the given keys of bigrams."""
 
-def _score(words: Broadcast, model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, fitted = words.value, model.value
+        known = shared.value
         for batch in batches:
-            counts, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, bounds in tk.chunks(batch.column(1)):
-                codes, at = vocabulary.bigrams(data, bounds)
-                sums = np.r_[0.0, np.cumsum(fitted.difference[np.searchsorted(fitted.codes, codes)])]
-                n = np.diff(at)
-                counts.append(n)
-                with np.errstate(invalid="ignore"):
-                    scores.append((sums[at[1:]] - sums[at[:-1]]) / np.where(n > 0, n, 1))
-            n, score = np.concatenate(counts).astype(np.int64), np.concatenate(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score, mask=n == 0)], ["id", "n_words", "score"])
+            flags = _flags(batch)
+            for first, stop, _, pairs, at in _groups(batch.column(0)):
+                place = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+                mine = known[place] == pairs
+                n = np.bincount(place[mine], minlength=len(known))
+                m = np.bincount(place[mine], weights=np.repeat(flags[first:stop], np.diff(at))[mine], minlength=len(known))
+                seen = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(known[seen].view(np.int64)), pa.array(n[seen]), pa.array(m[seen].astype(np.int64))], ["key", "n", "m"])
 
     return run
 
 
-def _pairs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigram codes and word hashes of a chunk, and the documents' word bounds.
+@dataclass(frozen=True)
+class Terms:
+    """Terms of the loss difference from counts of n-grams."""
 
-    A code is the hash before, turned by one bit, XOR the word's hash; a text's
-    start counts as hash 0.
-    """
-    words = tk.scan(data, bounds, tk.NON_SPACE)
-    second = tk.hashes(data, words)
-    first = np.zeros_like(second)
-    first[1:] = second[:-1]
-    heads = words.first[:-1]
-    first[heads[heads < words.first[1:]]] = 0
-    return (((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second).view(np.int64), second.view(np.int64), words.first
+    scale: float  #: target signs over all signs
+    size: int  #: V
+    smoothing: float
 
+    def __call__(self, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        n = n * self.scale
+        pair = (keys & _ONE).astype(bool)
+        add = np.where(pair, self.smoothing, 1.0)
+        all_signs = self.smoothing * self.size
+        return 0.5 * (np.log((n + add) / (m + add)) - np.where(pair, 0.0, np.log((n + all_signs) / (m + all_signs))))
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of all words and their counts, summed within each batch."""
-    for batch in batches:
-        good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        every, second, target = [], [], []
-        for first, stop, data, bounds in tk.chunks(batch.column(0)):
-            codes, words, at = _pairs(data, bounds)
-            every.append(codes)
-            second.append(words)
-            target.append(codes[np.repeat(good[first:stop], np.diff(at))])
-        if not every:
-            continue
-        codes, where, n = np.unique(np.concatenate(every), return_index=True, return_counts=True)
-        some, m = np.unique(np.concatenate(target), return_counts=True)
-        both = np.zeros(len(codes), dtype=np.int64)
-        both[np.searchsorted(codes, some)] = m
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.concatenate(second)[where]), pa.array(n.astype(np.int64)), pa.array(both)], ["code", "w", "n", "m"])
-
-
-def _score_hot(hot: Broadcast):
-    """Of each row the sum over its broadcast bigrams, and its other bigrams."""
+
+_SENT = "bucket int, uid bigint, keys binary, docs binary, good binary, ids array<bigint>, n_words array<bigint>, part array<double>"
+_SENT_ARROW = pa.schema([
+    ("bucket", pa.int32()), ("uid", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("good", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("part", pa.list_(pa.float64())),
+])
+_BACK = "uid bigint, ids array<bigint>, n_words array<bigint>, part array<double>"
+_BACK_ARROW = pa.schema([_SENT_ARROW.field(c) for c in ("uid", "ids", "n_words", "part")])
+
+
+def _send(hot: Broadcast, buckets: int):
+    """Rows of keys for each bucket, and a row of the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, difference = hot.value
-        row = TaskContext.get().partitionId() << 36
+        known, terms = hot.value
+        uid = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for first, stop, data, bounds in tk.chunks(batch.column(1)):
-                codes, _, at = _pairs(data, bounds)
-                place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                found = known[place] == codes
-                sums = np.r_[0.0, np.cumsum(np.where(found, difference[place], 0.0))]
-                ahead = np.r_[0, np.cumsum(~found)]
-                rest = pa.ListArray.from_arrays(pa.array(ahead[at].astype(np.int32)), pa.array(codes[~found]))
-                keys = np.arange(row, row + stop - first, dtype=np.int64)
-                row += stop - first
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(first, stop - first), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[at[1:]] - sums[at[:-1]]), rest], ["key", "id", "n_words", "part", "rest"])
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for first, stop, words, pairs, at in _groups(batch.column(0)):
+                docs = np.repeat(np.arange(stop - first, dtype=np.uint32), np.diff(at))
+                keys, docs = np.concatenate([words, pairs]), np.concatenate([docs, docs])
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                mine = known[place] == keys
+                part = np.bincount(docs[mine], weights=terms[place[mine]], minlength=stop - first)
+                keys, docs = keys[~mine], docs[~mine]
+                bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                keys, docs, bucket = keys[order], docs[order], bucket[order]
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                good = flags[first:stop].tobytes()
+                rows = [{"bucket": b, "uid": uid, "keys": keys[i:j].tobytes(), "docs": docs[i:j].tobytes(), "good": good} for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                ids = batch.column(2).slice(first, stop - first).to_pylist()
+                rows.append({"bucket": uid % buckets, "uid": uid, "ids": ids, "n_words": np.maximum(np.diff(at) - 1, 0), "part": part})
+                yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
+                uid += 1
 
     return run
 
 
-def _with_counts(bigrams: DataFrame, words: DataFrame, side: str, least: float, names: tuple[str, str]) -> DataFrame:
-    """Add a word's counts to each bigram that has it on the given side.
+def _answer(terms: Terms):
+    """Count a bucket's keys and sum their terms for each row's documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = table.filter(pa.compute.is_valid(table.column("ids"))).select(_BACK_ARROW.names).cast(_BACK_ARROW)
+        asked = table.filter(pa.compute.is_valid(table.column("keys")))
+        if not len(asked):
+            return out
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked.column("keys")]
+        docs = [np.frombuffer(x.as_buffer(), np.uint32) for x in asked.column("docs")]
+        good = [np.frombuffer(x.as_buffer(), np.uint8) for x in asked.column("good")]
+        values, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        m = np.bincount(back, weights=np.concatenate([g[d] for g, d in zip(good, docs, strict=True)]), minlength=len(values))
+        each = terms(values, n, m)[back]
+        stops = np.cumsum([len(k) for k in keys])
+        part = [np.bincount(d, weights=each[stop - len(d): stop], minlength=len(g)) for d, g, stop in zip(docs, good, stops, strict=True)]
+        none = [None] * len(part)
+        return pa.concat_tables([out, pa.Table.from_pydict({"uid": asked.column("uid"), "ids": none, "n_words": none, "part": part}, _BACK_ARROW)])
 
-    A frequent word's bigrams take the counts from a broadcast; in the join
-    with the other words they stand under their own codes, so no key is large.
-    """
-    n, m = ("n", "m") if side == "w" else ("after_n", "after_m")
-    counts = words.where(F.col(n) > 0).select("word", F.struct(F.col(n).alias("n"), F.col(m).alias("m")).alias("c"))
-    hot = counts.where(F.col("c.n") >= least).select(F.col("word").alias(side), F.col("c").alias("hot"))
-    cold = counts.where(F.col("c.n") < least).select(F.col("word").alias("at"), F.col("c").alias("cold"))
-    marked = bigrams.join(F.broadcast(hot), side, "left").withColumn("at", F.when(F.col("hot").isNull(), F.col(side)).otherwise(F.col("code")))
-    c = F.coalesce("hot", "cold")
-    return marked.join(cold, "at", "left").select(*bigrams.columns, c["n"].alias(names[0]), c["m"].alias(names[1]))
-
-
-def _score_all_words(rows: DataFrame, marked: DataFrame, work: Workspace, k: float) -> DataFrame:
-    """Scores under models of every word, all tables distributed."""
-    spark = rows.sparkSession
-    bigrams = work.stage(marked.mapInArrow(_count_pairs, "code bigint, w bigint, n bigint, m bigint").groupBy("code", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "bigrams")
-    turned = F.col("code").bitwiseXOR(F.col("w"))
-    bigrams = bigrams.withColumn("v", F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63)))
-    none = F.lit(0).cast("bigint")
-    seconds = bigrams.select(F.col("w").alias("word"), "n", "m", none.alias("after_n"), none.alias("after_m"))
-    firsts = bigrams.select(F.col("v").alias("word"), none.alias("n"), none.alias("m"), F.col("n").alias("after_n"), F.col("m").alias("after_m"))
-    words = work.stage(seconds.union(firsts).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "m", "after_n", "after_m"))), "words")
-    whole = words.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if(F.col("n") > 0).alias("words")).first()
-    total, target, size = whole.n or 0, whole.m or 0, whole.words + 2
-
-    def differences(part: DataFrame) -> DataFrame:
-        part = _with_counts(part, words, "w", total / HOT_WORDS, ("word_n", "word_m"))
-        part = _with_counts(part, words, "v", total / HOT_WORDS, ("after_n", "after_m"))
-        scale = target / max(1, total)
-
-        def log_p(c: str, factor: float):
-            count, word, after = (F.col(x) * F.lit(factor) for x in (c, f"word_{c}", f"after_{c}"))
-            return F.log((count + k * (word + 1) / (target + size)) / (after + k))
-
-        return part.select("code", (log_p("n", scale) - log_p("m", 1.0)).alias("difference"))
-
-    least = total / HOT_BIGRAMS
-    table = differences(bigrams.where(F.col("n") >= least)).toArrow()
-    code, difference = (table.column(c).to_numpy() for c in ("code", "difference"))
-    order = np.argsort(code)
-    hot = spark.sparkContext.broadcast((code[order], difference[order]) if len(code) else (np.zeros(1, np.int64), np.zeros(1)))
-    scored = work.stage(rows.mapInArrow(_score_hot(hot), "key bigint, id bigint, n_words bigint, part double, rest array<bigint>"), "scored")
-    rest = scored.select("key", F.explode("rest").alias("code")).join(differences(bigrams.where(F.col("n") < least)), "code")
-    rest = rest.groupBy("key").agg(F.sum("difference").alias("others"))
-    score = (F.col("part") + F.coalesce("others", F.lit(0.0))) / F.col("n_words")
-    return scored.drop("rest").join(rest, "key", "left").select("id", "n_words", F.when(F.col("n_words") > 0, score).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = 2000, k: float = 50.0) -> DataFrame:
+    return run
+
+
+def _named(table: pa.Table) -> pa.Table:
+    """The documents of one group, with the sums of all buckets."""
+    own = table.filter(pa.compute.is_valid(table.column("ids")))
+    parts = table.column("part").combine_chunks()
+    n_words = own.column("n_words").combine_chunks().flatten().to_numpy()
+    # In a fixed order, so that reruns agree to the last digit.
+    sums = np.sort(parts.flatten().to_numpy().reshape(len(parts), len(n_words)), axis=0).sum(axis=0)
+    empty = n_words == 0
+    return pa.table({"id": own.column("ids").combine_chunks().flatten(), "n_words": n_words, "score": pa.array(sums / (n_words + 1), mask=empty)})
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", smoothing: float = 0.01, buckets: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``(id_col, n_words, score)``, scores to 6 places.
 
-    ``vocabulary=None`` takes every word of the corpus.
+    ``smoothing`` is the a of the bigram model.  ``buckets`` (default: the
+    number of shuffle partitions) share the n-grams; each must fit a task.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     good = work.stage(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)), "good")
-    marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    if vocabulary is None:
-        return _score_all_words(rows, marked, work, k).select(F.col("id").alias(id_col), "n_words", F.round("score", 6).alias("score"))
-    counts = rows.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
-    words = spark.sparkContext.broadcast(Vocabulary(top))
-    size = len(top) + 2
-
-    bigrams = marked.mapInArrow(_count_bigrams(words), "code bigint, n bigint, n_target bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    table = bigrams.toArrow()
-    code, n, m = (table.column(c).to_numpy() for c in ("code", "n", "n_target"))
-    model = spark.sparkContext.broadcast(Model(code, (m, n), size, k))
-    scored = rows.mapInArrow(_score(words, model), "id bigint, n_words bigint, score double")
+    marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "id")
+
+    def summed(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    counts = work.stage(summed(marked.mapInArrow(_count, "key bigint, n bigint, m bigint")), "counts")
+    is_word = F.col("key").bitwiseAND(F.lit(1)) == 0
+    whole = counts.where(is_word).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("size")).first()
+    total = whole.n or 0
+    # At most HOT words and HOT bigrams, whatever the input.
+    hot = counts.where(F.col("n") >= max(1.0, total / HOT)).orderBy("key").toArrow()
+    key, n, m = (hot.column(c).to_numpy() for c in ("key", "n", "m"))
+    word = key % 2 == 0
+    pairs = np.sort(key[~word].view(np.uint64))
+    if len(pairs):
+        exact = summed(marked.mapInArrow(_count_known(spark.sparkContext.broadcast(pairs)), "key bigint, n bigint, m bigint")).toArrow()
+        key, n, m = (np.concatenate([x[word], exact.column(c).to_numpy()]) for c, x in (("key", key), ("n", n), ("m", m)))
+    terms = Terms((whole.m or 0) / max(1, total), whole.size, smoothing)
+    keys = key.view(np.uint64)
+    order = np.argsort(keys)
+    known = (keys[order], terms(keys, n, m)[order]) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1))
+    sent = marked.mapInArrow(_send(spark.sparkContext.broadcast(known), buckets), _SENT)
+    back = sent.groupBy("bucket").applyInArrow(_answer(terms), _BACK)
+    scored = back.groupBy("uid").applyInArrow(_named, "id bigint, n_words bigint, score double")
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("score", 6).alias("score"))

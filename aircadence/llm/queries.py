@@ -62,10 +62,6 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op8_lm_scoring_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), vocabulary=None)
-
-
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -196,20 +192,18 @@ FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 _OP8_SQL = f"""
-WITH w AS (
-  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents)
-), top AS (
-  SELECT word, 1 + row_number() OVER (ORDER BY n DESC, word) AS num FROM (SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 2000)
+WITH t AS (
+  SELECT doc_id, list_append(ws, '') AS ws FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents) WHERE len(ws) > 0
 ), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
 ), s AS (
-  SELECT w.doc_id, coalesce(num, 1) AS b, coalesce(lag(coalesce(num, 1)) OVER (PARTITION BY w.doc_id ORDER BY p), 0) AS a, good.doc_id IS NOT NULL AS good
-  FROM w LEFT JOIN top USING (word) LEFT JOIN good ON good.doc_id = w.doc_id
-), c AS (SELECT a, b, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY a, b
-), v AS (SELECT count(*) + 2 AS size FROM top
-), t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(m) OVER (PARTITION BY a) AS ma, sum(n) OVER (PARTITION BY b) AS nb, sum(m) OVER (PARTITION BY b) AS mb, sum(n) OVER () AS nn, sum(m) OVER () AS mm FROM c
+  SELECT t.doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[1:len(ws) - 1])) AS v, len(ws) - 1 AS n_words, good.doc_id IS NOT NULL AS good FROM t LEFT JOIN good ON good.doc_id = t.doc_id
+), u AS (SELECT w, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY w
+), c AS (SELECT v, w, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY v, w
+), k AS (SELECT count(*) AS size, sum(m) / sum(n) AS scale, count(*) * 0.01e0 AS av FROM u
 ), d AS (
-  SELECT a, b, ln((n * mm / nn + 50e0 * (nb * mm / nn + 1) / (mm + size)) / (na * mm / nn + 50e0)) - ln((m + 50e0 * (mb + 1) / (mm + size)) / (ma + 50e0)) AS diff FROM t, v
-), r AS (SELECT doc_id, count(*) AS n_words, round(avg(diff), 6) AS score FROM s JOIN d USING (a, b) GROUP BY doc_id)
+  SELECT c.v, c.w, 0.5e0 * (ln((x.n * scale + 1) / (x.m + 1)) + ln((c.n * scale + 0.01e0) / (c.m + 0.01e0)) - ln((y.n * scale + av) / (y.m + av))) AS diff
+  FROM c JOIN u x ON x.w = c.w JOIN u y ON y.w = c.v, k
+), r AS (SELECT doc_id, any_value(n_words) AS n_words, round(avg(diff), 6) AS score FROM s JOIN d USING (v, w) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, score FROM documents LEFT JOIN r USING (doc_id)
 """
 
@@ -222,7 +216,6 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
     "op8_lm_scoring": op8_lm_scoring,
-    "op8_lm_scoring_all_words": op8_lm_scoring_all_words,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -234,5 +227,4 @@ SQL = {
     "op5_url_filter": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
     "op8_lm_scoring": _OP8_SQL,
-    "op8_lm_scoring_all_words": _OP8_SQL.replace(" LIMIT 2000", ""),
 }

@@ -22,7 +22,7 @@ from aircadence.llm.token_counts import corpus_token_counts, count_tokens
 from aircadence.llm.tokens import PieceEncoder
 from aircadence.llm.url_filter import judge_urls, pattern_regex, pattern_tokens
 from aircadence.workspace import Workspace
-from tests.llm.test_text import docs
+from tests.llm.test_text import docs, low
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -210,23 +210,52 @@ def test_scores_favour_the_target(spark):
     assert cross_entropy_difference(docs(spark, *texts).limit(0), labels).count() == 0
 
 
-@pytest.mark.parametrize("share", [500_000, 60])
-def test_rare_words_count(spark, monkeypatch, share):
-    """Texts that differ in rare words alone differ in score; odd rows stay."""
+def _differences(texts, good):
+    """Scores by the definition, n-gram by n-gram."""
+    import math
+    import re
+    from collections import Counter
+
+    signs = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) for t in texts]
+    signs = [[*w, ""] if w else [] for w in signs]
+    ones = [Counter(w for s, g in zip(signs, good) if g or not k for w in s) for k in (0, 1)]
+    twos = [Counter(p for s, g in zip(signs, good) if g or not k for p in zip(["", *s], s)) for k in (0, 1)]
+    n, m, v = sum(ones[0].values()), sum(ones[1].values()), len(ones[0])
+
+    def loss(k, a, b):
+        scale = 1.0 if k else m / n
+        one = (ones[k][b] * scale + 1) / (m + v)
+        two = (twos[k][a, b] * scale + 0.01) / (ones[k][a] * scale + 0.01 * v)
+        return -(math.log(one) + math.log(two)) / 2
+
+    return [sum(loss(1, a, b) - loss(0, a, b) for a, b in zip(["", *s], s)) / len(s) if s else None for s in signs]
+
+
+@pytest.mark.parametrize(("hot", "group", "buckets"), [(100_000, 1 << 20, None), (50, 300, 7), (2, 1, 1)])
+def test_scores_equal_brute_force(spark, monkeypatch, hot, group, buckets):
+    """Every word counts, with hot n-grams or without, in groups of any size; ties and repeated rows too."""
+    import random
+
     from aircadence.llm import lm_score
 
-    monkeypatch.setattr(lm_score, "HOT_WORDS", share)
-    monkeypatch.setattr(lm_score, "HOT_BIGRAMS", share)
-    common = [" ".join(f"c{(i * j) % 2500}" for j in range(1, 120)) for i in range(60)] + [" ".join(f"c{i}" for i in range(2500))] * 3
-    texts = common + ["rare1 rare2 rare3", "odd1 odd2 odd3", "rare1 rare2 rare3", "odd1 odd2 odd3", None, " "]
-    n = len(common)
-    labels = spark.createDataFrame([(n, 1), (None, 1), (n + 1, 0), (3, 1), (3, 1)], "doc_id long, quality int")
-    t = docs(spark, *texts, None, "odd1", ids=[*range(len(texts)), 2, None])
-    got = {(r.doc_id, r.n_words): r.score for r in cross_entropy_difference(t, labels, vocabulary=None).collect()}
-    assert len(got) == len(texts) + 2 and got[n + 4, 0] is None and got[n + 5, 0] is None and got[2, 0] is None
-    assert got[n + 2, 3] == got[n, 3] < got[n + 1, 3] == got[n + 3, 3]
-    assert got[None, 1] is not None
-    assert cross_entropy_difference(t.limit(0), labels, vocabulary=None).count() == 0
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += ["rare1 rare2 RARE3", "odd1 odd2 odd3", "rare1 rare2 rare3", "odd1 odd2 odd3", None, " ", "\u00e9 \u00c9"]
+    good = [i % 3 == 0 for i in range(len(texts))]
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)] + [(None, 1), (999, 1), (3, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "GROUP_SIGNS", group)
+    got = {r.doc_id: r for r in cross_entropy_difference(docs(spark, *texts).withColumnRenamed("lang", "score"), labels, buckets=buckets).collect()}
+    want = _differences(texts, good)
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert got[i].n_words == len((texts[i] or "").split())
+        assert got[i].score == (w if w is None else pytest.approx(w, abs=2e-6))
+    again = docs(spark, texts[0], texts[0], None, ids=[5, 5, None])
+    rows = cross_entropy_difference(again, labels).collect()
+    assert len(rows) == 3 and rows[0].score == rows[1].score and {r.doc_id for r in rows} == {5, None}
+    none = cross_entropy_difference(docs(spark, *texts), labels.limit(0)).where("score <> 0").count()
+    assert none == 0 and cross_entropy_difference(again.limit(0), labels).count() == 0
 
 
 def test_pipeline_drops_copies_at_080(spark):
