@@ -1,21 +1,25 @@
 """Licence scan in built-in functions: TF-IDF cosine and directory inheritance.
 
-Every line of every file is a candidate header.  Lines and licence templates
-are sparse vectors over the templates' words, with idf from the files
-themselves, and a line has a template's licence if their cosine reaches
-``least`` and the line has at least half of the template's weight.  A line
-that can reach the cosine must have one of the template's heaviest words (the
-others together weigh too little), so only lines with such a word are split
-into words.
+Units are compared with templates: the whole text of a file named like a
+licence file with whole licence texts, and every line and every paragraph of
+every file with headers (titles, notices, clauses).  A paragraph ends at a line
+without letters and digits, so comment signs do not matter.  Units and
+templates are sparse vectors of all their words, with idf from all files, and a
+unit has a template's licence if their cosine reaches ``least``.  Whole texts
+decide before headers, then the highest cosine, then the longest template, then
+the first licence by name.
+
+A unit that can reach the cosine must have one of the template's heaviest words
+(the others together weigh too little), so only units with such a word are
+split into words.  That loses no match.
 
 A file named like a licence file gives its licence to its directory; a file
 without a licence of its own takes that of the nearest such ancestor.
 
-Defined cases: null texts have no lines; null paths inherit nothing; of
-licences that tie the first by name wins; of several licence files in one
-directory the one with the highest cosine wins, then the first by name; rows
-that repeat a path are rows of their own; an empty table gives an empty
-result.
+Defined cases: null texts have no units; null paths inherit nothing; of several
+licence files in one directory the one that the order above puts first wins;
+rows that repeat a path are rows of their own; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,89 +29,112 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aircadence.workspace import Workspace
-
-#: (licence, header text)
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
-    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-)
+from aircadence.llm.licenses import FILES, HEADERS
+from aircadence.workspace import Workspace, broadcast_if_small
+
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
+PARAGRAPH = r"\n([^A-Za-z0-9\n]*\n)+"
+#: Words with more than one in so many of all (file, word) pairs are broadcast.
+HOT_WORDS = 100_000
+
+Templates = Sequence[tuple[str, str]]
 
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+def template_rows(headers: Templates = HEADERS, files: Templates = FILES) -> list[tuple[int, str, bool, str, int]]:
+    """``(number, licence, whole, word, count)`` of all templates."""
+    both = [(n, t, False) for n, t in headers] + [(n, t, True) for n, t in files]
+    return [(k, n, whole, w, words.count(w)) for k, (n, t, whole) in enumerate(both) if (words := template_words(t)) for w in sorted(set(words))]
+
+
 def _words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def license_scan(files: DataFrame, id_col: str, path_col: str, text_col: str, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def _idf(count: Column, n: int) -> Column:
+    return F.log((F.lit(n) + 1.0) / (F.coalesce(count, F.lit(0)) + 1.0)) + 1.0
+
+
+def _weighed_templates(df: DataFrame, n: int, headers: Templates, files: Templates, least: float) -> list[dict]:
+    """Templates' words with their weights; as many rows as the templates have words."""
+    table = df.sparkSession.createDataFrame(template_rows(headers, files), "template int, license string, whole boolean, word string, tf int")
+    known = df.join(F.broadcast(table.select("word").distinct()), "word", "left_semi")
+    weighed = table.join(F.broadcast(known), "word", "left").withColumn("w", F.col("tf") * _idf(F.col("count"), n))
+    of = Window.partitionBy("template")
+    square = F.col("w") * F.col("w")
+    # The lighter words of a template, this one included, as a share of its length.
+    lighter = F.sum(square).over(of.orderBy("w", "word"))
+    weighed = weighed.withColumn("square", F.sum(square).over(of)).withColumn("anchor", F.sqrt(lighter / F.col("square")) >= least * 0.999)
+    return [r.asDict() for r in weighed.collect()]
+
+
+def _with_idf(counted: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """``counted`` with the idf of its words; frequent words are broadcast, so no key of the join is hot."""
+    total = df.agg(F.sum("count")).first()[0] or 0
+    hot = df.where(F.col("count") >= total / HOT_WORDS).select("word", F.col("count").alias("hot"))
+    cold = df.where(F.col("count") < total / HOT_WORDS).select(F.col("word").alias("at"), F.col("count").alias("cold"))
+    marked = counted.join(F.broadcast(hot), "word", "left").withColumn("at", F.when(F.col("hot").isNull(), F.col("word")).otherwise(F.concat(F.lit(" "), F.col("unit"))))
+    return marked.join(cold, "at", "left").select(*counted.columns, _idf(F.coalesce("hot", "cold"), n).alias("idf"))
+
+
+def _matches(units: DataFrame, vectors: list[dict], df: DataFrame, n: int, least: float) -> DataFrame:
+    """``(unit, whole, best)``: the template that decides for each distinct unit."""
+    template = units.sparkSession.createDataFrame([(v["template"], v["license"], v["whole"], v["word"], v["w"], v["square"]) for v in vectors], "template int, license string, whole boolean, word string, w double, square double")
+    distinct = units.groupBy("unit", "whole").agg(F.any_value("content").alias("content"))
+    counted = distinct.select("unit", "whole", F.explode(_words("content")).alias("word")).groupBy("unit", "whole", "word").count()
+    valued = _with_idf(counted, df, n).select("unit", "whole", "word", (F.col("count") * F.col("idf")).alias("v"))
+    lengths = valued.groupBy("unit", "whole").agg(F.sum(F.col("v") * F.col("v")).alias("unit_square"))
+    dots = valued.join(F.broadcast(template), ["word", "whole"]).groupBy("unit", "whole", "template", "license", "square").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("unit_square") * F.col("square")), 6)
+    found = dots.join(lengths, ["unit", "whole"]).withColumn("cosine", cosine).where(F.col("cosine") >= least)
+    order = F.struct((~F.col("whole")).cast("int").alias("header"), (-F.col("cosine")).alias("minus"), (-F.col("square")).alias("shorter"), F.col("license").alias("license"))
+    return found.groupBy("unit", "whole").agg(F.min(order).alias("best"))
+
+
+def license_scan(files: DataFrame, id_col: str, path_col: str, text_col: str, headers: Templates = HEADERS, whole_files: Templates = FILES, least: float = 0.8) -> DataFrame:
     """Per row of ``files``: ``(id_col, path_col, license, cosine, origin)``.
 
-    ``origin`` is "own", "inherited" or null; ``cosine`` is that of the line
+    ``origin`` is "own", "inherited" or null; ``cosine`` is that of the unit
     that decided, rounded to six places.
     """
-    spark = files.sparkSession
-    work = Workspace(spark, "license")
-    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    table = spark.createDataFrame([(n, w, template_words(t).count(w)) for n, t in templates for w in sorted(set(template_words(t)))], "license string, word string, tf int")
-    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-
-    # Document frequencies of the templates' words over all whole files.
-    present = rows.where("text is not null").select(F.explode(F.array_intersect(_words("text"), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    work = Workspace(files.sparkSession, "license")
+    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    parts = F.split("path", "/")
+    name, folder = F.element_at(parts, -1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+
     n = rows.count()
-    df = work.stage(present.groupBy("word").count(), "df")
-    weighed = table.join(F.broadcast(df), "word", "left").withColumn("idf", F.log((F.lit(n) + 1.0) / (F.coalesce("count", F.lit(0)) + 1.0)) + 1.0)
-    weighed = weighed.withColumn("w", F.col("tf") * F.col("idf"))
-    of = Window.partitionBy("license")
-    weighed = weighed.withColumn("square", F.sum(F.col("w") * F.col("w")).over(of)).withColumn("total", F.sum("w").over(of))
-    # The lighter words of a template, this one included, as a share of its length.
-    lighter = F.sum(F.col("w") * F.col("w")).over(of.orderBy("w", "word"))
-    weighed = weighed.withColumn("anchor", F.sqrt(lighter / F.col("square")) >= least)
-    # As many rows as the templates have words, whatever the input.
-    vectors = [r.asDict() for r in weighed.select("license", "word", "w", "idf", "square", "total", "anchor").collect()]
+    df = work.stage(rows.where("text is not null").select(F.explode(F.array_distinct(_words("text"))).alias("word")).groupBy("word").count(), "df")
+    vectors = _weighed_templates(df, n, headers, whole_files, least)
     anchors = sorted({v["word"] for v in vectors if v["anchor"]})
     pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(anchors) + r")([^a-z0-9]|$)"
-    idf = spark.createDataFrame(sorted({(v["word"], v["idf"]) for v in vectors}), "word string, idf double")
-    template = spark.createDataFrame([(v["license"], v["word"], v["w"], v["square"], v["total"]) for v in vectors], "license string, word string, w double, square double, total double")
-
-    # Equal lines are judged once.
-    lines = rows.select("id", "path", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))).alias("line"))
-    lines = work.stage(lines.distinct(), "lines")
-    counted = lines.select("line").distinct().select("line", F.explode(_words("line")).alias("word")).groupBy("line", "word").count().join(F.broadcast(idf), "word")
-    counted = counted.withColumn("v", F.col("count") * F.col("idf"))
-    lengths = counted.groupBy("line").agg(F.sum(F.col("v") * F.col("v")).alias("line_square"))
-    dots = counted.join(F.broadcast(template), "word").groupBy("line", "license", "square", "total").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum("w").alias("has"))
-    cosine = F.round(F.col("dot") / F.sqrt(F.col("line_square") * F.col("square")), 6)
-    matched = dots.join(lengths, "line").withColumn("cosine", cosine).where((F.col("cosine") >= least) & (F.col("has") * 2 >= F.col("total")))
-    best = F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license").alias("license"))).alias("best")
-    by_line = matched.groupBy("line").agg(best)
-    by_file = lines.join(by_line, "line").groupBy("id", "path").agg(F.min("best").alias("best"))
-    own = work.stage(by_file.select("id", "path", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")), "own")
+    # Equal units are judged once, under a digest of what they hold.
+    pieces = F.array_distinct(F.filter(F.concat(F.split("text", "\n"), F.split("text", PARAGRAPH)), lambda x: x.rlike(pattern)))
+    unit = F.explode(F.concat(
+        F.transform(pieces, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("content"))),
+        F.when(F.coalesce(name.rlike(LICENSE_FILE), F.lit(False)), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("content")))).otherwise(F.array()),
+    )).alias("u")
+    units = rows.where(F.col("text").rlike(pattern)).select("id", "path", "text_hash", unit).select("id", "path", "text_hash", F.md5("u.content").alias("unit"), "u.*")
+    units = work.stage(units, "units")
+    best = _matches(units, vectors, df, n, least)
+    by_file = units.select("id", "path", "text_hash", "unit", "whole").join(best, ["unit", "whole"]).groupBy("id", "path", "text_hash").agg(F.min("best").alias("best"))
+    own = work.stage(by_file, "own")
 
     # Directories with a licence file, then each directory's nearest one.
-    parts = F.split("path", "/")
-    name, folder = F.element_at(parts, -1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    licensed = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("ancestor")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license").alias("license"))).alias("given"))
+    licensed = own.where(name.rlike(LICENSE_FILE)).groupBy(folder.alias("ancestor")).agg(F.min("best").alias("given"))
+    licensed = broadcast_if_small(work.stage(licensed, "licensed"))
     folders = rows.where("path is not null").select(folder.alias("folder")).distinct()
     steps = F.split("folder", "/")
     ancestors = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).withColumn("ancestor", F.array_join(F.slice(F.split("folder", "/"), F.lit(1), F.col("depth")), "/"))
     nearest = ancestors.join(licensed, "ancestor").groupBy("folder").agg(F.max_by("given", "depth").alias("given"))
 
-    out = rows.drop("text").withColumn("folder", folder).join(nearest, "folder", "left")
-    same = (out["id"].eqNullSafe(own["id"])) & (out["path"].eqNullSafe(own["path"]))
-    out = out.join(own.select("id", "path", F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine")), same, "left").select(out["id"], out["path"], "own_license", "own_cosine", "given")
+    out = rows.select("id", "path", "text_hash", folder.alias("folder")).join(nearest, "folder", "left")
+    same = out["id"].eqNullSafe(own["id"]) & out["path"].eqNullSafe(own["path"]) & (out["text_hash"] == own["text_hash"])
+    out = out.join(broadcast_if_small(own), same, "left").select(out["id"], out["path"], "best", "given")
+    decided = F.coalesce("best", "given")
     return out.select(
-        F.col("id").alias(id_col), F.col("path").alias(path_col),
-        F.coalesce("own_license", "given.license").alias("license"),
-        F.coalesce("own_cosine", -F.col("given.minus")).alias("cosine"),
-        F.when(F.col("own_license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").alias("origin"),
+        F.col("id").alias(id_col), F.col("path").alias(path_col), decided["license"].alias("license"), (-decided["minus"]).alias("cosine"),
+        F.when(F.col("best").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").alias("origin"),
     )

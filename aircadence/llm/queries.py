@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.llm.decontam import contamination
 from aircadence.llm.html_extract import extract_main_text
-from aircadence.llm.license_scan import TEMPLATES, license_scan, template_words
+from aircadence.llm.license_scan import license_scan, template_rows
 from aircadence.llm.lm_score import cross_entropy_difference
 from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
@@ -34,12 +34,21 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, hundreds, tens, then the file;
-    every tenth document is its directory's licence file."""
+    """Documents as files of a tree: source, then the id's hundreds and, for every third, tens.
+
+    Every tenth document is its directory's licence file, and some are those of
+    a source or of the root.
+    """
     docs = _table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 100"), F.expr("doc_id div 50"))
-    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan(docs.withColumn("path", F.concat_ws("/", folder, name)), "doc_id", "path", "text")
+    deep = F.when(F.col("doc_id") % 3 == 0, F.expr("CAST(doc_id div 10 AS STRING)"))
+    low = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("CAST(doc_id div 100 AS STRING)"), deep)
+    path = (
+        F.when(F.col("doc_id") % 5000 == 11, F.lit("LICENSE"))
+        .when(F.col("doc_id") % 500 == 7, F.concat_ws("/", F.coalesce("source", F.lit("none")), F.lit("COPYING.txt")))
+        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", low, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", low, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    )
+    return license_scan(docs.withColumn("path", path), "doc_id", "path", "text")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,37 +166,41 @@ WITH d AS (
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST((floor(u + pos * rate) - floor(u + (pos - 1) * rate)) * size AS BIGINT) AS taken FROM r
 """
 
-_OP3_WORDS = ", ".join(f"('{n}', '{w}', {template_words(t).count(w)})" for n, t in TEMPLATES for w in sorted(set(template_words(t))))
+_OP3_WORDS = ", ".join(f"({k}, '{name}', {whole}, '{w}', {tf})" for k, name, whole, w, tf in template_rows())
 
 _OP3_SQL = f"""
-WITH tpl(license, word, tf) AS (VALUES {_OP3_WORDS}
+WITH tpl(template, license, whole, word, tf) AS (VALUES {_OP3_WORDS}
 ), f AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 50 AS VARCHAR)) AS folder,
-    CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS name
-  FROM documents
+  SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_matches(path, '(^|/)(LICENSE|COPYING.txt)$') AS is_license FROM (
+    SELECT doc_id, text, CASE WHEN doc_id % 5000 = 11 THEN 'LICENSE' WHEN doc_id % 500 = 7 THEN coalesce(source, 'none') || '/COPYING.txt'
+      ELSE concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 100 AS VARCHAR), CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id // 10 AS VARCHAR) END,
+        CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END) END AS path FROM documents)
 ), df AS (
   SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM f) GROUP BY word
 ), idf AS (
-  SELECT t.word, ln(((SELECT count(*) FROM documents) + 1e0) / (coalesce(df.n, 0) + 1e0)) + 1 AS idf FROM (SELECT DISTINCT word FROM tpl) t LEFT JOIN df USING (word)
-), tv AS (
-  SELECT license, word, tf * idf AS w, sum((tf * idf) ** 2) OVER (PARTITION BY license) AS square, sum(tf * idf) OVER (PARTITION BY license) AS total FROM tpl JOIN idf USING (word)
-), ln AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM f
-), lw AS (
-  SELECT line, word, count(*) * any_value(idf) AS v FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT line FROM ln)) JOIN idf USING (word) GROUP BY line, word
-), ls AS (SELECT line, sum(v * v) AS square FROM lw GROUP BY line
+  SELECT word, ln(((SELECT count(*) FROM documents) + 1e0) / (n + 1e0)) + 1 AS idf FROM df
+), tw AS (
+  SELECT template, license, whole, tpl.word, tf * coalesce(idf, ln((SELECT count(*) FROM documents) + 1e0) + 1) AS w FROM tpl LEFT JOIN idf USING (word)
+), ts AS (SELECT template, sum(w * w) AS square FROM tw GROUP BY template
+), un AS (
+  SELECT doc_id, false AS whole, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n([^A-Za-z0-9\\n]*\\n)+'))) AS unit FROM f
+  UNION SELECT doc_id, true, text FROM f WHERE is_license AND text IS NOT NULL
+), uw AS (
+  SELECT whole, unit, word, count(*) * any_value(idf) AS v FROM (SELECT whole, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT whole, unit FROM un)) JOIN idf USING (word) GROUP BY ALL
+), us AS (SELECT whole, unit, sum(v * v) AS square FROM uw GROUP BY ALL
 ), m AS (
-  SELECT line, license, round(sum(v * w) / sqrt(any_value(ls.square) * any_value(tv.square)), 6) AS cosine, sum(w) AS has, any_value(total) AS total
-  FROM lw JOIN tv USING (word) JOIN ls USING (line) GROUP BY line, license
+  SELECT uw.whole, uw.unit, tw.license, any_value(ts.square) AS square, round(sum(v * w) / sqrt(any_value(us.square) * any_value(ts.square)), 6) AS cosine
+  FROM uw JOIN tw ON tw.word = uw.word AND tw.whole = uw.whole JOIN ts USING (template) JOIN us ON us.unit = uw.unit AND us.whole = uw.whole
+  GROUP BY uw.whole, uw.unit, tw.template, tw.license HAVING cosine >= 0.8
 ), own AS (
-  SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM ln JOIN m USING (line) WHERE cosine >= 0.8 AND has * 2 >= total GROUP BY doc_id
-), given AS (
-  SELECT folder, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM f JOIN own USING (doc_id) WHERE name = 'LICENSE' GROUP BY folder
+  SELECT doc_id, min((CAST(NOT m.whole AS INT), -cosine, -square, license)) AS best FROM un JOIN m ON m.unit = un.unit AND m.whole = un.whole GROUP BY doc_id
+), given AS (SELECT folder, min(best) AS best FROM f JOIN own USING (doc_id) WHERE is_license GROUP BY folder
 ), near AS (
-  SELECT f.doc_id, arg_max(given.license, length(given.folder)) AS license, arg_max(given.cosine, length(given.folder)) AS cosine
-  FROM f JOIN given ON f.folder = given.folder OR starts_with(f.folder, given.folder || '/') GROUP BY f.doc_id
+  SELECT f.doc_id, arg_max(given.best, length(given.folder)) AS best
+  FROM f JOIN given ON given.folder = '' OR f.folder = given.folder OR starts_with(f.folder, given.folder || '/') GROUP BY f.doc_id
 )
-SELECT f.doc_id, f.folder || '/' || f.name AS path, coalesce(own.license, near.license) AS license, coalesce(own.cosine, near.cosine) AS cosine,
-  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin
+SELECT f.doc_id, f.path, coalesce(own.best, near.best)[4] AS license, -coalesce(own.best, near.best)[2] AS cosine,
+  CASE WHEN own.best IS NOT NULL THEN 'own' WHEN near.best IS NOT NULL THEN 'inherited' END AS origin
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 

@@ -201,6 +201,46 @@ def test_licenses(spark):
     assert license_scan(t.limit(0), "id", "path", "text").count() == 0
 
 
+def test_real_licence_files(spark):
+    """Openings and whole texts of real licence files, commented headers, and prose that only holds their words."""
+    from aircadence.llm import licenses as li
+
+    prose = "some words about nothing in particular that go on and on for quite a while here ".split() * 25
+    for k, w in enumerate(("released", "mit", "license", "under")):
+        prose.insert(90 * k + 7, w)
+    header = "# Copyright 2020 Someone\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os\n"
+    bsd3 = dict(li.FILES)["BSD-3-Clause"]
+    cases = {
+        "mit/LICENSE": ("MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the", "MIT"),
+        "mit2/LICENSE": ("MIT License", "MIT"),
+        "apache/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+        "gpl/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n", "GPL-3.0"),
+        "gpl2/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n", "GPL-2.0"),
+        "agpl/a.txt": ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+        "bsd/LICENSE": ("Copyright (c) 2019, The Authors. All rights reserved.\n\n" + bsd3[len("BSD 3-Clause License "):].replace(". ", ".\n\n"), "BSD-3-Clause"),
+        "bsd/x/one.c": ("int x;", "BSD-3-Clause"),
+        "bsd2/LICENSE": (dict(li.FILES)["BSD-2-Clause"], "BSD-2-Clause"),
+        "src/a.py": (header, "Apache-2.0"),
+        "p/prose.txt": (" ".join(prose), None),
+    }
+    filler = [(100 + i, f"f/{i}.txt", " ".join(prose[i: i + 60])) for i in range(60)]
+    t = spark.createDataFrame([(k, p, x) for k, (p, (x, _)) in enumerate(cases.items())] + filler, "id long, path string, text string")
+    got = {r.path: r.license for r in license_scan(t, "id", "path", "text").collect()}
+    assert {p: got[p] for p in cases} == {p: w for p, (_, w) in cases.items()}
+
+
+def test_licence_ties_and_repeats(spark, monkeypatch):
+    """Ties go to the first by name; repeated rows, two licence files in a folder, the root, extra columns."""
+    from aircadence.llm import license_scan as ls
+
+    monkeypatch.setattr(ls, "HOT_WORDS", 3)
+    two = [("B-1", "alpha beta gamma"), ("A-1", "alpha beta gamma"), ("C-1", "delta epsilon zeta eta")]
+    rows = [(1, "LICENSE", "alpha beta gamma"), (2, "d/LICENSE", "delta epsilon zeta"), (3, "d/COPYING", "alpha beta gamma"), (4, "d/e/f", ""), (4, "d/e/f", ""), (5, "x/y", None), (5, "x/y", "delta epsilon zeta eta"), (6, "", "")]
+    t = spark.createDataFrame(rows, "id long, path string, text string").selectExpr("*", "1 AS license", "2 AS unit", "3 AS best")
+    got = sorted((r.id, r.license, r.cosine == 1.0, r.origin) for r in ls.license_scan(t, "id", "path", "text", headers=two, whole_files=[]).collect())
+    assert got == [(1, "A-1", True, "own"), (2, "C-1", False, "own"), (3, "A-1", True, "own"), (4, "A-1", True, "inherited"), (4, "A-1", True, "inherited"), (5, "A-1", True, "inherited"), (5, "C-1", True, "own"), (6, "A-1", True, "inherited")]
+
+
 def test_scores_favour_the_target(spark):
     texts = [" ".join(("alpha beta gamma delta" if i % 2 else "one two three four").split() * 20) for i in range(60)] + [None, ""]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
