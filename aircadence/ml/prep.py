@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aircadence import schema as S
+from aircadence.operators.quantiles import join_keys, quantiles
 
 
 def feature_columns(rows: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -17,9 +18,9 @@ def feature_columns(rows: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def medians(rows: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median of each column over valid values, 0 for a column without any."""
-    valid = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    one = rows.agg(*(F.coalesce(F.median(v), F.lit(0.0)).alias(c) for c, v in valid.items())).first()
-    return one.asDict()
+    valid = {f"c{k}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for k, c in enumerate(columns)}
+    one = quantiles(rows, [], valid, (0.5,)).first()
+    return {c: one[f"c{k}_0"] or 0.0 for k, c in enumerate(columns)}
 
 
 def impute(rows: DataFrame, columns: Sequence[str], values: dict[str, float] | None = None) -> DataFrame:
@@ -51,21 +52,38 @@ def encode_labels(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(index), label, "left")
 
 
-def _shuffled(label: str, key: str, seed: int) -> Window:
+#: Ranges of the shuffled order that are ranked apart.
+_RANGES = 1 << 16
+
+
+def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Add ``__rank`` from 1 and ``__n``: place within the label in a seeded order of the key, and the label's rows.
+
+    Rows are ranked within ranges of the order; a table of one row for each
+    label and range carries the counts over, so no task holds a label.
+    """
     # A multiplicative hash that any engine computes alike.
     mixed = ((F.col(key) + seed) * F.lit(2654435761)) % F.lit(4294967296)
-    return Window.partitionBy(label).orderBy(mixed, key)
+    placed = rows.withColumn("__mixed", mixed).withColumn("__range", F.floor(F.col("__mixed") / (4294967296 // _RANGES)))
+    cell = [label, "__range"]
+    of = Window.partitionBy(label)
+    before = of.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("__cell"))
+    cells = cells.select(*cell, F.coalesce(F.sum("__cell").over(before), F.lit(0)).alias("__before"), F.sum("__cell").over(of).alias("__n"))
+    ranked = placed.withColumn("__own", F.row_number().over(Window.partitionBy(*cell).orderBy("__mixed", key)))
+    return join_keys(ranked, cells, cell).select(*rows.columns, (F.col("__before") + F.col("__own")).alias("__rank"), "__n")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """Add ``is_test``: a share of each label, by a seeded order of the key."""
-    of = Window.partitionBy(label)
-    return rows.withColumn("is_test", F.row_number().over(_shuffled(label, key, seed)) <= F.round(F.count("*").over(of) * share))
+    ranked = _ranked(rows, label, key, seed)
+    return ranked.select(*rows.columns, (F.col("__rank") <= F.round(F.col("__n") * share)).alias("is_test"))
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` from 0: the labels dealt evenly in a seeded order."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(_shuffled(label, key, seed)) - 1, F.lit(folds)))
+    ranked = _ranked(rows, label, key, seed)
+    return ranked.select(*rows.columns, F.pmod(F.col("__rank") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

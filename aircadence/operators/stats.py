@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from aircadence.operators.quantiles import join_keys, quantiles
+
 
 def type_counts(frames: DataFrame) -> DataFrame:
     return frames.where("frame_type in (0, 1, 2)").groupBy("frame_type").agg(F.count("*").alias("frames"))
@@ -42,10 +44,10 @@ def mean_rate(frames: DataFrame) -> DataFrame:
 def box_statistics(rows: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, and outlier counts."""
     x = rows.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("x"))
-    q = x.groupBy(by).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(x, [by], {"q": F.col("x")}, (0.25, 0.5, 0.75)).toDF(by, "q1", "median", "q3")
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-    return x.join(q, by).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("fliers"), F.count("*").alias("n"))
+    return join_keys(x, q, [by]).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("fliers"), F.count("*").alias("n"))
 
 
 def line_fit(sessions: DataFrame, by: Sequence[str]) -> DataFrame:
