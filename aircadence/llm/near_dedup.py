@@ -16,14 +16,15 @@
    too.  The test for "may" loses nothing: each document has a bit array in
    which every shingle flips one bit, so two arrays never differ in more bits
    than the sets differ in shingles.
-6. Members of such buckets with more than ``max_block`` members, families of
-   texts that share much but not enough, meet under their rarest shingles
-   instead: if two sets are similar, the first few shingles of each, the rarest
-   first, have one in common, and those of one shingle more have two.  Blocks
-   of one rare shingle that are still too large are cut by a second one, and
-   what is then left is dealt into pairs of bounded blocks.  No step loses a
-   pair of the members, whatever bands it shares, and no task holds a large
-   group.
+6. Buckets of more than ``max_block`` members are cut without losing a pair,
+   and no task holds a large group.  Where all but a few members are of one
+   component, its members are dealt into blocks, and the few go to each block.
+   Families of texts that share much but not enough have many components;
+   their members meet under their rarest shingles instead: if two sets are
+   similar, the first few shingles of each, the rarest first, have one in
+   common, and those of one shingle more have two.  Blocks of one rare shingle
+   that are still too large are cut by a second one, and what is then left is
+   dealt into pairs of bounded blocks.
 
 A pair at similarity 0.85 shares none of the 42 bands with probability 2e-9.
 
@@ -226,8 +227,8 @@ def _rarest(percent: int, order: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = order.value
         for batch in batches:
-            shingles, places, firsts, ids = [], [], [], []
-            for node, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1)), strict=True):
+            shingles, places, firsts, ids, comps = [], [], [], [], []
+            for node, comp, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(1)), strict=True):
                 n = len(own)
                 if not n:
                     continue
@@ -241,37 +242,50 @@ def _rarest(percent: int, order: Broadcast):
                 places.append(np.arange(len(take)))
                 firsts.append(np.arange(len(take)) < first)
                 ids.append(np.full(len(take), node))
+                comps.append(np.full(len(take), comp))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, shingles, places, firsts)], ["id", "shingle", "place", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, comps, shingles, places, firsts)], ["id", "comp", "shingle", "place", "first"])
 
     return run
 
 
-def _blocks(rows: DataFrame, max_block: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with several components, of bounded and of larger size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
-    mixed = work.stage(rows.join(sizes, "bucket"), name)
-    return mixed.where(F.col("n") <= max_block).drop("n"), mixed.where(F.col("n") > max_block)
+def _bounded(rows: DataFrame, max_block: int, work: Workspace, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """Blocks ``(bucket, id, comp)`` of bounded size, and what must be cut otherwise.
 
-
-def _rare_blocks(texts: DataFrame, placed: DataFrame, percent: int, max_block: int, work: Workspace) -> list[DataFrame]:
-    """Blocks ``(bucket, id, ...)`` in which all similar pairs of ``texts`` meet.
-
-    ``texts`` has ``(id, text)`` and ``placed`` ``(id, comp)``.
+    Buckets of one component are left out.  A larger bucket is cut if all but
+    some members, its few, are of one component: pairs within that are of no
+    interest, so its members are dealt into blocks and the few go to each.
+    The rest keeps its bucket and has the bucket's size ``n``.
+    """
+    half = max_block // 2
+    shares = rows.groupBy("bucket", "comp").agg(F.count("*").alias("own")).groupBy("bucket").agg(F.sum("own").alias("n"), F.max("own").alias("most"), F.max_by("comp", F.struct("own", "comp")).alias("main"))
+    shares = work.stage(shares.where("n > most"), f"{name}-sizes")
+    mixed = work.stage(rows.join(broadcast_if_small(shares), "bucket"), name)
+    small, large = mixed.where(F.col("n") <= max_block), mixed.where(F.col("n") > max_block)
+    few = F.col("n") - F.col("most") <= half
+    parts = F.ceil(F.col("most") / half)
+    part = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), parts))).otherwise(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    dealt = large.where(few).select("bucket", "id", "comp", F.explode(part).alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), "id", "comp")
+    return [small.select("bucket", "id", "comp"), dealt], large.where(~few).drop("most", "main")
+
+
+def _rare_blocks(texts: DataFrame, percent: int, max_block: int, work: Workspace) -> list[DataFrame]:
+    """Blocks ``(bucket, id, comp)`` in which all similar pairs of ``texts`` meet.
+
+    ``texts`` has ``(id, text, comp)``.
     """
     # A fixed number of shingles at most, whatever the input; the order need not be exact, only common.
-    top = texts.mapInArrow(_frequent, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
+    top = texts.select("id", "text").mapInArrow(_frequent, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
     shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(shingle)
     order = texts.sparkSession.sparkContext.broadcast((shingle[by], n[by]))
-    rare = work.stage(texts.mapInArrow(_rarest(percent, order), "id bigint, shingle bigint, place bigint, first boolean").join(placed, "id"), "rare")
-    blocks, large = _blocks(rare.where("first").select("id", "comp", "shingle", "place", F.col("shingle").alias("bucket")), max_block, work, "rare-blocks")
-    out = [blocks.select("bucket", "id", "comp")]
+    rare = work.stage(texts.select("id", "text", "comp").mapInArrow(_rarest(percent, order), "id bigint, comp bigint, shingle bigint, place bigint, first boolean"), "rare")
+    out, large = _bounded(rare.where("first").select("id", "comp", "shingle", "place", F.col("shingle").alias("bucket")), max_block, work, "rare-blocks")
     if large.head(1):
         later = rare.select("id", F.col("shingle").alias("second"), F.col("place").alias("after"))
         finer = large.drop("n").join(later, "id").where("after > place").select("id", "comp", F.xxhash64("shingle", "second").alias("bucket"))
-        blocks, large = _blocks(finer, max_block, work, "rarer-blocks")
-        out.append(blocks)
+        blocks, large = _bounded(finer, max_block, work, "rarer-blocks")
+        out += blocks
         if large.head(1):
             out.append(_dealt(large, max_block).select("bucket", "id", "comp"))
     return out
@@ -344,15 +358,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_blo
     comps = work.stage(components(links, work), "comps")
 
     # Buckets that hold members of several components.
-    placed = members.select("bucket", "id", "n").join(broadcast_if_small(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
-    crossed = work.stage(placed.join(mixed, "bucket"), "crossed")
-    work.drop(members)
-    blocks = [crossed.where(F.col("n") <= max_block).select("bucket", "id", "comp")]
-    large = work.stage(crossed.where(F.col("n") > max_block).select("id", "comp").distinct(), "large")
+    placed = members.select("bucket", "id").join(broadcast_if_small(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    blocks, large = _bounded(placed, max_block, work, "crossed")
+    large = work.stage(large.select("id", "comp").distinct(), "large")
     if large.head(1):
-        held = _with_texts(large.select("id"), classes, texts, work, "large")
-        blocks += _rare_blocks(held, broadcast_if_small(large), percent, max_block, work)
+        held = _with_texts(large.select("id"), classes, texts, work, "large").join(broadcast_if_small(large), "id")
+        blocks += _rare_blocks(held, percent, max_block, work)
     details = classes.select("id", "n_shingles", "flips")
     pairs = None
     for block in blocks:
@@ -361,7 +372,6 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_blo
         found = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_across(percent), "a bigint, b bigint")
         pairs = found if pairs is None else pairs.union(found)
     late = _verified(texts, classes, pairs.distinct(), percent, work, "late")
-    work.drop(crossed)
     comps = work.stage(components(links.union(late), work), "comps")
 
     nodes = classes.select("digest", "doc", "id").join(comps, "id", "left").select("digest", "doc", F.coalesce("comp", "id").alias("node_comp"))
