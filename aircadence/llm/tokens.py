@@ -14,7 +14,9 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 250_000
+from aircadence.llm import textkernel as tk
+
+CACHE_PIECES = 160_000
 
 #: Printable ASCII and Latin-1 without the no-break space: such a piece needs no
 #: normal form, and its lower case is that of its characters one by one.
@@ -97,6 +99,7 @@ _encoders: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker, kept from task to task."""
     if path not in _encoders:
+        tk.forget()
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
