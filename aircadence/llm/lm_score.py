@@ -51,7 +51,7 @@ from aircadence.workspace import Workspace, broadcast_if_small
 
 #: Broadcast are n-grams with at least one in so many signs.
 HOT = 100_000
-GROUP_SIGNS = 1 << 20
+GROUP_SIGNS = 1 << 19
 _SIGN = np.uint64(0x5DEECE66D0000002)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _ONE = np.uint64(1)
@@ -222,12 +222,12 @@ def _named(table: pa.Table) -> pa.Table:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", smoothing: float = 0.01, buckets: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``(id_col, n_words, score)``, scores to 6 places.
 
-    ``smoothing`` is the a of the bigram model.  ``buckets`` (default: the
-    number of shuffle partitions) share the n-grams; each must fit a task.
+    ``smoothing`` is the a of the bigram model.  ``buckets`` (default: twice
+    the number of shuffle partitions) share the n-grams; each must fit a task.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     good = work.stage(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)), "good")
     marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "id")
