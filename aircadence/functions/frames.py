@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aircadence import schema as S
 
@@ -113,6 +113,25 @@ def frame_features(frames: DataFrame) -> DataFrame:
     )
 
 
+def radiotap_struct() -> Column:
+    """Radiotap fields of a parsed frame with what is derived from them, as one struct."""
+    freq = F.coalesce("channel_freq", F.lit(0))
+    fields = ("rssi", "ant_noise", "data_rate", "channel_freq", "mcs_index")
+    return F.struct(*fields, (freq > 4000).alias("is_5ghz"), estimated_distance().alias("estimated_distance_m"))
+
+
+def mac_struct() -> Column:
+    """MAC fields of a parsed frame with what is derived from them, as one struct."""
+    fields = ("frame_type", "frame_subtype", "to_ds", "from_ds", "sa", "da", "ta", "ra", "bssid", "seq_num", "duration", "retry", "protected", "qos_priority")
+    told = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(*fields, ds_mode().alias("ds_mode"), told(is_uplink()).alias("is_uplink"), told(is_downlink()).alias("is_downlink"), told(is_qos_data()).alias("is_qos_data"))
+
+
+def frame_batch(frames: DataFrame, max_frames: int | None = None) -> DataFrame:
+    """Frame features of the first frames of each file; None and 0 mean all."""
+    return frame_features(head_per_file(frames, max_frames or None))
+
+
 def is_camera_like() -> Column:
     """At least three of five signs, on frame features."""
     signs = (F.col("is_data") * F.col("is_uplink") == 1, F.col("is_qos_data") == 1, F.col("protected_flag") == 1, F.col("frame_len") > 1000, F.col("data_rate") > 50)
@@ -120,10 +139,15 @@ def is_camera_like() -> Column:
 
 
 def head_per_file(frames: DataFrame, max_frames: int | None) -> DataFrame:
-    """The first frames of each file (None: all; 0: none)."""
+    """The first frames of each file (None: all; 0: none).
+
+    Spark keeps only so many frames of a file in each task before it ranks them.
+    """
     if max_frames is None:
         return frames
-    return frames.join(frames.groupBy("source_file").agg(F.min("frame_no").alias("__first")), "source_file").where(F.col("frame_no") < F.col("__first") + max_frames).drop("__first")
+    name = "__place"
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("frame_no"))
+    return frames.withColumn(name, place).where(F.col(name) <= max_frames).drop(name)
 
 
 def display_filter(expression: str) -> Column:

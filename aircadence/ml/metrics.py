@@ -58,45 +58,53 @@ def binary_detection(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", 2 * c("tp") / F.greatest(2 * c("tp") + c("fp") + c("fn"), one))
 
 
-def _steps(rows: DataFrame) -> DataFrame:
+def _steps(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Each distinct score's own positives and negatives, the sums down to it and the totals.
 
     Scores are dealt to tasks by range.  Running sums stay inside a range; only
-    one row for each range goes through a single task.
+    one row for each range goes through a single task.  ``by`` keeps groups apart.
     """
     spark = rows.sparkSession
-    steps = rows.groupBy("score").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("q"))
+    steps = rows.groupBy(*by, "score").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") != 1).alias("q"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = Workspace(spark, "score-steps").stage(steps.repartitionByRange(parts, F.desc("score")).withColumn("part", F.spark_partition_id()), "steps")
-    before, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    ranges = steps.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    steps = Workspace(spark, "score-steps").stage(steps.repartitionByRange(parts, *by, F.desc("score")).withColumn("part", F.spark_partition_id()), "steps")
+    before, every = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    ranges = steps.groupBy(*by, "part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     none = F.lit(0)
     ranges = ranges.select(
-        "part", F.coalesce(F.sum("p").over(before), none).alias("p0"), F.coalesce(F.sum("q").over(before), none).alias("q0"),
+        *by, "part", F.coalesce(F.sum("p").over(before), none).alias("p0"), F.coalesce(F.sum("q").over(before), none).alias("q0"),
         F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"),
     )
-    down = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = steps.select("part", "score", "p", "q", F.sum("p").over(down).alias("p1"), F.sum("q").over(down).alias("q1"))
-    return summed.join(F.broadcast(ranges), "part").select("score", "p", "q", (F.col("p0") + F.col("p1")).alias("tp"), (F.col("q0") + F.col("q1")).alias("fp"), "positives", "negatives")
+    down = Window.partitionBy(*by, "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = steps.select(*by, "part", "score", "p", "q", F.sum("p").over(down).alias("p1"), F.sum("q").over(down).alias("q1"))
+    return summed.join(F.broadcast(ranges), [*by, "part"]).select(*by, "score", "p", "q", (F.col("p0") + F.col("p1")).alias("tp"), (F.col("q0") + F.col("q1")).alias("fp"), "positives", "negatives")
 
 
-def score_steps(rows: DataFrame) -> DataFrame:
+def score_steps(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """For each distinct score: true and false positives from the highest down to it."""
-    return _steps(rows).drop("p", "q")
+    return _steps(rows, by).drop("p", "q")
 
 
-def roc_curve(rows: DataFrame) -> DataFrame:
-    return score_steps(rows).where("positives > 0 and negatives > 0").select("score", (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
+def roc_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rates at each distinct score; groups with one class only have no curve."""
+    return score_steps(rows, by).where("positives > 0 and negatives > 0").select(*by, "score", (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
 
 
-def pr_curve(rows: DataFrame) -> DataFrame:
-    return score_steps(rows).where("positives > 0").select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
+def pr_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return score_steps(rows, by).where("positives > 0").select(*by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
 
 
-def roc_auc(rows: DataFrame) -> DataFrame:
+def roc_auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by trapezes (null with one class only)."""
-    s = _steps(rows).withColumn("y2", 2 * F.col("tp") - F.col("p"))
-    return s.agg(F.try_divide(F.sum(F.col("q") * F.col("y2")) / 2.0, (F.max("positives") * F.max("negatives")).cast("double")).alias("auc"))
+    s = _steps(rows, by).withColumn("y2", 2 * F.col("tp") - F.col("p"))
+    return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("q") * F.col("y2")) / 2.0, (F.max("positives") * F.max("negatives")).cast("double")).alias("auc"))
+
+
+def one_vs_rest(rows: DataFrame, label: str, probabilities: str, names: Sequence[str]) -> DataFrame:
+    """A row ``(label, y_true, score)`` for each row and class, for curves with ``by=["label"]``."""
+    each = rows.select(F.col(label).alias("__y"), F.posexplode(probabilities).alias("__k", "score"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("__k") + 1)
+    return each.select(name.alias("label"), (F.col("__y") == F.col("__k")).cast("int").alias("y_true"), "score")
 
 
 def weighted_vote(probabilities: Sequence[str], weights: Sequence[float]) -> Column:
@@ -115,14 +123,31 @@ def argmax(probabilities: Column) -> Column:
     return F.array_position(probabilities, F.array_max(probabilities)) - 1
 
 
-def weight_search(rows: DataFrame, label: str, first: str, second: str, most: int = 5) -> DataFrame:
-    """Accuracy of the soft vote for all pairs of weights 1..most, best first.
+def weight_search(rows: DataFrame, label: str, first: str, second: str, most: int = 5, metric: str = "accuracy") -> DataFrame:
+    """Score of the soft vote for all pairs of weights 1..most, best first.
 
-    Every row meets a fixed grid of weights, in one aggregation.
+    Every row meets a fixed grid of weights, in one aggregation.  ``metric`` is
+    "accuracy" or "f1_weighted".
     """
     grid = F.array(*(F.struct(F.lit(a).alias("w1"), F.lit(b).alias("w2")) for a in range(1, most + 1) for b in range(1, most + 1)))
     tried = rows.select(label, first, second, F.explode(grid).alias("g")).select(label, "g.w1", "g.w2", F.zip_with(first, second, lambda a, b: a * F.col("g.w1") + b * F.col("g.w2")).alias("p"))
-    return tried.groupBy("w1", "w2").agg(F.avg((argmax(F.col("p")) == F.col(label)).cast("double")).alias("accuracy")).orderBy(F.desc("accuracy"), "w1", "w2")
+    if metric == "accuracy":
+        scored = tried.groupBy("w1", "w2").agg(F.avg((argmax(F.col("p")) == F.col(label)).cast("double")).alias("accuracy"))
+    else:
+        # Weighted F1 from the counts of (weights, true, predicted).
+        counts = tried.groupBy("w1", "w2", F.col(label).cast("int").alias("t"), argmax(F.col("p")).cast("int").alias("s")).count()
+        side = lambda c, true, said: F.struct(F.col(c).alias("k"), F.when(F.col("t") == F.col("s"), F.col("count")).otherwise(0).alias("tp") if true else F.lit(0).cast("bigint").alias("tp"), (F.col("count") if true else F.lit(0).cast("bigint")).alias("true"), (F.col("count") if said else F.lit(0).cast("bigint")).alias("said"))
+        sides = counts.select("w1", "w2", F.explode(F.array(side("t", True, False), side("s", False, True))).alias("x")).select("w1", "w2", "x.*")
+        each = sides.groupBy("w1", "w2", "k").agg(F.sum("tp").alias("tp"), F.sum("true").alias("true"), F.sum("said").alias("said"))
+        f1 = _ratio(2 * F.col("tp"), F.col("true") + F.col("said"))
+        scored = each.groupBy("w1", "w2").agg((F.sum(f1 * F.col("true")) / F.sum("true")).alias(metric))
+    return scored.orderBy(F.desc(metric), "w1", "w2")
+
+
+def best_weights(searched: DataFrame) -> tuple[tuple[int, int], float]:
+    """The first weights with the best score; equal ones if all scores are 0."""
+    top = searched.first()
+    return ((1, 1), 0.0) if top is None or not top[2] else ((top.w1, top.w2), top[2])
 
 
 def rank_features(importances: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Classifiers on Spark ML: random forest, kernel SVM by random features,
-soft-voting ensemble, importances, PCA, persistence and evaluation."""
+soft-voting ensemble, searches, importances, PCA, persistence and evaluation."""
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +30,39 @@ def random_forest(trees: int = 100, depth: int = 20, leaf: int = 1, seed: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed, labelCol="label_index", featuresCol="features", weightCol="weight")
 
 
-def random_features(dims: int, out: int = 256, gamma: float | None = None, seed: int = 42) -> SQLTransformer:
-    """A transformer that approximates the RBF kernel by ``out`` random cosines."""
+def kernel_width(rows: DataFrame, dims: int, gamma: float | str | None) -> float:
+    """The kernel's gamma: a number, "auto" (1 / columns) or "scale" (that over the variance of all entries)."""
+    if gamma in (None, "auto"):
+        return 1.0 / dims
+    if gamma != "scale":
+        return float(gamma)
+    values = F.explode(vector_to_array("features"))
+    return 1.0 / (dims * (rows.select(values.alias("x")).agg(F.var_pop("x")).first()[0] or 1.0))
+
+
+def random_features(dims: int, out: int = 256, gamma: float | None = None, seed: int = 42, kernel: str = "rbf") -> SQLTransformer:
+    """A transformer that approximates a kernel by ``out`` random features of ``__x``.
+
+    "rbf": random cosines.  "poly" (degree 3): products of three random signed
+    sums, whose expected products are the third powers of the scaled dot product.
+    """
     rng = np.random.default_rng(seed)
     gamma = 1.0 / dims if gamma is None else gamma
-    directions = rng.normal(0, np.sqrt(2 * gamma), (out, dims))
-    shifts = rng.uniform(0, 2 * np.pi, out)
+    numbers = lambda w: f"array({', '.join(f'{x!r}D' for x in w)})"
     # One array literal; the dot products are higher-order functions in the plan.
-    rows = ", ".join(f"named_struct('b', {b!r}D, 'w', array({', '.join(f'{x!r}D' for x in w)}))" for b, w in zip(shifts.tolist(), directions.tolist(), strict=True))
-    cosine = "cos(r.b + aggregate(zip_with(r.w, __x, (p, q) -> p * q), 0D, (s, v) -> s + v))"
-    return SQLTransformer(statement=f"SELECT *, transform(array({rows}), r -> {float(np.sqrt(2 / out))!r}D * {cosine}) AS __kernel FROM __THIS__")
+    dot = "aggregate(zip_with(r.{0}, __x, (p, q) -> p * q), 0D, (s, v) -> s + v)"
+    if kernel == "rbf":
+        directions = rng.normal(0, np.sqrt(2 * gamma), (out, dims))
+        shifts = rng.uniform(0, 2 * np.pi, out)
+        rows = ", ".join(f"named_struct('b', {b!r}D, 'w', {numbers(w)})" for b, w in zip(shifts.tolist(), directions.tolist(), strict=True))
+        feature, scale = f"cos(r.b + {dot.format('w')})", float(np.sqrt(2 / out))
+    elif kernel == "poly":
+        signs = rng.choice([-1.0, 1.0], (out, 3, dims)) * np.sqrt(gamma)
+        rows = ", ".join(f"named_struct('u', {numbers(u)}, 'v', {numbers(v)}, 'w', {numbers(w)})" for u, v, w in signs.tolist())
+        feature, scale = " * ".join(dot.format(c) for c in "uvw"), float(np.sqrt(1 / out))
+    else:
+        raise ValueError(f"kernel {kernel}")
+    return SQLTransformer(statement=f"SELECT *, transform(array({rows}), r -> {scale!r}D * {feature}) AS __kernel FROM __THIS__")
 
 
 def _kernel(rows: DataFrame, mapper: SQLTransformer) -> DataFrame:
@@ -58,9 +82,35 @@ class KernelSvm:
         out = self.calibration.transform(self.machines.transform(_kernel(rows, self.mapper)))
         return out.drop("kernel_features", "rawPrediction", "svm_class", "platt_raw", "svm_margin")
 
+    def save(self, path: str) -> None:
+        for name, part in (("mapper", self.mapper), ("machines", self.machines), ("calibration", self.calibration)):
+            part.write().overwrite().save(f"{path}/{name}")
 
-def fit_kernel_svm(rows: DataFrame, dims: int, out: int = 256, reg: float = 0.01, gamma: float | None = None, seed: int = 42) -> KernelSvm:
-    mapper = random_features(dims, out, gamma, seed)
+    @classmethod
+    def load(cls, path: str) -> KernelSvm:
+        return cls(SQLTransformer.load(f"{path}/mapper"), PipelineModel.load(f"{path}/machines"), PipelineModel.load(f"{path}/calibration"))
+
+
+@dataclass
+class Vote:
+    """Soft vote of fitted models, by weighted means of class probabilities."""
+
+    members: dict[str, object]
+    weights: tuple[float, ...]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        names = [f"__{n}" for n in self.members]
+        for name, model in zip(names, self.members.values(), strict=True):
+            rows = predictions(model, rows, name)
+        voted = rows.withColumn("__p", weighted_vote(names, self.weights))
+        return voted.withColumn("prediction", argmax(F.col("__p")).cast("double")).withColumn("probability", array_to_vector("__p")).drop("__p", *names)
+
+
+def fit_kernel_svm(rows: DataFrame, dims: int, out: int = 256, reg: float = 0.01, gamma: float | str | None = None, seed: int = 42, kernel: str = "rbf", c: float | None = None) -> KernelSvm:
+    """Fit the machines; ``c``, if given, sets the penalty to 1 / (c * rows)."""
+    if c is not None:
+        reg = 1.0 / (c * max(1, rows.count()))
+    mapper = random_features(dims, out, kernel_width(rows, dims, gamma), seed, kernel)
     # The kernel map is costly next to a training step, so it runs once.
     mapped = Workspace(rows.sparkSession, "kernel-svm").stage(_kernel(rows, mapper), "mapped")
     svc = LinearSVC(regParam=reg, maxIter=20, featuresCol="kernel_features")
@@ -71,6 +121,44 @@ def fit_kernel_svm(rows: DataFrame, dims: int, out: int = 256, reg: float = 0.01
     return KernelSvm(mapper, machines, Pipeline(stages=[margin, platt]).fit(machines.transform(mapped)))
 
 
+def fit_forest(rows: DataFrame, trees: int = 100, depth: int = 20, leaf: int = 1, seed: int = 42) -> PipelineModel:
+    return PipelineModel(stages=[random_forest(trees, depth, leaf, seed).fit(rows)])
+
+
+def _told(model, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).select(F.col("label_index").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
+def search(rows: DataFrame, fit: Callable[..., object], grid: dict[str, Sequence], folds: int = 5, fold_col: str = "fold", metric: str = "f1_weighted") -> tuple[object, dict, list[tuple[dict, float]]]:
+    """The model of the best parameters, fitted on all rows, the parameters, and the mean score of each.
+
+    ``fit(rows, **parameters)`` gives a model; of equal scores the first in
+    grid order wins.  The driver loops over fits, each of which is distributed.
+    """
+    tried = []
+    for values in itertools.product(*grid.values()):
+        chosen = dict(zip(grid, values, strict=True))
+        scores = []
+        for k in range(folds):
+            model = fit(rows.where(F.col(fold_col) != k), **chosen)
+            scores.append(overall_metrics(_told(model, rows.where(F.col(fold_col) == k))).first()[metric] or 0.0)
+        tried.append((chosen, sum(scores) / folds))
+    best = max(tried, key=lambda t: t[1])[0]
+    return fit(rows, **best), best, tried
+
+
+def cross_scores(rows: DataFrame, fit: Callable[[DataFrame], object], folds: int = 5, fold_col: str = "fold") -> DataFrame:
+    """Accuracy and macro and weighted F1 on the test and the training side of each fold."""
+    out = None
+    for k in range(folds):
+        inside, outside = rows.where(F.col(fold_col) != k), rows.where(F.col(fold_col) == k)
+        model = fit(inside)
+        for side, part in (("test", outside), ("train", inside)):
+            one = overall_metrics(_told(model, part)).select(F.lit(k).alias("fold"), F.lit(side).alias("side"), "accuracy", "f1_macro", "f1_weighted")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def predictions(model, rows: DataFrame, name: str) -> DataFrame:
     """Add ``name``, an array of class probabilities."""
     out = model.transform(rows).withColumn(name, vector_to_array("probability"))
@@ -96,7 +184,14 @@ def grid_search(rows: DataFrame, estimator, grid: dict, folds: int = 5, parallel
 #: The grids searched for many and for two classes.
 FOREST_GRID = {"numTrees": (100, 200, 300), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2, 4)}
 FOREST_GRID_BINARY = {"numTrees": (150, 250, 350), "maxDepth": (15, 25, 30), "minInstancesPerNode": (1, 2)}
-SVM_REG_GRID = {"regParam": (10.0, 1.0, 0.1, 0.01)}
+SVM_GRID = {"c": (0.1, 1, 10, 100), "gamma": ("scale", "auto", 0.01, 0.1), "kernel": ("rbf", "poly")}
+SVM_GRID_BINARY = {"c": (0.5, 1, 5, 10, 50), "gamma": ("scale", "auto", 0.05, 0.1)}
+#: The same forest grids by the names of :func:`fit_forest`.
+_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "leaf"}
+
+
+def forest_search_grid(binary: bool) -> dict[str, Sequence]:
+    return {_FOREST_NAMES[k]: v for k, v in (FOREST_GRID_BINARY if binary else FOREST_GRID).items()}
 
 
 def importances(model, columns: Sequence[str], spark: SparkSession) -> DataFrame:
@@ -125,6 +220,12 @@ def alerts(rows: DataFrame, positive: str, least: float = 0.5) -> DataFrame:
     return rows.where((F.col("predicted_type") == positive) & (F.col("confidence") >= least))
 
 
+def choose_model(f1: dict[str, float]) -> str:
+    """The ensemble, unless the SVM or the forest has a higher score; the forest must beat both."""
+    best = "svm" if f1["ensemble"] < f1["svm"] else "ensemble"
+    return "rf" if f1["rf"] > max(f1["svm"], f1["ensemble"]) else best
+
+
 def best_model(f1: dict[str, float]) -> str:
     """The name with the highest F1; of equals the one named first."""
     return max(f1, key=f1.get)
@@ -139,15 +240,27 @@ def compare_models(results: dict[str, DataFrame]) -> DataFrame:
     return out.orderBy(F.desc("f1_weighted"), "model")
 
 
-def save_bundle(model: PipelineModel, path: str, feature_names: Sequence[str], label_names: Sequence[str], kind: str) -> None:
-    """Save a fitted pipeline, and its names as a small table beside it."""
-    model.write().overwrite().save(f"{path}/model")
+def save_bundle(model, path: str, feature_names: Sequence[str], label_names: Sequence[str], kind: str) -> None:
+    """Save a fitted forest, kernel SVM or vote, and its names as a small table beside it."""
+    meta = {"feature_names": list(feature_names), "label_names": list(label_names), "model_type": kind}
+    parts = model.members if isinstance(model, Vote) else {"": model}
+    if isinstance(model, Vote):
+        meta |= {"members": {n: type(m).__name__ for n, m in parts.items()}, "weights": list(model.weights)}
+    else:
+        meta["class"] = type(model).__name__
+    for name, part in parts.items():
+        where = f"{path}/model/{name}".rstrip("/")
+        part.save(where) if isinstance(part, KernelSvm) else part.write().overwrite().save(where)
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps({"feature_names": list(feature_names), "label_names": list(label_names), "model_type": kind}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+def load_bundle(spark: SparkSession, path: str) -> tuple[object, dict]:
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    kinds = {"KernelSvm": KernelSvm, "PipelineModel": PipelineModel}
+    if "members" in meta:
+        return Vote({n: kinds[k].load(f"{path}/model/{n}") for n, k in meta["members"].items()}, tuple(meta["weights"])), meta
+    return kinds[meta.get("class", "PipelineModel")].load(f"{path}/model"), meta
 
 
 def label_indexer(label: str) -> StringIndexer:

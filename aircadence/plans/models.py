@@ -1,4 +1,4 @@
-"""Registered queries of models and streams, which SQL cannot express."""
+"""Registered queries of models, which SQL cannot express, and of streams."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.functions.frames import frame_features
 from aircadence.ml import models, prep
+from aircadence.operators.flows import PAIR
+from aircadence.plans import oracle as O
 from aircadence.sources import fixture
 from aircadence.streaming import streams
 from aircadence.workspace import Workspace
@@ -87,11 +89,25 @@ def _drained(spark: SparkSession, d: str, build) -> DataFrame:
 
 
 def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, d, streams.window_counts)
+    out = _drained(spark, d, streams.window_counts)
+    ratios = (F.round(F.col(c), 4).alias(c) for c in ("data_frame_ratio", "uplink_ratio", "mean_global_rssi"))
+    return out.select("source_file", F.unix_seconds("window_start").alias("window_sec"), "packet_count", "total_traffic_volume", "unique_sources", *ratios)
 
 
 def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, d, lambda s: streams.session_bursts(streams.flow_sessions(s, 30.0), 2000.0))
+    out = _drained(spark, d, lambda s: streams.flow_sessions(s, 30.0, 2000.0))
+    return out.select(*PAIR, "packet_count", "total_bytes", *(F.round(c, 4).alias(c) for c in ("start_ts", "end_ts", "uplink_ratio")), "burst_count", "burst_bytes")
 
 
 QUERIES = {f.__name__: f for f in (rf_predictions, svm_predictions, ensemble_predictions, importance, pca_projection, streaming_windows, streaming_sessions)}
+
+#: What a stream has appended at its end equals one query over all frames.
+SQL = {
+    "streaming_windows": O.sql("""SELECT source_file, CAST(floor(timestamp / 10) * 10 AS BIGINT) AS window_sec, count(*) AS packet_count, CAST(sum(frame_len) AS BIGINT) AS total_traffic_volume,
+  CAST(count(DISTINCT sa) AS INT) AS unique_sources, round(avg(is_data), 4) AS data_frame_ratio, round(avg(is_uplink), 4) AS uplink_ratio, round(avg(rssi), 4) AS mean_global_rssi
+  FROM ff GROUP BY ALL""", O.FF),
+    "streaming_sessions": O.sql("""SELECT source_file, sa, da, packet_count, total_bytes, round(start_ts, 4) AS start_ts, round(end_ts, 4) AS end_ts, round(up, 4) AS uplink_ratio,
+  coalesce(n, 0) AS burst_count, coalesce(b, 0) AS burst_bytes
+  FROM (SELECT source_file, sa, da, flow_id, count(*) AS packet_count, CAST(sum(frame_len) AS BIGINT) AS total_bytes, min(timestamp) AS start_ts, max(timestamp) AS end_ts, avg(is_uplink) AS up FROM se GROUP BY ALL)
+  LEFT JOIN (SELECT source_file, sa, da, flow_id, count(*) AS n, CAST(sum(total_bytes) AS BIGINT) AS b FROM bu GROUP BY ALL) USING (source_file, sa, da, flow_id)""", O.FF, O.SE, O.BU),
+}

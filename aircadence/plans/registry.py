@@ -437,11 +437,51 @@ def display_filter(spark, d):
     return rows.where(X.display_filter(f"wlan && wlan.fc.type == 2 && wlan.fc.type_subtype == 0x28 && wlan.addr == {mac}")).select("frame_no")
 
 
-@query(O.sql("SELECT source_file, frame_no FROM (SELECT *, min(frame_no) OVER (PARTITION BY source_file) AS f FROM fr) WHERE frame_no < f + 100"))
+@query(O.sql("SELECT source_file, frame_no FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY frame_no) AS k FROM fr) WHERE k <= 100"))
 def frames_per_file(spark, d):
     return X.head_per_file(_frames(spark, d), 100).select("source_file", "frame_no")
 
 
+_DISTANCE = "CASE WHEN rssi IS NULL THEN NULL WHEN 20 - rssi <= 0 THEN 1e-1 ELSE round(10 ** ((20 - rssi - 20 * log10(coalesce(nullif(channel_freq, 0), 2437)) + 2755e-2) / 20), 2) END"
+
+
+@query(O.sql(f"SELECT source_file, frame_no, channel_freq, coalesce(channel_freq, 0) > 4000 AS is_5ghz, {_DISTANCE} AS estimated_distance_m FROM fr"))
+def radiotap_struct(spark, d):
+    rows = _frames(spark, d).select("source_file", "frame_no", X.radiotap_struct().alias("r"))
+    return rows.select("source_file", "frame_no", "r.channel_freq", "r.is_5ghz", "r.estimated_distance_m")
+
+
+@query(O.sql("""SELECT source_file, frame_no, seq_num, CASE WHEN coalesce(to_ds, 0) = 0 AND coalesce(from_ds, 0) = 0 THEN 'ad_hoc' WHEN coalesce(from_ds, 0) = 0 THEN 'sta_to_ap' WHEN coalesce(to_ds, 0) = 0 THEN 'ap_to_sta' ELSE 'wds' END AS ds_mode,
+  coalesce(to_ds = 1 AND from_ds = 0, false) AS is_uplink, coalesce(to_ds = 0 AND from_ds = 1, false) AS is_downlink, frame_type = 2 AND frame_subtype = 40 AS is_qos_data FROM fr"""))
+def mac_struct(spark, d):
+    rows = _frames(spark, d).select("source_file", "frame_no", X.mac_struct().alias("m"))
+    return rows.select("source_file", "frame_no", "m.seq_num", "m.ds_mode", "m.is_uplink", "m.is_downlink", "m.is_qos_data")
+
+
+@query(O.sql("SELECT source_file, frame_no, size_bin FROM ff", O.FF))
+def frame_batch_unlimited(spark, d):
+    return X.frame_batch(_frames(spark, d), 0).select("source_file", "frame_no", "size_bin")
+
+
+@query(O.sql("SELECT source_file, frame_no, size_bin FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY frame_no) AS k FROM ff) WHERE k <= 50", O.FF))
+def frame_batch(spark, d):
+    return X.frame_batch(_frames(spark, d), 50).select("source_file", "frame_no", "size_bin")
+
+
+@query(O.sql("SELECT CAST(g AS VARCHAR) AS label, round(sum(q * (2 * tp - p)) / 2e0 / any_value(pp) / any_value(nn), 4) AS auc FROM (SELECT g, p, q, sum(p) OVER (PARTITION BY g ORDER BY s DESC) AS tp, sum(p) OVER (PARTITION BY g) AS pp, sum(q) OVER (PARTITION BY g) AS nn FROM st) GROUP BY g",
+  O.PR, "oc AS (SELECT 0 AS g, (y_true = 0)::INT AS y, 1 - score AS s FROM pr UNION ALL SELECT 1, (y_true = 1)::INT, score FROM pr)", "st AS (SELECT g, s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM oc GROUP BY g, s)"))
+def roc_auc_by_class(spark, d):
+    rows = _outcomes(spark, d).select("y_true", F.array(1 - F.col("score"), F.col("score")).alias("p"))
+    return _round(M.roc_auc(M.one_vs_rest(rows, "y_true", "p", ["0", "1"]), ["label"]), "auc", "label")
+
+
+@query(O.sql("SELECT w1, w2, round(sum(CASE WHEN t + s > 0 THEN 2e0 * tp / (t + s) ELSE 0 END * t) / sum(t), 4) AS f1_weighted FROM wf GROUP BY w1, w2", O.PR, _VT,
+  "wp AS (SELECT CAST(a AS INT) AS w1, CAST(b AS INT) AS w2, y_true, (a * score + b * score2 > a * (1 - score) + b * (1 - score2))::INT AS said FROM vt, range(1, 6) x(a), range(1, 6) y(b))",
+  "wf AS (SELECT w1, w2, k, count(*) FILTER (y_true = k AND said = k) AS tp, count(*) FILTER (y_true = k) AS t, count(*) FILTER (said = k) AS s FROM wp, range(0, 2) c(k) GROUP BY w1, w2, k)"))
+def weight_search_f1(spark, d):
+    return _round(M.weight_search(_votes(spark, d), "y_true", "p1", "p2", metric="f1_weighted"), "f1_weighted", "w1 w2")
+
+
 @query(O.sql("SELECT source_file, count(*) AS frames, round(min(timestamp), 4) AS first_ts, round(max(timestamp), 4) AS last_ts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM fr GROUP BY 1"))
 def capture_summary(spark, d):
     from aircadence.sources import readers
@@ -452,3 +492,4 @@ def capture_summary(spark, d):
 from aircadence.plans import models as _models  # noqa: E402
 
 QUERIES.update(_models.QUERIES)
+SQL.update(_models.SQL)

@@ -44,4 +44,16 @@ SIGNATURE_FEATURES = (
     "large_frame_ratio", "mean_frame_size", "uplink_ratio", "qos_data_ratio", "mean_iat", "cv_iat", "burst_count", "burst_regularity",
     "burst_density", "mean_burst_packets", "mean_burst_bytes", "mean_data_rate", "protected_ratio", "mean_rssi", "rssi_range", "is_5ghz", "throughput_bps",
 )
+#: Features grouped by what they tell of.
+FEATURE_GROUPS = {
+    "frame_size": ("mean_frame_size", "std_frame_size", "large_frame_ratio", "small_frame_ratio"),
+    "inter_arrival_time": ("mean_iat", "std_iat", "cv_iat", "median_iat"),
+    "direction": ("uplink_ratio",),
+    "signal_strength": ("mean_rssi", "std_rssi", "rssi_range", "rssi_trend"),
+    "frame_type": ("data_frame_ratio", "mgmt_frame_ratio", "qos_data_ratio"),
+    "burst": ("burst_count", "mean_burst_packets", "mean_burst_bytes", "burst_regularity", "burst_density"),
+    "data_rate": ("mean_data_rate", "max_data_rate"),
+    "qos_encryption": ("protected_ratio", "retry_ratio"),
+    "throughput": ("throughput_bps", "packet_count", "total_bytes"),
+}
 DEVICE_TYPES = ("wireless_camera", "smartphone", "laptop", "tablet", "iot_device", "smart_tv", "router", "unknown")

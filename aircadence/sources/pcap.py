@@ -1,8 +1,10 @@
 """The ``pcap`` data source: capture files as rows of the frame schema.
 
-Reads pcap (both byte orders, micro- and nanoseconds) and pcapng files with
-radiotap or bare 802.11 frames.  Each file is one partition, read record by
-record, so memory does not grow with the file.
+Reads pcap (both byte orders, micro- and nanoseconds) and pcapng files (enhanced,
+simple and obsolete packet blocks) with radiotap or bare 802.11 frames.  Each
+file is one partition, read record by record, so memory does not grow with the
+file.  A capture that was cut off in its last record ends there; a length that
+no record can have is an error, as the rest of the file cannot be read.
 """
 
 from __future__ import annotations
@@ -104,13 +106,15 @@ def _pcap(stream, magic: bytes) -> Iterator[tuple[float, int, int, bytes]]:
     link = struct.unpack_from(order + "I", head, 16)[0] & 0xFFFF
     while (record := _exactly(stream, 16)) is not None:
         seconds, part, held, length = struct.unpack(order + "IIII", record)
-        if held > _MAX_RECORD or (data := _exactly(stream, held)) is None:
+        if held > _MAX_RECORD:
+            raise ValueError(f"a record of {held} bytes")
+        if (data := _exactly(stream, held)) is None:
             return
         yield seconds + part * unit, length, link, data
 
 
 def _pcapng(stream, first: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    order, links, units, kind = "<", [], [], first
+    order, links, units, limits, kind = "<", [], [], [], first
     while kind is not None:
         size = _exactly(stream, 4)
         if size is None:
@@ -120,18 +124,19 @@ def _pcapng(stream, first: bytes) -> Iterator[tuple[float, int, int, bytes]]:
             if mark is None:
                 return
             order = "<" if mark == b"\x4d\x3c\x2b\x1a" else ">"
-            links, units, skip = [], [], 12
+            links, units, limits, skip = [], [], [], 12
         else:
             skip = 8
         total = struct.unpack(order + "I", size)[0]
         if not skip + 4 <= total <= _MAX_RECORD:
-            return
+            raise ValueError(f"a block of {total} bytes")
         body = _exactly(stream, total - skip)
         if body is None:
             return
         name = struct.unpack(order + "I", kind)[0]
         if name == 1 and len(body) >= 12:
             links.append(struct.unpack_from(order + "H", body)[0])
+            limits.append(struct.unpack_from(order + "I", body, 4)[0])
             unit, at = 1e-6, 8
             while at + 4 <= len(body) - 4:
                 code, n = struct.unpack_from(order + "HH", body, at)
@@ -146,11 +151,22 @@ def _pcapng(stream, first: bytes) -> Iterator[tuple[float, int, int, bytes]]:
             face, high, low, held, length = struct.unpack_from(order + "IIIII", body)
             if face < len(links):
                 yield (high << 32 | low) * units[face], length, links[face], body[20: 20 + held]
+        elif name == 2 and len(body) >= 24:
+            face, _, high, low, held, length = struct.unpack_from(order + "HHIIII", body)
+            if face < len(links):
+                yield (high << 32 | low) * units[face], length, links[face], body[20: 20 + held]
+        elif name == 3 and len(body) >= 8 and links:
+            # A simple block has no time, and its data may be padded.
+            length = struct.unpack_from(order + "I", body)[0]
+            yield 0.0, length, links[0], body[4: 4 + min(length, limits[0] or length, len(body) - 8)]
         kind = _exactly(stream, 4)
 
 
 def read_frames(stream, name: str) -> Iterator[dict]:
-    """Frames of an open capture file; a file that breaks off ends there."""
+    """Frames of an open capture file; a file that breaks off ends there.
+
+    Raises ValueError for a file of another kind or with impossible lengths.
+    """
     magic = _exactly(stream, 4)
     if magic is None:
         return

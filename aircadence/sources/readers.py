@@ -119,7 +119,11 @@ def save_profiles(rows: DataFrame, table: str) -> None:
 
 
 def write_evaluation(metrics: DataFrame, path: str) -> None:
-    """One JSON file of a small metrics table."""
+    """One JSON file of a metrics table, all rows, written as they come."""
     system, where = file_system(path)
     with system.open_output_stream(where) as sink:
-        sink.write(json.dumps([r.asDict(recursive=True) for r in metrics.limit(100_000).collect()], default=str).encode())
+        mark = b"["
+        for row in metrics.toLocalIterator():
+            sink.write(mark + json.dumps(row.asDict(recursive=True), default=str).encode())
+            mark = b", "
+        sink.write(b"[]" if mark == b"[" else b"]")

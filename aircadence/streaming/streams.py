@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from aircadence.functions.frames import _flag
 from aircadence.operators.flows import PAIR, _share
@@ -30,36 +33,97 @@ def window_counts(features: DataFrame, window_sec: int = 10, delay: str = "30 se
     return out.select("source_file", F.col("window.start").alias("window_start"), *out.columns[2:])
 
 
-def flow_sessions(features: DataFrame, timeout_sec: float = 5.0, delay: str = "30 seconds") -> DataFrame:
+#: Of an open session: its figures, those of its open run, and frames that the watermark has not reached.
+_STATE = "start double, last double, packets bigint, bytes bigint, uplink bigint, run_packets bigint, run_bytes bigint, bursts bigint, burst_bytes bigint, waiting binary"
+_SESSION = "packet_count bigint, total_bytes bigint, start_ts double, end_ts double, uplink_ratio double, burst_count bigint, burst_bytes bigint"
+
+
+class _Session:
+    """Running sums of one session."""
+
+    def __init__(self, start, last, packets, size, uplink, run_packets, run_bytes, bursts, burst_bytes):
+        self.start, self.last, self.packets, self.bytes, self.uplink = start, last, packets, size, uplink
+        self.run_packets, self.run_bytes, self.bursts, self.burst_bytes = run_packets, run_bytes, bursts, burst_bytes
+
+    def end_run(self, least: int) -> None:
+        if self.run_packets >= least:
+            self.bursts += 1
+            self.burst_bytes += self.run_bytes
+        self.run_packets = self.run_bytes = 0
+
+    def add_run(self, packets: int, size: int, uplink: int, last: float) -> None:
+        self.packets += packets
+        self.bytes += size
+        self.uplink += uplink
+        self.run_packets += packets
+        self.run_bytes += size
+        self.last = last
+
+    def state(self) -> tuple:
+        return (float(self.start), float(self.last), self.packets, self.bytes, self.uplink, self.run_packets, self.run_bytes, self.bursts, self.burst_bytes)
+
+    def row(self) -> tuple:
+        return (self.packets, self.bytes, self.start, self.last, self.uplink / self.packets, self.bursts, self.burst_bytes)
+
+
+def _fold(session: _Session | None, frames: np.ndarray, timeout_sec: float, burst_ms: float, least: int) -> tuple[_Session | None, list[tuple]]:
+    """Take frames ``(time, number, length, uplink)`` in order into a session; returns the open one and closed rows."""
+    closed: list[tuple] = []
+    if not len(frames):
+        return session, closed
+    gaps = np.diff(frames[:, 0], prepend=session.last if session else -np.inf)
+    breaks = gaps > timeout_sec
+    heads = np.flatnonzero(breaks | (gaps * 1000 > burst_ms) | (np.arange(len(frames)) == 0))
+    for a, b in zip(heads, [*heads[1:], len(frames)], strict=True):
+        part = frames[a:b]
+        if session and gaps[a] * 1000 > burst_ms:
+            session.end_run(least)
+        if session is None or breaks[a]:
+            if session:
+                session.end_run(least)
+                closed.append(session.row())
+            session = _Session(part[0, 0], part[0, 0], 0, 0, 0, 0, 0, 0, 0)
+        session.add_run(len(part), int(part[:, 2].sum()), int(part[:, 3].sum()), part[-1, 0])
+    return session, closed
+
+
+def flow_sessions(features: DataFrame, timeout_sec: float = 5.0, burst_ms: float = 1.0, min_packets: int = 3, delay: str = "30 seconds") -> DataFrame:
     """Flows of closed sessions with size, rate and burst figures, append mode.
 
-    ``session_window`` merges frames whose gap is at most the timeout.  The
-    frames' times and lengths of a session are kept in its state and folded
-    once the watermark closes it.
+    The state of a pair is the running sums of its open session and the frames
+    that the watermark has not reached, as these may still come out of order;
+    a session that never pauses takes no more.  A gap over the timeout closes a
+    session, one over ``burst_ms`` a run; a run of ``min_packets`` is a burst.
     """
-    rows = with_event_time(features).withWatermark("event_time", delay)
-    out = rows.groupBy(*PAIR, F.session_window("event_time", f"{int(timeout_sec * 1000)} milliseconds")).agg(
-        F.count("*").alias("packet_count"), F.sum(F.col("frame_len").cast("bigint")).alias("total_bytes"), F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"),
-        _share(F.col("is_uplink") == 1).alias("uplink_ratio"), F.sort_array(F.collect_list(F.struct("timestamp", "frame_no", "frame_len"))).alias("frames"),
-    )
-    return out.drop("session_window")
-
-
-def session_bursts(sessions: DataFrame, burst_ms: float = 1.0, min_packets: int = 3) -> DataFrame:
-    """Add ``burst_count`` and ``burst_bytes`` to :func:`flow_sessions`' rows.
+    kinds = dict(features.dtypes)
+
+    def step(key, chunks, state):
+        held = state.get if state.exists else (None,) * 9 + (b"",)
+        session = _Session(*held[:9]) if held[0] is not None else None
+        parts = [np.frombuffer(held[9], np.float64).reshape(-1, 4)]
+        parts += [np.stack([chunk[c].to_numpy(dtype=np.float64) for c in ("timestamp", "frame_no", "frame_len", "is_uplink")], axis=1) for chunk in chunks]
+        frames = np.concatenate(parts)
+        frames = frames[np.lexsort((frames[:, 1], frames[:, 0]))]
+        reached = state.getCurrentWatermarkMs() / 1000
+        session, closed = _fold(session, frames[frames[:, 0] < reached], timeout_sec, burst_ms, min_packets)
+        waiting = frames[frames[:, 0] >= reached]
+        if session and session.last + timeout_sec < reached:
+            session.end_run(min_packets)
+            closed.append(session.row())
+            session = None
+        if session or len(waiting):
+            state.update((*(session.state() if session else (None,) * 9), waiting.tobytes()))
+            nearest = min([waiting[0, 0]] * bool(len(waiting)) + ([session.last + timeout_sec] if session else []))
+            state.setTimeoutTimestamp(max(int(nearest * 1000) + 1, int(reached * 1000) + 1))
+        elif state.exists:
+            state.remove()
+        if closed:
+            yield pd.DataFrame([(*key, *row) for row in closed], columns=[*PAIR, *(c.split()[0] for c in _SESSION.split(", "))])
 
-    A fold over the sorted frames: a gap over the threshold closes a run.
-    """
-    start = "named_struct('last', cast(null as double), 'n', 0, 'bytes', 0L, 'bursts', 0, 'total', 0L)"
-    gap = f"(s.last is null or (f.timestamp - s.last) * 1000 > {burst_ms!r}D)"
-    kept = f"s.n >= {min_packets}"
-    step = (
-        f"named_struct('last', f.timestamp, 'n', if({gap}, 1, s.n + 1), 'bytes', if({gap}, cast(f.frame_len as bigint), s.bytes + f.frame_len), "
-        f"'bursts', if({gap} and {kept}, s.bursts + 1, s.bursts), 'total', if({gap} and {kept}, s.total + s.bytes, s.total))"
-    )
-    done = f"named_struct('bursts', s.bursts + if({kept}, 1, 0), 'total', s.total + if({kept}, s.bytes, 0L))"
-    folded = F.expr(f"aggregate(frames, {start}, (s, f) -> {step}, s -> {done})")
-    return sessions.withColumn("__b", folded).select(*(c for c in sessions.columns if c != "frames"), F.col("__b.bursts").alias("burst_count"), F.col("__b.total").alias("burst_bytes"))
+    rows = with_event_time(features).withWatermark("event_time", delay)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in PAIR) + ", " + _SESSION
+    needed = rows.select(*PAIR, "event_time", "timestamp", "frame_no", "frame_len", "is_uplink")
+    return needed.groupBy(*PAIR).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_alerts(features: DataFrame, least_score: int = 3) -> DataFrame:

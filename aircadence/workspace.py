@@ -1,7 +1,8 @@
 """Staging of intermediate tables in a folder that all machines share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests, a laptop) a folder beside the warehouse is used instead.  A staged
+and all runs on one machine, a folder beside the warehouse is used instead; a
+cluster without the setting is refused.  A staged
 table cuts the lineage: a lost executor costs the re-reading of a file, not the
 recomputation of all before it.
 """
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all machines share")
     base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{os.path.dirname(base) if base.endswith('spark-warehouse') else base}/spark-warehouse-stage"
 
@@ -33,6 +37,21 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+#: Folders of this process's workspaces.
+_STAGED: list[str] = []
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this process has staged; results not yet written are lost."""
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
+
+
 class Workspace:
     """A new folder of staged tables for one run of one operator."""
 
@@ -40,6 +59,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        _STAGED.append(self.root)
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -53,17 +73,16 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that no later result reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
             for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-                where = jvm.org.apache.hadoop.fs.Path(name)
-                where.getFileSystem(conf).delete(where, True)
+                _delete(self.spark, name)
 
 
-def broadcast_if_small(table: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """Mark a staged table of a few narrow columns for broadcast if it is small.
+def broadcast_if_small(table: DataFrame, most_bytes: int = 128 << 20) -> DataFrame:
+    """Mark a staged table for broadcast if it is small; larger ones are left to a shuffled join.
 
-    Larger tables are left to a shuffled join.
+    A row counts 40 bytes, and 8 more for each number or flag and 64 for each other column.
     """
-    return F.broadcast(table) if table.count() <= most_rows else table
+    plain = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp")
+    width = 40 + sum(8 if kind in plain else 64 for _, kind in table.dtypes)
+    return F.broadcast(table) if table.count() * width <= most_bytes else table

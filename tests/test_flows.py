@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -101,3 +102,21 @@ def test_equals_plain_loop(spark, rows, bucket):
     se = flows.sessionise(frame_features(frames(spark, *({"timestamp": t, "rssi": r} for t, r in rows))), 2.0, 300.0, bucket)
     got = flows.flow_burst_features(se).select("packet_count", F.round("mean_iat", 6), F.round("rssi_trend", 6), "burst_count").collect()
     assert sorted((a, b, c + 0.0, d) for a, b, c, d in got) == _python_flows(rows, 2.0, 300.0)
+
+
+@settings(max_examples=30, deadline=None)
+@given(times=st.lists(st.integers(0, 400), max_size=60), cut=st.integers(0, 60))
+def test_stream_fold_equals_plain_loop(times, cut):
+    """Sessions folded in two parts are those of a loop over all frames."""
+    from aircadence.streaming.streams import _fold
+
+    times = sorted(times)
+    data = np.array([(t / 8, i, 100 + i, i % 2) for i, t in enumerate(times)], dtype=float).reshape(-1, 4)
+    session, rows = _fold(None, data[:cut], 2.0, 300.0, 3)
+    session, more = _fold(session, data[cut:], 2.0, 300.0, 3)
+    rows += more
+    if session:
+        session.end_run(3)
+        rows.append(session.row())
+    assert sorted((r[0], r[5]) for r in rows) == sorted((n, b) for n, _, _, b in _python_flows([(t / 8, None) for t in times], 2.0, 300.0))
+    assert sum(r[1] for r in rows) == sum(range(100, 100 + len(times)))

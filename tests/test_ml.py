@@ -66,9 +66,63 @@ def test_pca_and_names(rows):
     assert models.best_model({"svm": 0.5, "rf": 0.5}) == "svm"
 
 
-def test_command_line(spark, rows, tmp_path):
+def test_kernels_separate_a_ring(spark):
+    """Classes that no line parts: both kernels find them, and a saved machine tells the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = ((x**2).sum(axis=1) > 1.4).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b), float(c), 1.0) for (a, b), c in zip(x, y)], "a double, b double, label_index double, weight double")
+    rows = models.assembled(rows, ["a", "b"]).cache()
+    got = {k: metrics.overall_metrics(models._told(models.fit_kernel_svm(rows, 2, out=200, gamma=0.7, kernel=k, c=10), rows)).first().accuracy for k in ("rbf", "poly")}
+    assert got["rbf"] > 0.9 and got["poly"] > 0.5
+    assert models.kernel_width(rows, 2, "auto") == 0.5 and models.kernel_width(rows, 2, 0.3) == 0.3
+    assert models.kernel_width(rows, 2, "scale") == pytest.approx(1 / (2 * x.var()), rel=1e-6)
+
+
+def test_poly_features_estimate_the_kernel(spark):
+    import numpy as np
+
+    x, y = np.array([0.4, -0.9, 0.5]), np.array([0.7, -0.6, 0.2])
+    rows = spark.createDataFrame([(v.tolist(),) for v in (x, y)], "__x array<double>")
+    one, two = (np.array(r[0]) for r in models.random_features(3, 6000, 0.8, 1, "poly").transform(rows).select("__kernel").collect())
+    assert one @ two == pytest.approx((0.8 * x @ y) ** 3, abs=0.05)
+
+
+def test_search_and_cross_scores(rows):
+    folded = prep.stratified_folds(rows.withColumn("key", F.monotonically_increasing_id()), "device_type", "key", 2).cache()
+    model, best, tried = models.search(folded, models.fit_forest, {"trees": (3,), "depth": (1, 4)}, folds=2)
+    assert best == max(tried, key=lambda t: t[1])[0] and len(tried) == 2 and model.transform(rows).count() == rows.count()
+    scores = models.cross_scores(folded, lambda r: models.fit_forest(r, trees=3, depth=3), 2).collect()
+    assert [(r.fold, r.side) for r in scores] == [(0, "test"), (0, "train"), (1, "test"), (1, "train")] and all(0 <= r.f1_macro <= 1 for r in scores)
+
+
+def test_choice_of_models():
+    assert models.choose_model({"svm": 0.5, "rf": 0.5, "ensemble": 0.5}) == "ensemble"
+    assert models.choose_model({"svm": 0.6, "rf": 0.5, "ensemble": 0.5}) == "svm"
+    assert models.choose_model({"svm": 0.6, "rf": 0.7, "ensemble": 0.65}) == "rf"
+    assert models.choose_model({"svm": 0.6, "rf": 0.7, "ensemble": 0.7}) == "ensemble"
+
+
+def test_curves_by_class(spark):
+    """A class that all rows have, or none, has no curve."""
+    rows = spark.createDataFrame([(0, [0.7, 0.2, 0.1]), (1, [0.3, 0.6, 0.1]), (1, [0.6, 0.3, 0.1]), (0, [0.5, 0.4, 0.1])], "y int, p array<double>")
+    each = metrics.one_vs_rest(rows, "y", "p", ["a", "b", "c"])
+    auc = {r.label: r.auc for r in metrics.roc_auc(each, ["label"]).collect()}
+    assert auc == {"a": 0.75, "b": 0.75, "c": None}
+    assert {r.label for r in metrics.roc_curve(each, ["label"]).collect()} == {"a", "b"}
+
+
+def test_best_weights(spark):
+    none = spark.createDataFrame([(1, [0.9, 0.1], [0.9, 0.1])], "y int, a array<double>, b array<double>")
+    assert metrics.best_weights(metrics.weight_search(none, "y", "a", "b", metric="f1_weighted")) == ((1, 1), 0.0)
+
+
+@pytest.mark.parametrize("binary", [[], ["--binary", "class_1"]])
+def test_command_line(spark, rows, tmp_path, binary):
     rows.select("device_type", *COLUMNS, F.lit("s").alias("sa"), F.lit("d").alias("da")).write.parquet(str(tmp_path / "in"))
-    for argv in (["train"], ["detect", "--model", "M", "--alert", "class_1"], ["evaluate", "--model", "M"]):
+    for argv in (["train", *binary, "--weigh"], ["detect", "--model", "M", "--alert", "class_1"], ["evaluate", "--model", "M", "--folds", "2"]):
         argv = [str(tmp_path / "model") if x == "M" else x for x in argv]
         out = str(tmp_path / ("model" if argv[0] == "train" else argv[0]))
         args = cli.parser().parse_args([*argv, "--input", str(tmp_path / "in"), "--output", out])
@@ -76,8 +130,10 @@ def test_command_line(spark, rows, tmp_path):
             (tmp_path / "evaluate").mkdir()
         args.run(spark, args)
     told = spark.read.parquet(str(tmp_path / "detect"))
-    assert told.count() == 150 and "prob_class_2" in told.columns
-    assert (tmp_path / "evaluate" / "overall.json").exists()
+    assert told.count() == 150 and ("prob_non_class_1" if binary else "prob_class_2") in told.columns
+    assert {p.name for p in (tmp_path / "evaluate").iterdir()} >= {"overall.json", "confusion.json", "auc.json", "roc.json", "pr.json", "folds.json"}
+    for name in ("svm", "rf", "ensemble"):
+        assert cli.predict(spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "model" / "all" / name)).count() == 150
 
 
 def test_metrics_edges(spark):

@@ -99,3 +99,49 @@ def test_csv_round_trip(spark, tmp_path):
     readers.append_labels(spark.createDataFrame([("m", "t", "s", "n", "z")], readers.LABEL_SCHEMA), str(tmp_path / "l"))
     readers.append_labels(spark.createDataFrame([("m2", "t", "s", "n", "z")], readers.LABEL_SCHEMA), str(tmp_path / "l"))
     assert readers.read_labels(spark, str(tmp_path / "l")).where(F.col("device_mac").startswith("m")).count() == 2
+
+
+def test_pcapng_other_packet_blocks(spark, tmp_path):
+    """Simple and obsolete packet blocks give frames too."""
+    import io
+
+    packet = PACKETS[0][2]
+    block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    pad = b"\0" * (-len(packet) % 4)
+    raw = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 127, 0, 0))
+    raw += block(3, struct.pack("<I", len(packet)) + packet + pad)
+    raw += block(2, struct.pack("<HHIIII", 0, 0, 0, 7_000_000, len(packet), len(packet) + 5) + packet + pad)
+    got = list(pcap.read_frames(io.BytesIO(raw), "x"))
+    assert [(f["timestamp"], f["frame_len"], f["sa"]) for f in got] == [(0.0, len(packet), "b8:27:eb:01:02:03"), (7.0, len(packet) + 5, "b8:27:eb:01:02:03")]
+
+
+def test_impossible_lengths_raise():
+    import io
+
+    bad = pcap_bytes(PACKETS) + struct.pack("<IIII", 1, 0, 1 << 30, 5)
+    with pytest.raises(ValueError, match="record of"):
+        list(pcap.read_frames(io.BytesIO(bad), "x"))
+    with pytest.raises(ValueError, match="block of"):
+        list(pcap.read_frames(io.BytesIO(pcapng_bytes(PACKETS) + struct.pack("<II", 6, 5)), "x"))
+
+
+def test_evaluation_files_hold_all_rows(spark, tmp_path):
+    readers.write_evaluation(spark.range(3), str(tmp_path / "a.json"))
+    readers.write_evaluation(spark.range(0), str(tmp_path / "b.json"))
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}] and json.loads((tmp_path / "b.json").read_text()) == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from aircadence import workspace
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://x:1"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default if name == "spark.checkpoint.dir" else "/tmp/w"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_dir(Cluster)
