@@ -34,10 +34,15 @@ HOST_RULES: tuple[HostRule, ...] = (
     ("block", "com", "/de/"),
 )
 
+#: Words that open a host's label, or are one, on advertising and spam sites.
+AD_WORDS = ("ads", "adserver", "adservice", "advert", "banner", "clicks", "popunder", "tracker")
+SPAM_WORDS = ("bets", "betting", "casino", "escort", "jackpot", "lottery", "payday", "pills", "poker", "porn", "replica", "spam", "viagra", "warez", "xxx")
+
 #: Patterns of unwanted URLs.
 PATTERNS: tuple[str, ...] = (
-    "||cheap-pills.", "||casino-win.", "||free-bets.", "||spam-farm.", "||ads-track.",
-    "-casino.", "-pills.", "||adserver.", "/adserver/", "/affiliate/*/click", "||tracker.*/pixel^",
+    *(f"||{w}{end}" for w in AD_WORDS + SPAM_WORDS for end in ".-"),
+    *(f"-{w}." for w in SPAM_WORDS),
+    "/adserver/", "/affiliate/*/click", "/banner/*/click", "/popunder^", "||tracker.*/pixel^",
 )
 
 #: Rules up to this number are broadcast (some tens of MB at most), more are joined.
