@@ -160,6 +160,27 @@ def test_hidden_elements_hide_no_more(page, want):
     assert [b.text for b in blocks(page)] == want
 
 
+#: Pages without an article element, with names that the training pages do not use.
+_BLOG = """<html><head><title>How to bake bread - My Blog</title></head><body class="home"><div id="page"><div class="site-branding"><p class="title"><a href="/">My Blog</a></p></div>
+<div class="top-bar"><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li><li><a href="/contact">Contact us</a></li></ul></div>
+<div id="primary"><div class="hentry"><h1>How to bake bread</h1><p>Bread is one of the oldest foods that people make, and it needs only four things.</p><p>Mix the flour with the water, and leave it alone for an hour before you add salt.</p><ul><li>Flour, about five hundred grams of it.</li><li>Water</li></ul><p>Bake it until it is brown.</p></div></div>
+<div id="secondary"><h3>Recent posts</h3><ul><li><a href="/1">My first loaf</a></li><li><a href="/2">Sourdough at home</a></li></ul></div>
+<div class="comment-list"><h3>2 comments</h3><div class="comment"><p>I tried this and it came out very well, thank you for writing it up.</p></div></div>
+<div class="site-info">Copyright 2020 My Blog. All rights reserved.</div></div></body></html>"""
+_MANUAL = """<html><body><header><a href="/">Docs</a></header><nav><ul><li><a href="/i">Install</a></li><li><a href="/u">Use</a></li></ul></nav><main><h1>Install</h1><p>Download the package and unpack it into a folder of your choice.</p><pre>tar xf package.tar</pre><h2>Check</h2><p>Run the program once to see if it works.</p></main><aside><p>Need help? Ask us.</p></aside><footer><p>Docs 1.0</p></footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (_BLOG, ["How to bake bread", "Bread is one of the oldest foods that people make, and it needs only four things.", "Mix the flour with the water, and leave it alone for an hour before you add salt.", "Flour, about five hundred grams of it.", "Water", "Bake it until it is brown."]),
+        (_MANUAL, ["Install", "Download the package and unpack it into a folder of your choice.", "tar xf package.tar", "Check", "Run the program once to see if it works."]),
+    ],
+)
+def test_pages_without_an_article(page, want):
+    assert main_text(page, default_field()).split("\n\n") == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pages_of_the_tables(spark):
     """All text of the article element, and nothing else."""
