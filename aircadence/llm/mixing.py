@@ -18,8 +18,9 @@ prefix sum over the counts of cells gives each cell's offset.  A source has at
 most 1024 size classes times 64 cells.
 
 Defined cases: a null text has size 0; null sources are one source; a source
-of size 0 has target 0; rows that repeat an id are rows of their own; equal
-rows are interchangeable; an empty table gives an empty result.
+of size 0 has target 0; rows that repeat an id are rows of their own, in the
+order of a hash of their texts; equal rows are interchangeable; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,8 +71,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         .withColumn("__key", F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
         .withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
         .withColumn("__size", word_count(text_col))
+        .withColumn("__tie", F.xxhash64(text_col))
         .withColumn("__class", (bits * 16 + top).cast("int"))
-        .withColumn("__salt", F.pmod(_hash_number(F.col("__id"), 4), F.lit(_SALTS)).cast("int"))
+        .withColumn("__salt", F.pmod(_hash_number(F.coalesce(F.col(id_col).cast("string"), F.col("__tie").cast("string")), 4), F.lit(_SALTS)).cast("int"))
     )
 
 
@@ -89,7 +91,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ahead = Window.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(*cell, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
     offsets = offsets.join(targets(cells, weights, share, max_copies), "__key")
-    numbered = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*cell).orderBy("__size", "__id")))
+    numbered = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*cell).orderBy("__size", "__id", "__tie")))
     placed = numbered.join(offsets, cell)
     u = _hash_number(F.concat(F.lit(f"mix:{seed}:"), F.col("__key")), 12) / F.lit(float(1 << 48))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

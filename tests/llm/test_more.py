@@ -113,6 +113,14 @@ def test_mixing(spark):
     assert mixture_plan(t.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_ids(spark):
+    """Rows of one id and size are told apart by their texts, however they are dealt."""
+    rows = [(1, f"word{i} " * 5, "a") for i in range(40)] + [(None, f"null{i} x", "b") for i in range(9)] + [(2, "z " * 400, "b")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS __size", "2 AS row")
+    first = sorted(r.text for r in mix(t.drop("__size")).collect())
+    assert first == sorted(r.text for r in mix(t.drop("__size").repartition(5)).collect()) and len(first) > 10
+
+
 def test_capped_sources(spark):
     """A small source with a large weight stops at twice its size."""
     t = spark.createDataFrame([(0, "w " * 10, "a"), (1, "w " * 300, "b"), (2, "w " * 300, "c")], "doc_id long, text string, source string")
