@@ -34,11 +34,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _forest(rows: DataFrame):
-    return models.random_forest(trees=50, depth=8).fit(rows.where("not is_test"))
+    return models.random_forest().fit(rows.where("not is_test"))
 
 
 def _kernel(rows: DataFrame) -> models.KernelSvm:
-    return models.fit_kernel_svm(rows.where("not is_test"), _DIMS, out=128)
+    return models.fit_kernel_svm(rows.where("not is_test"), _DIMS)
 
 
 def _told(rows: DataFrame, names: list[str]) -> DataFrame:

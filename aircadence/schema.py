@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_FRAME_COLUMNS = (
-    (T.StringType(), "source_file"), (T.LongType(), "frame_no"), (T.DoubleType(), "timestamp"), (T.TimestampType(), "event_time"), (T.IntegerType(), "frame_len"),
-    (T.DoubleType(), "rssi"), (T.IntegerType(), "ant_signal ant_noise"), (T.DoubleType(), "data_rate"),
-    (T.IntegerType(), "channel_freq mcs_index frame_type frame_subtype to_ds from_ds"), (T.StringType(), "sa da ta ra bssid"),
-    (T.IntegerType(), "seq_num duration retry protected qos_priority"), (T.DoubleType(), "wlan_radio_signal_percent"), (T.StringType(), "raw_frame_type_str"),
-)
-FRAME_SCHEMA = T.StructType([T.StructField(name, kind) for kind, names in _FRAME_COLUMNS for name in names.split()])
+FRAME_SCHEMA = T.StructType([
+    T.StructField("source_file", T.StringType()),
+    T.StructField("frame_no", T.LongType()),
+    T.StructField("timestamp", T.DoubleType()),
+    T.StructField("event_time", T.TimestampType()),
+    T.StructField("frame_len", T.IntegerType()),
+    T.StructField("rssi", T.DoubleType()),
+    T.StructField("ant_signal", T.IntegerType()),
+    T.StructField("ant_noise", T.IntegerType()),
+    T.StructField("data_rate", T.DoubleType()),
+    T.StructField("channel_freq", T.IntegerType()),
+    T.StructField("mcs_index", T.IntegerType()),
+    T.StructField("frame_type", T.IntegerType()),
+    T.StructField("frame_subtype", T.IntegerType()),
+    T.StructField("to_ds", T.IntegerType()),
+    T.StructField("from_ds", T.IntegerType()),
+    T.StructField("sa", T.StringType()),
+    T.StructField("da", T.StringType()),
+    T.StructField("ta", T.StringType()),
+    T.StructField("ra", T.StringType()),
+    T.StructField("bssid", T.StringType()),
+    T.StructField("seq_num", T.IntegerType()),
+    T.StructField("duration", T.IntegerType()),
+    T.StructField("retry", T.IntegerType()),
+    T.StructField("protected", T.IntegerType()),
+    T.StructField("qos_priority", T.IntegerType()),
+    T.StructField("wlan_radio_signal_percent", T.DoubleType()),
+    T.StructField("raw_frame_type_str", T.StringType()),
+])
 
 #: Vendors of address prefixes seen on cameras and small boards.
 CAMERA_OUIS = {

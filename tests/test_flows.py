@@ -28,16 +28,16 @@ def test_order_and_ties(spark):
 
 
 def test_one_burst(spark):
-    (b,) = flows.bursts(sessions(spark, [i * 0.0005 for i in range(5)], frame_len=1200)).collect()
-    assert (b.packet_count, b.total_bytes, b.start_idx, b.end_idx) == (5, 6000, 0, 4)
+    (b,) = flows.bursts(sessions(spark, [7 + i * 0.0008 for i in range(11)], frame_len=90)).collect()
+    assert (b.packet_count, b.total_bytes, b.start_idx, b.end_idx) == (11, 990, 0, 10)
 
 
-def test_two_bursts_none_and_tail(spark):
-    two = [0.0, 0.0005, 0.001, 0.1, 0.1005, 0.101]
-    assert flows.bursts(sessions(spark, two)).count() == 2
-    assert flows.bursts(sessions(spark, [i * 0.01 for i in range(6)])).count() == 0
-    (tail,) = flows.bursts(sessions(spark, [0.0, 0.05, 0.1, 0.1005, 0.101, 0.1015])).collect()
-    assert (tail.start_idx, tail.end_idx) == (2, 5)
+def test_bursts_of_one_flow(spark):
+    """Runs of 4, 2 and 3 frames: the short one is no burst; indexes count all frames."""
+    runs = [1.0, 1.0002, 1.0004, 1.0006, 1.5, 1.5002, 3.25, 3.2504, 3.2508]
+    assert [(b.start_idx, b.end_idx) for b in flows.bursts(sessions(spark, runs)).orderBy("burst_id").collect()] == [(0, 3), (6, 8)]
+    assert flows.bursts(sessions(spark, runs), min_packets=2).count() == 3
+    assert flows.bursts(sessions(spark, [i * 0.7 for i in range(9)])).count() == 0
     assert flows.bursts(sessions(spark, [])).count() == 0
 
 
