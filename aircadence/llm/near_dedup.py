@@ -385,7 +385,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_blo
     return out.select("doc", "text_hash", "n_shingles", F.when(named, F.col("node_comp")).alias("node_comp"), F.when(named, F.coalesce("component_id", "doc")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 512) -> DataFrame:
     """Label every row with its near-duplicate component.
 
     Returns ``(id_col, n_shingles, component_id, kept)``, one row for each row
@@ -396,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 1024) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, max_block: int = 512) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.
 
     Of each component one row stays, that of the least id (then the least text
