@@ -132,6 +132,66 @@ def radiotap_from_fields(spark, d):
     return readers.radiotap_fields(export).select("frame_no", "rssi", "data_rate", "channel_freq", "mcs_index", "ant_noise")
 
 
+@query(O.sql("SELECT frame_no, CAST(coalesce(rssi, CASE WHEN event_no % 2 = 0 THEN seq_num % 100 END) AS DOUBLE) AS rssi, nullif(CASE WHEN event_no % 3 = 0 THEN 0 ELSE CAST(ant_noise AS BIGINT) END, 0) AS ant_noise FROM (SELECT *, frame_no AS event_no FROM fr)"))
+def radiotap_record(spark, d):
+    from aircadence.sources import readers
+
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    number, noise = F.col("frame_no"), F.col("ant_noise")
+    export = _frames(spark, d).select(
+        "frame_no", text(F.col("rssi")).alias("radiotap.dbm_antsignal"), text(F.when(number % 2 == 0, F.col("seq_num") % 100)).alias("radiotap.ant_signal"),
+        text(F.when(number % 3 == 0, 0).otherwise(noise)).alias("radiotap.ant_noise"),
+    )
+    return readers.radiotap_record(export).select("frame_no", "rssi", "ant_noise")
+
+
+@query(O.sql("""SELECT frame_no, frame_type, frame_subtype, coalesce(to_ds, 0) AS to_ds, coalesce(from_ds, 0) AS from_ds, sa, da, nullif(ra, '') AS ra, retry, protected,
+  CASE WHEN frame_subtype IN (40, 41, 42, 43) THEN qos_priority END AS qos_priority, CASE frame_subtype WHEN 8 THEN 'Beacon' WHEN 29 THEN 'ACK' WHEN 32 THEN 'Data' WHEN 40 THEN 'QoS Data' END AS frame_type_str FROM fr"""))
+def mac_from_fields(spark, d):
+    from aircadence.sources import readers
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    flag = lambda c: F.when(F.col(c) == 1, "True").otherwise("False")
+    export = _frames(spark, d).select(
+        "frame_no", text("frame_type").alias("wlan.fc.type"), F.format_string("0x%04x", "frame_subtype").alias("wlan.fc.type_subtype"), text("to_ds").alias("wlan.fc.tods"), text("from_ds").alias("wlan.fc.fromds"),
+        text("sa").alias("wlan.sa"), text("da").alias("wlan.da"), text("ra").alias("wlan.ra"), flag("retry").alias("wlan.fc.retry"), flag("protected").alias("wlan.fc.protected"), text("qos_priority").alias("wlan.qos.priority"),
+    )
+    return readers.mac_fields(export).select("frame_no", "frame_type", "frame_subtype", "to_ds", "from_ds", "sa", "da", "ra", "retry", "protected", "qos_priority", "frame_type_str")
+
+
+@query(O.sql("SELECT frame_no, lower(sa) AS mac FROM fr"))
+def normal_addresses(spark, d):
+    written = F.concat(F.lit("  "), F.upper("sa"), F.lit(" "))
+    return _frames(spark, d).select("frame_no", X.normal_mac(written).alias("mac"))
+
+
+@query(O.sql("SELECT frame_no, coalesce(rssi, 0) AS rssi, 0e0 AS not_measured, CAST(frame_len AS DOUBLE) AS frame_len FROM ff", O.FF))
+def aligned_columns(spark, d):
+    rows = _features(spark, d).select("frame_no", "frame_len", "rssi")
+    return prep.align(rows, ["rssi", "not_measured", "frame_len"]).select("frame_no", "rssi", "not_measured", "frame_len")
+
+
+@query("SELECT unnest(['frame_no', 'frame_len', 'timestamp', 'rssi', 'data_rate', 'channel_freq', 'mcs_index', 'ant_noise', 'frame_type', 'frame_subtype', 'to_ds', 'from_ds', 'seq_num', 'duration', 'retry_flag', 'protected_flag', 'qos_priority', 'is_data', 'is_mgmt', 'is_ctrl', 'is_qos_data', 'is_uplink', 'is_5ghz', 'is_known_camera_oui', 'is_esp32_oui', 'is_rpi_oui']) AS feature")
+def numeric_columns(spark, d):
+    return spark.createDataFrame([(c,) for c in prep.feature_columns(_features(spark, d), ["size_bin"])], "feature string")
+
+
+@query(O.sql("SELECT frame_no, frame_len, rssi FROM fr WHERE source_file = 'session_0.pcap' UNION ALL SELECT frame_no, frame_len, NULL FROM fr WHERE source_file = 'session_1.pcap'"))
+def united_files(spark, d):
+    rows = _frames(spark, d).select("source_file", "frame_no", "frame_len", "rssi")
+    one, two = rows.where("source_file = 'session_0.pcap'"), rows.where("source_file = 'session_1.pcap'").drop("rssi")
+    return stats.union_all([one, two]).select("frame_no", "frame_len", "rssi")
+
+
+@query(O.sql("SELECT doc_id, round(greatest((2 * score + 3 * score2) / 5, 1 - (2 * score + 3 * score2) / 5), 4) AS confidence, 'good' AS predicted_type FROM vt WHERE (2 * score + 3 * score2) / 5 > 5e-1 AND round((2 * score + 3 * score2) / 5, 9) >= 7e-1", O.PR, "vt AS (SELECT *, ((doc_id * 53) % 97) / 97e0 AS score2 FROM pr)"))
+def confident_alerts(spark, d):
+    from aircadence.ml import models
+
+    told = models.with_vote(_votes(spark, d), ["p1", "p2"], [2, 3])
+    named = told.select("doc_id", F.round("confidence", 9).alias("confidence"), F.element_at(F.array(F.lit("bad"), F.lit("good")), F.col("y_pred") + 1).alias("predicted_type"))
+    return _round(models.alerts(named, "good", 0.7), "confidence", "doc_id predicted_type")
+
+
 @query(O.sql("SELECT source_file, sa, da, frame_no, flow_id, pos, burst_id FROM se", O.FF, O.SE))
 def flow_sessions(spark, d):
     return _sessions(spark, d).select("source_file", "sa", "da", "frame_no", "flow_id", "pos", "burst_id")
