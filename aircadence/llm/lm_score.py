@@ -9,13 +9,15 @@ losses under a unigram and a bigram model,
 
     p(w) = (c(w) + 1) / (n + V),   p(w | v) = (c(v, w) + a) / (c(v) + a V),
 
-and a document's score is its mean loss per sign under the target model minus
-that under the background model, in nats; lower is more like the target.
+where c counts all documents but the scored one itself, so that a labelled
+document does not score as target for its own words.  A document's score is its
+mean loss per sign under the target model minus that under the background
+model, in nats; lower is more like the target.
 
 Everything grows with the corpus: no word and no bigram is left out.  A loss
-difference is a sum of terms of single n-grams, so each n-gram is sent once,
-as a 64-bit key, to the bucket that counts it, and the bucket sends back sums
-for documents, not n-grams:
+difference is a sum of terms of single n-grams, so each n-gram of a text is sent
+once, as a 64-bit key, to the bucket that counts it, and the bucket sends back
+sums for documents, not n-grams:
 
 1. words are counted exactly; of words and bigrams with more than a fixed share
    of all signs, of which there are few whatever the input, all counts are
@@ -157,27 +159,43 @@ _BACK = "uid bigint, ids array<bigint>, n_words array<bigint>, part array<double
 _BACK_ARROW = pa.schema([_SENT_ARROW.field(c) for c in ("uid", "ids", "n_words", "part")])
 
 
-def _send(hot: Broadcast, buckets: int):
+def _own(slots: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct n-grams: slot, document, and count in the document."""
+    both, counts = np.unique(slots.astype(np.int64) * max(1, n_docs) + docs, return_counts=True)
+    return both // max(1, n_docs), both % max(1, n_docs), counts
+
+
+def _sums(terms: Terms, keys: np.ndarray, n: np.ndarray, m: np.ndarray, slots: np.ndarray, docs: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Sum of the terms of each document's n-grams, by the counts of the other documents."""
+    slot, doc, own = _own(slots, docs, len(good))
+    each = terms(keys[slot], n[slot] - own, m[slot] - own * good[doc])
+    return np.bincount(doc, weights=own * each, minlength=len(good))
+
+
+def _send(hot: Broadcast, terms: Terms, buckets: int):
     """Rows of keys for each bucket, and a row of the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, terms = hot.value
+        known, n, m = hot.value
         uid = TaskContext.get().partitionId() << 32
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for first, stop, words, pairs, at in _groups(batch.column(0)):
                 docs = np.repeat(np.arange(stop - first, dtype=np.uint32), np.diff(at))
-                keys, docs = np.concatenate([words, pairs]), np.concatenate([docs, docs])
-                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                mine = known[place] == keys
-                part = np.bincount(docs[mine], weights=terms[place[mine]], minlength=stop - first)
-                keys, docs = keys[~mine], docs[~mine]
+                good = flags[first:stop]
+                part, rest, rest_docs = np.zeros(stop - first), [], []
+                for keys in (words, pairs):
+                    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    mine = known[place] == keys
+                    part += _sums(terms, known, n, m, place[mine], docs[mine], good)
+                    rest.append(keys[~mine])
+                    rest_docs.append(docs[~mine])
+                keys, docs = np.concatenate(rest), np.concatenate(rest_docs)
                 bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 keys, docs, bucket = keys[order], docs[order], bucket[order]
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                good = flags[first:stop].tobytes()
-                rows = [{"bucket": b, "uid": uid, "keys": keys[i:j].tobytes(), "docs": docs[i:j].tobytes(), "good": good} for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                rows = [{"bucket": b, "uid": uid, "keys": keys[i:j].tobytes(), "docs": docs[i:j].tobytes(), "good": good.tobytes()} for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
                 ids = batch.column(2).slice(first, stop - first).to_pylist()
                 rows.append({"bucket": uid % buckets, "uid": uid, "ids": ids, "n_words": np.maximum(np.diff(at) - 1, 0), "part": part})
                 yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
@@ -194,14 +212,14 @@ def _answer(terms: Terms):
         asked = table.filter(pa.compute.is_valid(table.column("keys")))
         if not len(asked):
             return out
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked.column("keys")]
-        docs = [np.frombuffer(x.as_buffer(), np.uint32) for x in asked.column("docs")]
-        good = [np.frombuffer(x.as_buffer(), np.uint8) for x in asked.column("good")]
+        keys, docs, good = ([np.frombuffer(x.as_buffer(), kind) for x in asked.column(c)] for c, kind in (("keys", np.uint64), ("docs", np.uint32), ("good", np.uint8)))
+        # Documents of all rows in one range.
+        ends = np.cumsum([len(g) for g in good])
+        docs = np.concatenate([d + np.int64(end - len(g)) for d, g, end in zip(docs, good, ends, strict=True)])
+        good = np.concatenate(good)
         values, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        m = np.bincount(back, weights=np.concatenate([g[d] for g, d in zip(good, docs, strict=True)]), minlength=len(values))
-        each = terms(values, n, m)[back]
-        stops = np.cumsum([len(k) for k in keys])
-        part = [np.bincount(d, weights=each[stop - len(d): stop], minlength=len(g)) for d, g, stop in zip(docs, good, stops, strict=True)]
+        m = np.bincount(back, weights=good[docs], minlength=len(values))
+        part = np.split(_sums(terms, values, n, m, back, docs, good), ends[:-1])
         none = [None] * len(part)
         return pa.concat_tables([out, pa.Table.from_pydict({"uid": asked.column("uid"), "ids": none, "n_words": none, "part": part}, _BACK_ARROW)])
 
@@ -250,8 +268,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     terms = Terms((whole.m or 0) / max(1, total), whole.size, smoothing)
     keys = key.view(np.uint64)
     order = np.argsort(keys)
-    known = (keys[order], terms(keys, n, m)[order]) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1))
-    sent = marked.mapInArrow(_send(spark.sparkContext.broadcast(known), buckets), _SENT)
+    known = (keys[order], n[order], m[order]) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1), np.zeros(1))
+    sent = marked.mapInArrow(_send(spark.sparkContext.broadcast(known), terms, buckets), _SENT)
     back = sent.groupBy("bucket").applyInArrow(_answer(terms), _BACK)
     scored = back.groupBy("uid").applyInArrow(_named, "id bigint, n_words bigint, score double")
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("score", 6).alias("score"))

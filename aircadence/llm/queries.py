@@ -209,15 +209,18 @@ WITH t AS (
   SELECT doc_id, list_append(ws, '') AS ws FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents) WHERE len(ws) > 0
 ), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
 ), s AS (
-  SELECT t.doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[1:len(ws) - 1])) AS v, len(ws) - 1 AS n_words, good.doc_id IS NOT NULL AS good FROM t LEFT JOIN good ON good.doc_id = t.doc_id
-), u AS (SELECT w, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY w
-), c AS (SELECT v, w, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS m FROM s GROUP BY v, w
+  SELECT t.doc_id, unnest(ws) AS w, unnest(list_prepend('', ws[1:len(ws) - 1])) AS v, len(ws) - 1 AS n_words, (good.doc_id IS NOT NULL)::INT AS g FROM t LEFT JOIN good ON good.doc_id = t.doc_id
+), d1 AS (SELECT doc_id, w, any_value(g) AS g, count(*)::DOUBLE AS own FROM s GROUP BY doc_id, w
+), d2 AS (SELECT doc_id, v, w, any_value(g) AS g, count(*)::DOUBLE AS own, any_value(n_words) AS n_words FROM s GROUP BY doc_id, v, w
+), u AS (SELECT w, sum(own) AS n, sum(own * g) AS m FROM d1 GROUP BY w
+), c AS (SELECT v, w, sum(own) AS n, sum(own * g) AS m FROM d2 GROUP BY v, w
 ), k AS (SELECT count(*) AS size, sum(m) / sum(n) AS scale, count(*) * 0.01e0 AS av FROM u
-), d AS (
-  SELECT c.v, c.w, 0.5e0 * (ln((x.n * scale + 1) / (x.m + 1)) + ln((c.n * scale + 0.01e0) / (c.m + 0.01e0)) - ln((y.n * scale + av) / (y.m + av))) AS diff
-  FROM c JOIN u x ON x.w = c.w JOIN u y ON y.w = c.v, k
-), r AS (SELECT doc_id, any_value(n_words) AS n_words, round(avg(diff), 6) AS score FROM s JOIN d USING (v, w) GROUP BY doc_id)
-SELECT doc_id, coalesce(n_words, 0) AS n_words, score FROM documents LEFT JOIN r USING (doc_id)
+), e1 AS (
+  SELECT doc_id, sum(own * (ln(((n - own) * scale + 1) / (m - own * g + 1)) - ln(((n - own) * scale + av) / (m - own * g + av)))) AS t FROM d1 JOIN u USING (w), k GROUP BY doc_id
+), e2 AS (
+  SELECT doc_id, any_value(n_words) AS n_words, sum(own * ln(((n - own) * scale + 0.01e0) / (m - own * g + 0.01e0))) AS t FROM d2 JOIN c USING (v, w), k GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(0.5e0 * (e1.t + e2.t) / (n_words + 1), 6) AS score FROM documents LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id)
 """
 
 QUERIES = {

@@ -280,24 +280,29 @@ def test_scores_favour_the_target(spark):
 
 
 def _differences(texts, good):
-    """Scores by the definition, n-gram by n-gram."""
+    """Scores by the definition, document by document, from the counts of all others."""
     import math
     import re
     from collections import Counter
 
     signs = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) for t in texts]
     signs = [[*w, ""] if w else [] for w in signs]
-    ones = [Counter(w for s, g in zip(signs, good) if g or not k for w in s) for k in (0, 1)]
-    twos = [Counter(p for s, g in zip(signs, good) if g or not k for p in zip(["", *s], s)) for k in (0, 1)]
-    n, m, v = sum(ones[0].values()), sum(ones[1].values()), len(ones[0])
-
-    def loss(k, a, b):
-        scale = 1.0 if k else m / n
-        one = (ones[k][b] * scale + 1) / (m + v)
-        two = (twos[k][a, b] * scale + 0.01) / (ones[k][a] * scale + 0.01 * v)
-        return -(math.log(one) + math.log(two)) / 2
-
-    return [sum(loss(1, a, b) - loss(0, a, b) for a, b in zip(["", *s], s)) / len(s) if s else None for s in signs]
+    every = Counter(w for s in signs for w in s)
+    n, m, v = sum(every.values()), sum(len(s) for s, g in zip(signs, good) if g), len(every)
+    out = []
+    for i, scored in enumerate(signs):
+        others = [(s, g) for j, (s, g) in enumerate(zip(signs, good)) if j != i]
+        ones = [Counter(w for s, g in others if g or not k for w in s) for k in (0, 1)]
+        twos = [Counter(p for s, g in others if g or not k for p in zip(["", *s], s)) for k in (0, 1)]
+
+        def loss(k, a, b):
+            scale = 1.0 if k else m / n
+            one = (ones[k][b] * scale + 1) / (m + v)
+            two = (twos[k][a, b] * scale + 0.01) / (ones[k][a] * scale + 0.01 * v)
+            return -(math.log(one) + math.log(two)) / 2
+
+        out.append(sum(loss(1, a, b) - loss(0, a, b) for a, b in zip(["", *scored], scored)) / len(scored) if scored else None)
+    return out
 
 
 @pytest.mark.parametrize(("hot", "group", "buckets"), [(100_000, 1 << 20, None), (50, 300, 7), (2, 1, 1)])
