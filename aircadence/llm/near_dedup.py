@@ -254,16 +254,19 @@ def _bounded(rows: DataFrame, max_block: int, work: Workspace, name: str) -> tup
 
     Buckets of one component are left out.  A larger bucket is cut if all but
     some members, its few, are of one component: pairs within that are of no
-    interest, so its members are dealt into blocks and the few go to each.
-    The rest keeps its bucket and has the bucket's size ``n``.
+    interest, so its members are dealt into blocks at least as large as the few
+    are, and the few go to each: no more than about twice the rows come out.
+    Buckets with more than four times ``max_block`` of the few, which would
+    make large blocks, are returned with their size ``n``.
     """
     half = max_block // 2
     shares = rows.groupBy("bucket", "comp").agg(F.count("*").alias("own")).groupBy("bucket").agg(F.sum("own").alias("n"), F.max("own").alias("most"), F.max_by("comp", F.struct("own", "comp")).alias("main"))
     shares = work.stage(shares.where("n > most"), f"{name}-sizes")
     mixed = work.stage(rows.join(broadcast_if_small(shares), "bucket"), name)
     small, large = mixed.where(F.col("n") <= max_block), mixed.where(F.col("n") > max_block)
-    few = F.col("n") - F.col("most") <= half
-    parts = F.ceil(F.col("most") / half)
+    others = F.col("n") - F.col("most")
+    few = others <= 4 * max_block
+    parts = F.ceil(F.col("most") / F.greatest(others, F.lit(half)))
     part = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), parts))).otherwise(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     dealt = large.where(few).select("bucket", "id", "comp", F.explode(part).alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), "id", "comp")
     return [small.select("bucket", "id", "comp"), dealt], large.where(~few).drop("most", "main")

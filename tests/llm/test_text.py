@@ -240,7 +240,7 @@ def test_large_buckets_stay_linear(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "stage", counting)
     texts = _family(240)
     want, _ = _components(texts)
-    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, *texts), max_block=32).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, *texts), max_block=8).collect()}
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 240
     assert made["large"] > 200 and made["rare"] < 60 * len(texts) and made["rare-blocks"] + made["rarer-blocks"] < 2 * len(texts)
 
