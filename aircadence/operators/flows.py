@@ -94,7 +94,7 @@ def flow_features(sessions: DataFrame) -> DataFrame:
     size, rate = F.col("frame_len").cast("double"), F.when(F.col("data_rate") > 0, F.col("data_rate"))
     out = sessions.groupBy(*FLOW).agg(
         (F.max("timestamp") - F.min("timestamp")).alias("duration_sec"), F.count("*").alias("packet_count"), F.sum(c("frame_len").cast("bigint")).alias("total_bytes"),
-        F.avg(size).alias("mean_frame_size"), F.stddev_pop(size).alias("std_frame_size"), F.min("frame_len").alias("min_frame_size"), F.max("frame_len").alias("max_frame_size"),
+        F.avg(size).alias("mean_frame_size"), F.stddev_pop(size).alias("std_frame_size"), F.min("frame_len").alias("min_frame_size"), F.max("frame_len").alias("max_frame_size"), F.median(size).alias("median_frame_size"),
         _share(c("frame_len") > 1000).alias("large_frame_ratio"), _share(c("frame_len") < 100).alias("small_frame_ratio"),
         _or_zero(F.avg(ms)).alias("mean_iat"), _or_zero(F.stddev_pop(ms)).alias("std_iat"), _or_zero(F.min(ms)).alias("min_iat"), _or_zero(F.max(ms)).alias("max_iat"),
         _share(c("is_uplink") == 1).alias("uplink_ratio"),
@@ -104,8 +104,9 @@ def flow_features(sessions: DataFrame) -> DataFrame:
         _share(c("is_qos_data") == 1).alias("qos_data_ratio"), _share(c("retry_flag") == 1).alias("retry_ratio"), _share(c("protected_flag") == 1).alias("protected_ratio"),
         _or_zero(F.avg(rate)).alias("mean_data_rate"), _or_zero(F.max(rate)).alias("max_data_rate"), F.max("is_5ghz").alias("is_5ghz"),
     )
-    medians = quantiles(sessions, FLOW, {"size": size, "ms": ms}, (0.5,))
-    out = join_keys(out, medians, FLOW, "left").withColumnsRenamed({"size_0": "median_frame_size", "ms_0": "median_iat"}).fillna(0.0, ["median_iat"])
+    # Frame lengths have few values, so an aggregate can count them all; gaps can all differ.
+    medians = quantiles(sessions.where("iat is not null"), FLOW, {"ms": ms}, (0.5,))
+    out = join_keys(out, medians, FLOW, "left").withColumnRenamed("ms_0", "median_iat").fillna(0.0, ["median_iat"])
     out = out.withColumn("sa_oui", oui("sa")).withColumn("throughput_bps", c("total_bytes") * 8 / F.greatest("duration_sec", F.lit(0.001)))
     out = out.withColumn("cv_iat", c("std_iat") / F.greatest("mean_iat", F.lit(1e-9))).withColumn("rssi_range", c("max_rssi") - c("min_rssi"))
     return out.withColumn("is_known_camera_oui", _flag(c("sa_oui").isin(*S.CAMERA_OUIS))).withColumn("camera_heuristic_score", camera_score())
