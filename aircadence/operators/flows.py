@@ -88,8 +88,12 @@ def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def flow_features(sessions: DataFrame) -> DataFrame:
-    """One row of 35 features for each flow of :func:`sessionise`'s output."""
+def flow_features(sessions: DataFrame, median_gap: bool = True) -> DataFrame:
+    """One row of 35 features for each flow of :func:`sessionise`'s output.
+
+    Without ``median_gap`` the column ``median_iat``, which takes a second pass
+    over the sessions, is left out.
+    """
     c, ms = F.col, F.col("iat") * 1000
     size, rate = F.col("frame_len").cast("double"), F.when(F.col("data_rate") > 0, F.col("data_rate"))
     out = sessions.groupBy(*FLOW).agg(
@@ -105,8 +109,9 @@ def flow_features(sessions: DataFrame) -> DataFrame:
         _or_zero(F.avg(rate)).alias("mean_data_rate"), _or_zero(F.max(rate)).alias("max_data_rate"), F.max("is_5ghz").alias("is_5ghz"),
     )
     # Frame lengths have few values, so an aggregate can count them all; gaps can all differ.
-    medians = quantiles(sessions.where("iat is not null"), FLOW, {"ms": ms}, (0.5,))
-    out = join_keys(out, medians, FLOW, "left").withColumnRenamed("ms_0", "median_iat").fillna(0.0, ["median_iat"])
+    if median_gap:
+        medians = quantiles(sessions.where("iat is not null"), FLOW, {"ms": ms}, (0.5,))
+        out = join_keys(out, medians, FLOW, "left").withColumnRenamed("ms_0", "median_iat").fillna(0.0, ["median_iat"])
     out = out.withColumn("sa_oui", oui("sa")).withColumn("throughput_bps", c("total_bytes") * 8 / F.greatest("duration_sec", F.lit(0.001)))
     out = out.withColumn("cv_iat", c("std_iat") / F.greatest("mean_iat", F.lit(1e-9))).withColumn("rssi_range", c("max_rssi") - c("min_rssi"))
     return out.withColumn("is_known_camera_oui", _flag(c("sa_oui").isin(*S.CAMERA_OUIS))).withColumn("camera_heuristic_score", camera_score())

@@ -220,7 +220,7 @@ def flow_features(spark, d):
 
 @query(O.sql("SELECT source_file, sa, da, flow_id, packet_count, camera_heuristic_score FROM fl", O.FF, O.SE, O.FL))
 def flow_camera_score(spark, d):
-    return _flows(spark, d).select(*flows.FLOW, "packet_count", "camera_heuristic_score")
+    return flows.flow_features(_sessions(spark, d), median_gap=False).select(*flows.FLOW, "packet_count", "camera_heuristic_score")
 
 
 @query(O.sql(f"SELECT {O.rounded('duration_ms start_ts end_ts', f'{_ID} start_idx end_idx packet_count total_bytes')} FROM bu", O.FF, O.SE, O.BU))
