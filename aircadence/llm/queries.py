@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.llm.decontam import contamination
+from aircadence.llm.divergence import source_divergence
 from aircadence.llm.html_extract import extract_main_text
 from aircadence.llm.license_scan import license_scan, template_rows
 from aircadence.llm.lm_score import cross_entropy_difference
@@ -79,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
@@ -223,6 +228,31 @@ WITH t AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(0.5e0 * (e1.t + e2.t) / (n_words + 1), 6) AS score FROM documents LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id)
 """
 
+_OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT k, lang, source, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30
+), g AS (SELECT DISTINCT lang, source FROM d
+), v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, kept.term, count(w.term)::HUGEINT AS n FROM g JOIN kept USING (lang)
+  LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = kept.term GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, c.n, 1 + 1000000000 * (c.n + 5) // (sum(c.n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v.v) AS p FROM c JOIN v USING (lang)
+), q AS (SELECT lang, term, 1 + 1000000000 * (n + 5) // (total + 5 * v.v) AS q FROM kept JOIN v USING (lang)
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -234,6 +264,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 SQL = {
@@ -243,4 +274,5 @@ SQL = {
     "op5_url_filter": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
     "op8_lm_scoring": _OP8_SQL,
+    "op11_source_divergence": _OP11_SQL,
 }
