@@ -16,6 +16,7 @@ from aircadence.llm.license_scan import license_scan, template_rows
 from aircadence.llm.lm_score import cross_entropy_difference
 from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
+from aircadence.llm.neighbours import nearest_neighbours
 from aircadence.llm.quality import quality_verdicts
 from aircadence.llm.token_counts import corpus_token_counts
 from aircadence.llm.token_files import token_digest
@@ -84,6 +85,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
@@ -265,6 +270,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL = {
