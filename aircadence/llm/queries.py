@@ -17,6 +17,7 @@ from aircadence.llm.lm_score import cross_entropy_difference
 from aircadence.llm.mixing import mixture_plan
 from aircadence.llm.near_dedup import near_duplicates
 from aircadence.llm.neighbours import nearest_neighbours
+from aircadence.llm.prefix_trie import prefix_trie
 from aircadence.llm.quality import quality_verdicts
 from aircadence.llm.token_counts import corpus_token_counts
 from aircadence.llm.token_files import token_digest
@@ -85,6 +86,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
@@ -258,6 +263,37 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 FROM both_parts QUALIFY part = 'pair' OR rank <= 50
 """
 
+_OP12_SQL = rf"""
+WITH tab AS (
+  SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda s, x: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), t AS (
+  SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS k,
+    coalesce(len(regexp_extract_all(text, {_SPACED})), 0) AS words FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT c, k, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM t
+), h AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t), tab
+), r AS (
+  SELECT h.c, o.k, o.words, 0 AS own, o.pos FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos <= h.h
+  UNION ALL SELECT h.c, o.k, o.words, 1, o.pos FROM h JOIN o ON o.c = h.c AND o.pos > h.h
+), p AS (
+  SELECT c, row_number() OVER w AS d, string_agg(k, '') OVER w AS path, words FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)
+  UNION ALL SELECT c, 0, '', 0 FROM h
+), last AS (SELECT c, max(d) AS d FROM p GROUP BY c
+), m AS (
+  SELECT path, p.d, min(p.c) AS c, count(*) AS n, any_value(words) AS words,
+    sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE last.d = p.d), '')) AS ends FROM p JOIN last USING (c) GROUP BY path, p.d
+), kids AS (SELECT path[1:32 * (d - 1)] AS above, count(*) AS kids FROM m WHERE d > 0 GROUP BY 1
+), under AS (
+  SELECT p.path, sum((kids.kids IS NULL)::INT) AS leaves, sum((m.n - 1) * m.words) AS saved
+  FROM m LEFT JOIN kids ON kids.above = m.path JOIN p ON p.c = m.c AND p.d <= m.d GROUP BY p.path
+)
+SELECT m.c AS conv_id, m.d AS depth, up.c AS parent_conv_id, m.n AS n_convs, coalesce(kids.kids, 0) AS n_children,
+  CAST(under.leaves AS BIGINT) AS n_leaves, CAST(under.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN under USING (path) LEFT JOIN kids ON kids.above = m.path LEFT JOIN m up ON m.d > 0 AND up.path = m.path[1:32 * (m.d - 1)]
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -270,6 +306,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
@@ -281,4 +318,5 @@ SQL = {
     "op7_mixing": _OP7_SQL,
     "op8_lm_scoring": _OP8_SQL,
     "op11_source_divergence": _OP11_SQL,
+    "op12_prefix_trie": _OP12_SQL,
 }
