@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from aircadence.workspace import Workspace, broadcast_if_small
 
 SCALE, ADDED = 1_000_000_000, 5
-SLICE_TERMS = 1 << 16
+SLICE_TERMS = 1 << 13
 SEAT_GROUPS = 8
 ROUNDS_PER_JOB = 8
 TOP_TERMS = 50
