@@ -8,7 +8,7 @@ normal a, and a bucket is a vector of their values.
 
 1. equal vectors are one point with the ids that can be among its nearest, so a
    large group of copies is one row;
-2. a bounded sample of queries (``SAMPLE``) is compared with every point.  Its
+2. a bounded sample of queries (``HEAVY`` that most rows ask with, ``SAMPLE`` others) is compared with every point.  Its
    true neighbours fit the distance d to which the success of a bucket is
    estimated, and the number of probes at which the sample reaches the recall
    asked for.  K grows with the logarithm of the points and is lowered only if
@@ -54,7 +54,7 @@ WIDTH = 1.5
 #: Points that a bucket should hold, and points of a packed row.
 BUCKET, BLOCK = 1024, 1024
 #: Sample of queries that fits distance and probes; its size is fixed.
-SAMPLE = 96
+HEAVY, SAMPLE = 32, 96
 RECALL = 0.97
 MOST_PROBES = 256
 #: Slots that a table tells apart on either side of a query's own.
@@ -276,15 +276,26 @@ def _compare(k: int):
 def _fit(work: Workspace, points: DataFrame, asked: DataFrame, total: int, dims: int, scale: float, most: float, k: int, recall: float, tables: int, width: float) -> tuple[Hashing, float, int]:
     """Functions, distance and probes at which the sample's neighbours are found."""
     spark = points.sparkSession
-    sample = asked.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).collect()
+    # Vectors that many rows ask with count as all of these, any others for all the rest.
+    heavy = asked.orderBy(F.desc("asks"), "vid").limit(HEAVY).collect()
+    light = [r for r in asked.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).collect() if r.vid not in {h.vid for h in heavy}]
+    sample = heavy + light
     own = [r.vid for r in sample]
+    rest = asked.agg(F.sum("asks")).first()[0] - sum(r.asks for r in heavy)
+    asks = [r.asks for r in heavy] + [rest / max(1, len(light))] * len(light)
     queries = np.array([r.v for r in sample], np.float64).reshape(len(sample), -1)
     near = points.select("vid", "v").mapInArrow(_sampled(spark.sparkContext.broadcast(queries), k), "sample bigint, vid bigint, score double")
     order = Window.partitionBy("sample").orderBy(F.col("score").desc(), "vid")
     near = work.stage(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "sample")
     # At most SAMPLE times k rows.
-    pairs = points.select("vid", "v").join(F.broadcast(near.select("vid", "sample")), "vid").collect()
-    pairs = [r for r in pairs if r.vid != own[r.sample]]
+    pairs = points.select("vid", "v", F.size("ids").alias("n")).join(F.broadcast(near.select("vid", "sample", "score")), "vid").collect()
+    pairs.sort(key=lambda r: (r.sample, -r.score, r.vid))
+    # A point weighs as many of its query's nearest as it stands for, times those that ask.
+    weights, left = [], {}
+    for r in pairs:
+        weights.append(min(r.n - (r.vid == own[r.sample]), left.setdefault(r.sample, k - 1)))
+        left[r.sample] -= weights[-1]
+    pairs, weights = [r for r, w in zip(pairs, weights, strict=True) if w], np.array([w * asks[r.sample] for r, w in zip(pairs, weights, strict=True) if w])
     if not pairs:
         return Hashing.of(dims + 1, tables, 1, width), 1.0, 1
     true_of = np.array([r.sample for r in pairs])
@@ -303,7 +314,9 @@ def _fit(work: Workspace, points: DataFrame, asked: DataFrame, total: int, dims:
             names = hashing.bucket(hashing.probes(at[:, table], distance, MOST_PROBES))
             met = names[true_of] == hashing.bucket(slots[:, table])[:, None]
             place = np.minimum(place, np.where(met.any(axis=1), met.argmax(axis=1), np.iinfo(np.int64).max))
-        needed = np.sort(place)[max(0, math.ceil(recall * len(place)) - 1)]
+        order = np.argsort(place, kind="stable")
+        reached = np.searchsorted(np.cumsum(weights[order]), recall * weights.sum() - 1e-9)
+        needed = place[order[reached]]
         if needed < MOST_PROBES or functions == 1:
             return hashing, distance, int(min(needed, MOST_PROBES - 1)) + 1
         functions -= 1
@@ -331,7 +344,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col:
     askers = rows.where(F.col("id") % every == 0).withColumn("key", F.xxhash64("v"))
     askers = askers.join(points.select("key", "v", "vid"), ["key", "v"]).select(F.col("id").alias("query_id"), "vid")
     askers = work.stage(askers, "askers")
-    asked = work.stage(points.join(askers.select("vid").distinct(), "vid", "left_semi").select("vid", "v"), "asked")
+    asked = work.stage(points.join(askers.groupBy("vid").agg(F.count("*").alias("asks")), "vid").select("vid", "v", "asks"), "asked")
     if asked.isEmpty():
         return spark.createDataFrame([], empty)
     sums = points.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("scale"), F.count("*").alias("n")).first()
