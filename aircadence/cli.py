@@ -17,6 +17,7 @@ from aircadence.functions import frames as X
 from aircadence.ml import metrics, models, prep
 from aircadence.operators import flows, labels, windows
 from aircadence.sources import pcap, readers
+from aircadence.sources.capture_index import read_captures
 from aircadence.workspace import Workspace
 
 
@@ -29,7 +30,7 @@ def _write(rows: DataFrame, path: str) -> None:
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    frames = X.head_per_file(spark.read.format("pcap").load(a.input), a.max_frames)
+    frames = X.head_per_file(read_captures(spark, a.input), a.max_frames)
     features = X.frame_features(frames)
     out = flows.flow_burst_features(flows.sessionise(features, a.flow_timeout, a.burst_threshold), a.min_burst)
     _write(labels.label_files(out, readers.read_labels(spark, a.labels)) if a.labels else out, a.output)
@@ -142,7 +143,7 @@ def label(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
-    windows.source_ranking(spark.read.format("pcap").load(a.input), a.top).show(a.top, truncate=False)
+    windows.source_ranking(read_captures(spark, a.input), a.top).show(a.top, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:
