@@ -273,6 +273,28 @@ def _compare(k: int):
     return run
 
 
+def _merged(k: int):
+    """The k best of all that tables and probes have found for a query, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            items = lists.flatten()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            down, vid = items.field(0).to_numpy(), items.field(1).to_numpy()
+            order = np.lexsort((vid, down, row))
+            row, down, vid = row[order], down[order], vid[order]
+            # A point has the same score wherever it is met.
+            once = np.r_[True, (row[1:] != row[:-1]) | (vid[1:] != vid[:-1])][: len(row)]
+            row, down, vid = row[once], down[once], vid[once]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            ends = np.searchsorted(row[keep], np.arange(len(batch) + 1)).astype(np.int32)
+            best = pa.StructArray.from_arrays([pa.array(down[keep]), pa.array(vid[keep])], fields=list(_BEST.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), best, type=_BEST)], ["qvid", "best"])
+
+    return run
+
+
 def _fit(work: Workspace, points: DataFrame, asked: DataFrame, total: int, dims: int, scale: float, most: float, k: int, recall: float, tables: int, width: float) -> tuple[Hashing, float, int]:
     """Functions, distance and probes at which the sample's neighbours are found."""
     spark = points.sparkSession
@@ -364,8 +386,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col:
     met = visits.join(blocks, ["tab", "bucket"]).select("qids", "qs", "members").mapInArrow(_compare(k + 1), _FOUND)
 
     def merged(found: DataFrame) -> DataFrame:
-        together = F.sort_array(F.array_distinct(F.flatten(F.collect_list("best"))))
-        return found.groupBy("qvid").agg(F.slice(together, 1, k + 1).alias("best"))
+        return found.groupBy("qvid").agg(F.flatten(F.collect_list("best")).alias("best")).mapInArrow(_merged(k + 1), _FOUND)
 
     results = work.stage(merged(met), "found")
     copied = work.stage(points.where(F.size("ids") > 1).select("vid", "ids"), "copied")
