@@ -148,28 +148,3 @@ def head_per_file(frames: DataFrame, max_frames: int | None) -> DataFrame:
     name = "__place"
     place = F.row_number().over(Window.partitionBy("source_file").orderBy("frame_no"))
     return frames.withColumn(name, place).where(F.col(name) <= max_frames).drop(name)
-
-
-def display_filter(expression: str) -> Column:
-    """A condition for the supported part of the capture tool's filter language.
-
-    Terms ``wlan``, ``wlan.sa``, ``wlan.addr == MAC``, ``wlan.sa|da|ta|ra|bssid
-    == MAC`` and ``wlan.fc.type|type_subtype|retry == n``, joined by ``&&``.
-    """
-    out = F.lit(True)
-    names = {"wlan.fc.type": "frame_type", "wlan.fc.type_subtype": "frame_subtype", "wlan.fc.retry": "retry", "wlan.fc.protected": "protected"} | {f"wlan.{a}": a for a in ("sa", "da", "ta", "ra", "bssid")}
-    for term in filter(None, (t.strip() for t in expression.split("&&"))):
-        name, _, value = (x.strip() for x in term.partition("=="))
-        if name == "wlan":
-            continue
-        if name == "wlan.addr":
-            out = out & F.coalesce(sum((_flag(F.lower(F.col(a)) == value.lower()) for a in ("sa", "da", "ta", "ra")), F.lit(0)) > 0, F.lit(False))
-        elif name not in names:
-            raise ValueError(f"unsupported filter term: {term}")
-        elif not value:
-            out = out & F.coalesce(F.col(names[name]) != "", F.lit(False))
-        elif names[name] in ("sa", "da", "ta", "ra", "bssid"):
-            out = out & (F.lower(F.col(names[name])) == value.lower())
-        else:
-            out = out & (F.col(names[name]) == int(value, 0))
-    return out

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence import schema as S
 from aircadence.functions import frames as X
+from aircadence.functions.filters import display_filter as display_filter_of
 from aircadence.ml import metrics as M, prep
 from aircadence.operators import flows, labels as L, stats, windows
 from aircadence.plans import oracle as O
@@ -171,9 +172,15 @@ def aligned_columns(spark, d):
     return prep.align(rows, ["rssi", "not_measured", "frame_len"]).select("frame_no", "rssi", "not_measured", "frame_len")
 
 
-@query("SELECT unnest(['frame_no', 'frame_len', 'timestamp', 'rssi', 'data_rate', 'channel_freq', 'mcs_index', 'ant_noise', 'frame_type', 'frame_subtype', 'to_ds', 'from_ds', 'seq_num', 'duration', 'retry_flag', 'protected_flag', 'qos_priority', 'is_data', 'is_mgmt', 'is_ctrl', 'is_qos_data', 'is_uplink', 'is_5ghz', 'is_known_camera_oui', 'is_esp32_oui', 'is_rpi_oui']) AS feature")
+_NUMERIC = "frame_no frame_len timestamp rssi data_rate channel_freq mcs_index ant_noise frame_type frame_subtype to_ds from_ds seq_num duration retry_flag protected_flag qos_priority is_data is_mgmt is_ctrl is_qos_data is_uplink is_5ghz is_known_camera_oui is_esp32_oui is_rpi_oui".split()
+
+
+@query(O.sql(f"SELECT unnest({_NUMERIC}) AS feature, unnest([{', '.join(f'count({c})' for c in _NUMERIC)}]) AS present FROM ff", O.FF))
 def numeric_columns(spark, d):
-    return spark.createDataFrame([(c,) for c in prep.feature_columns(_features(spark, d), ["size_bin"])], "feature string")
+    """The columns that models use, each with its number of values."""
+    rows = _features(spark, d)
+    counts = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("present")) for c in prep.feature_columns(rows, ["size_bin"])]
+    return rows.agg(F.array(*counts).alias("x")).select(F.inline("x"))
 
 
 @query(O.sql("SELECT frame_no, frame_len, rssi FROM fr WHERE source_file = 'session_0.pcap' UNION ALL SELECT frame_no, frame_len, NULL FROM fr WHERE source_file = 'session_1.pcap'"))
@@ -494,7 +501,30 @@ def top_k_features(spark, d):
 def display_filter(spark, d):
     rows = _frames(spark, d)
     mac = rows.where("sa like 'b8:27:eb%'").agg(F.min(F.lower("sa"))).first()[0]
-    return rows.where(X.display_filter(f"wlan && wlan.fc.type == 2 && wlan.fc.type_subtype == 0x28 && wlan.addr == {mac}")).select("frame_no")
+    return rows.where(display_filter_of(f"wlan && wlan.fc.type == 2 && wlan.fc.type_subtype == 0x28 && wlan.addr == {mac}")).select("frame_no")
+
+
+#: Filters and their SQL.
+_FILTERS = (
+    ("wlan.fc.type == 2 && !(wlan.fc.retry == 1)", "frame_type = 2 AND NOT coalesce(retry = 1, false)"),
+    ("wlan.fc.type == 0 || wlan.fc.type == 1 && wlan.fc.retry", "frame_type = 0 OR frame_type = 1 AND retry IS NOT NULL"),
+    ("(wlan.fc.type eq 0 or wlan.fc.type eq 1) and frame.len ge 100", "(frame_type = 0 OR frame_type = 1) AND frame_len >= 100"),
+    ("wlan.addr == 0A-00-00-00-00-01 || wlan.addr == b8:27:eb:00:00:00", "coalesce(lower(sa) IN ('0a:00:00:00:00:01', 'b8:27:eb:00:00:00'), false) OR coalesce(da IN ('0a:00:00:00:00:01', 'b8:27:eb:00:00:00'), false)"),
+    ("wlan.da != 0a:00:00:00:00:01", "da <> '0a:00:00:00:00:01'"),
+    ("!(wlan.da == 0a:00:00:00:00:01)", "coalesce(da <> '0a:00:00:00:00:01', true)"),
+    ("wlan.sa[0:3] == b8:27:eb or wlan.sa[:3] == 24:0a:c4", "substr(sa, 1, 8) IN ('b8:27:eb', '24:0a:c4')"),
+    ("wlan.sa contains 5e:00 && wlan.sa matches \":0[0-3]:..$\"", "contains(sa, ':5e:00:') AND regexp_matches(sa, ':0[0-3]:..$')"),
+    ("wlan.qos.priority in {1, 4..6} && wlan.fc.type_subtype & 0x08", "(qos_priority = 1 OR qos_priority BETWEEN 4 AND 6) AND frame_subtype & 8 <> 0"),
+    ("radiotap.dbm_antsignal < -40 && !wlan.ra && frame.time_epoch > 10.5", "rssi < -40 AND coalesce(ra, '') = '' AND timestamp > 10.5e0"),
+)
+
+
+@query(O.sql(" UNION ALL ".join(f"SELECT {k} AS filter, count(*) AS frames, CAST(coalesce(sum(frame_no), 0) AS BIGINT) AS frame_nos FROM fr WHERE {sql}" for k, (_, sql) in enumerate(_FILTERS))))
+def filter_language(spark, d):
+    """Frames that each of ten filters lets through, counted in one pass."""
+    held = [F.when(display_filter_of(text), F.struct(F.lit(k).alias("filter"), F.col("frame_no"))) for k, (text, _) in enumerate(_FILTERS)]
+    rows = _frames(spark, d).select(F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return rows.groupBy("filter").agg(F.count("*").alias("frames"), F.sum("frame_no").alias("frame_nos"))
 
 
 @query(O.sql("SELECT source_file, frame_no FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY frame_no) AS k FROM fr) WHERE k <= 100"))

@@ -51,13 +51,8 @@ def test_effective_addresses(spark):
     assert [tuple(r) for r in got] == [(BASE["sa"], BASE["da"]), (BASE["sa"], "r"), ("t", BASE["da"]), ("t", "r")]
 
 
-def test_names_filters_and_limits(spark):
+def test_names_and_limits(spark):
     rows = frames(spark, {}, {"frame_subtype": 99}, {"frame_subtype": None}, {"frame_type": 0, "frame_subtype": 8})
     assert [r[0] for r in rows.orderBy("frame_no").select(X.subtype_name()).collect()] == ["QoS Data", "Unknown", None, "Beacon"]
-    assert rows.where(X.display_filter("wlan.fc.type == 0")).count() == 1
-    assert rows.where(X.display_filter(f"wlan.addr == {BASE['sa'].upper()}")).count() == 4
-    assert rows.where(X.display_filter("wlan.fc.type == 2 && wlan.sa")).count() == 3
-    with pytest.raises(ValueError):
-        X.display_filter("ip.src == 1")
     assert [X.head_per_file(rows, n).count() for n in (None, 0, 2)] == [4, 0, 2]
     assert rows.select(X.normal_mac(F.lit(" AA:Bb "))).first()[0] == "aa:bb"
