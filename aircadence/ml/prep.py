@@ -49,7 +49,7 @@ def encode_labels(rows: DataFrame, label: str) -> DataFrame:
     """Add ``label_index``: the place of the label among the sorted names."""
     names = rows.where(F.col(label).isNotNull()).select(label).distinct()
     index = names.withColumn("label_index", F.row_number().over(Window.orderBy(label)) - 1)
-    return rows.join(F.broadcast(index), label, "left")
+    return rows.join(index, label, "left")
 
 
 #: Ranges of the shuffled order that are ranked apart.
@@ -62,8 +62,11 @@ def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     Rows are ranked within ranges of the order; a table of one row for each
     label and range carries the counts over, so no task holds a label.
     """
-    # A multiplicative hash that any engine computes alike.
-    mixed = ((F.col(key) + seed) * F.lit(2654435761)) % F.lit(4294967296)
+    # A multiplicative hash that any engine computes alike: (key + seed) * 2654435761 modulo 2^32, from halves,
+    # so that no product overflows.
+    word = F.pmod(F.pmod(F.col(key).cast("bigint"), F.lit(1 << 32)) + seed, F.lit(1 << 32))
+    low, high = word.bitwiseAND(0xFFFF), F.shiftright(word, 16)
+    mixed = F.pmod(low * F.lit(2654435761) + (high * F.lit(2654435761)).bitwiseAND(0xFFFF) * 65536, F.lit(1 << 32))
     placed = rows.withColumn("__mixed", mixed).withColumn("__range", F.floor(F.col("__mixed") / (4294967296 // _RANGES)))
     cell = [label, "__range"]
     of = Window.partitionBy(label)
@@ -91,7 +94,7 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
     whole = counts.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
     counts = counts.crossJoin(F.broadcast(whole)).select(label, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    return rows.join(F.broadcast(counts), label)
+    return rows.join(counts, label)
 
 
 def align(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

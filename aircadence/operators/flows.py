@@ -11,11 +11,14 @@ for each bucket carries the last time and the counts over to the next bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aircadence import schema as S
 from aircadence.functions.frames import _flag, oui
 from aircadence.operators.quantiles import join_keys, quantiles
+from aircadence.workspace import Workspace
 
 PAIR = ["source_file", "sa", "da"]
 FLOW = [*PAIR, "flow_id"]
@@ -88,11 +91,17 @@ def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def flow_features(sessions: DataFrame, median_gap: bool = True) -> DataFrame:
+#: Gaps of a flow that one aggregate may hold for their median.
+MOST_HELD = 100_000
+
+
+def flow_features(sessions: DataFrame, median_gap: bool = True, most_held: int = MOST_HELD) -> DataFrame:
     """One row of 35 features for each flow of :func:`sessionise`'s output.
 
-    Without ``median_gap`` the column ``median_iat``, which takes a second pass
-    over the sessions, is left out.
+    The aggregate holds up to ``most_held`` gaps of a flow for their median.  The
+    rows are staged, and only if some flow is larger do the sessions of such flows
+    take a second pass.  Without ``median_gap`` the column ``median_iat`` is left out
+    and nothing is staged.
     """
     c, ms = F.col, F.col("iat") * 1000
     size, rate = F.col("frame_len").cast("double"), F.when(F.col("data_rate") > 0, F.col("data_rate"))
@@ -107,11 +116,17 @@ def flow_features(sessions: DataFrame, median_gap: bool = True) -> DataFrame:
         _share(c("is_data") == 1).alias("data_frame_ratio"), _share(c("is_mgmt") == 1).alias("mgmt_frame_ratio"), _share(c("is_ctrl") == 1).alias("ctrl_frame_ratio"),
         _share(c("is_qos_data") == 1).alias("qos_data_ratio"), _share(c("retry_flag") == 1).alias("retry_ratio"), _share(c("protected_flag") == 1).alias("protected_ratio"),
         _or_zero(F.avg(rate)).alias("mean_data_rate"), _or_zero(F.max(rate)).alias("max_data_rate"), F.max("is_5ghz").alias("is_5ghz"),
+        # Frame lengths have few values, so an aggregate can count them all; gaps can all differ.
+        *([_or_zero(F.median(F.when(c("pos") - c("flow_id") < most_held, ms))).alias("median_iat")] if median_gap else []),
     )
-    # Frame lengths have few values, so an aggregate can count them all; gaps can all differ.
     if median_gap:
-        medians = quantiles(sessions.where("iat is not null"), FLOW, {"ms": ms}, (0.5,))
-        out = join_keys(out, medians, FLOW, "left").withColumnRenamed("ms_0", "median_iat").fillna(0.0, ["median_iat"])
+        out = Workspace(sessions.sparkSession, "flows").stage(out, "features")
+        large = out.where(c("packet_count") > most_held).select(*FLOW)
+        if not large.isEmpty():
+            named = large.select(*(c(k).alias(f"__{k}") for k in FLOW))
+            those = sessions.join(named, reduce(lambda a, b: a & b, (c(k).eqNullSafe(c(f"__{k}")) for k in FLOW)), "left_semi")
+            medians = quantiles(those.where("iat is not null"), FLOW, {"ms": ms}, (0.5,))
+            out = join_keys(out, medians, FLOW, "left").withColumn("median_iat", F.coalesce("ms_0", "median_iat")).drop("ms_0")
     out = out.withColumn("sa_oui", oui("sa")).withColumn("throughput_bps", c("total_bytes") * 8 / F.greatest("duration_sec", F.lit(0.001)))
     out = out.withColumn("cv_iat", c("std_iat") / F.greatest("mean_iat", F.lit(1e-9))).withColumn("rssi_range", c("max_rssi") - c("min_rssi"))
     return out.withColumn("is_known_camera_oui", _flag(c("sa_oui").isin(*S.CAMERA_OUIS))).withColumn("camera_heuristic_score", camera_score())

@@ -1,9 +1,11 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, in two passes.
 
-Values fall into buckets by their logarithm, so that buckets are in the order
-of values.  A prefix sum over the buckets' counts tells which bucket holds a
-quantile's rank, and only the values of those buckets are put in order: no task
-sorts or holds the values of a whole group.
+The first pass keeps a sketch of each group, of fixed size.  It gives two values
+between which a quantile's rank must lie, whatever the distribution is.  The second
+pass counts what lies below them, as one number, and puts in order only what lies
+between: about a thousandth of a large group.  So no task sorts or holds the values
+of a whole group; small groups are put in order whole.  That the rank does lie
+between the two values is checked with the exact counts.
 """
 
 from __future__ import annotations
@@ -13,14 +15,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Buckets for each doubling of a value.
-_STEPS = 256
-
-
-def _bucket(x: Column) -> Column:
-    """A number that never falls as the value rises; NaN comes last."""
-    size = F.floor(F.log2(F.least(F.abs(x), F.lit(1.7e308))) * _STEPS) + 1100 * _STEPS
-    return F.when(F.isnan(x), F.lit(10_000 * _STEPS)).when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("bigint") * size)
+#: Groups of no more values are put in order whole.
+WHOLE = 10_000
+#: Values are kept within so much of a share on both sides, and the sketch errs by less than a fifth of that.
+_MARGIN, _ACCURACY = 5e-4, 10_000
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -31,30 +29,37 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(right, condition, how).drop(*names.values())
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], values: dict[str, Column], shares: Sequence[float]) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], values: dict[str, Column], shares: Sequence[float], whole: int = WHOLE) -> DataFrame:
     """Of each group and value the quantiles, as ``(*keys, name_0, name_1, ...)``.
 
-    Between two ranks a quantile is interpolated; nulls count as no values, and
-    a group without values has no row (without keys: a row of nulls).
+    Between two ranks a quantile is interpolated; nulls count as no values, NaN as
+    greater than all others, and a group without values has no row (without keys: a
+    row of nulls).
     """
-    group, cell = [*keys, "__name"], [*keys, "__name", "__bucket"]
+    group, x = [*keys, "__name"], F.col("__x")
     every = F.explode(F.array(*(F.struct(F.lit(n).alias("__name"), v.cast("double").alias("__x")) for n, v in values.items())))
-    counts = rows.select(*keys, every.alias("__v")).select(*keys, "__v.*").where("__x is not null").groupBy(*group, _bucket(F.col("__x")).alias("__bucket"), "__x").agg(F.count("*").alias("__n"))
-    of = Window.partitionBy(*group)
-    before = of.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy(*cell).agg(F.sum("__n").alias("__cell"))
-    cells = cells.withColumn("__before", F.coalesce(F.sum("__cell").over(before), F.lit(0))).withColumn("__last", F.sum("__cell").over(of) - 1)
-    ranks = [(F.floor(F.col("__last") * p), F.ceil(F.col("__last") * p)) for p in shares]
-    holds = lambda r, start, n: (r >= F.col(start)) & (r < F.col(start) + F.col(n))
-    wanted = cells.where(reduce(lambda a, b: a | b, (holds(r, "__before", "__cell") for pair in ranks for r in pair)))
-    inside = join_keys(counts, wanted.drop("__cell"), cell)
-    within = Window.partitionBy(*cell).orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("__first", F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    picked = []
-    for name in values:
-        for k, (p, (low, high)) in enumerate(zip(shares, ranks, strict=True)):
-            own = F.col("__name") == name
-            at = F.max(F.when(own, F.col("__last"))) * F.lit(float(p))
-            a, b = (F.max(F.when(own & holds(r, "__first", "__n"), F.col("__x"))) for r in (low, high))
-            picked.append(F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b).alias(f"{name}_{k}"))
-    return inside.groupBy(*keys).agg(*picked)
+    listed = rows.select(*keys, every.alias("__v")).select(*keys, "__v.*").where("__x is not null")
+    # The sketch knows no NaN; infinity stands for it.
+    sized = F.nanvl(x, F.lit(float("inf")))
+    cuts = [min(1.0, max(0.0, p + side * _MARGIN)) for p in shares for side in (-1, 1)]
+    sketch = listed.groupBy(*group).agg(F.count("*").alias("__n"), F.percentile_approx(sized, cuts, _ACCURACY).alias("__cuts"))
+    known = join_keys(listed, sketch, group)
+    all_in = F.col("__n") <= whole
+    kept = []
+    for k, p in enumerate(shares):
+        low, high = F.col("__cuts")[2 * k], F.col("__cuts")[2 * k + 1]
+        # What lies below is one cell without a value; what lies above is not needed.
+        below, above = ~all_in & (sized < low), ~all_in & (sized > high)
+        kept.append(F.when(~above, F.struct(F.lit(k).alias("__k"), F.lit(float(p)).alias("__p"), F.when(~below, x).alias("__y"))))
+    needed = known.select(*group, "__n", F.explode(F.filter(F.array(*kept), lambda c: c.isNotNull())).alias("__c")).select(*group, "__n", "__c.*")
+    cells = needed.groupBy(*group, "__n", "__k", "__p", "__y").agg(F.count("*").alias("__rows"))
+    upto = F.sum("__rows").over(Window.partitionBy(*group, "__k").orderBy(F.col("__y").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("__end", upto).withColumn("__at", (F.col("__n") - 1) * F.col("__p"))
+    holds = lambda r: F.col("__y").isNotNull() & (r >= F.col("__end") - F.col("__rows")) & (r < F.col("__end"))
+    floor, ceil = F.floor("__at"), F.ceil("__at")
+    picked = cells.groupBy(*group, "__k").agg(F.max(F.when(holds(floor), F.col("__y"))).alias("__a"), F.max(F.when(holds(ceil), F.col("__y"))).alias("__b"), F.max("__at").alias("__at"))
+    a, b = F.col("__a"), F.col("__b")
+    value = F.when(floor == ceil, a).otherwise((ceil - F.col("__at")) * a + (F.col("__at") - floor) * b)
+    picked = picked.withColumn("__value", F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("a rank lies outside its sketch"))).otherwise(value))
+    named = [F.max(F.when((F.col("__name") == n) & (F.col("__k") == k), F.col("__value"))).alias(f"{n}_{k}") for n in values for k in range(len(shares))]
+    return picked.groupBy(*keys).agg(*named)

@@ -398,7 +398,8 @@ def label_encode(spark, d):
     return prep.encode_labels(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), "event_type").select("event_id", "event_type", "label_index")
 
 
-_MIXED = "PARTITION BY quality ORDER BY ((doc_id + 42) * 2654435761) % 4294967296, doc_id"
+_WORD = "(doc_id % 4294967296 + 4294967296 + 42) % 4294967296"
+_MIXED = f"PARTITION BY quality ORDER BY (({_WORD})::HUGEINT * 2654435761) % 4294967296, doc_id"
 
 
 @query(f"SELECT doc_id, quality, row_number() OVER ({_MIXED}) <= round(count(*) OVER (PARTITION BY quality) * 3e-1) AS is_test FROM labels")
