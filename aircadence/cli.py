@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence import schema as S
 from aircadence.functions import frames as X
-from aircadence.ml import metrics, models, prep
+from aircadence.ml import forests, metrics, models, prep
 from aircadence.operators import flows, labels, windows
 from aircadence.sources import pcap, readers
 from aircadence.sources.capture_index import read_captures
@@ -66,19 +66,26 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     """Train SVM, forest and ensemble, report them, and save each and the best."""
     ready, columns, names, fitted = _ready(_read(spark, a.input), a)
     fitting, testing = ready.where("not is_test"), ready.where("is_test")
-    dims, kinds = len(columns), {"svm": models.fit_kernel_svm, "rf": models.fit_forest}
+    dims, kinds = len(columns), ("svm", "rf")
     fits = {"svm": lambda rows, **how: models.fit_kernel_svm(rows, dims, **how), "rf": models.fit_forest}
-    grids = {"svm": models.SVM_GRID_BINARY if a.binary else models.SVM_GRID, "rf": models.forest_search_grid(bool(a.binary))}
+    metric = "f1" if a.binary else "f1_weighted"
     fitted_models: dict[str, object] = {}
-    for name in kinds:
-        if a.search:
-            fitted_models[name], chosen, _ = models.search(fitting, fits[name], grids[name], a.folds)
-            print(f"{name}: {chosen}")
-        else:
-            fitted_models[name] = fits[name](fitting)
+    chosen: dict[str, dict] = {"svm": {}, "rf": {}}
+    if a.search:
+        fitted_models["svm"], chosen["svm"], _ = models.search(fitting, fits["svm"], models.SVM_GRID_BINARY if a.binary else models.SVM_GRID, a.folds, metric=metric)
+        fitted_models["rf"], chosen["rf"], _ = forests.forest_search(fitting, models.FOREST_GRID_BINARY if a.binary else models.FOREST_GRID, a.folds, metric=metric)
+        print(f"svm: {chosen['svm']}, rf: {chosen['rf']}")
+    else:
+        fitted_models = {name: fits[name](fitting) for name in kinds}
     weights = (1.0, 1.0)
     if a.weigh:
-        both = models.predictions(fitted_models["rf"], models.predictions(fitted_models["svm"], fitting, "p1"), "p2")
+        # Weights are chosen on rows that the members have not seen: a fold is kept from both.
+        seen, unseen = fitting.where("fold <> 0"), fitting.where("fold = 0")
+        svm = fits["svm"](seen, **chosen["svm"])
+        rf = forests.grow(seen, chosen["rf"]["trees"], chosen["rf"]["depth"], chosen["rf"]["leaf"]) if a.search else fits["rf"](seen)
+        if a.search:
+            rf.split = chosen["rf"]["split"]
+        both = models.predictions(rf, models.predictions(svm, unseen, "p1"), "p2")
         weights, _ = metrics.best_weights(metrics.weight_search(both, "label_index", "p1", "p2", metric="f1_weighted"))
     fitted_models["ensemble"] = models.Vote({n: fitted_models[n] for n in kinds}, tuple(map(float, weights)))
     told = {n: m.transform(testing).select(F.col("label_index").alias("y_true"), F.col("prediction").alias("y_pred")) for n, m in fitted_models.items()}

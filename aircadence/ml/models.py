@@ -1,4 +1,4 @@
-"""Classifiers on Spark ML: random forest, kernel SVM by random features,
+"""Classifiers on Spark ML: random forest, kernel SVM by landmarks,
 soft-voting ensemble, searches, importances, PCA, persistence and evaluation."""
 
 from __future__ import annotations
@@ -8,18 +8,18 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.ml import prep
-from aircadence.ml.metrics import argmax, overall_metrics, weighted_vote
-from aircadence.workspace import Workspace
+from aircadence.ml.forests import CutForest
+from aircadence.ml.kernels import Machines, fit_landmarks, fit_machines
+from aircadence.ml.metrics import argmax, binary_detection, overall_metrics, weighted_vote
 
 
 def assembled(rows: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -40,55 +40,24 @@ def kernel_width(rows: DataFrame, dims: int, gamma: float | str | None) -> float
     return 1.0 / (dims * (rows.select(values.alias("x")).agg(F.var_pop("x")).first()[0] or 1.0))
 
 
-def random_features(dims: int, out: int = 256, gamma: float | None = None, seed: int = 42, kernel: str = "rbf") -> SQLTransformer:
-    """A transformer that approximates a kernel by ``out`` random features of ``__x``.
-
-    "rbf": random cosines.  "poly" (degree 3): products of three random signed
-    sums, whose expected products are the third powers of the scaled dot product.
-    """
-    rng = np.random.default_rng(seed)
-    gamma = 1.0 / dims if gamma is None else gamma
-    numbers = lambda w: f"array({', '.join(f'{x!r}D' for x in w)})"
-    # One array literal; the dot products are higher-order functions in the plan.
-    dot = "aggregate(zip_with(r.{0}, __x, (p, q) -> p * q), 0D, (s, v) -> s + v)"
-    if kernel == "rbf":
-        directions = rng.normal(0, np.sqrt(2 * gamma), (out, dims))
-        shifts = rng.uniform(0, 2 * np.pi, out)
-        rows = ", ".join(f"named_struct('b', {b!r}D, 'w', {numbers(w)})" for b, w in zip(shifts.tolist(), directions.tolist(), strict=True))
-        feature, scale = f"cos(r.b + {dot.format('w')})", float(np.sqrt(2 / out))
-    elif kernel == "poly":
-        signs = rng.choice([-1.0, 1.0], (out, 3, dims)) * np.sqrt(gamma)
-        rows = ", ".join(f"named_struct('u', {numbers(u)}, 'v', {numbers(v)}, 'w', {numbers(w)})" for u, v, w in signs.tolist())
-        feature, scale = " * ".join(dot.format(c) for c in "uvw"), float(np.sqrt(1 / out))
-    else:
-        raise ValueError(f"kernel {kernel}")
-    return SQLTransformer(statement=f"SELECT *, transform(array({rows}), r -> {scale!r}D * {feature}) AS __kernel FROM __THIS__")
-
-
-def _kernel(rows: DataFrame, mapper: SQLTransformer) -> DataFrame:
-    out = mapper.transform(rows.withColumn("__x", vector_to_array("features")))
-    return out.withColumn("kernel_features", array_to_vector("__kernel")).drop("__x", "__kernel")
-
-
 @dataclass
 class KernelSvm:
-    """One-vs-rest linear machines over random features, with Platt scaling."""
+    """Kernel machines, one for each class against the rest, with Platt scaling."""
 
-    mapper: SQLTransformer
-    machines: PipelineModel
+    machines: Machines
     calibration: PipelineModel
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        out = self.calibration.transform(self.machines.transform(_kernel(rows, self.mapper)))
-        return out.drop("kernel_features", "rawPrediction", "svm_class", "platt_raw", "svm_margin")
+        out = self.machines.transform(rows, "__margins").withColumn("svm_margin", array_to_vector("__margins"))
+        return self.calibration.transform(out).drop("__margins", "svm_margin", "platt_raw")
 
     def save(self, path: str) -> None:
-        for name, part in (("mapper", self.mapper), ("machines", self.machines), ("calibration", self.calibration)):
-            part.write().overwrite().save(f"{path}/{name}")
+        self.machines.save(SparkSession.getActiveSession(), f"{path}/machines")
+        self.calibration.write().overwrite().save(f"{path}/calibration")
 
     @classmethod
     def load(cls, path: str) -> KernelSvm:
-        return cls(SQLTransformer.load(f"{path}/mapper"), PipelineModel.load(f"{path}/machines"), PipelineModel.load(f"{path}/calibration"))
+        return cls(Machines.load(SparkSession.getActiveSession(), f"{path}/machines"), PipelineModel.load(f"{path}/calibration"))
 
 
 @dataclass
@@ -106,19 +75,19 @@ class Vote:
         return voted.withColumn("prediction", argmax(F.col("__p")).cast("double")).withColumn("probability", array_to_vector("__p")).drop("__p", *names)
 
 
-def fit_kernel_svm(rows: DataFrame, dims: int, out: int = 256, reg: float = 0.01, gamma: float | str | None = None, seed: int = 42, kernel: str = "rbf", c: float | None = None) -> KernelSvm:
-    """Fit the machines; ``c``, if given, sets the penalty to 1 / (c * rows)."""
+def fit_kernel_svm(rows: DataFrame, dims: int, landmarks: int = 256, reg: float = 0.01, gamma: float | str | None = None, kernel: str = "rbf", c: float | None = None) -> KernelSvm:
+    """Fit the machines; ``c``, if given, sets the penalty to 1 / (c * rows).
+
+    With as many landmarks as distinct rows these are exact kernel machines; else
+    ``machines.error`` tells how far the kernel is off.
+    """
     if c is not None:
         reg = 1.0 / (c * max(1, rows.count()))
-    mapper = random_features(dims, out, kernel_width(rows, dims, gamma), seed, kernel)
-    # The kernel map is costly next to a training step, so it runs once.
-    mapped = Workspace(rows.sparkSession, "kernel-svm").stage(_kernel(rows, mapper), "mapped")
-    svc = LinearSVC(regParam=reg, maxIter=20, featuresCol="kernel_features")
-    rest = OneVsRest(classifier=svc, labelCol="label_index", featuresCol="kernel_features", predictionCol="svm_class", weightCol="weight", parallelism=4)
-    machines = Pipeline(stages=[rest]).fit(mapped)
-    margin = VectorAssembler(inputCols=["rawPrediction"], outputCol="svm_margin")
+    classes = int(rows.agg(F.max("label_index")).first()[0]) + 1
+    machines = fit_machines(rows, fit_landmarks(rows, landmarks, kernel_width(rows, dims, gamma), kernel), classes, reg)
+    margins = machines.transform(rows, "__margins").withColumn("svm_margin", array_to_vector("__margins"))
     platt = LogisticRegression(featuresCol="svm_margin", labelCol="label_index", weightCol="weight", rawPredictionCol="platt_raw", probabilityCol="probability", predictionCol="prediction")
-    return KernelSvm(mapper, machines, Pipeline(stages=[margin, platt]).fit(machines.transform(mapped)))
+    return KernelSvm(machines, Pipeline(stages=[platt]).fit(margins))
 
 
 def fit_forest(rows: DataFrame, trees: int = 100, depth: int = 20, leaf: int = 1, seed: int = 42) -> PipelineModel:
@@ -129,6 +98,11 @@ def _told(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(F.col("label_index").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
+def score_of(told: DataFrame, metric: str) -> float:
+    """A metric of predictions; "f1" is that of class 1."""
+    return (binary_detection(told).first().f1 if metric == "f1" else overall_metrics(told).first()[metric]) or 0.0
+
+
 def search(rows: DataFrame, fit: Callable[..., object], grid: dict[str, Sequence], folds: int = 5, fold_col: str = "fold", metric: str = "f1_weighted") -> tuple[object, dict, list[tuple[dict, float]]]:
     """The model of the best parameters, fitted on all rows, the parameters, and the mean score of each.
 
@@ -141,7 +115,7 @@ def search(rows: DataFrame, fit: Callable[..., object], grid: dict[str, Sequence
         scores = []
         for k in range(folds):
             model = fit(rows.where(F.col(fold_col) != k), **chosen)
-            scores.append(overall_metrics(_told(model, rows.where(F.col(fold_col) == k))).first()[metric] or 0.0)
+            scores.append(score_of(_told(model, rows.where(F.col(fold_col) == k)), metric))
         tried.append((chosen, sum(scores) / folds))
     best = max(tried, key=lambda t: t[1])[0]
     return fit(rows, **best), best, tried
@@ -182,16 +156,10 @@ def grid_search(rows: DataFrame, estimator, grid: dict, folds: int = 5, parallel
 
 
 #: The grids searched for many and for two classes.
-FOREST_GRID = {"numTrees": (100, 200, 300), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2, 4)}
-FOREST_GRID_BINARY = {"numTrees": (150, 250, 350), "maxDepth": (15, 25, 30), "minInstancesPerNode": (1, 2)}
+FOREST_GRID = {"trees": (100, 200, 300), "depth": (10, 20, 30), "split": (2, 5, 10), "leaf": (1, 2, 4)}
+FOREST_GRID_BINARY = {"trees": (150, 250, 350), "depth": (15, 25, 30), "split": (2, 5), "leaf": (1, 2)}
 SVM_GRID = {"c": (0.1, 1, 10, 100), "gamma": ("scale", "auto", 0.01, 0.1), "kernel": ("rbf", "poly")}
 SVM_GRID_BINARY = {"c": (0.5, 1, 5, 10, 50), "gamma": ("scale", "auto", 0.05, 0.1)}
-#: The same forest grids by the names of :func:`fit_forest`.
-_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "leaf"}
-
-
-def forest_search_grid(binary: bool) -> dict[str, Sequence]:
-    return {_FOREST_NAMES[k]: v for k, v in (FOREST_GRID_BINARY if binary else FOREST_GRID).items()}
 
 
 def importances(model, columns: Sequence[str], spark: SparkSession) -> DataFrame:
@@ -250,18 +218,14 @@ def save_bundle(model, path: str, feature_names: Sequence[str], label_names: Seq
         meta["class"] = type(model).__name__
     for name, part in parts.items():
         where = f"{path}/model/{name}".rstrip("/")
-        part.save(where) if isinstance(part, KernelSvm) else part.write().overwrite().save(where)
+        part.save(where) if isinstance(part, (KernelSvm, CutForest)) else part.write().overwrite().save(where)
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[object, dict]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    kinds = {"KernelSvm": KernelSvm, "PipelineModel": PipelineModel}
+    kinds = {"KernelSvm": KernelSvm, "PipelineModel": PipelineModel, "CutForest": CutForest}
     if "members" in meta:
         return Vote({n: kinds[k].load(f"{path}/model/{n}") for n, k in meta["members"].items()}, tuple(meta["weights"])), meta
     return kinds[meta.get("class", "PipelineModel")].load(f"{path}/model"), meta
-
-
-def label_indexer(label: str) -> StringIndexer:
-    return StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")

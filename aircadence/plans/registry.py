@@ -14,7 +14,7 @@ from aircadence import schema as S
 from aircadence.functions import frames as X
 from aircadence.functions.filters import display_filter as display_filter_of
 from aircadence.ml import metrics as M, prep
-from aircadence.operators import flows, labels as L, stats, windows
+from aircadence.operators import flows, identify, labels as L, stats, windows
 from aircadence.plans import oracle as O
 from aircadence.sources import fixture
 
@@ -505,6 +505,39 @@ def display_filter(spark, d):
     return rows.where(display_filter_of(f"wlan && wlan.fc.type == 2 && wlan.fc.type_subtype == 0x28 && wlan.addr == {mac}")).select("frame_no")
 
 
+#: Short windows, so that the small tables have many; the fixture's frames are short, so few signs are asked for.
+_DW = """dw AS (
+  SELECT source_file, sa, CAST(floor(timestamp / 2) AS BIGINT) AS window_id, CAST(sum(frame_len) AS BIGINT) AS bytes, avg(rssi) AS mean_rssi, max(channel_freq) AS channel_freq,
+    CASE WHEN avg(frame_len) > 1000 THEN 2 ELSE 0 END + CASE WHEN avg((frame_len > 1000)::INT) > 0.5 THEN 2 ELSE 0 END + CASE WHEN avg(is_uplink) > 0.7 THEN 2 ELSE 0 END
+    + CASE WHEN avg(is_qos_data) > 0.5 THEN 1 ELSE 0 END + CASE WHEN avg(protected_flag) > 0.5 THEN 1 ELSE 0 END + CASE WHEN avg(CASE WHEN data_rate > 0 THEN data_rate END) > 50 THEN 1 ELSE 0 END AS score
+  FROM ff GROUP BY ALL)"""
+
+
+@query(O.sql("""SELECT d.source_file, d.sa, d.windows, d.camera_windows, round(d.camera_windows / d.windows, 4) AS stability, d.overlap_windows, round(d.mean_share, 4) AS mean_share,
+  round(-b.best[1], 4) AS alignment, CAST(b.best[3] AS INT) AS lag, d.camera_windows >= 2 AND d.camera_windows / d.windows >= 5e-1 AS is_camera FROM d LEFT JOIN b USING (source_file, sa)""", O.FF, _DW,
+    "o AS (SELECT *, (score >= 4)::INT AS likely, sum((score >= 4)::INT) OVER w AS alike, sum(bytes) OVER w AS whole FROM dw WINDOW w AS (PARTITION BY source_file, window_id))",
+    "d AS (SELECT source_file, sa, count(*) AS windows, CAST(sum(likely) AS BIGINT) AS camera_windows, CAST(sum((likely = 1 AND alike > 1)::INT) AS BIGINT) AS overlap_windows, avg(bytes / whole) AS mean_share, sum(bytes) AS total FROM o GROUP BY ALL)",
+    "l AS (SELECT source_file, sa AS leader FROM d QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY camera_windows DESC, total DESC, sa) = 1)",
+    "m AS (SELECT a.source_file, a.sa, g.lag, count(*) AS n, var_pop(a.bytes) AS v, var_pop(z.bytes) AS w, corr(a.bytes, z.bytes) AS r FROM dw a CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) g JOIN l ON l.source_file = a.source_file AND l.leader <> a.sa JOIN dw z ON z.source_file = l.source_file AND z.sa = l.leader AND z.window_id = a.window_id - g.lag GROUP BY ALL)",
+    "b AS (SELECT source_file, sa, min([-round(r, 6), abs(lag), lag]) AS best FROM m WHERE n >= 3 AND v > 0 AND w > 0 GROUP BY ALL)"))
+def joint_cameras(spark, d):
+    """Several cameras at once: how steady each is, how they overlap, and which follow the leading one."""
+    out = identify.joint_cameras(identify.device_windows(_features(spark, d), 2.0), least_score=4)
+    return _round(out, "stability mean_share alignment", "source_file sa windows camera_windows overlap_windows lag is_camera")
+
+
+@query(O.sql("""SELECT source_file, sa, window_id, round(mean_rssi, 4) + 0e0 AS mean_rssi, round(rise, 4) + 0e0 AS rise, round(fall, 4) + 0e0 AS fall, trend,
+  CASE trend WHEN 'approaching' THEN rise_low + 1 WHEN 'receding' THEN fall_low + 1 END AS since_window FROM z""", O.FF, _DW,
+    "h AS (SELECT *, mean_rssi - avg(mean_rssi) OVER (PARTITION BY source_file, sa) AS off FROM dw WHERE mean_rssi IS NOT NULL)",
+    "s AS (SELECT *, round(sum(off - 1) OVER w, 6) AS up, round(sum(-off - 1) OVER w, 6) AS down FROM h WINDOW w AS (PARTITION BY source_file, sa ORDER BY window_id))",
+    "t AS (SELECT *, round(up - least(0, min(up) OVER w), 6) AS rise, round(down - least(0, min(down) OVER w), 6) AS fall FROM s WINDOW w AS (PARTITION BY source_file, sa ORDER BY window_id))",
+    "z AS (SELECT *, max(CASE WHEN rise = 0 THEN window_id END) OVER w AS rise_low, max(CASE WHEN fall = 0 THEN window_id END) OVER w AS fall_low, CASE WHEN rise > 8 AND (fall <= 8 OR rise >= fall) THEN 'approaching' WHEN fall > 8 THEN 'receding' ELSE 'steady' END AS trend FROM t WINDOW w AS (PARTITION BY source_file, sa ORDER BY window_id))"))
+def device_approaches(spark, d):
+    """Whether each device comes nearer, by cumulative sums of its signal."""
+    out = identify.approaches(identify.device_windows(_features(spark, d), 2.0))
+    return _round(out, "mean_rssi rise fall", "source_file sa window_id trend since_window")
+
+
 #: Filters and their SQL.
 _FILTERS = (
     ("wlan.fc.type == 2 && !(wlan.fc.retry == 1)", "frame_type = 2 AND NOT coalesce(retry = 1, false)"),

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from aircadence.functions.frames import _flag
-from aircadence.operators.flows import PAIR, _share
+from aircadence.operators.flows import PAIR
 
 
 def with_event_time(frames: DataFrame) -> DataFrame:
@@ -22,15 +22,20 @@ def with_event_time(frames: DataFrame) -> DataFrame:
 def window_counts(features: DataFrame, window_sec: int = 10, delay: str = "30 seconds") -> DataFrame:
     """Window volume and ratios over epoch-aligned windows, append mode.
 
-    Frames later than the watermark are dropped.  Sources are counted by the
-    set of a window's addresses, as exact distinct counts need state.
+    Frames later than the watermark are dropped.  A window is first summed for each of
+    its addresses, and these sums then meet, so an address is one small row of state,
+    dealt over all tasks, and the number of sources is a count of rows.
     """
+    count = lambda condition: F.sum(_flag(condition).cast("bigint"))
     rows = with_event_time(features).withWatermark("event_time", delay)
-    out = rows.groupBy("source_file", F.window("event_time", f"{window_sec} seconds")).agg(
-        F.count("*").alias("packet_count"), F.sum(F.col("frame_len").cast("bigint")).alias("total_traffic_volume"),
-        F.size(F.collect_set("sa")).alias("unique_sources"), _share(F.col("is_data") == 1).alias("data_frame_ratio"), _share(F.col("is_uplink") == 1).alias("uplink_ratio"), F.avg("rssi").alias("mean_global_rssi"),
+    each = rows.groupBy("source_file", F.window("event_time", f"{window_sec} seconds").alias("window"), "sa").agg(
+        F.count("*").alias("n"), F.sum(F.col("frame_len").cast("bigint")).alias("bytes"), count(F.col("is_data") == 1).alias("data"), count(F.col("is_uplink") == 1).alias("up"), F.count("rssi").alias("heard"), F.sum("rssi").alias("signal"),
     )
-    return out.select("source_file", F.col("window.start").alias("window_start"), *out.columns[2:])
+    whole = each.groupBy("source_file", "window").agg(
+        F.sum("n").alias("packet_count"), F.sum("bytes").alias("total_traffic_volume"), F.count("sa").cast("int").alias("unique_sources"),
+        (F.sum("data") / F.sum("n")).alias("data_frame_ratio"), (F.sum("up") / F.sum("n")).alias("uplink_ratio"), (F.sum("signal") / F.nullif(F.sum("heard"), F.lit(0))).alias("mean_global_rssi"),
+    )
+    return whole.select("source_file", F.col("window.start").alias("window_start"), *whole.columns[2:])
 
 
 #: Of an open session: its figures, those of its open run, and frames that the watermark has not reached.

@@ -31,7 +31,7 @@ def test_forest_svm_ensemble(spark, rows, tmp_path):
     train, test = rows.where("not is_test"), rows.where("is_test")
     assert test.count() == 45
     forest = models.random_forest(trees=20, depth=5).fit(train)
-    svm = models.fit_kernel_svm(train, len(COLUMNS), out=64)
+    svm = models.fit_kernel_svm(train, len(COLUMNS), landmarks=64)
     both = models.predictions(svm, models.predictions(forest, test, "rf"), "svm")
     for names in (["rf"], ["svm"], ["svm", "rf"]):
         told = models.with_vote(both, names, [1.0] * len(names))
@@ -75,21 +75,12 @@ def test_kernels_separate_a_ring(spark):
     y = ((x**2).sum(axis=1) > 1.4).astype(float)
     rows = spark.createDataFrame([(float(a), float(b), float(c), 1.0) for (a, b), c in zip(x, y)], "a double, b double, label_index double, weight double")
     rows = models.assembled(rows, ["a", "b"]).cache()
-    got = {k: metrics.overall_metrics(models._told(models.fit_kernel_svm(rows, 2, out=200, gamma=0.7, kernel=k, c=10), rows)).first().accuracy for k in ("rbf", "poly")}
+    got = {k: metrics.overall_metrics(models._told(models.fit_kernel_svm(rows, 2, landmarks=200, gamma=0.7, kernel=k, c=10), rows)).first().accuracy for k in ("rbf", "poly")}
     assert got["rbf"] > 0.9 and got["poly"] > 0.5
     assert models.kernel_width(rows, 2, "auto") == 0.5 and models.kernel_width(rows, 2, 0.3) == 0.3
     assert models.kernel_width(rows, 2, "scale") == pytest.approx(1 / (2 * x.var()), rel=1e-6)
 
 
-def test_poly_features_estimate_the_kernel(spark):
-    import numpy as np
-
-    x, y = np.array([0.4, -0.9, 0.5]), np.array([0.7, -0.6, 0.2])
-    rows = spark.createDataFrame([(v.tolist(),) for v in (x, y)], "__x array<double>")
-    one, two = (np.array(r[0]) for r in models.random_features(3, 6000, 0.8, 1, "poly").transform(rows).select("__kernel").collect())
-    assert one @ two == pytest.approx((0.8 * x @ y) ** 3, abs=0.05)
-
-
 def test_search_and_cross_scores(rows):
     folded = prep.stratified_folds(rows.withColumn("key", F.monotonically_increasing_id()), "device_type", "key", 2).cache()
     model, best, tried = models.search(folded, models.fit_forest, {"trees": (3,), "depth": (1, 4)}, folds=2)
