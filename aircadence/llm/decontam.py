@@ -11,8 +11,9 @@ words that are long enough are streamed.
 
 The automaton is sent to the executors as flat arrays, in parts of at most
 ``MAX_ITEM_CHARS`` characters of items (or one item); more items mean more
-passes, not a larger broadcast.  A part of that size takes about 16 MB in
-each Python worker, and 350 MB in the driver while it is built.
+parts, ``PARTS_HELD`` of which a pass over the texts holds; between passes the texts
+are staged with their hits.  A part of that size takes about 16 MB in each Python
+worker, and 350 MB in the driver while it is built.
 
 Defined cases: null texts and items have no words; an item with a null id
 counts for hits but is not listed; repeated items are listed once; rows that
@@ -32,9 +33,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from aircadence.llm import textkernel as tk
+from aircadence.workspace import Workspace
 
 WINDOW_WORDS = 10
 MAX_ITEM_CHARS = 2_000_000
+#: Automata that a worker holds in one pass over the texts.
+PARTS_HELD = 8
 
 _HITS = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint,start:bigint,stop:bigint>>,items:array<string>>"
 _HITS_ARROW = pa.struct([
@@ -47,7 +51,7 @@ _HITS_ARROW = pa.struct([
 class Automaton:
     """Suffix automaton of word sequences with the items of each window."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+    def __init__(self, items: list[tuple[tuple[str, ...], str | None]], window: int):
         texts = pa.array([t for _, t in items], pa.string())
         per_item: list[np.ndarray] = []
         for first, stop, data, bounds in tk.chunks(texts):
@@ -63,7 +67,7 @@ class Automaton:
             builder.add(s)
         self._flatten(builder, [i for i, _ in items], sequences)
 
-    def _flatten(self, built: _Builder, ids: list[str | None], sequences: list[list[int]]) -> None:
+    def _flatten(self, built: _Builder, ids: list[tuple[str, ...]], sequences: list[list[int]]) -> None:
         """Keep the states as arrays; an edge is a number of its state and letter."""
         n, letters = len(built.length), max(1, len(self.vocabulary))
         edges = np.array([(v * letters + letter, to) for v, out in enumerate(built.next) for letter, to in out.items()], dtype=np.int64).reshape(-1, 2)
@@ -79,7 +83,7 @@ class Automaton:
                 up = built.link[v]
                 window_state[v] = window_state[up] if up >= 0 and built.length[up] >= self.window else v
         found: dict[int, set] = {}
-        whole: dict[int, list[tuple[int, str | None]]] = {}
+        whole: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
         for item, s in zip(ids, sequences, strict=True):
             state, last = 0, -1
             for letter in s:
@@ -184,41 +188,41 @@ def _runs(marks: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     yield from zip(starts[long].tolist(), stops[long].tolist(), strict=True)
 
 
-def _match(shared: Broadcast, text_at: int, cut: tuple[int, float] | None = None):
-    """Add what one automaton finds to the last column, the hits.
+def _match(shared: list[Broadcast], text_at: int, cut: tuple[int, float] | None = None):
+    """Add what some automata find to the last column, the hits.
 
     With ``cut`` the hits are applied at once and the column goes, so that the
     texts pass through one Python worker only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        vocabulary = automaton.vocabulary
         for batch in batches:
             before = batch.column(batch.num_columns - 1).to_pylist()
             out = []
             for first, stop, data, bounds in tk.chunks(batch.column(text_at)):
                 words = tk.scan(data, bounds, tk.ALNUM, lower=True)
                 hashes = tk.hashes(data, words)
-                at = np.searchsorted(vocabulary, hashes)
-                known = at < len(vocabulary)
-                known[known] = vocabulary[at[known]] == hashes[known]
                 covered = np.zeros(len(hashes), dtype=bool)
                 # A document's end is a break, like an unknown word.
                 found: dict[int, set] = {}
-                for a, b in _runs(known, automaton.shortest):
-                    doc = int(np.searchsorted(words.first, a, side="right")) - 1
-                    while a < b:
-                        end = min(b, int(words.first[doc + 1]))
-                        if end - a >= automaton.shortest:
-                            automaton.stream(at[a:end].tolist(), a, covered, found.setdefault(doc, set()))
-                        a, doc = end, doc + 1
+                for automaton in (s.value for s in shared):
+                    vocabulary = automaton.vocabulary
+                    at = np.searchsorted(vocabulary, hashes)
+                    known = at < len(vocabulary)
+                    known[known] = vocabulary[at[known]] == hashes[known]
+                    for a, b in _runs(known, automaton.shortest):
+                        doc = int(np.searchsorted(words.first, a, side="right")) - 1
+                        while a < b:
+                            end = min(b, int(words.first[doc + 1]))
+                            if end - a >= automaton.shortest:
+                                automaton.stream(at[a:end].tolist(), a, covered, found.setdefault(doc, set()))
+                            a, doc = end, doc + 1
                 for i in range(stop - first):
                     a, b = int(words.first[i]), int(words.first[i + 1])
                     old = before[first + i]
                     spans, items = [], set()
                     if found.get(i):
-                        items = {x for x in found[i] if x is not None}
+                        items = {x for ids in found[i] for x in ids}
                         spans = [(s, e) for s, e in _runs(covered[a:b], 1)]
                     if old is not None:
                         items |= set(old["items"])
@@ -266,18 +270,28 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     ``cut`` (see :func:`decontaminate`) ``docs`` without its hits instead.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # Items of one text are one sequence, with all their ids.
+    items = items.groupBy(F.col(item_text).alias("text")).agg(F.sort_array(F.collect_set(F.col(item_id).cast("string"))).alias("ids"))
+    chars = items.agg(F.sum(F.length("text") + 16 * F.size("ids"))).first()[0] or 0
     parts = max(1, -(-chars // MAX_ITEM_CHARS))
+    work = None
     name = "__hits"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
     out = docs.select("*", F.lit(None).cast(_HITS).alias(name))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast(Automaton([(r.id, r.text) for r in rows], window))
-        last = cut if part == parts - 1 else None
+    items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+    for first in range(0, parts, PARTS_HELD):
+        shared = []
+        for part in range(first, min(first + PARTS_HELD, parts)):
+            rows = items.where(F.col("part") == part).collect()
+            shared.append(spark.sparkContext.broadcast(Automaton([(tuple(r.ids), r.text) for r in rows], window)))
+        final = first + PARTS_HELD >= parts
+        last = cut if final else None
         out = out.mapInArrow(_match(shared, docs.columns.index(text_col), last), docs.schema if last else out.schema)
+        if not final:
+            # One Python worker for each slot, however many passes there are.
+            work = work or Workspace(spark, "decontam")
+            out = work.stage(out, "hits")
     return out
 
 
