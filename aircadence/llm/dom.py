@@ -42,7 +42,7 @@ _NO_MARKUP = (*HIDDEN, *_HOLDS_HTML)
 NOTED = frozenset("article main nav aside header footer form figure head title li".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!-->|<!--->|<!--.*?(?:--!?>|\Z)"
     r"|<(?P<raw>script|style|textarea|iframe)(?P<open>(?=[\s/>])[^>]*>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<shut>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<shut2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
