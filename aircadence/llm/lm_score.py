@@ -24,12 +24,15 @@ sums for documents, not n-grams:
    broadcast, so no key of the exchange is hot;
 2. each task turns its texts into keys, adds up what it knows from the
    broadcast, and sends the other keys of about ``GROUP_SIGNS`` signs at a time
-   as one row for each bucket;
-3. a bucket counts its keys and sums the terms of each document in a row;
+   as one row for each bucket that has some, each key with its document;
+3. a bucket counts its keys and sends back, for each row, the sums of the documents
+   that have keys in it;
 4. the sums of a group of documents meet, and its documents are named.
 
-A row of step 2 is known by task and number, so a task that is run again must
-see the same texts in the same order, as Spark's own readers give them.
+What is sent and sent back grows with the text, not with the number of buckets, which
+follows from the number of signs.  A group is known by its task, number and content, and
+tells how many rows it sent.  A lost task that comes to other groups when it is run
+again, because its input has no fixed order, is noticed and fails the job.
 
 Defined cases: a null or wordless text has no words and a null score; labels
 of unknown or null ids are ignored; without target documents all scores are 0;
@@ -39,6 +42,7 @@ result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +58,8 @@ from aircadence.workspace import Workspace, broadcast_if_small
 #: Broadcast are n-grams with at least one in so many signs.
 HOT = 100_000
 GROUP_SIGNS = 1 << 19
+#: Keys that a bucket should count, which bounds its task's memory.
+BUCKET_KEYS = 4_000_000
 _SIGN = np.uint64(0x5DEECE66D0000002)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _ONE = np.uint64(1)
@@ -150,13 +156,15 @@ class Terms:
         return 0.5 * (np.log((n + add) / (m + add)) - np.where(pair, 0.0, np.log((n + all_signs) / (m + all_signs))))
 
 
-_SENT = "bucket int, uid bigint, keys binary, docs binary, good binary, ids array<bigint>, n_words array<bigint>, part array<double>"
+_SENT = "bucket int, uid bigint, keys binary, docs binary, rows int, ids array<bigint>, n_words array<bigint>, part array<double>"
 _SENT_ARROW = pa.schema([
-    ("bucket", pa.int32()), ("uid", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("good", pa.binary()),
+    ("bucket", pa.int32()), ("uid", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("rows", pa.int32()),
     ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("part", pa.list_(pa.float64())),
 ])
-_BACK = "uid bigint, ids array<bigint>, n_words array<bigint>, part array<double>"
-_BACK_ARROW = pa.schema([_SENT_ARROW.field(c) for c in ("uid", "ids", "n_words", "part")])
+_BACK = "uid bigint, docs binary, rows int, ids array<bigint>, n_words array<bigint>, part array<double>"
+_BACK_ARROW = pa.schema([_SENT_ARROW.field(c) for c in ("uid", "docs", "rows", "ids", "n_words", "part")])
+#: A document's number in its group, and this bit for a target document.
+_GOOD = np.uint32(1 << 31)
 
 
 def _own(slots: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +185,7 @@ def _send(hot: Broadcast, terms: Terms, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, m = hot.value
-        uid = TaskContext.get().partitionId() << 32
+        number = 0
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for first, stop, words, pairs, at in _groups(batch.column(0)):
@@ -194,34 +202,40 @@ def _send(hot: Broadcast, terms: Terms, buckets: int):
                 bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 keys, docs, bucket = keys[order], docs[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [{"bucket": b, "uid": uid, "keys": keys[i:j].tobytes(), "docs": docs[i:j].tobytes(), "good": good.tobytes()} for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                docs = docs | np.where(good[docs] > 0, _GOOD, np.uint32(0))
                 ids = batch.column(2).slice(first, stop - first).to_pylist()
-                rows.append({"bucket": uid % buckets, "uid": uid, "ids": ids, "n_words": np.maximum(np.diff(at) - 1, 0), "part": part})
+                name = hashlib.blake2b(repr((TaskContext.get().partitionId(), number, ids)).encode(), digest_size=8)
+                name.update(keys.tobytes() + docs.tobytes())
+                uid = int.from_bytes(name.digest(), "big", signed=True)
+                values, starts = np.unique(bucket, return_index=True)
+                rows = [{"bucket": int(b), "uid": uid, "keys": k.tobytes(), "docs": d.tobytes()} for b, k, d in zip(values, np.split(keys, starts[1:]), np.split(docs, starts[1:]), strict=True)] if len(values) else []
+                rows.append({"bucket": uid % buckets, "uid": uid, "rows": len(rows), "ids": ids, "n_words": np.maximum(np.diff(at) - 1, 0), "part": part})
                 yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
-                uid += 1
+                number += 1
 
     return run
 
 
 def _answer(terms: Terms):
-    """Count a bucket's keys and sum their terms for each row's documents."""
+    """Count a bucket's keys and sum their terms for the documents of each row."""
 
     def run(table: pa.Table) -> pa.Table:
         out = table.filter(pa.compute.is_valid(table.column("ids"))).select(_BACK_ARROW.names).cast(_BACK_ARROW)
         asked = table.filter(pa.compute.is_valid(table.column("keys")))
         if not len(asked):
             return out
-        keys, docs, good = ([np.frombuffer(x.as_buffer(), kind) for x in asked.column(c)] for c, kind in (("keys", np.uint64), ("docs", np.uint32), ("good", np.uint8)))
-        # Documents of all rows in one range.
-        ends = np.cumsum([len(g) for g in good])
-        docs = np.concatenate([d + np.int64(end - len(g)) for d, g, end in zip(docs, good, ends, strict=True)])
-        good = np.concatenate(good)
+        keys, docs = ([np.frombuffer(x.as_buffer(), kind) for x in asked.column(c)] for c, kind in (("keys", np.uint64), ("docs", np.uint32)))
+        # The documents of all rows in one range, without those that have no key here.
+        row = np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs])
+        own, doc = np.unique(row << 32 | np.concatenate(docs), return_inverse=True)
+        good = (own >> 31 & 1).astype(np.float64)
         values, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        m = np.bincount(back, weights=good[docs], minlength=len(values))
-        part = np.split(_sums(terms, values, n, m, back, docs, good), ends[:-1])
-        none = [None] * len(part)
-        return pa.concat_tables([out, pa.Table.from_pydict({"uid": asked.column("uid"), "ids": none, "n_words": none, "part": part}, _BACK_ARROW)])
+        m = np.bincount(back, weights=good[doc], minlength=len(values))
+        part = _sums(terms, values, n, m, back, doc, good)
+        cuts = np.searchsorted(own >> 32, np.arange(1, len(docs)))
+        names = [(x & 0x7FFFFFFF).astype(np.uint32).tobytes() for x in np.split(own, cuts)]
+        none = [None] * len(names)
+        return pa.concat_tables([out, pa.Table.from_pydict({"uid": asked.column("uid"), "docs": names, "rows": none, "ids": none, "n_words": none, "part": np.split(part, cuts)}, _BACK_ARROW)])
 
     return run
 
@@ -229,10 +243,16 @@ def _answer(terms: Terms):
 def _named(table: pa.Table) -> pa.Table:
     """The documents of one group, with the sums of all buckets."""
     own = table.filter(pa.compute.is_valid(table.column("ids")))
-    parts = table.column("part").combine_chunks()
+    parts = table.filter(pa.compute.is_null(table.column("ids")))
+    if len(own) != 1 or own.column("rows")[0].as_py() != len(parts):
+        raise RuntimeError("a task that was run again has seen its texts in another order; write them to a table first")
     n_words = own.column("n_words").combine_chunks().flatten().to_numpy()
+    docs = np.concatenate([np.arange(len(n_words)), *(np.frombuffer(x.as_buffer(), np.uint32) for x in parts.column("docs"))])
+    sums = np.concatenate([own.column("part").combine_chunks().flatten().to_numpy(), *(x.values.to_numpy() for x in parts.column("part"))])
     # In a fixed order, so that reruns agree to the last digit.
-    sums = np.sort(parts.flatten().to_numpy().reshape(len(parts), len(n_words)), axis=0).sum(axis=0)
+    order = np.lexsort((sums, docs))
+    starts = np.searchsorted(docs[order], np.arange(len(n_words)))
+    sums = np.add.reduceat(sums[order], starts) if len(n_words) else np.zeros(0)
     empty = n_words == 0
     return pa.table({"id": own.column("ids").combine_chunks().flatten(), "n_words": n_words, "score": pa.array(sums / (n_words + 1), mask=empty)})
 
@@ -240,15 +260,18 @@ def _named(table: pa.Table) -> pa.Table:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", smoothing: float = 0.01, buckets: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``(id_col, n_words, score)``, scores to 6 places.
 
-    ``smoothing`` is the a of the bigram model.  ``buckets`` (default: twice
-    the number of shuffle partitions) share the n-grams; each must fit a task.
+    ``smoothing`` is the a of the bigram model.  ``buckets`` share the n-grams; by
+    default each counts up to about ``BUCKET_KEYS``, and there are twice as many as
+    shuffle partitions at least.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     good = work.stage(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(True)), "good")
-    marked = rows.join(broadcast_if_small(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "id")
+    small = broadcast_if_small(good)
+    marked = rows.join(small, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "id")
+    if small is good:  # a shuffled join has no order that a lost task would find again
+        marked = work.stage(marked, "marked")
 
     def summed(counts: DataFrame) -> DataFrame:
         return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -257,6 +280,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     is_word = F.col("key").bitwiseAND(F.lit(1)) == 0
     whole = counts.where(is_word).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("size")).first()
     total = whole.n or 0
+    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // BUCKET_KEYS))
     # At most HOT words and HOT bigrams, whatever the input.
     hot = counts.where(F.col("n") >= max(1.0, total / HOT)).orderBy("key").toArrow()
     key, n, m = (hot.column(c).to_numpy() for c in ("key", "n", "m"))

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -261,3 +263,93 @@ def test_best_of_a_block(seed, n, k):
     for i in range(4):
         want = heapq.nsmallest(k, ((-float(q[i] @ v), int(j)) for v, j in zip(x, ids)))
         assert [(-s, j) for s, j in zip(score[row == i].tolist(), found[row == i].tolist())] == want
+
+
+class _Task:
+    @staticmethod
+    def get():
+        return _Task
+
+    @staticmethod
+    def partitionId():
+        return 3
+
+
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def sent_and_returned(monkeypatch, text_words, buckets):
+    from aircadence.llm import lm_score as lm
+
+    monkeypatch.setattr(lm, "TaskContext", _Task)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, text_words)) for _ in range(24_000 // text_words)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "good": [k % 3 == 0 for k in range(len(texts))], "id": list(range(len(texts)))}, pa.schema([("text", pa.string()), ("good", pa.bool_()), ("id", pa.int64())]))
+    terms = lm.Terms(0.3, 3001, 0.01)
+    none = (np.zeros(1, np.uint64), np.zeros(1), np.zeros(1))
+    sent = pa.Table.from_batches(list(lm._send(_Shared(none), terms, buckets)(iter([batch]))))
+    back = pa.concat_tables([lm._answer(terms)(sent.filter(pa.compute.equal(sent.column("bucket"), b))) for b in set(sent.column("bucket").to_pylist())])
+    scores = lm._named(back)
+    return sent.nbytes, back.nbytes, scores.column("score").to_pylist(), back
+
+
+@pytest.mark.parametrize("text_words", [3, 30])
+def test_replies_grow_with_the_text_and_not_with_the_buckets(monkeypatch, text_words):
+    few, many = (sent_and_returned(monkeypatch, text_words, b) for b in (16, 4000))
+    assert few[2] == pytest.approx(many[2], rel=1e-12)
+    # A key and its document are 12 bytes; a document has a reply for each of its keys at most.
+    keys = 2 * (24_000 // text_words) * (text_words + 1)
+    for sent, back, _, _ in (few, many):
+        assert sent < 24 * keys and back < 24 * keys
+
+
+def test_a_missing_reply_is_noticed(monkeypatch):
+    from aircadence.llm import lm_score as lm
+
+    back = sent_and_returned(monkeypatch, 30, 16)[3]
+    with pytest.raises(RuntimeError, match="another order"):
+        lm._named(back.slice(0, len(back) - 1))
+
+
+def test_scores_of_shuffled_input(spark):
+    from aircadence.llm.lm_score import cross_entropy_difference
+
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"v{x}" for x in rng.zipf(1.5, 30).tolist())) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 4)], "doc_id bigint, quality int")
+    want = {r.doc_id: r.score for r in cross_entropy_difference(table.coalesce(1), labels).collect()}
+    for buckets in (None, 7, 500):
+        got = {r.doc_id: r.score for r in cross_entropy_difference(table.repartition(6, "text"), labels, buckets=buckets).collect()}
+        assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_many_parts_of_items_in_one_worker(spark, monkeypatch):
+    """Fifty parts, held eight at a time, give what one gives; repeated items are one sequence."""
+    from aircadence.llm import decontam
+
+    rng = np.random.default_rng(2)
+    items = [(f"i{k}", " ".join(f"u{x}" for x in rng.integers(0, 400, 14))) for k in range(120)]
+    items += [(f"again{k}", items[5][1]) for k in range(300)] + [(None, items[6][1]), (None, None), ("none", "")]
+    texts = [(k, " ".join([*(f"u{x}" for x in rng.integers(0, 400, 20)), items[int(rng.integers(0, 120))][1] if k % 2 else "", items[5][1] if k % 7 == 0 else ""])) for k in range(80)]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(map(tuple, decontam.contamination(docs, bench).collect()))
+    cut = sorted(map(tuple, decontam.decontaminate(docs, bench, max_share=0.6).collect()))
+    monkeypatch.setattr(decontam, "MAX_ITEM_CHARS", 250)
+    chars = sum(len(t) for t in {t for _, t in items if t}) + 16 * len(items)
+    assert chars // 250 >= 50
+    hits = decontam.find_hits(docs, bench)
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "simple")
+    assert plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, decontam.contamination(docs, bench).collect())) == want
+    assert sorted(map(tuple, decontam.decontaminate(docs, bench, max_share=0.6).collect())) == cut
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x -->", "<!-- x --!>", "<!---->", "<!-- > -->"])
+def test_comments_end_where_html_ends_them(comment):
+    from aircadence.llm.dom import blocks
+
+    assert [b.text for b in blocks(f"<body><p>one</p>{comment}<p>two</p></body>")] == ["one", "two"]
+    assert [b.text for b in blocks("<p>one</p><!-- never closed <p>two</p>")] == ["one"]
