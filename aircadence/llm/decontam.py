@@ -287,7 +287,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
             shared.append(spark.sparkContext.broadcast(Automaton([(tuple(r.ids), r.text) for r in rows], window)))
         final = first + PARTS_HELD >= parts
         last = cut if final else None
-        out = out.mapInArrow(_match(shared, docs.columns.index(text_col), last), docs.schema if last else out.schema)
+        out = out.mapInArrow(tk.trimmed(_match(shared, docs.columns.index(text_col), last)), docs.schema if last else out.schema)
         if not final:
             # One Python worker for each slot, however many passes there are.
             work = work or Workspace(spark, "decontam")

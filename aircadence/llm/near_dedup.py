@@ -278,11 +278,11 @@ def _rare_blocks(texts: DataFrame, percent: int, max_block: int, work: Workspace
     ``texts`` has ``(id, text, comp)``.
     """
     # A fixed number of shingles at most, whatever the input; the order need not be exact, only common.
-    top = texts.select("id", "text").mapInArrow(_frequent, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
+    top = texts.select("id", "text").mapInArrow(tk.trimmed(_frequent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
     shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(shingle)
     order = texts.sparkSession.sparkContext.broadcast((shingle[by], n[by]))
-    rare = work.stage(texts.select("id", "text", "comp").mapInArrow(_rarest(percent, order), "id bigint, comp bigint, shingle bigint, place bigint, first boolean"), "rare")
+    rare = work.stage(texts.select("id", "text", "comp").mapInArrow(tk.trimmed(_rarest(percent, order)), "id bigint, comp bigint, shingle bigint, place bigint, first boolean"), "rare")
     out, large = _bounded(rare.where("first").select("id", "comp", "shingle", "place", F.col("shingle").alias("bucket")), max_block, work, "rare-blocks")
     if large.head(1):
         later = rare.select("id", F.col("shingle").alias("second"), F.col("place").alias("after"))
@@ -317,7 +317,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     pairs = work.stage(pairs, f"{name}-pairs")
     known = _with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, texts, work, name)
     joined = pairs.join(known.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = work.stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), f"{name}-links")
+    links = work.stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(tk.trimmed(_confirm(percent)), "a bigint, b bigint").distinct(), f"{name}-links")
     work.drop(known, pairs)
     return links
 
@@ -351,7 +351,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_blo
     document id in them; rows without a set or an id have no ``node_comp``.
     """
     texts = _rows(docs, id_col, text_col)
-    signed = work.stage(texts.mapInArrow(_sign, "doc bigint, text_hash bigint, n_shingles bigint, digest binary, bands array<bigint>, flips binary"), "signed")
+    signed = work.stage(texts.mapInArrow(tk.trimmed(_sign), "doc bigint, text_hash bigint, n_shingles bigint, digest binary, bands array<bigint>, flips binary"), "signed")
     classes, several = _classes(signed, work)
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
@@ -372,7 +372,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, max_blo
     for block in blocks:
         wanted = work.stage(block.select("id").distinct(), "block-ids")
         rows = block.join(details.join(broadcast_if_small(wanted), "id", "left_semi"), "id").select("bucket", "id", "comp", "n_shingles", "flips")
-        found = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_across(percent), "a bigint, b bigint")
+        found = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(tk.trimmed(_across(percent)), "a bigint, b bigint")
         pairs = found if pairs is None else pairs.union(found)
     late = _verified(texts, classes, pairs.distinct(), percent, work, "late")
     comps = work.stage(components(links.union(late), work), "comps")

@@ -109,7 +109,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rule statistics ``(id, ...)`` of every row's whole text."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_statistics, "id bigint, " + ", ".join(f"{c} bigint" for c in BASE + EXTRA))
+    return rows.mapInArrow(tk.trimmed(_statistics), "id bigint, " + ", ".join(f"{c} bigint" for c in BASE + EXTRA))
 
 
 def features(table: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -253,7 +253,7 @@ def _fit(
     fit = stats.where(~base).join(marks, "id").orderBy(F.xxhash64("id"), *BASE).limit(fit_rows).toArrow()
     seen, good = features(fit), np.array(fit.column("good").to_pylist(), dtype=bool)
     forest = Forest.grow(seen[good], seen.min(axis=0), seen.max(axis=0), trees, sample, seed) if good.any() else Forest([], 1.0)
-    scored = work.stage(stats.mapInArrow(_scored(forest), "id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, score double"), "scored")
+    scored = work.stage(stats.mapInArrow(tk.trimmed(_scored(forest)), "id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, score double"), "scored")
     # The histogram has at most 1001 rows, whatever the input.
     steps = scored.where("not base_failed").join(marks, "id").groupBy(F.ceil(F.col("score") * 1000).alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
     return forest, calibrate([tuple(r) for r in steps], caution) / 1000 if forest.trees else 1.0, scored
@@ -279,4 +279,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     and null or repeated ids change nothing.
     """
     forest, threshold, _ = _fit(docs, labels, id_col, text_col, **options)
-    return docs.mapInArrow(_good_rows(forest, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(tk.trimmed(_good_rows(forest, threshold, docs.columns.index(text_col))), docs.schema)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from aircadence.llm import textkernel as tk
 from aircadence.llm.tokens import encoder
 from aircadence.workspace import Workspace, file_system
 
@@ -272,7 +273,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
-    files = ordered.mapInArrow(_write(folder, tokenizer, end_id, shard_ids, shard_docs), "part bigint, seq bigint, file string, ids bigint, docs array<bigint>")
+    files = ordered.mapInArrow(tk.trimmed(_write(folder, tokenizer, end_id, shard_ids, shard_docs)), "part bigint, seq bigint, file string, ids bigint, docs array<bigint>")
     where = f"{folder.rstrip('/')}/files"
     files.write.parquet(where)
     return spark.read.schema(files.schema).parquet(where)
@@ -286,7 +287,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by turns: a hash of the file would be taken for the join's own exchange, which may become one task.
     placed = files.select("file", "docs").join(F.broadcast(starts), "file").repartition(parts)
-    return placed.select("file", "start", "docs").mapInArrow(_read(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.select("file", "start", "docs").mapInArrow(tk.trimmed(_read(folder)), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
