@@ -29,7 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aircadence.llm.licenses import FILES, HEADERS
+from aircadence.llm.licenses import FILES, HEADERS, SHARED
 from aircadence.workspace import Workspace, broadcast_if_small
 
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -44,10 +44,10 @@ def template_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def template_rows(headers: Templates = HEADERS, files: Templates = FILES) -> list[tuple[int, str, bool, str, int]]:
-    """``(number, licence, whole, word, count)`` of all templates."""
+def template_rows(headers: Templates = HEADERS, files: Templates = FILES) -> list[tuple[int, str, bool, bool, str, int]]:
+    """``(number, licence, whole, shared, word, count)`` of all templates."""
     both = [(n, t, False) for n, t in headers] + [(n, t, True) for n, t in files]
-    return [(k, n, whole, w, words.count(w)) for k, (n, t, whole) in enumerate(both) if (words := template_words(t)) for w in sorted(set(words))]
+    return [(k, n, whole, t in SHARED, w, words.count(w)) for k, (n, t, whole) in enumerate(both) if (words := template_words(t)) for w in sorted(set(words))]
 
 
 def _words(text: str | Column) -> Column:
@@ -60,7 +60,7 @@ def _idf(count: Column, n: int) -> Column:
 
 def _weighed_templates(df: DataFrame, n: int, headers: Templates, files: Templates, least: float) -> list[dict]:
     """Templates' words with their weights; as many rows as the templates have words."""
-    table = df.sparkSession.createDataFrame(template_rows(headers, files), "template int, license string, whole boolean, word string, tf int")
+    table = df.sparkSession.createDataFrame(template_rows(headers, files), "template int, license string, whole boolean, shared boolean, word string, tf int")
     known = df.join(F.broadcast(table.select("word").distinct()), "word", "left_semi")
     weighed = table.join(F.broadcast(known), "word", "left").withColumn("w", F.col("tf") * _idf(F.col("count"), n))
     of = Window.partitionBy("template")
@@ -82,15 +82,15 @@ def _with_idf(counted: DataFrame, df: DataFrame, n: int) -> DataFrame:
 
 def _matches(units: DataFrame, vectors: list[dict], df: DataFrame, n: int, least: float) -> DataFrame:
     """``(unit, whole, best)``: the template that decides for each distinct unit."""
-    template = units.sparkSession.createDataFrame([(v["template"], v["license"], v["whole"], v["word"], v["w"], v["square"]) for v in vectors], "template int, license string, whole boolean, word string, w double, square double")
+    template = units.sparkSession.createDataFrame([(v["template"], v["license"], v["whole"], v["shared"], v["word"], v["w"], v["square"]) for v in vectors], "template int, license string, whole boolean, shared boolean, word string, w double, square double")
     distinct = units.groupBy("unit", "whole").agg(F.any_value("content").alias("content"))
     counted = distinct.select("unit", "whole", F.explode(_words("content")).alias("word")).groupBy("unit", "whole", "word").count()
     valued = _with_idf(counted, df, n).select("unit", "whole", "word", (F.col("count") * F.col("idf")).alias("v"))
     lengths = valued.groupBy("unit", "whole").agg(F.sum(F.col("v") * F.col("v")).alias("unit_square"))
-    dots = valued.join(F.broadcast(template), ["word", "whole"]).groupBy("unit", "whole", "template", "license", "square").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    dots = valued.join(F.broadcast(template), ["word", "whole"]).groupBy("unit", "whole", "shared", "template", "license", "square").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosine = F.round(F.col("dot") / F.sqrt(F.col("unit_square") * F.col("square")), 6)
     found = dots.join(lengths, ["unit", "whole"]).withColumn("cosine", cosine).where(F.col("cosine") >= least)
-    order = F.struct((~F.col("whole")).cast("int").alias("header"), (-F.col("cosine")).alias("minus"), (-F.col("square")).alias("shorter"), F.col("license").alias("license"))
+    order = F.struct((~F.col("whole")).cast("int").alias("header"), F.col("shared").cast("int").alias("shared"), (-F.col("cosine")).alias("minus"), (-F.col("square")).alias("shorter"), F.col("license").alias("license"))
     return found.groupBy("unit", "whole").agg(F.min(order).alias("best"))
 
 

@@ -44,14 +44,18 @@ _ISC = (
 )
 
 
-def _gnu(kind: str, version: str) -> str:
+def _gnu(kind: str, version: str, what: str = "program") -> str:
     return (
-        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the "
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the "
         f"Free Software Foundation, either version {version} of the License, or (at your option) any later version."
     )
 
 
-HEADERS: tuple[tuple[str, str], ...] = (
+#: Paragraphs that licences share: each decides only where no other template is found.
+SHARED = (_REDISTRIBUTION,)
+
+
+_TEXTS: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", "GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -62,15 +66,23 @@ HEADERS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-2-Clause", _REDISTRIBUTION),
+    ("BSD-2-Clause", f"{_REDISTRIBUTION} {_TWO} {_DISCLAIMER}"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD license."),
     ("BSD-3-Clause", _NEITHER),
+    ("BSD-3-Clause", f"{_REDISTRIBUTION} {_TWO} {_NEITHER}"),
+    ("BSD-3-Clause", f"{_REDISTRIBUTION} {_TWO} {_NEITHER} {_DISCLAIMER}"),
     ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"),
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
     ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-1.0", _gnu("General Public License", "1")),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-2.0", "GNU General Public License, version 2"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -81,9 +93,13 @@ HEADERS: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", _gnu("General Public License", "3")),
     ("ISC", "ISC License"),
     ("ISC", _ISC),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", _gnu("Library General Public License", "2", "library")),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library")),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", "library")),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License."),
@@ -95,6 +111,9 @@ HEADERS: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: With the line that names a licence by its short name.
+HEADERS: tuple[tuple[str, str], ...] = (*_TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in _TEXTS)))
+
 FILES: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", f"BSD 2-Clause License {_REDISTRIBUTION} {_TWO} {_DISCLAIMER}"),
     ("BSD-3-Clause", f"BSD 3-Clause License {_REDISTRIBUTION} {_TWO} {_NEITHER} {_DISCLAIMER}"),

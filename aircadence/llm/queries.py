@@ -181,10 +181,10 @@ WITH d AS (
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST((floor(u + pos * rate) - floor(u + (pos - 1) * rate)) * size AS BIGINT) AS taken FROM r
 """
 
-_OP3_WORDS = ", ".join(f"({k}, '{name}', {whole}, '{w}', {tf})" for k, name, whole, w, tf in template_rows())
+_OP3_WORDS = ", ".join(f"({k}, '{name}', {whole}, {shared}, '{w}', {tf})" for k, name, whole, shared, w, tf in template_rows())
 
 _OP3_SQL = f"""
-WITH tpl(template, license, whole, word, tf) AS (VALUES {_OP3_WORDS}
+WITH tpl(template, license, whole, shared, word, tf) AS (VALUES {_OP3_WORDS}
 ), f AS (
   SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_matches(path, '(^|/)(LICENSE|COPYING.txt)$') AS is_license FROM (
     SELECT doc_id, text, CASE WHEN doc_id % 5000 = 11 THEN 'LICENSE' WHEN doc_id % 500 = 7 THEN coalesce(source, 'none') || '/COPYING.txt'
@@ -195,7 +195,7 @@ WITH tpl(template, license, whole, word, tf) AS (VALUES {_OP3_WORDS}
 ), idf AS (
   SELECT word, ln(((SELECT count(*) FROM documents) + 1e0) / (n + 1e0)) + 1 AS idf FROM df
 ), tw AS (
-  SELECT template, license, whole, tpl.word, tf * coalesce(idf, ln((SELECT count(*) FROM documents) + 1e0) + 1) AS w FROM tpl LEFT JOIN idf USING (word)
+  SELECT template, license, whole, shared, tpl.word, tf * coalesce(idf, ln((SELECT count(*) FROM documents) + 1e0) + 1) AS w FROM tpl LEFT JOIN idf USING (word)
 ), ts AS (SELECT template, sum(w * w) AS square FROM tw GROUP BY template
 ), un AS (
   SELECT doc_id, false AS whole, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n([^A-Za-z0-9\\n]*\\n)+'))) AS unit FROM f
@@ -204,17 +204,17 @@ WITH tpl(template, license, whole, word, tf) AS (VALUES {_OP3_WORDS}
   SELECT whole, unit, word, count(*) * any_value(idf) AS v FROM (SELECT whole, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT whole, unit FROM un)) JOIN idf USING (word) GROUP BY ALL
 ), us AS (SELECT whole, unit, sum(v * v) AS square FROM uw GROUP BY ALL
 ), m AS (
-  SELECT uw.whole, uw.unit, tw.license, any_value(ts.square) AS square, round(sum(v * w) / sqrt(any_value(us.square) * any_value(ts.square)), 6) AS cosine
+  SELECT uw.whole, uw.unit, tw.license, tw.shared, any_value(ts.square) AS square, round(sum(v * w) / sqrt(any_value(us.square) * any_value(ts.square)), 6) AS cosine
   FROM uw JOIN tw ON tw.word = uw.word AND tw.whole = uw.whole JOIN ts USING (template) JOIN us ON us.unit = uw.unit AND us.whole = uw.whole
-  GROUP BY uw.whole, uw.unit, tw.template, tw.license HAVING cosine >= 0.8
+  GROUP BY uw.whole, uw.unit, tw.template, tw.license, tw.shared HAVING cosine >= 0.8
 ), own AS (
-  SELECT doc_id, min((CAST(NOT m.whole AS INT), -cosine, -square, license)) AS best FROM un JOIN m ON m.unit = un.unit AND m.whole = un.whole GROUP BY doc_id
+  SELECT doc_id, min((CAST(NOT m.whole AS INT), CAST(m.shared AS INT), -cosine, -square, license)) AS best FROM un JOIN m ON m.unit = un.unit AND m.whole = un.whole GROUP BY doc_id
 ), given AS (SELECT folder, min(best) AS best FROM f JOIN own USING (doc_id) WHERE is_license GROUP BY folder
 ), near AS (
   SELECT f.doc_id, arg_max(given.best, length(given.folder)) AS best
   FROM f JOIN given ON given.folder = '' OR f.folder = given.folder OR starts_with(f.folder, given.folder || '/') GROUP BY f.doc_id
 )
-SELECT f.doc_id, f.path, coalesce(own.best, near.best)[4] AS license, -coalesce(own.best, near.best)[2] AS cosine,
+SELECT f.doc_id, f.path, coalesce(own.best, near.best)[5] AS license, -coalesce(own.best, near.best)[3] AS cosine,
   CASE WHEN own.best IS NOT NULL THEN 'own' WHEN near.best IS NOT NULL THEN 'inherited' END AS origin
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
 """

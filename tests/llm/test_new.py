@@ -353,3 +353,42 @@ def test_comments_end_where_html_ends_them(comment):
 
     assert [b.text for b in blocks(f"<body><p>one</p>{comment}<p>two</p></body>")] == ["one", "two"]
     assert [b.text for b in blocks("<p>one</p><!-- never closed <p>two</p>")] == ["one"]
+
+
+def test_licences_that_share_words_are_told_apart(spark):
+    from aircadence.llm import licenses as L
+    from aircadence.llm.license_scan import license_scan
+
+    def header(*paragraphs, blank=" *"):
+        lines = []
+        for p in paragraphs:
+            words = p.split()
+            lines += [" * " + " ".join(words[k: k + 9]) for k in range(0, len(words), 9)] + ([blank] if blank else [])
+        return "/*\n" + "\n".join(lines) + "\n */\nint main(void) { return 0; }\n"
+
+    one = f"1. {L._TWO}"
+    library = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {
+        "bsd3.c": (header("Copyright (c) 2001 A. Person", L._REDISTRIBUTION, one, f"3. {L._NEITHER}", L._DISCLAIMER), "BSD-3-Clause"),
+        "bsd3-dense.c": (header(L._REDISTRIBUTION, one, f"3. {L._NEITHER}", L._DISCLAIMER, blank=""), "BSD-3-Clause"),
+        "bsd2.c": (header("Copyright (c) 2001 A. Person", L._REDISTRIBUTION, one, L._DISCLAIMER), "BSD-2-Clause"),
+        "lgpl21.c": (header(library.format("Lesser General Public License", "2.1")), "LGPL-2.1"),
+        "lgpl20.c": (header(library.format("Library General Public License", "2")), "LGPL-2.0"),
+        "gpl1.c": (header(library.replace("library", "program").format("General Public License", "1")), "GPL-1.0"),
+        "gpl2.c": (header(library.replace("library", "program").format("General Public License", "2")), "GPL-2.0"),
+        "nd.md": ("This work is under the\nCreative Commons Attribution-NoDerivatives 4.0 International\n", "CC-BY-ND-4.0"),
+        "ncsa.md": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "CC-BY-NC-SA-4.0"),
+        "by.md": ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"),
+        "spdx.py": ("# SPDX-License-Identifier: MIT\nimport os\n", "MIT"),
+        "spdx2.py": ("// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"),
+        "spdx3.py": ("# SPDX-License-Identifier: Zlib\n", None),
+        "mit.c": (header(L._PERMISSION, L._COPIES, L._AS_IS), "MIT"),
+        "none.c": ("int main(void) { return 0; }\n", None),
+    }
+    rng = np.random.default_rng(0)
+    words = sorted({w for _, t in L.HEADERS for w in re.findall("[a-z0-9]+", t.lower())})
+    filler = [(f"src/f{k}.txt", " ".join(f"filler{x}" for x in rng.integers(0, 900, 60)) + " " + " ".join(rng.choice(words, 3))) for k in range(200)]
+    rows = [(k, path, text) for k, (path, text) in enumerate([*((f"src/{n}", t) for n, (t, _) in cases.items()), *filler])]
+    got = {r.path[4:]: r.license for r in license_scan(spark.createDataFrame(rows, "id bigint, path string, text string"), "id", "path", "text").collect()}
+    assert {n: got[n] for n in cases} == {n: want for n, (_, want) in cases.items()}
+    assert not any(got[p[4:]] for p, _ in filler)
