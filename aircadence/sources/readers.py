@@ -68,7 +68,7 @@ def write_field_csv(frames: DataFrame, path: str, fields: Sequence[str]) -> None
     frames.select(*fields).write.csv(path, header=True, quoteAll=True, escape="\"", mode="overwrite")
 
 
-_LEAVES = ("frame.time_epoch", "frame.len", "radiotap.dbm_antsignal", "radiotap.datarate", "radiotap.channel.freq", "wlan.fc.type", "wlan.fc.type_subtype", "wlan.fc.tods", "wlan.fc.fromds", "wlan.sa", "wlan.da", "wlan.bssid")
+_LEAVES = ("frame.time_epoch", "frame.len", "radiotap.dbm_antsignal", "radiotap.datarate", "radiotap.channel.freq", "wlan.fc.type", "wlan.fc.type_subtype", "wlan.fc.tods", "wlan.fc.fromds", "wlan.sa", "wlan.da", "wlan.bssid", "wlan_radio.signal_percent")
 
 
 def read_capture_json(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +89,8 @@ def read_capture_json(spark: SparkSession, path: str) -> DataFrame:
         "source_file", F.coalesce(leaf("frame.time_epoch", "double"), F.lit(0.0)).alias("timestamp"), F.coalesce(leaf("frame.len", "int"), F.lit(0)).alias("frame_len"), leaf("radiotap.dbm_antsignal", "double").alias("rssi"),
         leaf("radiotap.datarate", "double").alias("data_rate"), leaf("radiotap.channel.freq", "int").alias("channel_freq"), leaf("wlan.fc.type", "int").alias("frame_type"), leaf("wlan.fc.type_subtype", "int").alias("frame_subtype"),
         leaf("wlan.fc.tods", "int").alias("to_ds"), leaf("wlan.fc.fromds", "int").alias("from_ds"), leaf("wlan.sa", "string").alias("sa"), leaf("wlan.da", "string").alias("da"), leaf("wlan.bssid", "string").alias("bssid"),
+        # The receiver's own measure stands in where a frame has no signal.
+        F.when(leaf("radiotap.dbm_antsignal", "double").isNull(), leaf("wlan_radio.signal_percent", "double")).alias("wlan_radio_signal_percent"),
     )
 
 

@@ -82,7 +82,12 @@ def test_capture_json(spark, tmp_path):
     frame = {"_source": {"layers": {"frame": {"frame.time_epoch": ["1.5"], "frame.len": ["99"]}, "wlan": {"wlan.sa": "aa:bb:cc:dd:ee:ff", "wlan.fc.type": ["2"]}}}}
     (tmp_path / "x.json").write_text(json.dumps([frame]))
     r = readers.read_capture_json(spark, str(tmp_path / "x.json")).first()
-    assert (r.timestamp, r.frame_len, r.sa, r.frame_type, r.rssi) == (1.5, 99, "aa:bb:cc:dd:ee:ff", 2, None)
+    assert (r.timestamp, r.frame_len, r.sa, r.frame_type, r.rssi, r.wlan_radio_signal_percent) == (1.5, 99, "aa:bb:cc:dd:ee:ff", 2, None, None)
+    frame["_source"]["layers"]["wlan_radio"] = {"wlan_radio.signal_percent": ["62"]}
+    heard = {"_source": {"layers": frame["_source"]["layers"] | {"radiotap": {"radiotap.dbm_antsignal": "-50"}}}}
+    (tmp_path / "y.json").write_text(json.dumps([frame, heard]))
+    rows = readers.read_capture_json(spark, str(tmp_path / "y.json")).collect()
+    assert [(r.rssi, r.wlan_radio_signal_percent) for r in rows] == [(None, 62.0), (-50.0, None)]
 
 
 def test_label_prefixes(spark):
