@@ -20,6 +20,7 @@ from aircadence.ml import prep
 from aircadence.ml.forests import CutForest
 from aircadence.ml.kernels import Machines, fit_landmarks, fit_machines
 from aircadence.ml.metrics import argmax, binary_detection, overall_metrics, weighted_vote
+from aircadence.ml.wide_forests import WideForest
 
 
 def assembled(rows: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -163,7 +164,7 @@ SVM_GRID_BINARY = {"c": (0.5, 1, 5, 10, 50), "gamma": ("scale", "auto", 0.05, 0.
 
 
 def importances(model, columns: Sequence[str], spark: SparkSession) -> DataFrame:
-    values = model.featureImportances.toArray().tolist()
+    values = model.importances().tolist() if isinstance(model, WideForest) else model.featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double")
 
 

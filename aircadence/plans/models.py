@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aircadence.functions.frames import frame_features
 from aircadence.ml import models, prep
+from aircadence.ml.wide_forests import WideForest, fit_wide_forest
 from aircadence.operators.flows import PAIR
 from aircadence.plans import oracle as O
 from aircadence.sources import fixture
@@ -30,11 +31,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     ready = prep.class_weights(prep.encode_labels(scaled, "label"), "label")
     vectors = models.assembled(ready, _COLUMNS).select("vec_id", "label", F.col("label_index").cast("double").alias("label_index"), "weight", "is_test", "features")
     # Every training step runs over all partitions, so small tables get few.
-    return Workspace(spark, "models").stage(vectors.repartition(max(1, rows.count() // 20_000)), "vectors")
+    dealt = vectors.repartition(max(1, rows.count() // 20_000)).withColumn("row", F.monotonically_increasing_id())
+    return Workspace(spark, "models").stage(dealt, "vectors")
 
 
-def _forest(rows: DataFrame):
-    return models.random_forest().fit(rows.where("not is_test"))
+def _forest(rows: DataFrame) -> WideForest:
+    return fit_wide_forest(rows.where("not is_test"), "vec_id", "row")
 
 
 def _kernel(rows: DataFrame) -> models.KernelSvm:
