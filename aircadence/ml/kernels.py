@@ -11,7 +11,8 @@ when the map is fitted.
 
 Machines are fitted by Newton steps on a smoothed hinge, which is sharpened from round to
 round.  A step is one pass over the mapped rows: a task sends the gradient and the second
-derivatives of its rows, of the size of the landmarks alone, and these meet in two levels.
+derivatives of its rows, of the size of the landmarks alone, and those of a machine meet in
+one task, which solves for the step, so the driver gets no more with more rows.
 """
 
 from __future__ import annotations
@@ -135,6 +136,39 @@ def _passed(mapped: DataFrame, f) -> np.ndarray:
     return sum(np.frombuffer(bytes(r.sums)) for r in parts.select("sums").collect())
 
 
+def _stepped(mapped: DataFrame, f, step) -> dict[int, np.ndarray]:
+    """``step(machine, sums)``, a flat array, of the sums of ``f(features, labels, weights)`` over all rows.
+
+    ``f`` gives an array for each machine.  The sums of a machine meet in a task, which
+    takes the step, so only steps reach the driver, however many tasks there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if len(batch):
+                for k, own in f(_matrix(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()):
+                    totals[k] = totals[k] + own if k in totals else own
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([total.tobytes()])], ["task", "machine", "sums"])
+
+    def whole(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(x.as_buffer()) for x in table.sort_by("task").column("sums"))
+
+    def met(table: pa.Table) -> pa.Table:
+        return pa.table({"task": pa.array([min(table.column("task").to_pylist())], pa.int32()), "machine": table.column("machine")[:1], "sums": [whole(table).tobytes()]})
+
+    def last(table: pa.Table) -> pa.Table:
+        k = table.column("machine")[0].as_py()
+        return pa.table({"machine": pa.array([k], pa.int32()), "step": [step(k, whole(table)).tobytes()]})
+
+    tasks = mapped.rdd.getNumPartitions()
+    parts = mapped.mapInArrow(run, "task int, machine int, sums binary")
+    if tasks > 32:
+        parts = parts.groupBy("machine", (F.col("task") % math.isqrt(tasks)).alias("group")).applyInArrow(met, "task int, machine int, sums binary")
+    return {r.machine: np.frombuffer(bytes(r.step)) for r in parts.groupBy("machine").applyInArrow(last, "machine int, step binary").collect()}
+
+
 def fit_machines(rows: DataFrame, fitted: KernelMap, classes: int, penalty: float) -> Machines:
     """One machine against the rest for each class: the least of penalty / 2 |w|^2 and the weighted mean hinge.
 
@@ -162,21 +196,21 @@ def fit_machines(rows: DataFrame, fitted: KernelMap, classes: int, penalty: floa
         open_ones = list(range(machines))
         for _ in range(STEPS):
             def slopes(f, y, weight, w=w, open_ones=tuple(open_ones), corner=corner):
-                out = []
                 for k in open_ones:
                     s = sign(y, k)
                     z = 1 - s * (f @ w[k])
                     curved = (z > 0) & (z < corner)
                     g = -(f.T @ (weight * s * np.clip(z / corner, 0, 1)))
-                    out += [g, ((f[curved] * weight[curved, None]).T @ f[curved] / corner).ravel()]
-                return np.concatenate(out)
+                    yield k, np.r_[g, ((f[curved] * weight[curved, None]).T @ f[curved] / corner).ravel()]
 
-            sums = _passed(mapped, slopes).reshape(len(open_ones), size + size * size) / total
-            steps = {}
-            for k, own in zip(open_ones, sums, strict=True):
+            def step(k, sums, w=w):
+                own = sums / total
                 g, h = own[:size] + ridge * w[k], own[size:].reshape(size, size) + np.diag(ridge)
                 # A little of the identity where no row is in the corner.
-                steps[k] = -np.linalg.solve(h + np.eye(size) * (1e-9 * max(1.0, np.trace(h) / size) + 1e-10), g)
+                return -np.linalg.solve(h + np.eye(size) * (1e-9 * max(1.0, np.trace(h) / size) + 1e-10), g)
+
+            found = _stepped(mapped, slopes, step)
+            steps = {k: found[k] for k in open_ones}
 
             def losses(f, y, weight, w=w, steps=steps, corner=corner):
                 return np.concatenate([[(weight * _hinge(1 - sign(y, k) * (f @ (w[k] + t * d)), corner)).sum() for t in (0.0, *_PARTS)] for k, d in steps.items()])
