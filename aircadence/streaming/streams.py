@@ -43,6 +43,10 @@ _STATE = "start double, last double, packets bigint, bytes bigint, uplink bigint
 _SESSION = "packet_count bigint, total_bytes bigint, start_ts double, end_ts double, uplink_ratio double, burst_count bigint, burst_bytes bigint"
 
 
+#: Seconds from frame times to event times of sessions. Before its first watermark Spark takes rows up to 1970 for late.
+_LATER = 36_525 * 86_400
+
+
 class _Session:
     """Running sums of one session."""
 
@@ -109,7 +113,7 @@ def flow_sessions(features: DataFrame, timeout_sec: float = 5.0, burst_ms: float
         parts += [np.stack([chunk[c].to_numpy(dtype=np.float64) for c in ("timestamp", "frame_no", "frame_len", "is_uplink")], axis=1) for chunk in chunks]
         frames = np.concatenate(parts)
         frames = frames[np.lexsort((frames[:, 1], frames[:, 0]))]
-        reached = state.getCurrentWatermarkMs() / 1000
+        reached = state.getCurrentWatermarkMs() / 1000 - _LATER
         session, closed = _fold(session, frames[frames[:, 0] < reached], timeout_sec, burst_ms, min_packets)
         waiting = frames[frames[:, 0] >= reached]
         if session and session.last + timeout_sec < reached:
@@ -119,13 +123,14 @@ def flow_sessions(features: DataFrame, timeout_sec: float = 5.0, burst_ms: float
         if session or len(waiting):
             state.update((*(session.state() if session else (None,) * 9), waiting.tobytes()))
             nearest = min([waiting[0, 0]] * bool(len(waiting)) + ([session.last + timeout_sec] if session else []))
-            state.setTimeoutTimestamp(max(int(nearest * 1000) + 1, int(reached * 1000) + 1))
+            state.setTimeoutTimestamp(max(int((nearest + _LATER) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         if closed:
             yield pd.DataFrame([(*key, *row) for row in closed], columns=[*PAIR, *(c.split()[0] for c in _SESSION.split(", "))])
 
-    rows = with_event_time(features).withWatermark("event_time", delay)
+    later = F.timestamp_micros(F.unix_micros("event_time") + _LATER * 1_000_000)
+    rows = with_event_time(features).withColumn("event_time", later).withWatermark("event_time", delay)
     schema = ", ".join(f"{c} {kinds[c]}" for c in PAIR) + ", " + _SESSION
     needed = rows.select(*PAIR, "event_time", "timestamp", "frame_no", "frame_len", "is_uplink")
     return needed.groupBy(*PAIR).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
