@@ -227,17 +227,47 @@ class WideForest:
     row: str
     most: int
 
+    def blocks(self, binned: DataFrame) -> list[np.ndarray]:
+        """Of each tree, the blocks of up to about ``most`` rows for each node that is a part, by the rows of bins ``x`` that reach it; else 0.
+
+        A part is copied for its own blocks alone, so copies grow with the parts and with
+        the rows, not with the product of both.
+        """
+        leaves = [np.array(top.feature) < 0 for top in self.tops]
+        if binned.count() <= self.most:
+            return [own.astype(np.int64) for own in leaves]
+        columns, shared = len(self.thresholds), binned.sparkSession.sparkContext.broadcast(self.tops)
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops = shared.value
+            seen = [np.zeros(len(top.feature), np.int64) for top in tops]
+            for batch in batches:
+                x = _bins_of(batch.column(0), columns)
+                for own, top in zip(seen, tops, strict=True):
+                    own += np.bincount(top.parts(x), minlength=len(own))
+            tree, node = (np.concatenate(a).astype(np.int32) for a in zip(*((np.full(len(own), t), np.arange(len(own))) for t, own in enumerate(seen)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(np.concatenate(seen))], ["tree", "part", "seen"])
+
+        out = [own.astype(np.int64) for own in leaves]
+        for r in binned.select("x").mapInArrow(reached, "tree int, part int, seen bigint").where("seen > 0").groupBy("tree", "part").agg(F.sum("seen").alias("seen")).collect():
+            out[r.tree][r.part] = -(-r.seen // self.most)
+        return out
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``probability`` and ``prediction``; ``rows`` needs ``features`` and the whole number ``row``, which no two rows share."""
         columns, classes, key = len(self.thresholds), self.classes, self.row
-        shared = rows.sparkSession.sparkContext.broadcast(self.tops)
-        blocks = max(1, -(-rows.count() // self.most))
+        binned = _binned(rows.select(F.col(key).cast("bigint").alias("key"), "features").withColumn("hash", F.xxhash64("key")), self.thresholds, "key", "hash")
+        blocks = self.blocks(binned)
+        shared = rows.sparkSession.sparkContext.broadcast((self.tops, blocks))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _bins_of(batch.column(1), columns)
-                for tree, top in enumerate(shared.value if len(batch) else ()):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(top.parts(x).astype(np.int32)), batch.column(2), batch.column(0), batch.column(1)], ["tree", "part", "block", "key", "x"])
+                if not len(batch):
+                    continue
+                x, mixed = _bins_of(batch.column(2), columns), batch.column(1).to_numpy()
+                for tree, (top, own) in enumerate(zip(*shared.value, strict=True)):
+                    part = top.parts(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(part.astype(np.int32)), pa.array((mixed % own[part]).astype(np.int32)), batch.column(0), batch.column(2)], ["tree", "part", "block", "key", "x"])
 
         def told(part: pa.Table, dealt: pa.Table) -> pa.Table:
             if not len(dealt) or not len(part):
@@ -248,12 +278,12 @@ class WideForest:
             row, of = np.nonzero(shares)
             return pa.table({"key": dealt.column("key").to_numpy()[row], "class": of.astype(np.int32), "share": shares[row, of]})
 
-        binned = _binned(rows.select(F.col(key).cast("bigint").alias("key"), "features").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")), self.thresholds, "key", "block")
         at = ["tree", "part", "block"]
-        # The bins stand last, so the dealt columns are taken by place.
-        dealt = binned.select("key", "x", "block").mapInArrow(deal, "tree int, part int, block int, key bigint, x binary")
-        copies = self.parts.select("tree", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "feature", "cut", "child", "shares")
-        tasks = sum(f < 0 for top in self.tops for f in top.feature) * blocks
+        dealt = binned.mapInArrow(deal, "tree int, part int, block int, key bigint, x binary")
+        counts = [(t, int(p), int(own[p])) for t, own in enumerate(blocks) for p in np.flatnonzero(own)]
+        copied = F.broadcast(rows.sparkSession.createDataFrame(counts, "tree int, part int, blocks int"))
+        copies = self.parts.join(copied, ["tree", "part"]).select("tree", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "feature", "cut", "child", "shares")
+        tasks = max(1, sum(n for _, _, n in counts))
         found = copies.repartition(tasks, *at).groupBy(*at).cogroup(dealt.repartition(tasks, *at).groupBy(*at)).applyInArrow(told, "key bigint, class int, share bigint")
         each = [F.sum(F.when(F.col("class") == k, F.col("share")).otherwise(0)) / float(_ONE * len(self.tops)) for k in range(classes)]
         votes = found.groupBy("key").agg(F.array(*each).alias("__shares")).withColumnRenamed("key", "__key")

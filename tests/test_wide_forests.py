@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aircadence.ml import models
+from aircadence.ml import models, wide_forests
 from aircadence.ml.wide_forests import Top, WideForest, fit_wide_forest, grow_tree
 
 COLUMNS = [f"f{i}" for i in range(6)]
@@ -86,3 +86,21 @@ def test_depth_leaf_size_and_pure_nodes():
     tries = {(f, b): gini(y) - (below := x[:, f] <= b).mean() * gini(y[below]) - (~below).mean() * gini(y[~below]) for f in range(4) for b in range(31) if 0 < (x[:, f] <= b).sum() < 200}
     assert tries[int(full.feature[0]), int(full.cut[0])] == pytest.approx(max(tries.values()))
     assert (Top([0, -1, -1], [10, 0, 0], [1, 0, 0], [0, 1, 1], [0.0]).parts(x) == np.where(x[:, 0] <= 10, 1, 2)).all()
+
+
+def test_parts_are_copied_for_their_own_rows_alone(rows):
+    """Blocks grow with the parts and with the rows, not with the product of both."""
+    forest = fit_wide_forest(rows, "key", "row", trees=5, depth=6, most=100)
+    want = told(forest, rows)
+    parts, whole = forest.parts.count(), rows.count()
+    binned = wide_forests._binned(rows.select("key", "features"), forest.thresholds, "key")
+    blocks = forest.blocks(binned)
+    assert all((own > 0).tolist() == [f < 0 for f in top.feature] for own, top in zip(blocks, forest.tops))
+    # Before, each of the parts was copied for each of the nine blocks.
+    assert parts > 30 and sum(own.sum() for own in blocks) <= parts + 5 * whole / forest.most < parts * 9 / 2
+    # All rows in one part of a tree that is not split.
+    plain = fit_wide_forest(rows, "key", "row", trees=2, depth=6, most=5000)
+    plain.most = 100
+    assert [own.tolist() for own in plain.blocks(binned)] == [[9], [9]]
+    assert told(forest, rows) == want and len(told(plain, rows)) == whole
+    assert forest.transform(rows.where("false")).count() == 0
