@@ -29,6 +29,8 @@ from aircadence.workspace import Workspace
 
 #: Ranges of values of a column, and rows that the thresholds are taken from (both as in Spark ML).
 BINS, SAMPLE = 32, 10_000
+#: Rows from which a node is split by the sums of its bins, not by its rows.
+LARGE = 128
 #: A share of 1 as an integer, so that sums do not depend on their order.
 _ONE = 1 << 40
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
@@ -54,43 +56,104 @@ def _tried(rng: np.random.Generator, nodes: int, columns: int, count: int) -> np
     return np.argpartition(rng.random((nodes, columns)), count - 1, axis=1)[:, :count]
 
 
-def _best(x, rows, at, y, w, c, stats, tried, leaf):
-    """Gain, column and bin of each node's best split; ``at`` is the node of each of ``rows``, the gain 0 without a split."""
+def _by_cells(x, rows, at, y, w, c, stats, tried, leaf):
+    """``_best`` for large nodes: sums of the classes in every bin."""
     nodes, classes = stats.shape
+    every, y, w = np.arange(nodes), y[rows], w[rows]
     total, gains = stats.sum(axis=1), np.zeros(nodes)
     pure = (stats * stats).sum(axis=1) / (total * total)
     column, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
-    held = np.zeros((len(rows), classes))
-    held[np.arange(len(rows)), y[rows]] = w[rows]
-    starts = np.r_[0, np.cumsum(np.bincount(at, minlength=nodes))][:-1]
     for j in range(tried.shape[1]):
-        b = x[rows, tried[at, j]]
-        order = np.argsort(at * BINS + b, kind="stable")
-        node, b = at[order], b[order]
-        sums = np.vstack([np.zeros(classes), np.cumsum(held[order], axis=0)])
+        cell = at * BINS + x[rows, tried[at, j]]
+        left = np.bincount(cell * classes + y, weights=w, minlength=nodes * BINS * classes).reshape(nodes, BINS, classes).cumsum(axis=1)[:, :-1]
+        right = np.maximum(stats[:, None] - left, 0.0)
+        squares = [np.einsum("nbk,nbk->nb", v, v) / np.maximum(v.sum(axis=2), 1e-300) for v in (left, right)]
+        score = (squares[0] + squares[1]) / total[:, None] - pure[:, None]
+        # A split lies after a bin with rows if rows of the node have a higher bin.
+        seen = np.bincount(cell, minlength=nodes * BINS).reshape(nodes, BINS)
+        fits = (seen[:, :-1] > 0) & (seen[:, ::-1].cumsum(axis=1)[:, -2::-1] > 0)
+        if leaf > 1:
+            taken = np.bincount(cell, weights=c[rows], minlength=nodes * BINS).reshape(nodes, BINS).cumsum(axis=1)
+            fits &= (taken[:, :-1] >= leaf) & (taken[:, -1:] - taken[:, :-1] >= leaf)
+        score = np.where(fits, score, 0.0)
+        b = score.argmax(axis=1)
+        top = score[every, b]
+        better = top > np.maximum(gains, 1e-10)
+        gains[better], column[better], cut[better] = top[better], tried[better, j], b[better]
+    return gains, column, cut
+
+
+def _by_rows(x, rows, at, y, w, c, stats, tried, leaf):
+    """``_best`` for small nodes: rows in the order of their bins, one number for each row and not one for each class.
+
+    A row adds to the squared sum of its class what that grows by.  Weights are
+    whole numbers of up to 2**30 in a node, so sums that run over all nodes are
+    exact: they may pass 64 bits, but their differences within a node do not.
+    """
+    nodes, classes = stats.shape
+    bits, place = int(len(rows)).bit_length(), np.arange(len(rows))
+    order = np.argsort(at * classes + y[rows], kind="stable")
+    rows, at = rows[order], at[order]
+    kind = at * classes + y[rows]
+    total, gains = stats.sum(axis=1), np.zeros(nodes)
+    column, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
+    weight = np.rint(w[rows] / c[rows] * np.exp2(30 - np.ceil(np.log2(total)))[at]).astype(np.int64) * c[rows].astype(np.int64)
+    # Rows of a node and class stand together, from ``starts``; those of a node from ``first``.
+    new = np.r_[True, kind[1:] != kind[:-1]]
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    own = np.add.reduceat(weight, starts)
+    before = (np.r_[0, np.cumsum(weight)][starts])[group]
+    first, heads = np.searchsorted(at, np.arange(nodes)), np.searchsorted(at[starts], np.arange(nodes))
+    whole, squares = np.add.reduceat(own, heads), np.add.reduceat(own * own, heads)
+    pure, own = squares / whole.astype(float) ** 2, own[group]
+    for j in range(tried.shape[1]):
+        b = x[rows, tried[at, j]].astype(np.int64)
+        by_class = np.sort((group * BINS + b << bits) | place) & ((1 << bits) - 1)
+        v = weight[by_class]
+        grows = v * (2 * (np.cumsum(v) - before) - v)
+        met = np.sort((at * BINS + b[by_class] << bits) | place)
+        cell, by_bin = met >> bits, met & ((1 << bits) - 1)
         # A split lies after a row whose successor in the node has a higher bin.
-        places = np.flatnonzero((node[1:] == node[:-1]) & (b[1:] != b[:-1]))
+        ends = np.flatnonzero((cell[1:] != cell[:-1]) & (at[1:] == at[:-1]))
         if leaf > 1:
-            taken = np.r_[0, np.cumsum(c[rows][order])]
-            below = taken[places + 1] - taken[starts[node[places]]]
-            whole = np.bincount(at, weights=c[rows], minlength=nodes)[node[places]]
-            places = places[(below >= leaf) & (whole - below >= leaf)]
-        if not len(places):
+            taken = np.r_[0, np.cumsum(c[rows][by_class][by_bin])]
+            below = taken[ends + 1] - taken[first[at[ends]]]
+            all_taken = np.bincount(at, weights=c[rows], minlength=nodes)[at[ends]]
+            ends = ends[(below >= leaf) & (all_taken - below >= leaf)]
+        if not len(ends):
             continue
-        k = node[places]
-        left = sums[places + 1] - sums[starts[k]]
-        right = np.maximum(stats[k] - left, 0.0)
-        score = ((left * left).sum(axis=1) / left.sum(axis=1) + (right * right).sum(axis=1) / np.maximum(right.sum(axis=1), 1e-300)) / total[k] - pure[k]
-        heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        top = np.maximum.reduceat(score, heads)
-        hits = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[heads, len(k)])))
-        own, first = np.unique(k[hits], return_index=True)
-        better = top > np.maximum(gains[own], 1e-10)
-        own, first = own[better], first[better]
-        gains[own], column[own], cut[own] = top[better], tried[own, j], b[places[hits[first]]]
+        k = at[ends]
+
+        def upto(values):
+            sums = np.cumsum(values[by_bin])
+            return sums[ends] - (sums - values[by_bin])[first][k]
+
+        left, square, cross = upto(v), upto(grows), upto(v * own)
+        right = whole[k] - left
+        score = (square / np.maximum(left, 1) + (squares[k] - 2 * cross + square) / np.maximum(right, 1)) / whole[k] - pure[k]
+        lead = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        top = np.maximum.reduceat(score, lead)
+        hits = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[lead, len(k)])))
+        hits = hits[np.r_[True, k[hits[1:]] != k[hits[:-1]]]]
+        better = top > np.maximum(gains[k[lead]], 1e-10)
+        node = k[lead][better]
+        gains[node], column[node], cut[node] = top[better], tried[node, j], b[by_class[by_bin[ends[hits[better]]]]]
     return gains, column, cut
 
 
+def _best(x, rows, at, y, w, c, stats, tried, leaf):
+    """Gain, column and bin of each node's best split; ``at`` is the node of each of ``rows``, the gain 0 without a split."""
+    large = np.bincount(at, minlength=len(stats)) >= LARGE
+    out = np.zeros(len(stats)), np.full(len(stats), -1), np.zeros(len(stats), np.int64)
+    for chosen, best in ((large, _by_cells), (~large, _by_rows)):
+        if chosen.any():
+            inside = chosen[at]
+            found = best(x, rows[inside], (np.cumsum(chosen) - 1)[at[inside]], y, w, c, stats[chosen], tried[chosen], leaf)
+            for all_nodes, own in zip(out, found, strict=True):
+                all_nodes[chosen] = own
+    return out
+
+
 @dataclass
 class Tree:
     """Nodes in arrays; the second child stands after the first, ``feature`` is -1 in leaves."""
@@ -312,9 +375,12 @@ def _open_sums(binned: DataFrame, tops: list[Top], open_ones: dict[int, dict[int
             key, y, w, x = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), _bins_of(batch.column(3), columns)
             for tree, nodes in open_ones.items():
                 c = bag(key, tree, seed)
-                at = tops[tree].parts(x)
+                taken_rows = np.flatnonzero(c)
+                at = tops[tree].parts(x[taken_rows])
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.r_[0 : len(tops[tree].feature) + 1])
                 for node, tried in nodes.items():
-                    r = np.flatnonzero((at == node) & (c > 0))
+                    r = taken_rows[order[ends[node] : ends[node + 1]]]
                     own = []
                     for f in tried:
                         cell = x[r, f].astype(np.int64)
